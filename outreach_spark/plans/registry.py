@@ -326,3 +326,250 @@ JOIN (SELECT DISTINCT email_key, channel FROM contacts WHERE email_key IS NOT NU
 def q_known_sender_replies(spark, sf):
     r = ST.parse_inbound(fx.inbound_replies(spark, sf))
     return dedupe.known_sender_replies(r, fx.contacts(spark, sf)).select("msg_id", "sender", "email_key", "channel")
+
+
+# ---------------------------------------------------------------- verification
+
+_SYNTAX_SQL = EM.SYNTAX_PATTERN.replace("'", "''")
+_ROLE_SQL = "^(" + "|".join(p.replace(".", "\\.") for p in K.ROLE_PREFIXES) + ")"
+_DOMAIN_SQL = "nullif(regexp_replace(lower(trim(split_part({e}, '@', 2))), '[./]+$', ''), '')"
+
+VERDICT_SQL = f"""
+SELECT v.*, m.mx_host,
+  CASE WHEN NOT syntax_valid THEN 'INVALID_SYNTAX' WHEN is_role THEN 'ROLE_BASED' WHEN m.mx_host IS NULL THEN 'MX_NOT_FOUND'
+       WHEN probe_code IS NULL THEN 'SMTP_BLOCK' WHEN probe_code = 250 THEN 'DELIVERABLE' WHEN probe_code = 550 THEN 'SMTP_550'
+       ELSE concat('SMTP_', cast(probe_code as varchar)) END AS smtp_result
+FROM (SELECT *, coalesce(regexp_matches(email, '{_SYNTAX_SQL}'), false) AS syntax_valid,
+             regexp_matches(lower(email), '{_ROLE_SQL}') AS is_role, {_DOMAIN_SQL.format(e='email')} AS domain FROM vf) v
+LEFT JOIN (SELECT domain, regexp_replace(arg_min(exchange, (preference, exchange)), '\\.+$', '') AS mx_host
+           FROM (SELECT {_DOMAIN_SQL.format(e="concat('x@', domain)")} AS domain, preference, exchange FROM mx) GROUP BY domain) m
+ON v.domain = m.domain"""
+
+VERIFY_OUT_SQL = """
+SELECT id, channel, full_name, contacted_at, email, probe_code, syntax_valid, (syntax_valid AND NOT is_role AND mx_host IS NOT NULL) AS mx_found,
+  mx_host, smtp_result, smtp_result NOT IN ('INVALID_SYNTAX','ROLE_BASED','MX_NOT_FOUND','SMTP_550') AS is_deliverable,
+  CASE smtp_result WHEN 'INVALID_SYNTAX' THEN 'Regex/Syntax failed' WHEN 'ROLE_BASED' THEN 'Role-based email'
+       WHEN 'MX_NOT_FOUND' THEN 'No MX record' WHEN 'SMTP_550' THEN 'User does not exist'
+       WHEN 'SMTP_BLOCK' THEN 'No answer from mail server' END AS failure_reason
+FROM verdict"""
+
+
+def _verdicts(spark, sf):
+    return verify.verify_emails(fx.verify_requests(spark, sf), fx.mx_records(spark, sf))
+
+
+@query("email_syntax", with_ctes(f"SELECT id, email, coalesce(regexp_matches(email, '{_SYNTAX_SQL}'), false) AS syntax_valid FROM vf", "vf"))
+def q_email_syntax(spark, sf):
+    return fx.verify_requests(spark, sf).select("id", "email", EM.email_syntax_ok(F.col("email")).alias("syntax_valid"))
+
+
+@query("role_address", with_ctes(f"SELECT id, email, regexp_matches(lower(email), '{_ROLE_SQL}') AS is_role FROM vf", "vf"))
+def q_role_address(spark, sf):
+    return fx.verify_requests(spark, sf).select("id", "email", EM.is_role_address(F.col("email")).alias("is_role"))
+
+
+@query("email_domain", with_ctes(f"SELECT id, email, {_DOMAIN_SQL.format(e='email')} AS domain FROM vf", "vf"))
+def q_email_domain(spark, sf):
+    return fx.verify_requests(spark, sf).select("id", "email", EM.email_domain(F.col("email")).alias("domain"))
+
+
+@query("mx_lookup", with_ctes(f"""
+SELECT domain, min(preference) AS preference, regexp_replace(arg_min(exchange, (preference, exchange)), '\\.+$', '') AS mx_host
+FROM (SELECT {_DOMAIN_SQL.format(e="concat('x@', domain)")} AS domain, preference, exchange FROM mx) GROUP BY domain""", "mx"))
+def q_mx_lookup(spark, sf):
+    return verify.mx_lookup(fx.mx_records(spark, sf))
+
+
+@query("verify_emails", with_ctes(VERIFY_OUT_SQL, "vf", "mx", local=[("verdict", VERDICT_SQL)]))
+def q_verify_emails(spark, sf):
+    return _verdicts(spark, sf)
+
+
+CACHE_SQL = """
+SELECT email_key, v.email AS email, v.is_deliverable AS is_deliverable, v.smtp_result AS smtp_result, v.failure_reason AS failure_reason,
+  v.verified_at AS verified_at
+FROM (SELECT nullif(lower(trim(email)), '') AS email_key,
+             max({'verified_at': contacted_at, 'tie': id, 'email': email, 'is_deliverable': is_deliverable, 'smtp_result': smtp_result,
+                  'failure_reason': failure_reason}) AS v
+      FROM vout WHERE nullif(lower(trim(email)), '') IS NOT NULL GROUP BY 1)"""
+
+
+def _cache(spark, sf, before: str | None = None):
+    v = _verdicts(spark, sf)
+    if before:
+        v = v.filter(F.col("contacted_at") < F.lit(before).cast("timestamp_ntz"))
+    return verify.upsert_verifications(v.withColumnRenamed("contacted_at", "verified_at"))
+
+
+@query("upsert_verifications", with_ctes("SELECT * FROM cache", "vf", "mx", local=[("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL), ("cache", CACHE_SQL)]))
+def q_upsert_verifications(spark, sf):
+    return _cache(spark, sf)
+
+
+@query("scan_verifications", with_ctes("""
+SELECT email, true AS syntax_valid, true AS mx_found, smtp_result, is_deliverable, verified_at, failure_reason FROM cache""",
+                                       "vf", "mx", local=[("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL), ("cache", CACHE_SQL)]))
+def q_scan_verifications(spark, sf):
+    return scans.scan_verifications(_cache(spark, sf))
+
+
+@query("verification_lookup", with_ctes(f"""
+SELECT r.id, r.email, r.email_key, c.smtp_result AS cached_result, c.is_deliverable AS cached_deliverable,
+  CASE WHEN c.smtp_result IS NOT NULL THEN 'cached' ELSE 'to_verify' END AS lookup
+FROM (SELECT id, email, nullif(lower(trim(email)), '') AS email_key FROM vf WHERE contacted_at >= {SQL_CUTOFF}) r
+LEFT JOIN (SELECT * FROM cache) c ON r.email_key = c.email_key""", "vf", "mx",
+                                        local=[("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL.replace("FROM verdict", f"FROM verdict WHERE contacted_at < {SQL_CUTOFF}")), ("cache", CACHE_SQL)]))
+def q_verification_lookup(spark, sf):
+    """This run's requests against the cache written by earlier runs (verdicts before the cutoff)."""
+    req = fx.verify_requests(spark, sf).filter(F.col("contacted_at") >= F.lit(CUTOFF).cast("timestamp_ntz")).select("id", "email")
+    return verify.verification_lookup(req, _cache(spark, sf, before=CUTOFF)).select(
+        "id", "email", "email_key", "cached_result", "cached_deliverable", "lookup")
+
+
+# ---------------------------------------------------------------- text extraction
+
+_EMAIL_SQL = K.EMAIL_PATTERN
+_GENERIC_SQL = "^(" + "|".join(p.replace(".", "\\.") for p in K.GENERIC_PREFIXES) + ")"
+
+
+@query("extract_emails", f"""
+SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, email, NOT regexp_matches(lower(email), '{_GENERIC_SQL}') AS is_personal
+FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}')) AS email,
+             generate_subscripts(regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}'), 1) AS pos FROM documents)""")
+def q_extract_emails(spark, sf):
+    return extract.document_emails(fx.read(spark, sf, "documents"))
+
+
+@query("context_email", f"""
+SELECT doc_id, email FROM (
+  SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '(support|info|noreply)'))[1] AS email
+  FROM documents) WHERE email IS NOT NULL""")
+def q_context_email(spark, sf):
+    return extract.context_emails(fx.read(spark, sf, "documents"))
+
+
+@query("personal_email_filter", f"""
+SELECT doc_id, email FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_EMAIL_SQL}')) AS email FROM documents)
+WHERE NOT regexp_matches(lower(email), '{_GENERIC_SQL}')""")
+def q_personal_email_filter(spark, sf):
+    m = extract.document_emails(fx.read(spark, sf, "documents"))
+    return m.filter(EM.is_personal_email(F.col("email"))).select("doc_id", "email")
+
+
+_MAILTO_SQL = r"""href\s*=\s*["']mailto:([^"'?]*)"""
+_PAGE_EMAIL_SQL = f"""
+  list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '{_MAILTO_SQL.replace("'", "''")}', 1), lambda e: trim(e)),
+              lambda e: e <> '' AND NOT regexp_matches(lower(e), '{_GENERIC_SQL}'))[1]"""
+_PAGE_REGEX_SQL = f"list_filter(regexp_extract_all(coalesce(html, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '{_GENERIC_SQL}'))[1]"
+
+
+@query("page_mailto", f"SELECT page_id, url, {_PAGE_EMAIL_SQL} AS mailto_email FROM pages")
+def q_page_mailto(spark, sf):
+    return fx.read(spark, sf, "pages").select("page_id", "url", EM.page_mailto(F.col("html")).alias("mailto_email"))
+
+
+@query("page_email", f"SELECT page_id, url, {_PAGE_EMAIL_SQL} AS mailto_email, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS page_email FROM pages")
+def q_page_email(spark, sf):
+    return extract.page_emails(fx.read(spark, sf, "pages"))
+
+
+_ANCHOR_SQL = extract.ANCHOR.replace("'", "''")
+_SEL_SQL = " ".join(
+    [f"WHEN contains(lower(a.text), '{t.lower()}') THEN {i}" for i, t in enumerate(K.CONTACT_LINK_TEXTS, 1)]
+    + [f"WHEN contains(lower(a.href), '{h}') THEN {i}" for i, h in enumerate(K.CONTACT_LINK_HREFS, len(K.CONTACT_LINK_TEXTS) + 1)])
+
+
+CONTACT_LINKS_SQL = f"""
+SELECT page_id, url, b.selector_rank AS selector_rank, b.text AS link_text, b.href AS href,
+  CASE WHEN regexp_matches(b.href, '^https?://') THEN b.href
+       WHEN starts_with(b.href, '//') THEN concat(regexp_extract(url, '^(https?:)', 1), b.href)
+       WHEN starts_with(b.href, '/') THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), b.href)
+       ELSE concat(CASE WHEN regexp_extract(url, '^(https?://[^?#]*/)', 1) = '' THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/')
+                        ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) END, b.href) END AS subpage_url
+FROM (SELECT page_id, url, min({{'selector_rank': selector_rank, 'pos': pos, 'href': a.href, 'text': a.text}}) AS b FROM (
+        SELECT page_id, url, pos, a, CASE {_SEL_SQL} END AS selector_rank FROM (
+          SELECT page_id, url, generate_subscripts(hrefs, 1) - 1 AS pos, unnest(list_zip(hrefs, texts)) AS z FROM (
+            SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR_SQL}', 1) AS hrefs, regexp_extract_all(html, '{_ANCHOR_SQL}', 2) AS texts FROM pages))
+        , LATERAL (SELECT {{'href': z[1], 'text': z[2]}} AS a))
+      WHERE selector_rank IS NOT NULL AND NOT starts_with(lower(a.href), 'mailto:') GROUP BY page_id, url)"""
+
+
+@query("contact_subpage_links", CONTACT_LINKS_SQL)
+def q_contact_subpage_links(spark, sf):
+    return extract.contact_subpage_links(fx.read(spark, sf, "pages"))
+
+
+_HIT_FILTER_SQL = "coalesce(title, '') <> '' AND coalesce(url, '') <> ''"
+_BL_SQL = "|".join(t.lower().replace(".", "\\.") for t in K.BLACKLIST_TERMS)
+
+
+@query("blacklist_filter", with_ctes(f"""
+SELECT query, position, title, url, snippet FROM hits
+WHERE NOT (coalesce(regexp_matches(lower(url), '{_BL_SQL}'), false) OR coalesce(regexp_matches(lower(snippet), '{_BL_SQL}'), false)
+           OR coalesce(regexp_matches(lower(title), '{_BL_SQL}'), false))""", "hits"))
+def q_blacklist_filter(spark, sf):
+    return extract.blacklist_filter(fx.search_hits(spark, sf)).select("query", "position", "title", "url", "snippet")
+
+
+@query("name_from_title", with_ctes("""
+SELECT position, title, trim(split_part(CASE WHEN regexp_matches(coalesce(title, ''), '\\bby\\b')
+                                     THEN regexp_extract(coalesce(title, ''), '^.*\\bby\\b(.*)$', 1) ELSE coalesce(title, '') END, '|', 1)) AS name
+FROM hits""", "hits"))
+def q_name_from_title(spark, sf):
+    return fx.search_hits(spark, sf).select("position", "title", TX.name_from_title(F.col("title")).alias("name"))
+
+
+_SCHEME_SQL = "CASE WHEN starts_with(url, 'http') THEN url ELSE concat('https://', url) END"
+
+
+@query("scan_search_hits", with_ctes(f"""
+SELECT query, position, title, {_SCHEME_SQL} AS url, snippet, engine, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY position) AS rank FROM hits WHERE {_HIT_FILTER_SQL})
+WHERE rank <= 10""", "hits"))
+def q_scan_search_hits(spark, sf):
+    return scans.scan_search_hits(fx.search_hits(spark, sf), 10).select("query", "position", "title", "url", "snippet", "engine", "rank")
+
+
+@query("source_fallback", with_ctes("""
+SELECT query, position, engine FROM hits WHERE engine = 'primary'
+UNION ALL
+SELECT query, position, 'secondary' AS engine FROM hits s WHERE NOT EXISTS (SELECT 1 FROM hits p WHERE p.engine = 'primary' AND p.query = s.query)""", "hits"))
+def q_source_fallback(spark, sf):
+    h = fx.search_hits(spark, sf)
+    primary = h.filter(F.col("engine") == "primary").select("query", "position", "engine")
+    secondary = h.select("query", "position", F.lit("secondary").alias("engine"))
+    return scans.source_fallback(primary, secondary)
+
+
+@query("scan_pages", with_ctes(f"""
+SELECT h.query, h.position, h.url, p.page_id, length(p.html) AS html_chars
+FROM (SELECT query, position, {_SCHEME_SQL} AS url FROM hits) h
+LEFT JOIN pages p ON lower(regexp_replace(h.url, '^https?://', '')) = lower(regexp_replace(p.url, '^https?://', ''))""", "hits"))
+def q_scan_pages(spark, sf):
+    h = fx.search_hits(spark, sf).select("query", "position", scans.with_scheme(F.col("url")).alias("url"))
+    return scans.scan_pages(h, fx.read(spark, sf, "pages")).select("query", "position", "url", "page_id", F.length("html").alias("html_chars"))
+
+
+@query("resolve_email", with_ctes(f"""
+SELECT s.position, s.name, s.url,
+  coalesce(s.context_email, home.home_email, sub.subpage_email) AS email,
+  CASE WHEN s.context_email IS NOT NULL THEN 'context' WHEN home.home_email IS NOT NULL THEN 'website_crawl_home'
+       WHEN sub.subpage_email IS NOT NULL THEN 'website_crawl_subpage' ELSE 'not_found' END AS email_source
+FROM (SELECT position, trim(split_part(CASE WHEN regexp_matches(coalesce(title, ''), '\\bby\\b')
+                                            THEN regexp_extract(coalesce(title, ''), '^.*\\bby\\b(.*)$', 1) ELSE coalesce(title, '') END, '|', 1)) AS name,
+             {_SCHEME_SQL} AS url,
+             list_filter(regexp_extract_all(coalesce(snippet, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '(support|info|noreply)'))[1] AS context_email
+      FROM hits) s
+LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS k, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS home_email FROM pages) home
+  ON lower(regexp_replace(s.url, '^https?://', '')) = home.k
+LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS k, lower(regexp_replace(subpage_url, '^https?://', '')) AS sk FROM links) l
+  ON lower(regexp_replace(s.url, '^https?://', '')) = l.k
+LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS sk, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS subpage_email FROM pages) sub
+  ON l.sk = sub.sk""", "hits", local=[("links", CONTACT_LINKS_SQL)]))
+def q_resolve_email(spark, sf):
+    """P9 over web-search stubs (description = snippet, url = hit url) and the landed pages."""
+    h = fx.search_hits(spark, sf)
+    stubs = h.select("position", TX.name_from_title(F.col("title")).alias("name"), F.coalesce(F.col("snippet"), F.lit("")).alias("description"),
+                     scans.with_scheme(F.col("url")).alias("url"))
+    r = extract.resolve_email(stubs, fx.read(spark, sf, "pages"))
+    return r.select("position", "name", "url", "email", "email_source")
