@@ -64,17 +64,17 @@ def fill_template(template: str | Column, tokens: dict[str, Column]) -> Column:
 
 def draft_subject(text: str | Column, default: str) -> Column:
     """Subject from a first line starting with 'SUBJECT:' (any case), else the default."""
-    t = F.trim(F.coalesce(_c(text), F.lit("")))
+    t = strip_ws(F.coalesce(_c(text), F.lit("")))
     first = F.split_part(t, F.lit("\n"), F.lit(1))
-    return F.when(F.upper(first).startswith("SUBJECT:"), F.trim(F.substring(first, 9, 1 << 30))).otherwise(F.lit(default))
+    return F.when(F.upper(first).startswith("SUBJECT:"), strip_ws(F.substring(first, 9, 1 << 30))).otherwise(F.lit(default))
 
 
 def draft_body(text: str | Column) -> Column:
     """The text after a 'SUBJECT:' first line (or the whole text), trimmed."""
-    t = F.trim(F.coalesce(_c(text), F.lit("")))
+    t = strip_ws(F.coalesce(_c(text), F.lit("")))
     first = F.split_part(t, F.lit("\n"), F.lit(1))
-    rest = F.when(F.instr(t, "\n") > 0, F.substring(t, F.instr(t, "\n") + 1, 1 << 30)).otherwise(F.lit(""))
-    return F.trim(F.when(F.upper(first).startswith("SUBJECT:"), rest).otherwise(t))
+    rest = F.when(F.instr(t, "\n") > 0, F.substr(t, F.instr(t, "\n") + 1)).otherwise(F.lit(""))
+    return strip_ws(F.when(F.upper(first).startswith("SUBJECT:"), rest).otherwise(t))
 
 
 def paragraphs_html(body: str | Column) -> Column:
@@ -105,7 +105,24 @@ def ab_variant(key: str | Column) -> Column:
     return F.when(F.substring(F.md5(_c(key).cast("string")), 1, 1) < F.lit("8"), F.lit("A")).otherwise(F.lit("B"))
 
 
+HEX = "0123456789abcdef"
+
+
+def hash_byte(key: str | Column, salt: str) -> Column:
+    """First byte (0..255) of md5(key || salt), from its two leading hex digits."""
+    h = F.md5(F.concat(_c(key).cast("string"), F.lit(salt)))
+    return (F.instr(F.lit(HEX), F.substring(h, 1, 1)) - 1) * 16 + (F.instr(F.lit(HEX), F.substring(h, 2, 1)) - 1)
+
+
 def tone(key: str | Column, salt: str = "tone") -> Column:
     """One of the fixed tones by a hash bucket over md5(id || salt)."""
-    bucket = F.conv(F.substring(F.md5(F.concat(_c(key).cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("bigint") % len(K.TONES)
+    bucket = hash_byte(key, salt) % len(K.TONES)
     return F.element_at(F.array(*[F.lit(t) for t in K.TONES]), (bucket + 1).cast("int"))
+
+
+WS = "[ \\t\\n\\r\\f]"
+
+
+def strip_ws(c: str | Column) -> Column:
+    """Remove leading and trailing whitespace (space, tab, newline, carriage return, form feed)."""
+    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")

@@ -82,19 +82,19 @@ def daily_send_cap(sends: DataFrame, ts_col: str = "contacted_at", caps: dict =
 
 
 def classify_candidates(candidates: DataFrame, contacts: DataFrame, verdicts: DataFrame,
-                        approval_required: bool = False, scope: str = "both") -> DataFrame:
+                        approval_required: bool = False, scope: str = "both", verdict_key: str = "email_key") -> DataFrame:
     """Outcome per candidate (the funnel flagship).
 
     no_email -> already_contacted (seen in ``scope`` of ``contacts``, or a later duplicate within the
     run whose first occurrence went on) -> undeliverable -> pending_approval | ready.
-    ``verdicts`` has one row per email_key (email_key, smtp_result, is_deliverable).
+    ``verdicts`` has one row per ``verdict_key`` (email_key, or the candidate id) with smtp_result, is_deliverable.
     """
     c = candidates.withColumn("email_key", email_key(F.col("email")))
     seen = contacts if scope == "both" else contacts.filter(F.col("channel") == scope)
     seen = seen.select("email_key").filter(F.col("email_key").isNotNull()).distinct().withColumn("_seen", F.lit(True))
     first = c.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.min("seq").alias("_first_seq"))
-    v = verdicts.select("email_key", "smtp_result", "is_deliverable")
-    j = c.join(seen, "email_key", "left").join(first, "email_key", "left").join(v, "email_key", "left")
+    v = verdicts.select(verdict_key, "smtp_result", "is_deliverable")
+    j = c.join(seen, "email_key", "left").join(first, "email_key", "left").join(v, verdict_key, "left")
     deliverable = F.coalesce(F.col("is_deliverable"), F.lit(False))
     outcome = (
         F.when(F.col("email_key").isNull(), "no_email")

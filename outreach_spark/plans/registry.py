@@ -334,6 +334,10 @@ _SYNTAX_SQL = EM.SYNTAX_PATTERN.replace("'", "''")
 _ROLE_SQL = "^(" + "|".join(p.replace(".", "\\.") for p in K.ROLE_PREFIXES) + ")"
 _DOMAIN_SQL = "nullif(regexp_replace(lower(trim(split_part({e}, '@', 2))), '[./]+$', ''), '')"
 
+def verdict_sql(src: str) -> str:
+    return VERDICT_SQL.replace("FROM vf) v", f"FROM {src}) v")
+
+
 VERDICT_SQL = f"""
 SELECT v.*, m.mx_host,
   CASE WHEN NOT syntax_valid THEN 'INVALID_SYNTAX' WHEN is_role THEN 'ROLE_BASED' WHEN m.mx_host IS NULL THEN 'MX_NOT_FOUND'
@@ -573,3 +577,256 @@ def q_resolve_email(spark, sf):
                      scans.with_scheme(F.col("url")).alias("url"))
     r = extract.resolve_email(stubs, fx.read(spark, sf, "pages"))
     return r.select("position", "name", "url", "email", "email_source")
+
+
+# ---------------------------------------------------------------- catalogue
+
+_CAT_WHERE = "WHERE p_size % 10 <> 0"
+
+
+def _catalog(spark, sf, kind):
+    readers = {"google_books": catalog.catalog_google_books, "open_library": catalog.catalog_open_library,
+               "loc": catalog.catalog_loc, "gutendex": catalog.catalog_gutendex}
+    return readers[kind](fx.catalogue_payloads(spark, sf, kind), keep=["response_id"])
+
+
+@query("catalog_google_books", f"""
+SELECT p_partkey AS response_id, p_brand AS name, p_name AS book_title, p_type AS description, NULL::VARCHAR AS url,
+  '{K.SOURCE_GOOGLE_BOOKS}' AS source_platform FROM part {_CAT_WHERE}""")
+def q_catalog_google_books(spark, sf):
+    return _catalog(spark, sf, "google_books")
+
+
+@query("catalog_open_library", f"""
+SELECT p_partkey AS response_id, p_brand AS name, p_name AS book_title, '' AS description, NULL::VARCHAR AS url,
+  '{K.SOURCE_OPEN_LIBRARY}' AS source_platform FROM part {_CAT_WHERE}""")
+def q_catalog_open_library(spark, sf):
+    return _catalog(spark, sf, "open_library")
+
+
+@query("catalog_loc", f"""
+SELECT p_partkey AS response_id, p_brand AS name, p_name AS book_title, concat(p_type, '; size ', cast(p_size as varchar)) AS description,
+  NULL::VARCHAR AS url, '{K.SOURCE_LOC}' AS source_platform FROM part {_CAT_WHERE}""")
+def q_catalog_loc(spark, sf):
+    return _catalog(spark, sf, "loc")
+
+
+@query("catalog_gutendex", f"""
+SELECT p_partkey AS response_id, p_brand AS name, p_name AS book_title, '{K.GUTENDEX_DESCRIPTION}' AS description, NULL::VARCHAR AS url,
+  '{K.SOURCE_GUTENDEX}' AS source_platform FROM part {_CAT_WHERE}""")
+def q_catalog_gutendex(spark, sf):
+    return _catalog(spark, sf, "gutendex")
+
+
+SOURCE_ORDER = [K.SOURCE_GOOGLE_BOOKS, K.SOURCE_OPEN_LIBRARY, K.SOURCE_LOC, K.SOURCE_GUTENDEX, K.SOURCE_WEB_SEARCH]
+
+
+def _all_stubs(spark, sf):
+    parts = [_catalog(spark, sf, k).withColumnRenamed("response_id", "seq") for k in ["google_books", "open_library", "loc", "gutendex"]]
+    h = fx.search_hits(spark, sf)
+    web = catalog.search_stubs(h.withColumn("url", scans.with_scheme(F.col("url")))).withColumn("seq", F.lit(None).cast("bigint"))
+    web = h.select(F.col("position").alias("seq"), TX.name_from_title(F.col("title")).alias("name"), F.lit(None).cast("string").alias("book_title"),
+                   F.coalesce(F.col("snippet"), F.lit("")).alias("description"), scans.with_scheme(F.col("url")).alias("url"),
+                   F.lit(K.SOURCE_WEB_SEARCH).alias("source_platform"))
+    out = parts[0]
+    for p in parts[1:] + [web]:
+        out = out.unionByName(p)
+    return out
+
+
+_ALL_STUBS_SQL = f"""
+SELECT p_partkey AS seq, p_brand AS name, p_name AS book_title, src AS source_platform FROM part,
+  (VALUES ('{K.SOURCE_GOOGLE_BOOKS}'), ('{K.SOURCE_OPEN_LIBRARY}'), ('{K.SOURCE_LOC}'), ('{K.SOURCE_GUTENDEX}')) t(src) {_CAT_WHERE}
+UNION ALL SELECT page_id AS seq, NULL AS name, NULL AS book_title, '{K.SOURCE_WEB_SEARCH}' AS source_platform FROM pages"""
+
+
+@query("source_counts", f"SELECT source_platform, count(*) AS candidates FROM ({_ALL_STUBS_SQL}) GROUP BY 1")
+def q_source_counts(spark, sf):
+    return metrics.source_counts(_all_stubs(spark, sf))
+
+
+@query("fill_to_target", f"""
+SELECT source_platform, seq, book_title, source_rank FROM (
+  SELECT *, CASE source_platform {' '.join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SOURCE_ORDER, 1))} END AS source_rank FROM ({_ALL_STUBS_SQL}))
+ORDER BY source_rank, seq LIMIT {K.AUTHORS_PER_DAY}""")
+def q_fill_to_target(spark, sf):
+    return ranking.fill_to_target(_all_stubs(spark, sf), K.AUTHORS_PER_DAY, SOURCE_ORDER).select("source_platform", "seq", "book_title", "source_rank")
+
+
+# ---------------------------------------------------------------- the daily run
+
+CAND_SQL = f"""
+SELECT v.id AS seq, v.id, v.channel, v.full_name, c.source_platform, c.book_titles, v.contacted_at,
+  CASE WHEN v.id % 17 = 0 THEN NULL ELSE v.email END AS email, v.probe_code
+FROM vf v JOIN contacts c ON v.id = c.id WHERE v.contacted_at >= {SQL_CUTOFF}"""
+
+CLASSIFIED_SQL = f"""
+SELECT c.*, v.smtp_result, v.is_deliverable,
+  CASE WHEN c.email_key IS NULL THEN 'no_email'
+       WHEN s.email_key IS NOT NULL THEN 'already_contacted'
+       WHEN c.seq <> f.first_seq AND coalesce(v.is_deliverable, false) THEN 'already_contacted'
+       WHEN NOT coalesce(v.is_deliverable, false) THEN 'undeliverable'
+       ELSE 'ready' END AS outcome
+FROM (SELECT *, nullif(lower(trim(email)), '') AS email_key FROM cand) c
+LEFT JOIN (SELECT DISTINCT email_key FROM contacts WHERE contacted_at < {SQL_CUTOFF} AND email_key IS NOT NULL) s ON c.email_key = s.email_key
+LEFT JOIN (SELECT email_key, min(seq) AS first_seq FROM (SELECT nullif(lower(trim(email)), '') AS email_key, seq FROM cand)
+           WHERE email_key IS NOT NULL GROUP BY 1) f ON c.email_key = f.email_key
+LEFT JOIN (SELECT id, smtp_result, smtp_result NOT IN ('INVALID_SYNTAX','ROLE_BASED','MX_NOT_FOUND','SMTP_550') AS is_deliverable FROM cverdict) v
+  ON c.id = v.id"""
+
+SENT_SQL = """
+SELECT r.*, CASE WHEN s.status IN ('sent', 'dry_run') THEN s.sent_at END AS email_sent_at, s.error AS send_error,
+  coalesce(s.status, 'pending') AS email_status
+FROM (SELECT * FROM classified WHERE outcome = 'ready') r
+LEFT JOIN (SELECT id, CASE WHEN probe_code = 250 THEN 'sent' WHEN probe_code IS NULL THEN 'dry_run' ELSE 'failed' END AS status,
+                  contacted_at + INTERVAL 1 HOUR AS sent_at,
+                  CASE WHEN probe_code <> 250 THEN concat('SMTP ', cast(probe_code as varchar)) END AS error FROM cand) s ON r.id = s.id"""
+
+RUN_LOCAL = [("cand", CAND_SQL), ("cverdict", verdict_sql("cand")), ("classified", CLASSIFIED_SQL)]
+RUN_LOCAL_SENT = RUN_LOCAL + [("sent", SENT_SQL)]
+
+
+def _run_existing(spark, sf):
+    return fx.contacts(spark, sf).filter(F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
+
+
+def _classified(spark, sf, approval_required=False):
+    cand = fx.run_candidates(spark, sf)
+    verdicts = verify.verify_emails(cand, fx.mx_records(spark, sf))
+    return funnel.classify_candidates(cand, _run_existing(spark, sf), verdicts, approval_required=approval_required, verdict_key="id")
+
+
+def _sent(spark, sf):
+    cl = _classified(spark, sf)
+    return funnel.apply_send_results(cl.filter(F.col("outcome") == "ready"), fx.send_results(fx.run_candidates(spark, sf)))
+
+
+@query("classify_candidates", with_ctes("SELECT seq, id, channel, email_key, smtp_result, outcome FROM classified", "vf", "contacts", "mx", local=RUN_LOCAL))
+def q_classify_candidates(spark, sf):
+    return _classified(spark, sf).select("seq", "id", "channel", "email_key", "smtp_result", "outcome")
+
+
+@query("funnel_counts", with_ctes("SELECT channel, outcome, count(*) AS candidates FROM classified GROUP BY 1, 2", "vf", "contacts", "mx", local=RUN_LOCAL))
+def q_funnel_counts(spark, sf):
+    return funnel.funnel_counts(_classified(spark, sf))
+
+
+@query("apply_send_results", with_ctes("SELECT seq, id, channel, email_status, email_sent_at, send_error FROM sent", "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
+def q_apply_send_results(spark, sf):
+    return _sent(spark, sf).select("seq", "id", "channel", "email_status", "email_sent_at", "send_error")
+
+
+@query("run_summary", with_ctes("""
+SELECT b.channel, b.discovered, b.valid_emails, coalesce(s.sent, 0) AS sent, coalesce(s.failed, 0) AS failed, b.skipped, b.sources,
+  coalesce(e.errors, '') AS errors
+FROM (SELECT channel, count(*) AS discovered, count(*) FILTER (WHERE outcome IN ('pending_approval', 'ready')) AS valid_emails,
+             count(*) FILTER (WHERE outcome IN ('no_email', 'undeliverable')) AS skipped,
+             string_agg(DISTINCT source_platform, ', ' ORDER BY source_platform) AS sources FROM classified GROUP BY channel) b
+LEFT JOIN (SELECT channel, count(*) FILTER (WHERE email_status IN ('sent', 'dry_run')) AS sent,
+                  count(*) FILTER (WHERE email_status = 'failed') AS failed FROM sent GROUP BY channel) s ON b.channel = s.channel
+LEFT JOIN (SELECT channel, string_agg(msg, '; ' ORDER BY seq) AS errors FROM (
+             SELECT channel, seq, concat('Send failed for ', full_name, ': ', coalesce(send_error, 'unknown error')) AS msg,
+                    row_number() OVER (PARTITION BY channel ORDER BY seq) AS rn FROM sent WHERE email_status = 'failed') WHERE rn <= 5
+           GROUP BY channel) e ON b.channel = e.channel""", "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
+def q_run_summary(spark, sf):
+    return funnel.run_summary(_classified(spark, sf), _sent(spark, sf))
+
+
+@query("warmup_cap", with_ctes(f"""
+SELECT channel, seq, id, rank_in_group, cap FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.channel ORDER BY seq) AS rank_in_group, k.cap
+  FROM (SELECT * FROM classified WHERE outcome = 'ready') r JOIN (
+    SELECT channel, CAST(least(CASE channel WHEN 'main' THEN {K.DAILY_CAP['main']} ELSE {K.DAILY_CAP['gmail']} END,
+                               CASE channel WHEN 'main' THEN {K.WARMUP_BASE['main']} ELSE {K.WARMUP_BASE['gmail']} END
+                               + CASE channel WHEN 'main' THEN {K.WARMUP_PER_DAY['main']} ELSE {K.WARMUP_PER_DAY['gmail']} END
+                                 * coalesce(greatest(1, date_sub('day', min(contacted_at), {SQL_CUTOFF})), 1)) AS BIGINT) AS cap
+    FROM contacts WHERE contacted_at < {SQL_CUTOFF} GROUP BY channel) k ON r.channel = k.channel)
+WHERE rank_in_group <= cap""", "vf", "contacts", "mx", local=RUN_LOCAL))
+def q_warmup_cap(spark, sf):
+    ready = _classified(spark, sf).filter(F.col("outcome") == "ready")
+    return funnel.warmup_cap(ready, _run_existing(spark, sf), CUTOFF).select("channel", "seq", "id", "rank_in_group", "cap")
+
+
+@query("daily_send_cap", with_ctes(f"""
+SELECT channel, day, id, rank_in_group, cap FROM (
+  SELECT channel, CAST(contacted_at AS DATE) AS day, id,
+         row_number() OVER (PARTITION BY channel, CAST(contacted_at AS DATE) ORDER BY contacted_at, id) AS rank_in_group,
+         CAST(CASE channel WHEN 'main' THEN {K.DAILY_CAP['main']} ELSE {K.DAILY_CAP['gmail']} END AS BIGINT) AS cap
+  FROM contacts WHERE email_status = 'sent') WHERE rank_in_group <= cap""", "contacts"))
+def q_daily_send_cap(spark, sf):
+    sends = fx.contacts(spark, sf).filter(F.col("email_status") == "sent")
+    return funnel.daily_send_cap(sends).select("channel", "day", "id", "rank_in_group", "cap")
+
+
+@query("top_contacted", with_ctes("""
+SELECT row_number() OVER (ORDER BY seq) AS rank, full_name, coalesce(book_titles[1], 'N/A') AS first_title,
+  CASE WHEN email IS NULL OR email = '' THEN 'N/A' ELSE concat(substr(email, 1, 1), '***@', split_part(email, '@', 2)) END AS masked_email
+FROM (SELECT * FROM sent WHERE email_status IN ('sent', 'dry_run') ORDER BY seq LIMIT 5)""", "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
+def q_top_contacted(spark, sf):
+    s = _sent(spark, sf).filter(F.col("email_status").isin("sent", "dry_run"))
+    return ranking.top_contacted(s)
+
+
+@query("send_window", with_ctes(f"""
+SELECT event_id, ts, event FROM ev WHERE hour(ts) >= {K.SEND_WINDOW_START_UTC} AND hour(ts) < {K.SEND_WINDOW_END_UTC}""", "ev"))
+def q_send_window(spark, sf):
+    return funnel.send_window(fx.delivery_events(spark, sf), "ts").select("event_id", "ts", "event")
+
+
+@query("circuit_breaker", with_ctes(f"""
+SELECT channel, bounce_rate, CAST({K.MAX_BOUNCE_RATE} AS DOUBLE) AS threshold, bounce_rate > {K.MAX_BOUNCE_RATE} AS tripped,
+  CASE WHEN bounce_rate > {K.MAX_BOUNCE_RATE} THEN printf('CIRCUIT BREAKER TRIPPED: Bounce rate (%.1f%%) exceeds threshold (%.1f%%).', bounce_rate * 100.0, {K.MAX_BOUNCE_RATE * 100.0}) END AS error
+FROM (SELECT channel, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE email_status IN ('bounced','dropped','failed')) / count(*) ELSE 0.0 END AS bounce_rate
+      FROM contacts WHERE email_status <> 'pending' GROUP BY channel)""", "contacts"))
+def q_circuit_breaker(spark, sf):
+    return funnel.circuit_breaker(fx.contacts(spark, sf))
+
+
+@query("followup_eligible", with_ctes(f"""
+SELECT id, channel, full_name, email, contacted_at FROM contacts
+WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY""", "contacts"))
+def q_followup_eligible(spark, sf):
+    return engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF).select("id", "channel", "full_name", "email", "contacted_at")
+
+
+@query("set_approval", with_ctes("""
+SELECT c.id, c.channel, CASE WHEN d.decision IS NOT NULL THEN d.decision ELSE c.approval_status END AS approval_status,
+  d.decision IS NOT NULL AS updated
+FROM contacts c LEFT JOIN (SELECT id, CASE WHEN lead_score >= 2 THEN 'approved' ELSE 'rejected' END AS decision
+                           FROM contacts WHERE approval_status = 'pending') d ON c.id = d.id""", "contacts"))
+def q_set_approval(spark, sf):
+    c = fx.contacts(spark, sf)
+    decisions = ranking.pending_approvals(c).join(c.select("id", "lead_score"), "id").select(
+        "id", F.when(F.col("lead_score") >= 2, "approved").otherwise("rejected").alias("decision"))
+    return engagement.set_approval(c, decisions).select("id", "channel", "approval_status", "updated")
+
+
+@query("mark_followup_sent", with_ctes(f"""
+SELECT c.id, c.followup_sent OR e.id IS NOT NULL AS followup_sent, coalesce(e.sent_at, c.followup_sent_at) AS followup_sent_at
+FROM contacts c LEFT JOIN (SELECT id, {SQL_C_ASOF} AS sent_at FROM contacts
+  WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
+    AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY) e ON c.id = e.id""", "contacts"))
+def q_mark_followup_sent(spark, sf):
+    c = fx.contacts(spark, sf)
+    sent = engagement.followup_eligible(c, C_ASOF).select("id", F.lit(C_ASOF).cast("timestamp_ntz").alias("sent_at"))
+    return engagement.mark_followup_sent(c, sent).select("id", "followup_sent", "followup_sent_at")
+
+
+def _followup_results(eligible):
+    return eligible.select("id", F.when(F.col("lead_score") > 0, "sent").otherwise("failed").alias("status"),
+                           F.when(F.col("lead_score") == 0, F.lit("mailbox unavailable")).alias("error"))
+
+
+@query("followup_summary", with_ctes(f"""
+SELECT e.channel, e.eligible_authors, coalesce(s.sent, 0) AS sent, coalesce(s.failed, 0) AS failed, coalesce(x.errors, '') AS errors
+FROM (SELECT channel, count(*) AS eligible_authors FROM elig GROUP BY channel) e
+LEFT JOIN (SELECT channel, count(*) FILTER (WHERE lead_score > 0) AS sent, count(*) FILTER (WHERE lead_score = 0) AS failed FROM elig GROUP BY channel) s
+  ON e.channel = s.channel
+LEFT JOIN (SELECT channel, string_agg(concat('Follow-up failed for ', cast(id as varchar), ': mailbox unavailable'), '; ' ORDER BY id) AS errors
+           FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id) AS rn FROM elig WHERE lead_score = 0) WHERE rn <= 5
+           GROUP BY channel) x ON e.channel = x.channel""", "contacts", local=[("elig", f"""
+SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
+  AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY""")]))
+def q_followup_summary(spark, sf):
+    el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF)
+    return funnel.followup_summary(el, _followup_results(el))

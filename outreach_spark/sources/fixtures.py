@@ -224,3 +224,43 @@ def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("https://track.example.org/track/"), path, F.lit("?author_id="),
                    F.col("author_id").cast("string"), F.lit("&run_date=2024-01-01"), src)
     return ev.select("event_id", "ts", url.alias("request_url"))
+
+
+def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a run: the verification requests of contacts on or after the run cutoff, in id order
+    (seq), with their titles; no address was found for every 17th id."""
+    v = verify_requests(spark, sf_dir).filter(F.col("contacted_at") >= _ts(RUN_CUTOFF))
+    c = contacts(spark, sf_dir).select("id", "source_platform", "book_titles")
+    return v.join(c, "id").select(
+        F.col("id").alias("seq"), "id", "channel", "full_name", "source_platform", "book_titles", "contacted_at",
+        F.when(F.col("id") % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("email")).alias("email"), "probe_code")
+
+
+def send_results(candidates: DataFrame) -> DataFrame:
+    """What the sender returned for each candidate: 250 -> sent, no answer -> dry_run, other codes -> failed."""
+    code = F.col("probe_code")
+    return candidates.select(
+        "id",
+        F.when(code == 250, "sent").when(code.isNull(), "dry_run").otherwise("failed").alias("status"),
+        (F.col("contacted_at") + F.expr("INTERVAL 1 HOUR")).alias("sent_at"),
+        F.when((code != 250) & code.isNotNull(), F.concat(F.lit("SMTP "), code.cast("string"))).alias("error"),
+    )
+
+
+INVITATION_TEMPLATE = (
+    "SUBJECT: Invitation to Feature {{BOOK_TITLE}} in Our Author Spotlight\n\n"
+    "Hello {{AUTHOR_NAME}},\n\n"
+    "Our reading circle has been talking about {{BOOK_TITLE}}, and members keep returning to this: {{BOOK_DESCRIPTION}}\n\n"
+    "Each month we host a relaxed virtual Author Spotlight, and we would be glad to feature you and your "
+    "{{BOOK_GENRE_LABEL}}. Members especially enjoy hearing about {{AUTHOR_JOURNEY_DETAIL}}.\n\n"
+    "If that sounds good, a short reply is all it takes.\n\n"
+    "Warm regards,\nThe Reading Circle"
+)
+
+FOLLOWUP_TEMPLATE = (
+    "SUBJECT: Re: Invitation to Feature {{BOOK_TITLE}} in Our Author Spotlight\n\n"
+    "Hello {{AUTHOR_NAME}},\n\n"
+    "A short note in case my earlier message got buried. We would still love to host you and {{BOOK_TITLE}}; "
+    "members are looking forward to {{FOLLOWUP_SPECIFIC_HOOK}}.\n\n"
+    "Warm regards,\nThe Reading Circle"
+)
