@@ -830,3 +830,226 @@ SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT rep
 def q_followup_summary(spark, sf):
     el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF)
     return funnel.followup_summary(el, _followup_results(el))
+
+
+# ---------------------------------------------------------------- drafts
+
+RUN_DATE = "2001-08-02"
+TRACKING_BASE = "https://track.example.org"
+_WS_SQL = "[ \\t\\n\\r\\f]"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS_SQL}+|{_WS_SQL}+$', '', 'g')"
+
+
+_TOKENS_SQL = {
+    "AUTHOR_NAME": "full_name",
+    "BOOK_TITLE": f"coalesce(book_titles[1], {_lit(K.FALLBACK_BOOK_TITLE)})",
+    "BOOK_DESCRIPTION": f"coalesce(nullif(substr(book_description, 1, {K.INVITATION_DESCRIPTION_CHARS}), ''), {_lit(K.FALLBACK_TEXT)})",
+    "BOOK_GENRE_LABEL": f"coalesce(nullif(array_to_string(coalesce(genres, []::VARCHAR[])[1:2], ', '), ''), {_lit(K.FALLBACK_GENRE)})",
+}
+
+
+def filled_sql(template: str) -> str:
+    out = _lit(template)
+    for name, val in _TOKENS_SQL.items():
+        out = f"replace({out}, '{{{{{name}}}}}', coalesce({val}, ''))"
+    return out
+
+
+def _subject_sql(t: str, default: str) -> str:
+    first = f"split_part({t}, chr(10), 1)"
+    return f"CASE WHEN starts_with(upper({first}), 'SUBJECT:') THEN {_strip_sql(f'substr({first}, 9)')} ELSE {_lit(default)} END"
+
+
+def _body_sql(t: str) -> str:
+    first = f"split_part({t}, chr(10), 1)"
+    rest = f"CASE WHEN instr({t}, chr(10)) > 0 THEN substr({t}, instr({t}, chr(10)) + 1) ELSE '' END"
+    return _strip_sql(f"CASE WHEN starts_with(upper({first}), 'SUBJECT:') THEN {rest} ELSE {t} END")
+
+
+_PHRASES_SQL = "[" + ", ".join(_lit(p) for p in K.BANNED_PHRASES) + "]"
+_TONES_SQL = "[" + ", ".join(_lit(t) for t in K.TONES) + "]"
+_HEXPOS = "(instr('0123456789abcdef', substr(md5(concat(cast(id as varchar), 'tone')), {i}, 1)) - 1)"
+
+
+def render_sql(src: str, template: str, default_subject: str = K.DEFAULT_INVITATION_SUBJECT) -> str:
+    """DuckDB form of ``operators.drafts.render_drafts`` over relation ``src``."""
+    html = "array_to_string(list_transform(list_filter(string_split(body_plain, chr(10) || chr(10)), lambda p: p <> ''), lambda p: concat('<p>', p, '</p>')), '')"
+    pixel = (f"concat('<img src=\"{TRACKING_BASE}/track/open?author_id=', cast(id as varchar), '&run_date={RUN_DATE}', "
+             "CASE WHEN channel = 'gmail' THEN '&source=gmail' ELSE '' END, '\" width=\"1\" height=\"1\" style=\"display:none;\" />')")
+    html_px = f"CASE WHEN contains({html}, '</body>') THEN replace({html}, '</body>', concat({pixel}, '</body>')) ELSE concat({html}, {pixel}) END"
+    return f"""
+SELECT id AS author_id, channel, subject, body_plain, {html_px} AS body_html,
+  array_to_string(list_filter({_PHRASES_SQL}, lambda p: contains(lower(concat_ws(chr(10), subject, body_plain)), lower(p))), '|') AS banned_phrases,
+  array_to_string(regexp_extract_all(body_plain, '\\{{\\{{([A-Z_]+)\\}}\\}}', 1), '|') AS unfilled_tokens,
+  CAST(len(regexp_extract_all(body_plain, '[^ \\t\\n\\r\\f]+')) AS INTEGER) AS word_count,
+  CASE WHEN substr(md5(cast(id as varchar)), 1, 1) < '8' THEN 'A' ELSE 'B' END AS ab_variant,
+  {_TONES_SQL}[({_HEXPOS.format(i=1)} * 16 + {_HEXPOS.format(i=2)}) % {len(K.TONES)} + 1] AS tone
+FROM (SELECT id, channel, {_subject_sql('t', default_subject)} AS subject, {_body_sql('t')} AS body_plain
+      FROM (SELECT id, channel, {_strip_sql(filled_sql(template))} AS t FROM {src}))"""
+
+
+def _render(df, template=fx.INVITATION_TEMPLATE, default_subject=K.DEFAULT_INVITATION_SUBJECT):
+    return drafts.render_drafts(df, template, RUN_DATE, TRACKING_BASE, default_subject=default_subject)
+
+
+@query("render_drafts", with_ctes(render_sql("contacts", fx.INVITATION_TEMPLATE), "contacts"))
+def q_render_drafts(spark, sf):
+    return _render(fx.contacts(spark, sf))
+
+
+@query("fill_template", with_ctes(f"SELECT id, {filled_sql(fx.INVITATION_TEMPLATE)} AS filled FROM contacts", "contacts"))
+def q_fill_template(spark, sf):
+    c = fx.contacts(spark, sf)
+    return c.select("id", TX.fill_template(fx.INVITATION_TEMPLATE, drafts.default_tokens(c)).alias("filled"))
+
+
+@query("unfilled_tokens", with_ctes(f"SELECT author_id, unfilled_tokens FROM ({render_sql('contacts', fx.INVITATION_TEMPLATE)})", "contacts"))
+def q_unfilled_tokens(spark, sf):
+    return _render(fx.contacts(spark, sf)).select("author_id", "unfilled_tokens")
+
+
+@query("split_draft", with_ctes(f"""
+SELECT msg_id, {_subject_sql('body', K.DEFAULT_SMART_FOLLOWUP_SUBJECT)} AS subject, {_body_sql('body')} AS body FROM msgs WHERE direction = 'outgoing'""", "msgs"))
+def q_split_draft(spark, sf):
+    m = fx.messages(spark, sf).filter(F.col("direction") == "outgoing")
+    return m.select("msg_id", TX.draft_subject(F.col("body"), K.DEFAULT_SMART_FOLLOWUP_SUBJECT).alias("subject"), TX.draft_body(F.col("body")).alias("body"))
+
+
+@query("word_count", "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+')) AS INTEGER) AS words FROM documents")
+def q_word_count(spark, sf):
+    return fx.read(spark, sf, "documents").select("doc_id", TX.word_count(F.col("text")).alias("words"))
+
+
+@query("banned_phrases", f"""
+SELECT doc_id, array_to_string(m, '|') AS banned_phrases, CAST(len(m) AS INTEGER) AS n_banned
+FROM (SELECT doc_id, list_filter({_PHRASES_SQL}, lambda p: contains(lower(coalesce(text, '')), lower(p))) AS m FROM documents)""")
+def q_banned_phrases(spark, sf):
+    d = fx.read(spark, sf, "documents").select("doc_id", TX.matched_phrases(F.col("text")).alias("m"))
+    return d.select("doc_id", F.array_join("m", "|").alias("banned_phrases"), F.size("m").alias("n_banned"))
+
+
+@query("ab_assign", with_ctes("SELECT id, CASE WHEN substr(md5(cast(id as varchar)), 1, 1) < '8' THEN 'A' ELSE 'B' END AS variant FROM contacts", "contacts"))
+def q_ab_assign(spark, sf):
+    return fx.contacts(spark, sf).select("id", TX.ab_variant(F.col("id")).alias("variant"))
+
+
+@query("tone_assign", with_ctes(f"SELECT id, {_TONES_SQL}[({_HEXPOS.format(i=1)} * 16 + {_HEXPOS.format(i=2)}) % {len(K.TONES)} + 1] AS tone FROM contacts", "contacts"))
+def q_tone_assign(spark, sf):
+    return fx.contacts(spark, sf).select("id", TX.tone(F.col("id")).alias("tone"))
+
+
+@query("mask_email", with_ctes("""
+SELECT id, email, CASE WHEN email IS NULL OR email = '' THEN 'N/A' ELSE concat(substr(email, 1, 1), '***@', split_part(email, '@', 2)) END AS masked
+FROM vf""", "vf"))
+def q_mask_email(spark, sf):
+    return fx.verify_requests(spark, sf).select("id", "email", EM.mask_email(F.col("email")).alias("masked"))
+
+
+def _drafts_pair(spark, sf):
+    c = fx.contacts(spark, sf)
+    main = _render(c.filter(F.col("channel") == "main")).select("author_id", "subject", "body_html")
+    gmail = _render(c.filter(F.col("email_status") == "sent"), default_subject="Invitation").select("author_id", "subject", "body_html")
+    return main, gmail
+
+
+_DRAFT_PAIR_LOCAL = [
+    ("dmain", render_sql("(SELECT * FROM contacts WHERE channel = 'main')", fx.INVITATION_TEMPLATE)),
+    ("dgmail", render_sql("(SELECT * FROM contacts WHERE email_status = 'sent')", fx.INVITATION_TEMPLATE, "Invitation")),
+    ("drafts", """
+SELECT author_id, d.subject AS subject, d.body_html AS body_html, CASE WHEN d.p = 0 THEN 'main' ELSE 'gmail' END AS draft_channel
+FROM (SELECT author_id, min({'p': p, 'subject': subject, 'body_html': body_html}) AS d FROM (
+        SELECT author_id, 0 AS p, subject, body_html FROM dmain UNION ALL SELECT author_id, 1 AS p, subject, body_html FROM dgmail)
+      GROUP BY author_id)"""),
+]
+
+
+def _scan_drafts(spark, sf):
+    main, gmail = _drafts_pair(spark, sf)
+    return scans.scan_drafts(main, gmail)
+
+
+@query("scan_drafts", with_ctes("SELECT author_id, subject, length(body_html) AS html_chars, draft_channel FROM drafts", "contacts", local=_DRAFT_PAIR_LOCAL))
+def q_scan_drafts(spark, sf):
+    return _scan_drafts(spark, sf).select("author_id", "subject", F.length("body_html").alias("html_chars"), "draft_channel")
+
+
+@query("contact_with_draft", with_ctes("""
+SELECT c.id, c.channel, c.full_name, d.subject, d.draft_channel FROM contacts c LEFT JOIN drafts d ON c.id = d.author_id""", "contacts", local=_DRAFT_PAIR_LOCAL))
+def q_contact_with_draft(spark, sf):
+    return drafts.contact_with_draft(fx.contacts(spark, sf), _scan_drafts(spark, sf)).select("id", "channel", "full_name", "subject", "draft_channel")
+
+
+@query("approval_send_list", with_ctes("""
+SELECT c.id, c.channel, c.full_name, c.email, d.subject, length(d.body_html) AS html_chars
+FROM contacts c JOIN drafts d ON c.id = d.author_id
+WHERE c.approval_status = 'approved' AND c.email_status IN ('pending', 'pending_approval')""", "contacts", local=_DRAFT_PAIR_LOCAL))
+def q_approval_send_list(spark, sf):
+    r = drafts.approval_send_list(fx.contacts(spark, sf), _scan_drafts(spark, sf))
+    return r.select("id", "channel", "full_name", "email", "subject", F.length("body_html").alias("html_chars"))
+
+
+@query("followup_context", with_ctes(f"""
+SELECT e.id, e.channel, e.full_name, e.email, coalesce(t.n_messages, 0) AS n_messages,
+  CASE WHEN t.thread_text IS NOT NULL THEN 'smart' ELSE 'template' END AS mode,
+  CASE WHEN t.thread_text IS NOT NULL THEN '{K.DEFAULT_SMART_FOLLOWUP_SUBJECT}' ELSE concat('Re: ', coalesce(d.subject, '{K.DEFAULT_ORIGINAL_SUBJECT}')) END AS followup_subject,
+  t.thread_text
+FROM (SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
+        AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY) e
+LEFT JOIN (SELECT author_id, count(*) AS n_messages,
+             string_agg(concat('[', upper(direction), '] Subject: ', coalesce(subject, ''), chr(10) || 'Body: ', coalesce(body, ''), chr(10) || '---' || chr(10)), '' ORDER BY timestamp, seq) AS thread_text
+           FROM msgs GROUP BY author_id) t ON e.id = t.author_id
+LEFT JOIN drafts d ON e.id = d.author_id""", "contacts", "msgs", local=_DRAFT_PAIR_LOCAL))
+def q_followup_context(spark, sf):
+    el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF)
+    d = _scan_drafts(spark, sf).withColumnRenamed("subject", "invitation_subject")
+    return drafts.followup_context(el, fx.messages(spark, sf), d)
+
+
+_K3_LOCAL = [
+    ("existing", f"""SELECT author_id, subject AS invitation_subject, body_html AS invitation_body_html, body_plain AS invitation_body_plain,
+  '{{}}' AS tokens_used, c.contacted_at AS saved_at, NULL::VARCHAR AS followup_subject, NULL::VARCHAR AS followup_body_html,
+  NULL::VARCHAR AS followup_body_plain
+FROM ({render_sql("(SELECT * FROM contacts WHERE channel = 'main')", fx.INVITATION_TEMPLATE)}) r JOIN contacts c ON r.author_id = c.id"""),
+    ("inv", f"SELECT author_id, subject, body_html, body_plain FROM ({render_sql(chr(40) + 'SELECT * FROM contacts WHERE email_status = ' + chr(39) + 'sent' + chr(39) + chr(41), fx.INVITATION_TEMPLATE)})"),
+    ("fu", f"""SELECT author_id, subject, body_html, body_plain FROM ({render_sql(f'''(SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected
+  AND NOT replied AND NOT followup_sent AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY)''', fx.FOLLOWUP_TEMPLATE, K.DEFAULT_SMART_FOLLOWUP_SUBJECT)})"""),
+    ("step1", f"""
+SELECT coalesce(e.author_id, i.author_id) AS author_id,
+  CASE WHEN i.author_id IS NOT NULL THEN i.subject ELSE e.invitation_subject END AS invitation_subject,
+  CASE WHEN i.author_id IS NOT NULL THEN i.body_html ELSE e.invitation_body_html END AS invitation_body_html,
+  CASE WHEN i.author_id IS NOT NULL THEN '{{}}' ELSE e.tokens_used END AS tokens_used,
+  CASE WHEN i.author_id IS NOT NULL THEN {SQL_C_ASOF} ELSE e.saved_at END AS saved_at,
+  e.followup_subject, e.followup_body_plain
+FROM existing e FULL OUTER JOIN inv i ON e.author_id = i.author_id"""),
+]
+
+
+def _draft_rows(df, ts, prefix="invitation"):
+    return df.select("author_id", F.col("subject").alias(f"{prefix}_subject"), F.col("body_html").alias(f"{prefix}_body_html"),
+                     F.col("body_plain").alias(f"{prefix}_body_plain"), F.lit("{}").alias("tokens_used"), ts.alias("saved_at"))
+
+
+@query("upsert_drafts", with_ctes("""
+SELECT s.author_id, s.invitation_subject, length(s.invitation_body_html) AS inv_html_chars,
+  CASE WHEN f.author_id IS NOT NULL THEN f.subject ELSE s.followup_subject END AS followup_subject,
+  length(CASE WHEN f.author_id IS NOT NULL THEN f.body_plain ELSE s.followup_body_plain END) AS fu_plain_chars, s.saved_at
+FROM step1 s LEFT JOIN fu f ON s.author_id = f.author_id""", "contacts", local=_K3_LOCAL))
+def q_upsert_drafts(spark, sf):
+    c = fx.contacts(spark, sf)
+    asof = F.lit(C_ASOF).cast("timestamp_ntz")
+    main = _render(c.filter(F.col("channel") == "main")).join(c.select(F.col("id").alias("author_id"), "contacted_at"), "author_id")
+    existing = _draft_rows(main, F.col("contacted_at")).select(
+        "*", *[F.lit(None).cast("string").alias(x) for x in drafts.DRAFT_FOLLOWUP_COLS])
+    inv = _draft_rows(_render(c.filter(F.col("email_status") == "sent")), asof)
+    el = engagement.followup_eligible(c, C_ASOF)
+    fu = _draft_rows(_render(el, fx.FOLLOWUP_TEMPLATE, K.DEFAULT_SMART_FOLLOWUP_SUBJECT), asof, prefix="followup").drop("tokens_used")
+    out = drafts.upsert_drafts(existing, inv, fu)
+    return out.select("author_id", "invitation_subject", F.length("invitation_body_html").alias("inv_html_chars"), "followup_subject",
+                      F.length("followup_body_plain").alias("fu_plain_chars"), "saved_at")
