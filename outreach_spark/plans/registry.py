@@ -716,7 +716,7 @@ def q_apply_send_results(spark, sf):
     return _sent(spark, sf).select("seq", "id", "channel", "email_status", "email_sent_at", "send_error")
 
 
-@query("run_summary", with_ctes("""
+RUN_SUMMARY_SQL = """
 SELECT b.channel, b.discovered, b.valid_emails, coalesce(s.sent, 0) AS sent, coalesce(s.failed, 0) AS failed, b.skipped, b.sources,
   coalesce(e.errors, '') AS errors
 FROM (SELECT channel, count(*) AS discovered, count(*) FILTER (WHERE outcome IN ('pending_approval', 'ready')) AS valid_emails,
@@ -727,7 +727,10 @@ LEFT JOIN (SELECT channel, count(*) FILTER (WHERE email_status IN ('sent', 'dry_
 LEFT JOIN (SELECT channel, string_agg(msg, '; ' ORDER BY seq) AS errors FROM (
              SELECT channel, seq, concat('Send failed for ', full_name, ': ', coalesce(send_error, 'unknown error')) AS msg,
                     row_number() OVER (PARTITION BY channel ORDER BY seq) AS rn FROM sent WHERE email_status = 'failed') WHERE rn <= 5
-           GROUP BY channel) e ON b.channel = e.channel""", "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
+           GROUP BY channel) e ON b.channel = e.channel"""
+
+
+@query("run_summary", with_ctes(RUN_SUMMARY_SQL, "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
 def q_run_summary(spark, sf):
     return funnel.run_summary(_classified(spark, sf), _sent(spark, sf))
 
@@ -1053,3 +1056,123 @@ def q_upsert_drafts(spark, sf):
     out = drafts.upsert_drafts(existing, inv, fu)
     return out.select("author_id", "invitation_subject", F.length("invitation_body_html").alias("inv_html_chars"), "followup_subject",
                       F.length("followup_body_plain").alias("fu_plain_chars"), "saved_at")
+
+
+# ---------------------------------------------------------------- exports
+
+def _iso_sql(x: str) -> str:
+    return (f"coalesce(CASE WHEN strftime({x}, '%f') = '000000' THEN strftime({x}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({x}, '%Y-%m-%dT%H:%M:%S.%f') END, '')")
+
+
+def _pybool_sql(x: str) -> str:
+    return f"coalesce(CASE WHEN {x} THEN 'True' ELSE 'False' END, '')"
+
+
+def export_sql(channel: str) -> str:
+    title2 = "'' AS book_title_2," if channel == "gmail" else ""
+    tag = ", 'gmail' AS channel" if channel == "gmail" else ""
+    return f"""
+SELECT cast(c.id as varchar) AS author_id, coalesce(c.full_name, '') AS full_name, coalesce(c.email, '') AS email, '' AS email_source,
+  {_pybool_sql('v.is_deliverable')} AS email_verified, coalesce(v.smtp_result, '') AS verification_result,
+  array_to_string(coalesce(c.book_titles, []::VARCHAR[])[1:2], ', ') AS book_titles,
+  coalesce(substr(c.book_description, 1, {K.EXPORT_DESCRIPTION_CHARS}), '') AS book_description, {title2}
+  array_to_string(coalesce(c.genres, []::VARCHAR[]), ', ') AS genres, '' AS website_url, '' AS social_url,
+  coalesce(c.source_platform, '') AS source_platform, {_iso_sql('c.contacted_at')} AS date_collected, coalesce(c.email_status, '') AS email_status,
+  '' AS date_email_sent, '' AS email_subject_used, '{RUN_DATE}' AS run_date, {_pybool_sql('c.open_detected')} AS open_detected,
+  {_iso_sql('c.open_detected_at')} AS open_detected_at, {_pybool_sql('c.replied')} AS reply_detected,
+  {_pybool_sql('c.followup_sent')} AS followup_sent, {_iso_sql('c.followup_sent_at')} AS followup_sent_at, '' AS followup_status{tag}
+FROM (SELECT * FROM contacts WHERE channel = '{channel}') c LEFT JOIN vout v ON c.id = v.id"""
+
+
+_EXPORT_LOCAL = [("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL)]
+
+
+def _export(spark, sf, channel):
+    c = fx.contacts(spark, sf).filter(F.col("channel") == channel)
+    v = _verdicts(spark, sf).select("id", F.col("is_deliverable").alias("email_verified"), F.col("smtp_result").alias("verification_result"))
+    return export.export_contacts(c.join(v, "id", "left"), RUN_DATE, channel)
+
+
+@query("export_contacts_main", with_ctes(export_sql("main"), "vf", "mx", local=_EXPORT_LOCAL))
+def q_export_contacts_main(spark, sf):
+    return _export(spark, sf, "main")
+
+
+@query("export_contacts_gmail", with_ctes(export_sql("gmail"), "vf", "mx", local=_EXPORT_LOCAL))
+def q_export_contacts_gmail(spark, sf):
+    return _export(spark, sf, "gmail")
+
+
+@query("scan_seen_emails", with_ctes("SELECT DISTINCT email FROM exp WHERE email IS NOT NULL AND email <> ''", "vf", "mx",
+                                     local=_EXPORT_LOCAL + [("exp", export_sql("main"))]))
+def q_scan_seen_emails(spark, sf):
+    return scans.scan_seen_emails(_export(spark, sf, "main"))
+
+
+@query("export_unseen", with_ctes("""
+SELECT id, email_key FROM contacts c WHERE NOT EXISTS (SELECT 1 FROM exp WHERE nullif(lower(trim(exp.email)), '') = c.email_key)""",
+                                  "vf", "mx", local=_EXPORT_LOCAL + [("exp", export_sql("main"))]))
+def q_export_unseen(spark, sf):
+    return export.export_unseen(fx.contacts(spark, sf), _export(spark, sf, "main")).select("id", "email_key")
+
+
+_DELIVERY_STATUS_SQL = """
+SELECT author_id, CASE WHEN l.event = 'bounce' THEN 'bounced' ELSE 'dropped' END AS email_status FROM (
+  SELECT author_id, max({'ts': ts, 'event_id': event_id, 'event': event}) AS l FROM ev
+  WHERE author_id IS NOT NULL AND event IN ('bounce', 'dropped') GROUP BY author_id)"""
+
+
+@query("export_status_patch", with_ctes(f"""
+SELECT {', '.join(f'coalesce(p.{c}, x.{c}) AS {c}' if c in ('email_status', 'followup_status', 'followup_sent_at') else 'x.' + c for c in export.MAIN_EXPORT_COLUMNS)}
+FROM exp x LEFT JOIN (
+  SELECT cast(coalesce(d.author_id, f.id) as varchar) AS author_id, d.email_status, CASE WHEN f.id IS NOT NULL THEN 'sent' END AS followup_status,
+         CASE WHEN f.id IS NOT NULL THEN {_iso_sql(SQL_C_ASOF)} END AS followup_sent_at
+  FROM dstat d FULL OUTER JOIN (SELECT id FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
+        AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY) f ON d.author_id = f.id) p ON x.author_id = p.author_id""",
+                                        "vf", "mx", "ev", local=_EXPORT_LOCAL + [("exp", export_sql("main")), ("dstat", _DELIVERY_STATUS_SQL)]))
+def q_export_status_patch(spark, sf):
+    """K8: bounce / dropped statuses from the event feed and follow-up sends patched into the main export."""
+    d = engagement.delivery_status(fx.delivery_events(spark, sf)).select(F.col("author_id").cast("string").alias("author_id"), "email_status")
+    el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF).select(
+        F.col("id").cast("string").alias("author_id"), F.lit("sent").alias("followup_status"),
+        export.iso(F.lit(C_ASOF).cast("timestamp_ntz")).alias("followup_sent_at"))
+    patches = d.join(el, "author_id", "full_outer")
+    return export.export_status_patch(_export(spark, sf, "main"), patches)
+
+
+@query("export_reply_patch", with_ctes(f"""
+SELECT {', '.join("CASE WHEN r.k IS NOT NULL OR i.id IS NOT NULL THEN 'True' ELSE x.reply_detected END AS reply_detected" if c == 'reply_detected' else 'x.' + c for c in export.MAIN_EXPORT_COLUMNS)}
+FROM exp x
+LEFT JOIN (SELECT DISTINCT nullif(lower(trim(sender)), '') AS k FROM inbound) r ON nullif(lower(trim(x.email)), '') = r.k
+LEFT JOIN (SELECT DISTINCT cast(author_id as varchar) AS id FROM ev WHERE event = 'reply') i ON x.author_id = i.id""",
+                                       "vf", "mx", "ev", "inbound", local=_EXPORT_LOCAL + [("exp", export_sql("main"))]))
+def q_export_reply_patch(spark, sf):
+    """K9: replies matched by sender address (inbound mail) or by id (reply events)."""
+    r = ST.parse_inbound(fx.inbound_replies(spark, sf)).select(EM.email_key(F.col("sender")).alias("email_key"))
+    ids = fx.delivery_events(spark, sf).filter(F.col("event") == "reply").select(F.col("author_id").alias("id"))
+    return export.export_reply_patch(_export(spark, sf, "main"), r, ids)
+
+
+@query("export_daily_summary", with_ctes(f"""
+SELECT '{RUN_DATE}' AS date, rs.channel, rs.discovered, rs.valid_emails, rs.sent, rs.failed, rs.skipped,
+  coalesce(fs.sent, 0) AS followups_sent, st.opens, st.replies, rs.sources, round(cost.c, 6) AS cost,
+  CASE WHEN rs.errors = '' THEN '' ELSE array_to_string(string_split(rs.errors, '; ')[1:5], '; ') END AS errors
+FROM rsum rs
+LEFT JOIN (SELECT channel, count(*) FILTER (WHERE lead_score > 0) AS sent FROM elig GROUP BY channel) fs ON rs.channel = fs.channel
+LEFT JOIN (SELECT channel, count(*) FILTER (WHERE open_detected) AS opens, count(*) FILTER (WHERE replied) AS replies FROM contacts GROUP BY channel) st
+  ON rs.channel = st.channel,
+(SELECT (CAST(sum(n_chars) AS BIGINT) * 0.59 + CAST(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))) AS BIGINT) * 0.79) / 1e6 AS c FROM documents) cost""",
+                                         "vf", "contacts", "mx", local=RUN_LOCAL_SENT + [("rsum", RUN_SUMMARY_SQL), ("elig", f"""
+SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
+  AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY""")]))
+def q_export_daily_summary(spark, sf):
+    c = fx.contacts(spark, sf)
+    rs = funnel.run_summary(_classified(spark, sf), _sent(spark, sf))
+    el = engagement.followup_eligible(c, C_ASOF)
+    fsum = funnel.followup_summary(el, _followup_results(el)).select("channel", F.col("sent").alias("followups_sent"))
+    st = c.groupBy("channel").agg(F.count_if("open_detected").alias("opens"), F.count_if("replied").alias("replies"))
+    cost = metrics.llm_cost(_usage(spark, sf)).select("cost_usd").scalar()
+    s = rs.join(fsum, "channel", "left").join(st, "channel", "left").select(
+        "*", F.coalesce("followups_sent", F.lit(0).cast("bigint")).alias("_fs"), cost.alias("cost")).drop("followups_sent").withColumnRenamed("_fs", "followups_sent")
+    return export.export_daily_summary(s, RUN_DATE)
