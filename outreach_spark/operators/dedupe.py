@@ -75,8 +75,8 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     """
     cols = [f.name for f in SC.CONTACTS.fields]
     old = existing.select(*cols).withColumn("_v", F.lit(0).cast("bigint"))
-    new = incoming.select(*cols).withColumn("_v", F.col(order_col).cast("bigint") + 1) if order_col in incoming.columns \
-        else incoming.select(*cols).withColumn("_v", F.lit(1).cast("bigint"))
+    order = F.col(order_col).cast("bigint") + 1 if order_col in incoming.columns else F.lit(1).cast("bigint")
+    new = incoming.select(*cols, order.alias("_v"))
     allrows = old.unionByName(new)
     last_by_id = allrows.groupBy("id").agg(F.max("_v").alias("_vid"))
     last_by_email = allrows.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.max("_v").alias("_vem"))

@@ -1176,3 +1176,186 @@ def q_export_daily_summary(spark, sf):
     s = rs.join(fsum, "channel", "left").join(st, "channel", "left").select(
         "*", F.coalesce("followups_sent", F.lit(0).cast("bigint")).alias("_fs"), cost.alias("cost")).drop("followups_sent").withColumnRenamed("_fs", "followups_sent")
     return export.export_daily_summary(s, RUN_DATE)
+
+
+# ---------------------------------------------------------------- keyed writes
+
+_ENG = ["open_detected", "open_detected_at", "replied", "reply_sentiment", "followup_sent", "followup_sent_at", "lead_score"]
+_K1_COLS = ["channel", "id", "full_name", "email", "email_key", "contacted_at", "email_status", "approval_status"] + _ENG
+
+
+def _k1_inputs(spark, sf):
+    c = fx.contacts(spark, sf)
+    before = F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz")
+    existing = dedupe.first_per_email(c.filter(before), ["contacted_at", "id"])
+    new_attempts = c.filter(~before).withColumn("seq", F.col("id"))
+    # approvals re-inserted by id with the application's defaults for the engagement columns (applied last)
+    approvals = existing.filter(F.col("approval_status") == "pending").select(
+        *[F.lit(False).alias(x) if x in ("open_detected", "replied", "followup_sent") else
+          F.lit(0).cast("bigint").alias(x) if x == "lead_score" else
+          F.lit(None).cast("timestamp_ntz").alias(x) if x.endswith("_at") and x != "contacted_at" else
+          F.lit(None).cast("string").alias(x) if x == "reply_sentiment" else
+          F.lit("approved").alias(x) if x == "approval_status" else F.col(x)
+          for x in existing.columns],
+        (F.lit(10 ** 12) + F.col("id")).alias("seq"))
+    return existing, new_attempts.unionByName(approvals)
+
+
+@query("upsert_contacts", with_ctes(f"""
+SELECT {', '.join(f'CASE WHEN s.v > 0 AND o.id IS NOT NULL THEN o.{x} ELSE s.{x} END AS {x}' if x in _ENG else 's.' + x for x in _K1_COLS)}
+FROM (SELECT *, max(v) OVER (PARTITION BY id) AS vid, max(v) OVER (PARTITION BY email_key) AS vem FROM allrows) s
+LEFT JOIN existing o ON s.id = o.id
+WHERE s.v = s.vid AND (s.email_key IS NULL OR s.v = s.vem)""", "contacts", local=[
+    ("existing", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email_key ORDER BY contacted_at, id) AS rn FROM contacts
+                    WHERE contacted_at < {SQL_CUTOFF} AND email_key IS NOT NULL) WHERE rn = 1"""),
+    ("allrows", f"""
+SELECT {', '.join(_K1_COLS)}, 0 AS v FROM existing
+UNION ALL SELECT {', '.join(_K1_COLS)}, id + 1 AS v FROM contacts WHERE contacted_at >= {SQL_CUTOFF}
+UNION ALL SELECT channel, id, full_name, email, email_key, contacted_at, email_status, 'approved' AS approval_status, false, NULL::TIMESTAMP,
+  false, NULL::VARCHAR, false, NULL::TIMESTAMP, CAST(0 AS BIGINT), 1000000000000 + id + 1 AS v FROM existing WHERE approval_status = 'pending'""")]))
+def q_upsert_contacts(spark, sf):
+    existing, incoming = _k1_inputs(spark, sf)
+    return dedupe.upsert_contacts(existing, incoming).select(*_K1_COLS)
+
+
+def _logs(spark, sf, until: str | None = None):
+    ev = fx.delivery_events(spark, sf)
+    if until:
+        ev = ev.filter(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+    return ST.stream_logs(ST.route_events(ev))
+
+
+_LOGS_SQL = """
+SELECT ts AS timestamp, CASE WHEN action = 'log_warning' THEN 'WARNING' ELSE 'INFO' END AS level, 'WEBHOOK' AS category,
+  CASE WHEN action = 'mark_open_and_score' THEN concat('Email opened by author ', cast(author_id as varchar), CASE WHEN source = 'gmail' THEN ' (Gmail)' ELSE '' END)
+       WHEN action = 'score' THEN concat('Link clicked by author ', cast(author_id as varchar), CASE WHEN source = 'gmail' THEN ' (Gmail)' ELSE '' END)
+       ELSE concat('Email ', event, ' for ', coalesce(cast(author_id as varchar), 'unknown')) END AS message,
+  NULL::VARCHAR AS details, concat('event:', cast(event_id as varchar)) AS log_key
+FROM routed"""
+
+_ROUTED_SQL = """
+SELECT event_id, ts, author_id, source, event,
+  CASE WHEN event = 'open' AND author_id IS NOT NULL THEN 'mark_open_and_score'
+       WHEN event = 'click' AND author_id IS NOT NULL THEN 'score'
+       WHEN event IN ('bounce', 'dropped') THEN 'log_warning' END AS action,
+  CASE WHEN event = 'open' THEN 1 WHEN event = 'click' THEN 5 ELSE 0 END AS points
+FROM ev WHERE (event = 'open' AND author_id IS NOT NULL) OR (event = 'click' AND author_id IS NOT NULL) OR event IN ('bounce', 'dropped')"""
+
+
+@query("append_logs", with_ctes("SELECT timestamp, level, category, message, log_key FROM logs", "ev", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
+def q_append_logs(spark, sf):
+    """K4: the log table after appending a full replay onto the logs of the first two weeks (no duplicates)."""
+    from ..operators.state import append_new
+
+    existing = _logs(spark, sf, "2024-01-15 00:00:00")
+    return existing.unionByName(append_new(existing, _logs(spark, sf), "log_key")).select("timestamp", "level", "category", "message", "log_key")
+
+
+@query("scan_logs", with_ctes(f"SELECT timestamp, level, category, message, log_key FROM logs ORDER BY timestamp DESC, log_key DESC LIMIT {K.SYSTEM_LOG_SIZE}",
+                              "ev", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
+def q_scan_logs(spark, sf):
+    return scans.scan_logs(_logs(spark, sf), K.SYSTEM_LOG_SIZE).select("timestamp", "level", "category", "message", "log_key")
+
+
+@query("append_messages", with_ctes("""
+SELECT msg_id, author_id, email, direction, subject FROM (
+  SELECT msg_id, author_id, NULL::VARCHAR AS email, direction, subject FROM msgs
+  UNION ALL
+  SELECT DISTINCT concat('in-', i.msg_id) AS msg_id, NULL::BIGINT AS author_id, nullif(lower(trim(i.sender)), '') AS email, 'incoming' AS direction,
+    'Re: Invitation' AS subject
+  FROM inbound i WHERE EXISTS (SELECT 1 FROM contacts c WHERE c.email_key = nullif(lower(trim(i.sender)), '')))""", "msgs", "inbound", "contacts"))
+def q_append_messages(spark, sf):
+    """K5: conversation rows plus inbound replies from known senders, appended twice (a replay) and kept once."""
+    from ..operators.state import append_new
+
+    existing = fx.messages(spark, sf).select("msg_id", "author_id", F.lit(None).cast("string").alias("email"), "direction", "subject")
+    rep = ST.stream_replies(fx.inbound_replies(spark, sf), fx.contacts(spark, sf)).select(
+        F.concat(F.lit("in-"), F.col("msg_id")).alias("msg_id"), F.lit(None).cast("bigint").alias("author_id"),
+        F.col("email_key").alias("email"), "direction", "subject")
+    return existing.unionByName(append_new(existing, rep.unionByName(rep), "msg_id"))
+
+
+# ---------------------------------------------------------------- streams as batch
+
+def _ntz(df, col="ts"):
+    return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
+
+
+@query("stream_delivery_events", with_ctes("SELECT event_id, ts, author_id, NULL::VARCHAR AS email, event, source FROM ev", "ev"))
+def q_stream_delivery_events(spark, sf):
+    return _ntz(ST.parse_delivery_payloads(fx.delivery_payloads(spark, sf)))
+
+
+@query("stream_tracking_hits", with_ctes("""
+SELECT event_id, ts, author_id, source, event, NULL::VARCHAR AS target_url FROM ev WHERE event IN ('open', 'click')""", "ev"))
+def q_stream_tracking_hits(spark, sf):
+    return ST.parse_tracking_hits(fx.tracking_hits(spark, sf))
+
+
+@query("stream_inbound_messages", with_ctes("SELECT msg_id, ts, sender, body, sentiment FROM inbound", "inbound"))
+def q_stream_inbound_messages(spark, sf):
+    return ST.parse_inbound(fx.inbound_replies(spark, sf))
+
+
+@query("sender_address", with_ctes("""
+SELECT msg_id, from_header, nullif(lower(trim(CASE WHEN contains(from_header, '<') THEN regexp_extract(from_header, '<([^>]*)>?', 1) ELSE from_header END)), '') AS sender
+FROM rp""", "rp"))
+def q_sender_address(spark, sf):
+    return fx.inbound_replies(spark, sf).select("msg_id", "from_header", EM.sender_address(F.col("from_header")).alias("sender"))
+
+
+@query("normalise_sentiment", with_ctes("""
+SELECT r.msg_id, r.model_output, i.sentiment FROM rp r JOIN inbound i ON r.msg_id = i.msg_id""", "inbound"))
+def q_normalise_sentiment(spark, sf):
+    return fx.inbound_replies(spark, sf).select("msg_id", "model_output", TX.normalise_sentiment(F.col("model_output")).alias("sentiment"))
+
+
+@query("stream_route_events", with_ctes("SELECT * FROM routed", "ev", local=[("routed", _ROUTED_SQL)]))
+def q_stream_route_events(spark, sf):
+    return ST.route_events(fx.delivery_events(spark, sf))
+
+
+@query("stream_lead_scores", with_ctes("""
+SELECT author_id, source, CAST(sum(CASE WHEN event = 'open' THEN 1 WHEN event = 'click' THEN 5 ELSE 0 END) AS BIGINT) AS lead_score
+FROM ev WHERE author_id IS NOT NULL AND event IN ('open', 'click') GROUP BY author_id, source""", "ev"))
+def q_stream_lead_scores(spark, sf):
+    return ST.stream_lead_scores(fx.delivery_events(spark, sf))
+
+
+@query("stream_open_state", with_ctes("""
+SELECT author_id, true AS open_detected, max(ts) AS open_detected_at FROM ev WHERE author_id IS NOT NULL AND event = 'open' GROUP BY author_id""", "ev"))
+def q_stream_open_state(spark, sf):
+    return ST.stream_open_state(fx.delivery_events(spark, sf))
+
+
+@query("stream_replies", with_ctes("""
+SELECT i.msg_id, i.ts, k.email_key, k.channel, i.sentiment, 'incoming' AS direction, 'Re: Invitation' AS subject, i.body,
+  concat('Reply received from: ', k.email_key, ' (Sentiment: ', i.sentiment, ')') AS log_message
+FROM inbound i JOIN (SELECT DISTINCT email_key, channel FROM contacts WHERE email_key IS NOT NULL) k ON nullif(lower(trim(i.sender)), '') = k.email_key""",
+                                   "inbound", "contacts"))
+def q_stream_replies(spark, sf):
+    return ST.stream_replies(fx.inbound_replies(spark, sf), fx.contacts(spark, sf))
+
+
+@query("reply_lookback", with_ctes(f"""
+SELECT msg_id, ts, sender, sentiment FROM inbound WHERE CAST(ts AS DATE) >= CAST({SQL_E_ASOF} AS DATE) - INTERVAL {K.REPLY_LOOKBACK_DAYS} DAY""", "inbound"))
+def q_reply_lookback(spark, sf):
+    return ST.reply_lookback(ST.parse_inbound(fx.inbound_replies(spark, sf)), E_ASOF).select("msg_id", "ts", "sender", "sentiment")
+
+
+@query("stream_event_dedup", with_ctes("SELECT event_id, ts, author_id, event, source FROM ev", "ev"))
+def q_stream_event_dedup(spark, sf):
+    """The feed with every click delivered twice; the de-duplicated feed equals the original."""
+    ev = fx.delivery_events(spark, sf)
+    replayed = ev.unionByName(ev.filter(F.col("event") == "click"))
+    return ST.stream_event_dedup(replayed).select("event_id", "ts", "author_id", "event", "source")
+
+
+@query("stream_daily_counts", with_ctes("SELECT CAST(ts AS DATE) AS day, event, count(*) AS events FROM ev GROUP BY 1, 2", "ev"))
+def q_stream_daily_counts(spark, sf):
+    return ST.stream_daily_counts(ST.as_event_time(fx.delivery_events(spark, sf)))
+
+
+@query("stream_logs", with_ctes("SELECT * FROM logs", "ev", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
+def q_stream_logs(spark, sf):
+    return _logs(spark, sf)

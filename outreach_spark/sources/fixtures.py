@@ -212,7 +212,8 @@ def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) ->
         ev.groupBy(F.floor(F.col("event_id") / batch_size).alias("post_id"))
         .agg(F.to_json(F.collect_list(F.struct(
             "event_id", F.col("ts").cast("timestamp").alias("ts"), "author_id",
-            F.lit(None).cast("string").alias("email"), "event", "source"))).alias("body"))
+            F.lit(None).cast("string").alias("email"), "event", "source")),
+            {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("body"))
     )
 
 

@@ -17,9 +17,13 @@ def as_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def parse_delivery_payloads(df: DataFrame, body_col: str = "body") -> DataFrame:
+ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
+
+
+def parse_delivery_payloads(df: DataFrame, body_col: str = "body", timestamp_format: str = ISO_MICROS) -> DataFrame:
     """Webhook bodies (JSON arrays of events) -> one row per event; malformed bodies give no rows."""
-    return df.select(F.explode(F.from_json(F.col(body_col), SC.DELIVERY_PAYLOAD)).alias("e")).select("e.*")
+    parsed = F.from_json(F.col(body_col), SC.DELIVERY_PAYLOAD, {"timestampFormat": timestamp_format})
+    return df.select(F.explode(parsed).alias("e")).select("e.*")
 
 
 def _q(url: Column, key: str) -> Column:
