@@ -34,16 +34,33 @@ def name_from_title(title: str | Column) -> Column:
     return F.trim(F.split_part(base, F.lit("|"), F.lit(1)))
 
 
-def matched_phrases(text: str | Column, phrases: list[str] = K.BANNED_PHRASES) -> Column:
-    """The phrases (in list order) that occur case-insensitively in the text."""
+def _phrase_hits(text: str | Column, phrases: list[str]) -> list[Column]:
     low = F.lower(F.coalesce(_c(text), F.lit("")))
-    arr = F.array(*[F.lit(p) for p in phrases])
-    return F.filter(arr, lambda p: F.contains(low, F.lower(p)))
+    return [F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in phrases]
+
+
+def matched_phrases_text(text: str | Column, phrases: list[str] = K.BANNED_PHRASES, sep: str = "|") -> Column:
+    """The phrases (in list order) that occur case-insensitively in the text, joined by ``sep``.
+
+    One ``contains`` per fixed phrase under ``concat_ws`` (which skips the NULLs of non-matches): no
+    lambda, so the test stays in generated code and ``lower(text)`` is computed once per row.
+    """
+    return F.concat_ws(sep, *_phrase_hits(text, phrases))
+
+
+def matched_phrase_count(text: str | Column, phrases: list[str] = K.BANNED_PHRASES) -> Column:
+    return sum((F.when(h.isNotNull(), 1).otherwise(0) for h in _phrase_hits(text, phrases)), F.lit(0))
+
+
+def matched_phrases(text: str | Column, phrases: list[str] = K.BANNED_PHRASES) -> Column:
+    """P14 as an array (for callers that need one; the text form is cheaper)."""
+    joined = matched_phrases_text(text, phrases, "\u0001")
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
 
 
 def word_count(text: str | Column) -> Column:
-    """Number of whitespace-separated words."""
-    return F.size(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"[^ \t\n\r\f]+"), 0))
+    """Number of whitespace-separated words (runs of non-whitespace), counted without building an array."""
+    return F.regexp_count(F.coalesce(_c(text), F.lit("")), F.lit(r"[^ \t\n\r\f]+"))
 
 
 TOKEN_PATTERN = r"\{\{([A-Z_]+)\}\}"
@@ -62,19 +79,25 @@ def fill_template(template: str | Column, tokens: dict[str, Column]) -> Column:
     return out
 
 
+def _split_first_line(text: str | Column):
+    t = strip_ws(F.coalesce(_c(text), F.lit("")))
+    nl = F.instr(t, "\n")
+    first = F.when(nl > 0, F.substring(t, F.lit(1), nl - 1)).otherwise(t)
+    rest = F.when(nl > 0, F.substr(t, nl + 1)).otherwise(F.lit(""))
+    has_subject = F.upper(F.substring(t, 1, 8)) == F.lit("SUBJECT:")
+    return t, first, rest, has_subject
+
+
 def draft_subject(text: str | Column, default: str) -> Column:
     """Subject from a first line starting with 'SUBJECT:' (any case), else the default."""
-    t = strip_ws(F.coalesce(_c(text), F.lit("")))
-    first = F.split_part(t, F.lit("\n"), F.lit(1))
-    return F.when(F.upper(first).startswith("SUBJECT:"), strip_ws(F.substring(first, 9, 1 << 30))).otherwise(F.lit(default))
+    _, first, _, has_subject = _split_first_line(text)
+    return F.when(has_subject, strip_ws(F.substr(first, F.lit(9)))).otherwise(F.lit(default))
 
 
 def draft_body(text: str | Column) -> Column:
-    """The text after a 'SUBJECT:' first line (or the whole text), trimmed."""
-    t = strip_ws(F.coalesce(_c(text), F.lit("")))
-    first = F.split_part(t, F.lit("\n"), F.lit(1))
-    rest = F.when(F.instr(t, "\n") > 0, F.substr(t, F.instr(t, "\n") + 1)).otherwise(F.lit(""))
-    return strip_ws(F.when(F.upper(first).startswith("SUBJECT:"), rest).otherwise(t))
+    """The text after a 'SUBJECT:' first line (or the whole text), whitespace-stripped."""
+    t, _, rest, has_subject = _split_first_line(text)
+    return strip_ws(F.when(has_subject, rest).otherwise(t))
 
 
 def paragraphs_html(body: str | Column) -> Column:
@@ -120,9 +143,9 @@ def tone(key: str | Column, salt: str = "tone") -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in K.TONES]), (bucket + 1).cast("int"))
 
 
-WS = "[ \\t\\n\\r\\f]"
+WS_CHARS = " \t\n\r\f"
 
 
 def strip_ws(c: str | Column) -> Column:
     """Remove leading and trailing whitespace (space, tab, newline, carriage return, form feed)."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    return F.trim(_c(c), F.lit(WS_CHARS))

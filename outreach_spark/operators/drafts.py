@@ -47,7 +47,7 @@ def render_drafts(contacts: DataFrame, template: str, run_date: str, tracking_ba
         html = TX.add_tracking_pixel(html, pixel)
     return d.select(
         F.col("id").alias("author_id"), "channel", "subject", "body_plain", html.alias("body_html"),
-        F.array_join(TX.matched_phrases(F.concat_ws("\n", F.col("subject"), F.col("body_plain"))), "|").alias("banned_phrases"),
+        TX.matched_phrases_text(F.concat_ws("\n", F.col("subject"), F.col("body_plain"))).alias("banned_phrases"),
         F.array_join(TX.unfilled_tokens(F.col("body_plain")), "|").alias("unfilled_tokens"),
         TX.word_count(F.col("body_plain")).alias("word_count"),
         TX.ab_variant(F.col("id")).alias("ab_variant"),

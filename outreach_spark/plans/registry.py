@@ -934,8 +934,9 @@ def q_word_count(spark, sf):
 SELECT doc_id, array_to_string(m, '|') AS banned_phrases, CAST(len(m) AS INTEGER) AS n_banned
 FROM (SELECT doc_id, list_filter({_PHRASES_SQL}, lambda p: contains(lower(coalesce(text, '')), lower(p))) AS m FROM documents)""")
 def q_banned_phrases(spark, sf):
-    d = fx.read(spark, sf, "documents").select("doc_id", TX.matched_phrases(F.col("text")).alias("m"))
-    return d.select("doc_id", F.array_join("m", "|").alias("banned_phrases"), F.size("m").alias("n_banned"))
+    d = fx.read(spark, sf, "documents")
+    return d.select("doc_id", TX.matched_phrases_text(F.col("text")).alias("banned_phrases"),
+                    TX.matched_phrase_count(F.col("text")).alias("n_banned"))
 
 
 @query("ab_assign", with_ctes("SELECT id, CASE WHEN substr(md5(cast(id as varchar)), 1, 1) < '8' THEN 'A' ELSE 'B' END AS variant FROM contacts", "contacts"))

@@ -21,8 +21,30 @@ EVENTS_AS_OF = "2024-01-31 00:00:00"
 RUN_CUTOFF = "1998-01-01 00:00:00"
 
 
+# primary key of each fact / text table (used to spread a scan that has fewer splits than cores);
+# lookup tables (customer, supplier, nation, region) are joined as they are
+TABLE_KEYS = {
+    "orders": ["o_orderkey"], "part": ["p_partkey"], "events": ["event_id"], "documents": ["doc_id"],
+    "pages": ["page_id"], "conversations": ["conv_id", "turn"], "lineitem": ["l_orderkey", "l_linenumber"],
+}
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-repartition a scan on its key when it has fewer splits than the cluster has cores.
+
+    Large inputs (many files / row groups) already scan in parallel and are returned unchanged;
+    a one-split input would otherwise run all per-row work of the next stages in one task.
+    Hash placement on the key is deterministic, so a retried task sees the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TABLE_KEYS[name]) if name in TABLE_KEYS else df
 
 
 def _ts(s: str):
