@@ -81,20 +81,27 @@ def daily_send_cap(sends: DataFrame, ts_col: str = "contacted_at", caps: dict =
     return cap_per_group(s, ["channel", "day"], [F.col(ts_col).asc(), F.col(order_col).asc()], cap_rows, max(caps.values()))
 
 
-def classify_candidates(candidates: DataFrame, contacts: DataFrame, verdicts: DataFrame,
+def classify_candidates(candidates: DataFrame, contacts: DataFrame, verdicts: DataFrame | None = None,
                         approval_required: bool = False, scope: str = "both", verdict_key: str = "email_key") -> DataFrame:
     """Outcome per candidate (the funnel flagship).
 
     no_email -> already_contacted (seen in ``scope`` of ``contacts``, or a later duplicate within the
     run whose first occurrence went on) -> undeliverable -> pending_approval | ready.
-    ``verdicts`` has one row per ``verdict_key`` (email_key, or the candidate id) with smtp_result, is_deliverable.
+
+    Verdict columns (smtp_result, is_deliverable) are either already on the candidate rows (the
+    output of ``verify_emails``) or joined from ``verdicts`` on ``verdict_key``. "Seen before" and
+    "first in this run" come from ONE aggregation over (previous addresses UNION run addresses), so a
+    hot address is combined map-side and joined back once.
     """
     c = candidates.withColumn("email_key", email_key(F.col("email")))
+    if verdicts is not None:
+        c = c.join(verdicts.select(verdict_key, "smtp_result", "is_deliverable"), verdict_key, "left")
     seen = contacts if scope == "both" else contacts.filter(F.col("channel") == scope)
-    seen = seen.select("email_key").filter(F.col("email_key").isNotNull()).distinct().withColumn("_seen", F.lit(True))
-    first = c.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.min("seq").alias("_first_seq"))
-    v = verdicts.select(verdict_key, "smtp_result", "is_deliverable")
-    j = c.join(seen, "email_key", "left").join(first, "email_key", "left").join(v, verdict_key, "left")
+    keys = seen.select("email_key", F.lit(True).alias("_seen"), F.lit(None).cast("bigint").alias("_seq")).unionByName(
+        c.select("email_key", F.lit(False).alias("_seen"), F.col("seq").cast("bigint").alias("_seq")))
+    stats = keys.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(
+        F.max("_seen").alias("_seen"), F.min("_seq").alias("_first_seq"))
+    j = c.join(stats, "email_key", "left")
     deliverable = F.coalesce(F.col("is_deliverable"), F.lit(False))
     outcome = (
         F.when(F.col("email_key").isNull(), "no_email")

@@ -691,14 +691,14 @@ def _run_existing(spark, sf):
 
 
 def _classified(spark, sf, approval_required=False):
-    cand = fx.run_candidates(spark, sf)
-    verdicts = verify.verify_emails(cand, fx.mx_records(spark, sf))
-    return funnel.classify_candidates(cand, _run_existing(spark, sf), verdicts, approval_required=approval_required, verdict_key="id")
+    verified = verify.verify_emails(fx.run_candidates(spark, sf), fx.mx_records(spark, sf))
+    return funnel.classify_candidates(verified, _run_existing(spark, sf), approval_required=approval_required)
 
 
-def _sent(spark, sf):
-    cl = _classified(spark, sf)
-    return funnel.apply_send_results(cl.filter(F.col("outcome") == "ready"), fx.send_results(fx.run_candidates(spark, sf)))
+def _sent(spark, sf, classified=None):
+    cl = _classified(spark, sf) if classified is None else classified
+    ready = cl.filter(F.col("outcome") == "ready")
+    return funnel.apply_send_results(ready, fx.send_results(ready))
 
 
 @query("classify_candidates", with_ctes("SELECT seq, id, channel, email_key, smtp_result, outcome FROM classified", "vf", "contacts", "mx", local=RUN_LOCAL))
@@ -732,7 +732,8 @@ LEFT JOIN (SELECT channel, string_agg(msg, '; ' ORDER BY seq) AS errors FROM (
 
 @query("run_summary", with_ctes(RUN_SUMMARY_SQL, "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
 def q_run_summary(spark, sf):
-    return funnel.run_summary(_classified(spark, sf), _sent(spark, sf))
+    cl = _classified(spark, sf)
+    return funnel.run_summary(cl, _sent(spark, sf, cl))
 
 
 @query("warmup_cap", with_ctes(f"""
@@ -1169,7 +1170,8 @@ SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT rep
   AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY""")]))
 def q_export_daily_summary(spark, sf):
     c = fx.contacts(spark, sf)
-    rs = funnel.run_summary(_classified(spark, sf), _sent(spark, sf))
+    cl = _classified(spark, sf)
+    rs = funnel.run_summary(cl, _sent(spark, sf, cl))
     el = engagement.followup_eligible(c, C_ASOF)
     fsum = funnel.followup_summary(el, _followup_results(el)).select("channel", F.col("sent").alias("followups_sent"))
     st = c.groupBy("channel").agg(F.count_if("open_detected").alias("opens"), F.count_if("replied").alias("replies"))

@@ -29,28 +29,76 @@ TABLE_KEYS = {
 }
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-repartition a scan on its key when it has fewer splits than the cluster has cores.
+_SIZES: dict[str, int] = {}
 
-    Large inputs (many files / row groups) already scan in parallel and are returned unchanged;
-    a one-split input would otherwise run all per-row work of the next stages in one task.
-    Hash placement on the key is deterministic, so a retried task sees the same rows.
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total bytes under ``path`` (one file-system call, remembered per path for the session)."""
+    if path not in _SIZES:
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        _SIZES[path] = int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+    return _SIZES[path]
+
+
+def spread(df: DataFrame, keys: list[str], size_bytes: int) -> DataFrame:
+    """Hash-repartition a scan on its key when it yields fewer splits than the cluster has cores.
+
+    Expected splits = size / spark.sql.files.maxPartitionBytes. Large inputs already scan in
+    parallel and are returned unchanged; a one-split input would otherwise run all per-row work of
+    the next stages in one task. Hash placement on the key is deterministic, so a retried task sees
+    the same rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
+    if size_bytes // max(split, 1) + 1 >= cores:
         return df
     return df.repartition(cores, *keys)
 
 
+# declared schemas of the landed tables: reads skip footer-based schema inference
+LANDED_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _memo(fn):
+    """Memoise an adapter per (session, directory): DataFrames are immutable lazy plans, so reusing the
+    object only saves re-building and re-analysing the same plan; nothing is computed or cached."""
+    memo: dict = {}
+
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), args)
+        if key not in memo:
+            memo[key] = fn(spark, sf_dir, *args)
+        return memo[key]
+
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__name__ = fn.__name__
+    return wrapper
+
+
+@_memo
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, TABLE_KEYS[name]) if name in TABLE_KEYS else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    reader = spark.read.schema(LANDED_SCHEMAS[name]) if name in LANDED_SCHEMAS else spark.read
+    df = reader.parquet(path)
+    return spread(df, TABLE_KEYS[name], input_bytes(spark, path)) if name in TABLE_KEYS else df
 
 
 def _ts(s: str):
     return F.lit(s).cast("timestamp_ntz")
 
 
+@_memo
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contact attempt: orders joined to customer (the driver's shapes for the funnel table)."""
     o = read(spark, sf_dir, "orders")
@@ -117,6 +165,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery / tracking events: view -> open, click, error -> bounce, purchase -> reply; signup is not a delivery event."""
     e = read(spark, sf_dir, "events")
@@ -131,6 +180,7 @@ def delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def inbound_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbound replies: purchase events of a contact, with a From header and the model's raw label text."""
     e = read(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
@@ -149,6 +199,7 @@ def inbound_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def mx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed MX records per domain (domain mail3 has none; exchanges end in a dot)."""
     s = read(spark, sf_dir, "supplier")
@@ -159,20 +210,29 @@ def mx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses to verify with their landed SMTP probe code (NULL = connection blocked)."""
-    c = contacts(spark, sf_dir)
+def _request_email():
     i = F.col("id")
-    email = (
+    return (
         F.when(F.col("email").like("customer.00000000%"),
                F.concat(F.lit("info@mail"), (i % 10).cast("string"), F.lit(".example.com")))
         .when(i % 50 == 0, F.replace(F.col("email"), F.lit("@"), F.lit(".at.")))
         .otherwise(F.col("email"))
     )
-    code = F.when(i % 5 == 0, 550).when(i % 5 == 1, 450).when(i % 5 == 2, F.lit(None)).otherwise(250)
-    return c.select("id", "channel", "full_name", "contacted_at", email.alias("email"), code.cast("int").alias("probe_code"))
 
 
+def _probe_code():
+    i = F.col("id")
+    return F.when(i % 5 == 0, 550).when(i % 5 == 1, 450).when(i % 5 == 2, F.lit(None)).otherwise(250).cast("int")
+
+
+@_memo
+def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses to verify with their landed SMTP probe code (NULL = connection blocked)."""
+    c = contacts(spark, sf_dir)
+    return c.select("id", "channel", "full_name", "contacted_at", _request_email().alias("email"), _probe_code().alias("probe_code"))
+
+
+@_memo
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation rows: system turns dropped; user = incoming, assistant = outgoing; ordered by turn."""
     cv = read(spark, sf_dir, "conversations").filter(F.col("role") != "system")
@@ -188,6 +248,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed search hits from the pages: query = page language + top-level domain, display url without http://."""
     p = read(spark, sf_dir, "pages")
@@ -203,6 +264,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Landed catalogue API responses, one JSON document per part row (authors empty when p_size % 10 = 0)."""
     p = read(spark, sf_dir, "part")
@@ -227,6 +289,7 @@ def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame
     return p.select(F.col("p_partkey").alias("response_id"), F.to_json(doc).alias("payload"))
 
 
+@_memo
 def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) -> DataFrame:
     """Webhook bodies: JSON arrays of at most ``batch_size`` consecutive delivery events."""
     ev = delivery_events(spark, sf_dir)
@@ -239,6 +302,7 @@ def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) ->
     )
 
 
+@_memo
 def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel / redirect hits as request URLs; the source parameter is present only for gmail contacts."""
     ev = delivery_events(spark, sf_dir).filter(F.col("event").isin("open", "click"))
@@ -249,14 +313,15 @@ def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", "ts", url.alias("request_url"))
 
 
+@_memo
 def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a run: the verification requests of contacts on or after the run cutoff, in id order
     (seq), with their titles; no address was found for every 17th id."""
-    v = verify_requests(spark, sf_dir).filter(F.col("contacted_at") >= _ts(RUN_CUTOFF))
-    c = contacts(spark, sf_dir).select("id", "source_platform", "book_titles")
-    return v.join(c, "id").select(
+    c = contacts(spark, sf_dir).filter(F.col("contacted_at") >= _ts(RUN_CUTOFF))
+    return c.select(
         F.col("id").alias("seq"), "id", "channel", "full_name", "source_platform", "book_titles", "contacted_at",
-        F.when(F.col("id") % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("email")).alias("email"), "probe_code")
+        F.when(F.col("id") % 17 == 0, F.lit(None).cast("string")).otherwise(_request_email()).alias("email"),
+        _probe_code().alias("probe_code"))
 
 
 def send_results(candidates: DataFrame) -> DataFrame:
