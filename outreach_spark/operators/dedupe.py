@@ -23,7 +23,8 @@ def not_contacted(candidates: DataFrame, contacts: DataFrame, scope: str = "both
     if scope not in ("main", "gmail", "both"):
         raise ValueError(f"unknown scope: {scope}")
     seen = contacts if scope == "both" else contacts.filter(F.col("channel") == scope)
-    seen = _keyed(seen).select("email_key").filter(F.col("email_key").isNotNull())
+    # distinct: partial aggregation map-side; its hash partitioning on email_key is reused by the join
+    seen = _keyed(seen).select("email_key").filter(F.col("email_key").isNotNull()).distinct()
     return _keyed(candidates).join(seen, "email_key", "left_anti")
 
 
@@ -33,7 +34,7 @@ def name_key(c):
 
 def not_contacted_by_name(candidates: DataFrame, contacts: DataFrame, name_col: str = "name") -> DataFrame:
     """Drop candidates whose lower(trim(name)) was contacted on either channel."""
-    seen = contacts.select(name_key(F.col("full_name")).alias("_nk")).filter(F.col("_nk").isNotNull())
+    seen = contacts.select(name_key(F.col("full_name")).alias("_nk")).filter(F.col("_nk").isNotNull()).distinct()
     return candidates.withColumn("_nk", name_key(F.col(name_col))).join(seen, "_nk", "left_anti").drop("_nk")
 
 

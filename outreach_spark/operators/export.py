@@ -98,5 +98,5 @@ def export_daily_summary(summary: DataFrame, run_date: str) -> DataFrame:
 
 def export_unseen(contacts: DataFrame, export: DataFrame) -> DataFrame:
     """Contacts whose address is absent from an export."""
-    seen = export.select(email_key(F.col("email")).alias("email_key")).filter(F.col("email_key").isNotNull())
+    seen = export.select(email_key(F.col("email")).alias("email_key")).filter(F.col("email_key").isNotNull()).distinct()
     return contacts.join(seen, "email_key", "left_anti")
