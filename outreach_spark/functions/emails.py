@@ -20,8 +20,12 @@ def email_key(email: str | Column) -> Column:
 
 
 def extract_emails(text: str | Column, pattern: str = K.EMAIL_PATTERN) -> Column:
-    """All matches of the email pattern in a text, in order (array<string>)."""
-    return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(pattern), 0)
+    """All matches of the email pattern in a text, in order (array<string>).
+
+    Texts without an '@' cannot match; they skip the regex scan (a cheap byte search first).
+    """
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.when(F.instr(t, "@") > 0, F.regexp_extract_all(t, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
 
 
 def _prefix_alternation(prefixes: list[str]) -> str:

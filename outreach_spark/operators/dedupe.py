@@ -79,16 +79,17 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     order = F.col(order_col).cast("bigint") + 1 if order_col in incoming.columns else F.lit(1).cast("bigint")
     new = incoming.select(*cols, order.alias("_v"))
     allrows = old.unionByName(new)
-    last_by_id = allrows.groupBy("id").agg(F.max("_v").alias("_vid"))
+    # per id: the latest version, and the engagement of the existing row (version 0) if there is one
+    by_id = allrows.groupBy("id").agg(
+        F.max("_v").alias("_vid"),
+        F.max(F.when(F.col("_v") == 0, F.struct(*[F.col(c) for c in SC.ENGAGEMENT_COLUMNS]))).alias("_old"))
     last_by_email = allrows.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.max("_v").alias("_vem"))
     survivors = (
-        allrows.join(last_by_id, "id").join(last_by_email, "email_key", "left")
+        allrows.join(by_id, "id").join(last_by_email, "email_key", "left")
         .filter((F.col("_v") == F.col("_vid")) & (F.col("_vem").isNull() | (F.col("_v") == F.col("_vem"))))
     )
-    prior = old.select("id", F.lit(True).alias("_had_old"), *[F.col(c).alias("_old_" + c) for c in SC.ENGAGEMENT_COLUMNS])
-    out = survivors.join(prior, "id", "left")
-    carried = (F.col("_v") > 0) & F.coalesce(F.col("_had_old"), F.lit(False))
-    return out.select(*[
-        F.when(carried, F.col("_old_" + c)).otherwise(F.col(c)).alias(c) if c in SC.ENGAGEMENT_COLUMNS else F.col(c)
+    carried = (F.col("_v") > 0) & F.col("_old").isNotNull()
+    return survivors.select(*[
+        F.when(carried, F.col("_old")[c]).otherwise(F.col(c)).alias(c) if c in SC.ENGAGEMENT_COLUMNS else F.col(c)
         for c in cols
     ])

@@ -68,8 +68,11 @@ def apply_engagement(contacts: DataFrame, events: DataFrame) -> DataFrame:
 def set_approval(contacts: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply (id, decision) to the main row of that id, else to the gmail row (one row per id per channel)."""
     prio = F.when(F.col("channel") == "main", 0).otherwise(1)
-    target = contacts.select("id", "channel").groupBy("id").agg(F.min(F.struct(prio.alias("p"), F.col("channel").alias("c")))["c"].alias("_target"))
-    d = decisions.select("id", F.col("decision").alias("_decision")).join(target, "id")
+    dec = decisions.select("id", F.col("decision").alias("_decision"))
+    # only ids that have a decision are ranked (semi join first: the aggregate is decision-sized)
+    rows = contacts.select("id", "channel").join(dec.select("id"), "id", "left_semi")
+    target = rows.groupBy("id").agg(F.min(F.struct(prio.alias("p"), F.col("channel").alias("c")))["c"].alias("_target"))
+    d = dec.join(target, "id")
     j = contacts.join(d, "id", "left")
     hit = F.col("_target") == F.col("channel")
     return j.withColumn("approval_status", F.when(hit, F.col("_decision")).otherwise(F.col("approval_status"))) \

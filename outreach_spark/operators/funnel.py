@@ -114,13 +114,23 @@ def classify_candidates(candidates: DataFrame, contacts: DataFrame, verdicts: Da
     return j.withColumn("outcome", outcome).drop("_seen", "_first_seq")
 
 
-def apply_send_results(ready: DataFrame, results: DataFrame) -> DataFrame:
-    """Merge the sender's results (sent / failed / dry_run) into the contact rows; unmatched stay pending."""
-    r = results.select("id", F.col("status").alias("_status"), F.col("sent_at").alias("_sent_at"), F.col("error").alias("send_error"))
-    j = ready.join(r, "id", "left")
-    return j.withColumn("email_status", F.coalesce(F.col("_status"), F.lit("pending"))) \
-        .withColumn("email_sent_at", F.when(F.col("_status").isin("sent", "dry_run"), F.col("_sent_at"))) \
-        .drop("_status", "_sent_at")
+def apply_send_results(run: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Merge the sender's results (sent / failed / dry_run) into the run's ready rows.
+
+    ``results`` (id, status, sent_at, error) is joined on id; without it the rows already carry
+    ``status`` / ``sent_at`` / ``error`` (e.g. a sender that wrote its result next to each row).
+    Ready rows without a result stay 'pending'; rows that were not ready get NULL.
+    """
+    if results is not None:
+        r = results.select("id", F.col("status"), F.col("sent_at"), F.col("error"))
+        run = run.drop(*[c for c in ("status", "sent_at", "error") if c in run.columns]).join(r, "id", "left")
+    ready = F.col("outcome") == "ready"
+    return (
+        run.withColumn("email_status", F.when(ready, F.coalesce(F.col("status"), F.lit("pending"))))
+        .withColumn("email_sent_at", F.when(ready & F.col("status").isin("sent", "dry_run"), F.col("sent_at")))
+        .withColumn("send_error", F.when(ready, F.col("error")))
+        .drop("status", "sent_at", "error")
+    )
 
 
 def funnel_counts(classified: DataFrame) -> DataFrame:
@@ -134,28 +144,25 @@ def _first_errors(errors: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("errors"))
 
 
-def run_summary(classified: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+def run_summary(run: DataFrame) -> DataFrame:
     """Per channel: discovered, valid, sent, failed, skipped, sources and the first 5 errors.
 
-    ``sent`` is the output of G4 (email_status per ready id); without it nothing was sent.
+    ``run`` is the classified run with the send results merged (G4 output). All counters come from
+    one aggregation; the first errors are a bounded per-channel top-5 joined back on channel.
     """
-    base = classified.groupBy("channel").agg(
+    base = run.groupBy("channel").agg(
         F.count("*").alias("discovered"),
         F.count_if(F.col("outcome").isin("pending_approval", "ready")).alias("valid_emails"),
-        F.count_if(F.col("outcome").isin("no_email", "undeliverable")).alias("skipped"),
-        F.array_join(F.array_sort(F.collect_set("source_platform")), ", ").alias("sources"),
-    )
-    if sent is None:
-        return base.select("*", F.lit(0).cast("bigint").alias("sent"), F.lit(0).cast("bigint").alias("failed"), F.lit("").alias("errors"))
-    s = sent.groupBy("channel").agg(
         F.count_if(F.col("email_status").isin("sent", "dry_run")).alias("sent"),
         F.count_if(F.col("email_status") == "failed").alias("failed"),
+        F.count_if(F.col("outcome").isin("no_email", "undeliverable")).alias("skipped"),
+        F.array_join(F.array_sort(F.collect_set("source_platform")), ", ").alias("sources"),
     )
-    errs = sent.filter(F.col("email_status") == "failed").select(
-        "channel", "seq", F.concat(F.lit("Send failed for "), F.col("full_name"), F.lit(": "), F.coalesce(F.col("send_error"), F.lit("unknown error"))).alias("message"))
-    out = base.join(s, "channel", "left").join(_first_errors(errs, ["channel"]), "channel", "left")
-    return out.select("channel", "discovered", "valid_emails", F.coalesce("sent", F.lit(0).cast("bigint")).alias("sent"),
-                      F.coalesce("failed", F.lit(0).cast("bigint")).alias("failed"), "skipped", "sources",
+    errs = run.filter(F.col("email_status") == "failed").select(
+        "channel", "seq", F.concat(F.lit("Send failed for "), F.col("full_name"), F.lit(": "),
+                                   F.coalesce(F.col("send_error"), F.lit("unknown error"))).alias("message"))
+    out = base.join(_first_errors(errs, ["channel"]), "channel", "left")
+    return out.select("channel", "discovered", "valid_emails", "sent", "failed", "skipped", "sources",
                       F.coalesce("errors", F.lit("")).alias("errors"))
 
 

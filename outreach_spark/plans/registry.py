@@ -695,10 +695,13 @@ def _classified(spark, sf, approval_required=False):
     return funnel.classify_candidates(verified, _run_existing(spark, sf), approval_required=approval_required)
 
 
-def _sent(spark, sf, classified=None):
-    cl = _classified(spark, sf) if classified is None else classified
-    ready = cl.filter(F.col("outcome") == "ready")
-    return funnel.apply_send_results(ready, fx.send_results(ready))
+def _run(spark, sf):
+    """The classified run with the sender's results merged (all candidates)."""
+    return funnel.apply_send_results(fx.with_send_results(_classified(spark, sf)))
+
+
+def _sent(spark, sf):
+    return _run(spark, sf).filter(F.col("outcome") == "ready")
 
 
 @query("classify_candidates", with_ctes("SELECT seq, id, channel, email_key, smtp_result, outcome FROM classified", "vf", "contacts", "mx", local=RUN_LOCAL))
@@ -732,8 +735,7 @@ LEFT JOIN (SELECT channel, string_agg(msg, '; ' ORDER BY seq) AS errors FROM (
 
 @query("run_summary", with_ctes(RUN_SUMMARY_SQL, "vf", "contacts", "mx", local=RUN_LOCAL_SENT))
 def q_run_summary(spark, sf):
-    cl = _classified(spark, sf)
-    return funnel.run_summary(cl, _sent(spark, sf, cl))
+    return funnel.run_summary(_run(spark, sf))
 
 
 @query("warmup_cap", with_ctes(f"""
@@ -1170,8 +1172,7 @@ SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT rep
   AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY""")]))
 def q_export_daily_summary(spark, sf):
     c = fx.contacts(spark, sf)
-    cl = _classified(spark, sf)
-    rs = funnel.run_summary(cl, _sent(spark, sf, cl))
+    rs = funnel.run_summary(_run(spark, sf))
     el = engagement.followup_eligible(c, C_ASOF)
     fsum = funnel.followup_summary(el, _followup_results(el)).select("channel", F.col("sent").alias("followups_sent"))
     st = c.groupBy("channel").agg(F.count_if("open_detected").alias("opens"), F.count_if("replied").alias("replies"))

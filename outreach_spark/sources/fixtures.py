@@ -324,15 +324,14 @@ def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         _probe_code().alias("probe_code"))
 
 
-def send_results(candidates: DataFrame) -> DataFrame:
-    """What the sender returned for each candidate: 250 -> sent, no answer -> dry_run, other codes -> failed."""
+def with_send_results(candidates: DataFrame) -> DataFrame:
+    """The sender's result next to each candidate: 250 -> sent, no answer -> dry_run, other codes -> failed."""
     code = F.col("probe_code")
-    return candidates.select(
-        "id",
-        F.when(code == 250, "sent").when(code.isNull(), "dry_run").otherwise("failed").alias("status"),
-        (F.col("contacted_at") + F.expr("INTERVAL 1 HOUR")).alias("sent_at"),
-        F.when((code != 250) & code.isNotNull(), F.concat(F.lit("SMTP "), code.cast("string"))).alias("error"),
-    )
+    return candidates.withColumns({
+        "status": F.when(code == 250, "sent").when(code.isNull(), "dry_run").otherwise("failed"),
+        "sent_at": F.col("contacted_at") + F.expr("INTERVAL 1 HOUR"),
+        "error": F.when((code != 250) & code.isNotNull(), F.concat(F.lit("SMTP "), code.cast("string"))),
+    })
 
 
 INVITATION_TEMPLATE = (
