@@ -158,3 +158,24 @@ def run_event_stream(spark: SparkSession, source_dir: str, out_root: str, checkp
                   .foreachBatch(lambda b, i: merge_snapshot(b, f"{out_root}/open_state", ["author_id"], i))
                   .option("checkpointLocation", f"{checkpoint_root}/open_state")).start()
     return [logs_q, scores_q, open_q]
+
+
+def run_reply_stream(spark: SparkSession, source_dir: str, contacts: DataFrame, out_root: str, checkpoint_root: str,
+                     available_now: bool = True, schema: str | None = None) -> list:
+    """T4 as a stream: inbound replies -> known contacts (stream-static join) -> message rows appended
+    through the file sink, and reply state (replied, latest label) merged per micro-batch by address."""
+    from ..operators.engagement import reply_state
+
+    reader = spark.readStream.schema(schema or "msg_id string, ts timestamp_ntz, from_header string, body string, model_output string")
+    replies = stream_replies(reader.parquet(source_dir), contacts)
+
+    def trig(w):
+        return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+
+    msgs_q = trig(replies.select("msg_id", "ts", "email_key", "channel", "direction", "subject", "body", "log_message")
+                  .writeStream.format("parquet").option("path", f"{out_root}/messages")
+                  .option("checkpointLocation", f"{checkpoint_root}/messages")).start()
+    state_q = trig(reply_state(replies.select("email_key", "ts", "msg_id", "sentiment")).writeStream.outputMode("update")
+                   .foreachBatch(lambda b, i: merge_snapshot(b, f"{out_root}/reply_state", ["email_key"], i))
+                   .option("checkpointLocation", f"{checkpoint_root}/reply_state")).start()
+    return [msgs_q, state_q]

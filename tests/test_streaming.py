@@ -79,3 +79,18 @@ def test_reply_stream_static_join(spark, scratch):
     q.awaitTermination(300)
     want = ST.stream_replies(rp, fx.contacts(spark, SF_SMALL))
     assert _rows(spark.table("t4_replies"), ["msg_id", "channel", "sentiment"]) == _rows(want, ["msg_id", "channel", "sentiment"])
+
+
+def test_reply_stream_runner_equals_batch(spark, scratch):
+    from outreach_spark.operators.engagement import reply_state
+
+    rp = fx.inbound_replies(spark, SF_SMALL)
+    rp.write.parquet(os.path.join(scratch, "landing", "rp2"))
+    c = fx.contacts(spark, SF_SMALL)
+    for q in ST.run_reply_stream(spark, os.path.join(scratch, "landing", "rp2"), c, os.path.join(scratch, "rout"), os.path.join(scratch, "rck")):
+        q.awaitTermination(300)
+    got = read_latest(spark, os.path.join(scratch, "rout", "reply_state"))
+    want = reply_state(ST.stream_replies(rp, c))
+    cols = ["email_key", "reply_sentiment", "replies"]
+    assert _rows(got, cols) == _rows(want, cols)
+    assert spark.read.parquet(os.path.join(scratch, "rout", "messages")).count() == ST.stream_replies(rp, c).count()
