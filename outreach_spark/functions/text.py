@@ -71,9 +71,32 @@ def unfilled_tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(TOKEN_PATTERN), 1)
 
 
+def template_parts(template: str, declared) -> list[tuple[str, str]]:
+    """Split a template into ("lit", text) and ("tok", NAME) parts; undeclared tokens stay literal text."""
+    parts: list[tuple[str, str]] = []
+    for piece in re.split(r"(\{\{[A-Z_]+\}\})", template):
+        m = re.fullmatch(r"\{\{([A-Z_]+)\}\}", piece)
+        if m and m.group(1) in declared:
+            parts.append(("tok", m.group(1)))
+        elif piece:
+            if parts and parts[-1][0] == "lit":
+                parts[-1] = ("lit", parts[-1][1] + piece)
+            else:
+                parts.append(("lit", piece))
+    return parts
+
+
 def fill_template(template: str | Column, tokens: dict[str, Column]) -> Column:
-    """Replace each declared ``{{TOKEN}}`` with its value column; unknown tokens stay in place."""
-    out = F.lit(template) if isinstance(template, str) else template
+    """Put each declared ``{{TOKEN}}``'s value in place; unknown tokens stay as they are.
+
+    A template given as text is split once when the plan is built, so each row is one ``concat`` of
+    literals and values (no search); values are inserted verbatim, never re-expanded. A template
+    column is filled with one ``replace`` per declared token.
+    """
+    if isinstance(template, str):
+        cols = [F.lit(v) if kind == "lit" else F.coalesce(tokens[v], F.lit("")) for kind, v in template_parts(template, tokens)]
+        return F.concat(*cols) if cols else F.lit("")
+    out = template
     for name, value in tokens.items():
         out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
     return out

@@ -96,14 +96,15 @@ def contact_with_draft(contacts: DataFrame, drafts: DataFrame) -> DataFrame:
 
 def followup_context(eligible: DataFrame, messages: DataFrame, drafts: DataFrame) -> DataFrame:
     """Eligible contact + thread + original subject; a thread makes it 'smart', else 'template'
-    with subject 'Re: <original subject or Invitation>'."""
+    with subject 'Re: <original subject or Invitation>'. One row per thread chunk (W8), one row
+    without a chunk when there is no thread."""
     th = thread_text(messages).withColumnRenamed("author_id", "id")
     subj = drafts.select(F.col("author_id").alias("id"), F.col("invitation_subject").alias("original_subject"))
     j = eligible.select("id", "channel", "full_name", "email").join(th, "id", "left").join(subj, "id", "left")
     smart = F.col("thread_text").isNotNull()
     orig = F.coalesce(F.col("original_subject"), F.lit(K.DEFAULT_ORIGINAL_SUBJECT))
     return j.select(
-        "id", "channel", "full_name", "email", F.coalesce("n_messages", F.lit(0).cast("bigint")).alias("n_messages"),
+        "id", "channel", "full_name", "email", "chunk", F.coalesce("n_messages", F.lit(0).cast("bigint")).alias("n_messages"),
         F.when(smart, "smart").otherwise("template").alias("mode"),
         F.when(smart, F.lit(K.DEFAULT_SMART_FOLLOWUP_SUBJECT)).otherwise(F.concat(F.lit("Re: "), orig)).alias("followup_subject"),
         "thread_text",

@@ -85,21 +85,26 @@ def pending_approvals(contacts: DataFrame) -> DataFrame:
     )
 
 
-def thread_text(messages: DataFrame, key: str = "author_id") -> DataFrame:
-    """Per thread, "[DIRECTION] Subject: ...\\nBody: ...\\n---\\n" per message in time order, concatenated.
+THREAD_CHUNK_MESSAGES = 64
 
-    The per-thread text is the output itself; Spark sorts each thread's (ts, seq, line) triples
-    inside one aggregate buffer; partial aggregation runs map-side.
+
+def thread_text(messages: DataFrame, key: str = "author_id", chunk_messages: int = THREAD_CHUNK_MESSAGES) -> DataFrame:
+    """Per thread, "[DIRECTION] Subject: ...\nBody: ...\n---\n" per message in time order.
+
+    The text is emitted in ordered chunks: chunk = seq div ``chunk_messages``, so no aggregate holds
+    more than ``chunk_messages`` messages however long a thread grows; the whole thread text is the
+    chunks' texts in chunk order. ``n_messages`` counts the whole thread (a partial count map-side).
     """
     line = F.concat(
         F.lit("["), F.upper(F.col("direction")), F.lit("] Subject: "), F.coalesce(F.col("subject"), F.lit("")),
         F.lit("\nBody: "), F.coalesce(F.col("body"), F.lit("")), F.lit("\n---\n"),
     )
-    parts = messages.select(key, F.struct(F.col("timestamp").alias("t"), F.col("seq").alias("s"), line.alias("l")).alias("m"))
-    return parts.groupBy(key).agg(
-        F.count("*").alias("n_messages"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["l"]), "").alias("thread_text"),
-    )
+    parts = messages.select(key, F.floor(F.col("seq") / chunk_messages).alias("chunk"),
+                            F.struct(F.col("timestamp").alias("t"), F.col("seq").alias("s"), line.alias("l")).alias("m"))
+    chunks = parts.groupBy(key, "chunk").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda x: x["l"]), "").alias("thread_text"))
+    counts = messages.groupBy(key).agg(F.count("*").alias("n_messages"))
+    return chunks.join(counts, key).select(key, "chunk", "n_messages", "thread_text")
 
 
 def top_contacted(run: DataFrame, n: int = K.TOP_CONTACTED_SIZE, seq_col: str = "seq") -> DataFrame:

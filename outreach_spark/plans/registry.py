@@ -245,10 +245,15 @@ def q_contacts_page(spark, sf):
     return ranking.contacts_page(fx.contacts(spark, sf), page=2, status="sent", search="customer#00000001")
 
 
-@query("thread_text", with_ctes("""
-SELECT author_id, count(*) AS n_messages,
-  string_agg(concat('[', upper(direction), '] Subject: ', coalesce(subject, ''), chr(10) || 'Body: ', coalesce(body, ''), chr(10) || '---' || chr(10)), '' ORDER BY timestamp, seq) AS thread_text
-FROM msgs GROUP BY author_id""", "msgs"))
+THREAD_SQL = """
+SELECT c.author_id, c.chunk, n.n_messages, c.thread_text FROM (
+  SELECT author_id, CAST(floor(seq / 64) AS BIGINT) AS chunk,
+    string_agg(concat('[', upper(direction), '] Subject: ', coalesce(subject, ''), chr(10) || 'Body: ', coalesce(body, ''), chr(10) || '---' || chr(10)), '' ORDER BY timestamp, seq) AS thread_text
+  FROM msgs GROUP BY author_id, CAST(floor(seq / 64) AS BIGINT)) c
+JOIN (SELECT author_id, count(*) AS n_messages FROM msgs GROUP BY author_id) n ON c.author_id = n.author_id"""
+
+
+@query("thread_text", with_ctes(THREAD_SQL, "msgs"))
 def q_thread_text(spark, sf):
     return ranking.thread_text(fx.messages(spark, sf))
 
@@ -862,10 +867,8 @@ _TOKENS_SQL = {
 
 
 def filled_sql(template: str) -> str:
-    out = _lit(template)
-    for name, val in _TOKENS_SQL.items():
-        out = f"replace({out}, '{{{{{name}}}}}', coalesce({val}, ''))"
-    return out
+    parts = [_lit(v) if kind == "lit" else f"coalesce({_TOKENS_SQL[v]}, '')" for kind, v in TX.template_parts(template, _TOKENS_SQL)]
+    return "concat(" + ", ".join(parts) + ")"
 
 
 def _subject_sql(t: str, default: str) -> str:
@@ -1003,16 +1006,14 @@ def q_approval_send_list(spark, sf):
 
 
 @query("followup_context", with_ctes(f"""
-SELECT e.id, e.channel, e.full_name, e.email, coalesce(t.n_messages, 0) AS n_messages,
+SELECT e.id, e.channel, e.full_name, e.email, t.chunk, coalesce(t.n_messages, 0) AS n_messages,
   CASE WHEN t.thread_text IS NOT NULL THEN 'smart' ELSE 'template' END AS mode,
   CASE WHEN t.thread_text IS NOT NULL THEN '{K.DEFAULT_SMART_FOLLOWUP_SUBJECT}' ELSE concat('Re: ', coalesce(d.subject, '{K.DEFAULT_ORIGINAL_SUBJECT}')) END AS followup_subject,
   t.thread_text
 FROM (SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
         AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY) e
-LEFT JOIN (SELECT author_id, count(*) AS n_messages,
-             string_agg(concat('[', upper(direction), '] Subject: ', coalesce(subject, ''), chr(10) || 'Body: ', coalesce(body, ''), chr(10) || '---' || chr(10)), '' ORDER BY timestamp, seq) AS thread_text
-           FROM msgs GROUP BY author_id) t ON e.id = t.author_id
-LEFT JOIN drafts d ON e.id = d.author_id""", "contacts", "msgs", local=_DRAFT_PAIR_LOCAL))
+LEFT JOIN thread t ON e.id = t.author_id
+LEFT JOIN drafts d ON e.id = d.author_id""", "contacts", "msgs", local=_DRAFT_PAIR_LOCAL + [("thread", THREAD_SQL)]))
 def q_followup_context(spark, sf):
     el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF)
     d = _scan_drafts(spark, sf).withColumnRenamed("subject", "invitation_subject")

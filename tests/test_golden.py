@@ -258,3 +258,15 @@ def test_duplicate_events_counted_once(spark):
     ev = spark.createDataFrame([(1, T0, 5, "click", "main"), (1, T0, 5, "click", "main"), (2, T0, 5, "open", "main")],
                                "event_id bigint, ts timestamp_ntz, author_id bigint, event string, source string")
     assert one(engagement.lead_scores(ST.stream_event_dedup(ev))).lead_score == 6
+
+
+def test_thread_text_chunks_reassemble(spark):
+    from outreach_spark.operators.ranking import thread_text
+
+    msgs = spark.createDataFrame(
+        [(7, "outgoing", "Invitation", f"body {i}", datetime(2024, 1, 1, 0, i), i) for i in range(5)],
+        "author_id bigint, direction string, subject string, body string, timestamp timestamp_ntz, seq bigint")
+    whole = "".join(f"[OUTGOING] Subject: Invitation\nBody: body {i}\n---\n" for i in range(5))
+    rows = sorted(thread_text(msgs, chunk_messages=2).collect(), key=lambda r: r.chunk)
+    assert [r.chunk for r in rows] == [0, 1, 2] and {r.n_messages for r in rows} == {5}
+    assert "".join(r.thread_text for r in rows) == whole
