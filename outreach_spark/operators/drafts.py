@@ -114,5 +114,4 @@ def followup_context(eligible: DataFrame, messages: DataFrame, drafts: DataFrame
 def approval_send_list(contacts: DataFrame, drafts: DataFrame) -> DataFrame:
     """Approved contacts still waiting to be sent that have a draft."""
     c = contacts.filter((F.col("approval_status") == "approved") & F.col("email_status").isin("pending", "pending_approval"))
-    return c.select("id", "channel", "full_name", "email").join(
-        drafts.select(F.col("author_id").alias("id"), "subject", "body_html"), "id", "inner")
+    return c.select("id", "channel", "full_name", "email").join(drafts.withColumnRenamed("author_id", "id"), "id", "inner")

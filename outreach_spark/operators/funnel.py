@@ -58,27 +58,44 @@ def warmup_caps(contacts: DataFrame, as_of, caps: dict = K.DAILY_CAP) -> DataFra
     return per.select("channel", "days_running", cap.cast("bigint").alias("cap"))
 
 
-def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], caps: DataFrame, max_cap: int) -> DataFrame:
-    """Keep the first ``cap`` rows per group, where ``caps`` gives a cap per channel (at most ``max_cap``).
-
-    The per-group ranking is bounded by ``max_cap`` (a fixed setting) so Spark applies a partial
-    WindowGroupLimit before the shuffle; the caps table has one row per channel.
+def warmup_cap_expr(contacts: DataFrame, as_of, caps: dict = K.DAILY_CAP) -> Column:
+    """W2 cap as a column: per channel of the fixed vocabulary, min(daily cap, base + per_day x days
+    running), with days running as a scalar subquery per channel (no join, no broadcast)."""
+    expr = None
+    for ch, cap in caps.items():
+        first = contacts.filter(F.col("channel") == ch).agg(F.min("contacted_at")).scalar()
+        days = F.coalesce(F.greatest(F.lit(1).cast("bigint"), F.timestamp_diff("DAY", first, _ts(as_of))), F.lit(1).cast("bigint"))
+        value = F.least(F.lit(cap).cast("bigint"), F.lit(K.WARMUP_BASE[ch]) + F.lit(K.WARMUP_PER_DAY[ch]) * days)
+        expr = (F.when(F.col("channel") == ch, value) if expr is None else expr.when(F.col("channel") == ch, value))
+    return expr.cast("bigint")
+
+
+def daily_cap_expr(caps: dict = K.DAILY_CAP) -> Column:
+    expr = None
+    for ch, cap in caps.items():
+        expr = F.when(F.col("channel") == ch, F.lit(cap)) if expr is None else expr.when(F.col("channel") == ch, F.lit(cap))
+    return expr.cast("bigint")
+
+
+def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], cap: Column, max_cap: int) -> DataFrame:
+    """Keep the first ``cap`` rows per group; ``cap`` is a per-row column bounded by ``max_cap``.
+
+    The ranking is bounded by ``max_cap`` (a fixed setting) so Spark applies a partial
+    WindowGroupLimit before the shuffle; rows of a channel without a cap are dropped.
     """
     ranked = top_n_per_group(df, keys, order, max_cap, rank_col="rank_in_group")
-    return ranked.join(F.broadcast(caps.select("channel", "cap")), "channel").filter(F.col("rank_in_group") <= F.col("cap"))
+    return ranked.withColumn("cap", cap).filter(F.col("rank_in_group") <= F.col("cap"))
 
 
 def warmup_cap(candidates: DataFrame, contacts: DataFrame, as_of, caps: dict = K.DAILY_CAP) -> DataFrame:
     """The first cap(channel) candidates of each channel by seq."""
-    return cap_per_group(candidates, ["channel"], [F.col("seq").asc()], warmup_caps(contacts, as_of, caps), max(caps.values()))
+    return cap_per_group(candidates, ["channel"], [F.col("seq").asc()], warmup_cap_expr(contacts, as_of, caps), max(caps.values()))
 
 
 def daily_send_cap(sends: DataFrame, ts_col: str = "contacted_at", caps: dict = K.DAILY_CAP, order_col: str = "id") -> DataFrame:
     """At most cap(channel) sends per channel and day."""
     s = sends.withColumn("day", F.to_date(F.col(ts_col)))
-    cap_rows = s.select("channel").distinct().select(
-        "channel", F.create_map(*[x for ch, v in caps.items() for x in (F.lit(ch), F.lit(v))])[F.col("channel")].cast("bigint").alias("cap"))
-    return cap_per_group(s, ["channel", "day"], [F.col(ts_col).asc(), F.col(order_col).asc()], cap_rows, max(caps.values()))
+    return cap_per_group(s, ["channel", "day"], [F.col(ts_col).asc(), F.col(order_col).asc()], daily_cap_expr(caps), max(caps.values()))
 
 
 def classify_candidates(candidates: DataFrame, contacts: DataFrame, verdicts: DataFrame | None = None,

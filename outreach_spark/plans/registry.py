@@ -963,9 +963,11 @@ def q_mask_email(spark, sf):
 
 
 def _drafts_pair(spark, sf):
+    """Main and gmail draft tables as the lookups need them (subject and html size; the html itself is not carried)."""
     c = fx.contacts(spark, sf)
-    main = _render(c.filter(F.col("channel") == "main")).select("author_id", "subject", "body_html")
-    gmail = _render(c.filter(F.col("email_status") == "sent"), default_subject="Invitation").select("author_id", "subject", "body_html")
+    main = _render(c.filter(F.col("channel") == "main")).select("author_id", "subject", F.length("body_html").alias("html_chars"))
+    gmail = _render(c.filter(F.col("email_status") == "sent"), default_subject="Invitation").select(
+        "author_id", "subject", F.length("body_html").alias("html_chars"))
     return main, gmail
 
 
@@ -987,13 +989,14 @@ def _scan_drafts(spark, sf):
 
 @query("scan_drafts", with_ctes("SELECT author_id, subject, length(body_html) AS html_chars, draft_channel FROM drafts", "contacts", local=_DRAFT_PAIR_LOCAL))
 def q_scan_drafts(spark, sf):
-    return _scan_drafts(spark, sf).select("author_id", "subject", F.length("body_html").alias("html_chars"), "draft_channel")
+    return _scan_drafts(spark, sf).select("author_id", "subject", "html_chars", "draft_channel")
 
 
 @query("contact_with_draft", with_ctes("""
 SELECT c.id, c.channel, c.full_name, d.subject, d.draft_channel FROM contacts c LEFT JOIN drafts d ON c.id = d.author_id""", "contacts", local=_DRAFT_PAIR_LOCAL))
 def q_contact_with_draft(spark, sf):
-    return drafts.contact_with_draft(fx.contacts(spark, sf), _scan_drafts(spark, sf)).select("id", "channel", "full_name", "subject", "draft_channel")
+    d = _scan_drafts(spark, sf).select("author_id", "subject", "draft_channel")
+    return drafts.contact_with_draft(fx.contacts(spark, sf), d).select("id", "channel", "full_name", "subject", "draft_channel")
 
 
 @query("approval_send_list", with_ctes("""
@@ -1002,7 +1005,7 @@ FROM contacts c JOIN drafts d ON c.id = d.author_id
 WHERE c.approval_status = 'approved' AND c.email_status IN ('pending', 'pending_approval')""", "contacts", local=_DRAFT_PAIR_LOCAL))
 def q_approval_send_list(spark, sf):
     r = drafts.approval_send_list(fx.contacts(spark, sf), _scan_drafts(spark, sf))
-    return r.select("id", "channel", "full_name", "email", "subject", F.length("body_html").alias("html_chars"))
+    return r.select("id", "channel", "full_name", "email", "subject", "html_chars")
 
 
 @query("followup_context", with_ctes(f"""
@@ -1016,7 +1019,7 @@ LEFT JOIN thread t ON e.id = t.author_id
 LEFT JOIN drafts d ON e.id = d.author_id""", "contacts", "msgs", local=_DRAFT_PAIR_LOCAL + [("thread", THREAD_SQL)]))
 def q_followup_context(spark, sf):
     el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF)
-    d = _scan_drafts(spark, sf).withColumnRenamed("subject", "invitation_subject")
+    d = _scan_drafts(spark, sf).select("author_id", F.col("subject").alias("invitation_subject"))
     return drafts.followup_context(el, fx.messages(spark, sf), d)
 
 
