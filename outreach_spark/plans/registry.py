@@ -628,11 +628,8 @@ SOURCE_ORDER = [K.SOURCE_GOOGLE_BOOKS, K.SOURCE_OPEN_LIBRARY, K.SOURCE_LOC, K.SO
 
 def _all_stubs(spark, sf):
     parts = [_catalog(spark, sf, k).withColumnRenamed("response_id", "seq") for k in ["google_books", "open_library", "loc", "gutendex"]]
-    h = fx.search_hits(spark, sf)
-    web = catalog.search_stubs(h.withColumn("url", scans.with_scheme(F.col("url")))).withColumn("seq", F.lit(None).cast("bigint"))
-    web = h.select(F.col("position").alias("seq"), TX.name_from_title(F.col("title")).alias("name"), F.lit(None).cast("string").alias("book_title"),
-                   F.coalesce(F.col("snippet"), F.lit("")).alias("description"), scans.with_scheme(F.col("url")).alias("url"),
-                   F.lit(K.SOURCE_WEB_SEARCH).alias("source_platform"))
+    h = fx.search_hits(spark, sf).withColumn("url", scans.with_scheme(F.col("url")))
+    web = catalog.search_stubs(h, keep=["position"]).withColumnRenamed("position", "seq")
     out = parts[0]
     for p in parts[1:] + [web]:
         out = out.unionByName(p)

@@ -50,12 +50,12 @@ def catalog_gutendex(payloads: DataFrame, payload_col: str = "payload", keep: li
     return _stubs(rec, F.get(F.col("r.authors"), 0)["name"], F.col("r.title"), F.lit(K.GUTENDEX_DESCRIPTION), K.SOURCE_GUTENDEX, keep)
 
 
-def search_stubs(hits: DataFrame) -> DataFrame:
+def search_stubs(hits: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Web-search hits -> stubs (name from the title; description = snippet)."""
     from ..functions.text import name_from_title
 
     return hits.select(
-        name_from_title("title").alias("name"), F.lit(None).cast("string").alias("book_title"),
+        *keep, name_from_title("title").alias("name"), F.lit(None).cast("string").alias("book_title"),
         F.coalesce(F.col("snippet"), F.lit("")).alias("description"), F.col("url"),
         F.lit(K.SOURCE_WEB_SEARCH).alias("source_platform"),
     )
