@@ -100,3 +100,18 @@ def export_unseen(contacts: DataFrame, export: DataFrame) -> DataFrame:
     """Contacts whose address is absent from an export."""
     seen = export.select(email_key(F.col("email")).alias("email_key")).filter(F.col("email_key").isNotNull()).distinct()
     return contacts.join(seen, "email_key", "left_anti")
+
+
+def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Export sink: CSV with a header row (the spreadsheet form) or Parquet; a new folder per export."""
+    w = df.write.mode("overwrite")
+    if fmt == "csv":
+        w.option("header", True).option("emptyValue", "").csv(path)
+    else:
+        w.parquet(path)
+
+
+def read_export(spark, path: str, columns: list[str] = MAIN_EXPORT_COLUMNS) -> DataFrame:
+    """Read a CSV export back (header row skipped); every column is text, as in the spreadsheet."""
+    schema = ", ".join(f"{c} string" for c in columns)
+    return spark.read.schema(schema).option("header", True).csv(path)

@@ -60,3 +60,19 @@ def test_masked_email_never_shows_local_part(spark):
             assert m == e[0] + "***@d.org"
 
     check()
+
+
+def test_export_csv_round_trip(spark, scratch):
+    from outreach_spark.operators import export
+    from outreach_spark.plans.registry import RUN_DATE
+    from outreach_spark.sources.scans import scan_seen_emails
+
+    c = fx.contacts(spark, SF_SMALL).filter(F.col("channel") == "main")
+    exp = export.export_contacts(c, RUN_DATE, "main")
+    path = os.path.join(scratch, "export_main")
+    export.write_export(exp, path)
+    back = export.read_export(spark, path)
+    assert back.count() == exp.count()
+    assert sorted(r.email for r in scan_seen_emails(back).collect()) == sorted(r.email for r in scan_seen_emails(exp).collect())
+    assert sorted(map(tuple, back.select("author_id", "open_detected", "date_collected").collect())) == \
+        sorted(map(tuple, exp.select("author_id", "open_detected", "date_collected").collect()))
