@@ -114,7 +114,7 @@ def top_contacted(run: DataFrame, n: int = K.TOP_CONTACTED_SIZE, seq_col: str =
 
     w = Window.orderBy(seq_col)  # at most n rows: the limit bounds this single-partition window
     return first.select(
-        F.row_number().over(w).alias("rank"), F.col("full_name"),
+        F.row_number().over(w).cast("bigint").alias("rank"), F.col("full_name"),
         F.coalesce(F.get(F.col("book_titles"), 0), F.lit("N/A")).alias("first_title"),
         mask_email(F.col("email")).alias("masked_email"),
     )

@@ -15,5 +15,5 @@ from pyspark.sql import functions as F
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_col: str | None = None) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     rn = rank_col or "_rn"
-    out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= n)
+    out = df.withColumn(rn, F.row_number().over(w).cast("bigint")).filter(F.col(rn) <= n)
     return out if rank_col else out.drop(rn)

@@ -556,7 +556,7 @@ FROM (SELECT query, position, {_SCHEME_SQL} AS url FROM hits) h
 LEFT JOIN pages p ON lower(regexp_replace(h.url, '^https?://', '')) = lower(regexp_replace(p.url, '^https?://', ''))""", "hits"))
 def q_scan_pages(spark, sf):
     h = fx.search_hits(spark, sf).select("query", "position", scans.with_scheme(F.col("url")).alias("url"))
-    return scans.scan_pages(h, fx.read(spark, sf, "pages")).select("query", "position", "url", "page_id", F.length("html").alias("html_chars"))
+    return scans.scan_pages(h, fx.read(spark, sf, "pages")).select("query", "position", "url", "page_id", F.length("html").cast("bigint").alias("html_chars"))
 
 
 @query("resolve_email", with_ctes(f"""
@@ -649,7 +649,8 @@ def q_source_counts(spark, sf):
 
 @query("fill_to_target", f"""
 SELECT source_platform, seq, book_title, source_rank FROM (
-  SELECT *, CASE source_platform {' '.join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SOURCE_ORDER, 1))} END AS source_rank FROM ({_ALL_STUBS_SQL}))
+  SELECT *, CAST(CASE source_platform {' '.join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SOURCE_ORDER, 1))} END AS BIGINT) AS source_rank
+  FROM ({_ALL_STUBS_SQL}))
 ORDER BY source_rank, seq LIMIT {K.AUTHORS_PER_DAY}""")
 def q_fill_to_target(spark, sf):
     return ranking.fill_to_target(_all_stubs(spark, sf), K.AUTHORS_PER_DAY, SOURCE_ORDER).select("source_platform", "seq", "book_title", "source_rank")
@@ -962,9 +963,9 @@ def q_mask_email(spark, sf):
 def _drafts_pair(spark, sf):
     """Main and gmail draft tables as the lookups need them (subject and html size; the html itself is not carried)."""
     c = fx.contacts(spark, sf)
-    main = _render(c.filter(F.col("channel") == "main")).select("author_id", "subject", F.length("body_html").alias("html_chars"))
+    main = _render(c.filter(F.col("channel") == "main")).select("author_id", "subject", F.length("body_html").cast("bigint").alias("html_chars"))
     gmail = _render(c.filter(F.col("email_status") == "sent"), default_subject="Invitation").select(
-        "author_id", "subject", F.length("body_html").alias("html_chars"))
+        "author_id", "subject", F.length("body_html").cast("bigint").alias("html_chars"))
     return main, gmail
 
 
@@ -1059,8 +1060,8 @@ def q_upsert_drafts(spark, sf):
     el = engagement.followup_eligible(c, C_ASOF)
     fu = _draft_rows(_render(el, fx.FOLLOWUP_TEMPLATE, K.DEFAULT_SMART_FOLLOWUP_SUBJECT), asof, prefix="followup").drop("tokens_used")
     out = drafts.upsert_drafts(existing, inv, fu)
-    return out.select("author_id", "invitation_subject", F.length("invitation_body_html").alias("inv_html_chars"), "followup_subject",
-                      F.length("followup_body_plain").alias("fu_plain_chars"), "saved_at")
+    return out.select("author_id", "invitation_subject", F.length("invitation_body_html").cast("bigint").alias("inv_html_chars"), "followup_subject",
+                      F.length("followup_body_plain").cast("bigint").alias("fu_plain_chars"), "saved_at")
 
 
 # ---------------------------------------------------------------- exports

@@ -32,3 +32,15 @@ def test_entry_flagship(spark):
     assert len(rows) == 10
     scores = [r.rank_score for r in rows]
     assert scores == sorted(scores, reverse=True)
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_query_types_match_oracle(spark, con, key):
+    sdf = E.queries()[key](spark, SF_SMALL)
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = con.sql(SQL[key])
+    assert s_types == {n: str(t) for n, t in zip(rel.columns, rel.types)}
