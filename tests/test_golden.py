@@ -270,3 +270,47 @@ def test_thread_text_chunks_reassemble(spark):
     rows = sorted(thread_text(msgs, chunk_messages=2).collect(), key=lambda r: r.chunk)
     assert [r.chunk for r in rows] == [0, 1, 2] and {r.n_messages for r in rows} == {5}
     assert "".join(r.thread_text for r in rows) == whole
+
+
+def test_tracking_hits_defaults_and_decoding(spark):
+    df = spark.createDataFrame([
+        (1, "https://t.example.org/track/open?author_id=42&run_date=2024-01-01"),
+        (2, "https://t.example.org/track/click?author_id=7&source=gmail&url=https%3A%2F%2Fbooks.example.org%2Fa%3Fb%3D1"),
+        (3, "https://t.example.org/track/open?run_date=2024-01-01"),
+        (4, "https://t.example.org/track/open?author_id=abc"),
+    ], "event_id bigint, request_url string")
+    got = {r.event_id: (r.author_id, r.source, r.event, r.target_url) for r in ST.parse_tracking_hits(df).collect()}
+    assert got == {1: (42, "main", "open", None), 2: (7, "gmail", "click", "https://books.example.org/a?b=1"), 4: (None, "main", "open", None)}
+
+
+def test_unknown_channel_is_an_error(spark):
+    import pytest
+
+    from outreach_spark.operators import ranking
+
+    with pytest.raises(ValueError):
+        ranking.contacts_page(contacts_df(spark, []), channel="fax")
+    with pytest.raises(ValueError):
+        dedupe.not_contacted(contacts_df(spark, []), contacts_df(spark, []), scope="fax")
+
+
+def test_upsert_keeps_both_keys_unique(spark):
+    from hypothesis import given, settings, strategies as st
+
+    row = st.tuples(st.integers(0, 5), st.sampled_from(["a@x.org", "b@x.org", "c@x.org", "d@x.org", "e@x.org"]))
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(row, min_size=1, max_size=6))
+    def check(incoming_rows):
+        existing = contacts_df(spark, [{"id": 100 + i, "channel": "main", "email": e}
+                                       for i, e in enumerate(["a@x.org", "b@x.org", "c@x.org"])])
+        ordered = spark.createDataFrame([(i, e, n) for n, (i, e) in enumerate(incoming_rows)], "id bigint, email string, seq bigint")
+        inc = contacts_df(spark, [{"id": i, "channel": "main", "email": e} for i, e in incoming_rows]).join(
+            ordered.select("id", "email", "seq"), ["id", "email"]).dropDuplicates(["seq"])
+        out = dedupe.upsert_contacts(existing, inc).collect()
+        assert len({r.id for r in out}) == len(out) == len({r.email_key for r in out})
+        # the last incoming row always survives
+        last_id, last_email = incoming_rows[-1]
+        assert any(r.id == last_id and r.email == last_email for r in out)
+
+    check()
