@@ -21,10 +21,13 @@ def fill_to_target(stubs: DataFrame, n: int, source_order: list[str], seq_col: s
 
 
 def contacts_page(contacts: DataFrame, page: int = 1, per_page: int = K.PAGE_SIZE, status: str | None = None,
-                  search: str | None = None, channel: str = "all") -> DataFrame:
+                  search: str | None = None, channel: str = "all", after: tuple | None = None) -> DataFrame:
     """Optional status / search (case-insensitive LIKE on name or email) / channel; newest first; one page.
 
     ``total`` and ``pages`` come from a scalar subquery over the same filters (no join, no driver round trip).
+    ``after=(contacted_at, id)`` gives the keyset form: the page that follows that row (rows strictly
+    after it in (contacted_at desc, id asc) order), so a deep page costs a per-task top-k of
+    ``per_page`` rows instead of ``offset + per_page``; ``page`` is then ignored.
     """
     if channel not in ("all", "main", "gmail"):
         raise ValueError(f"unknown channel: {channel}")
@@ -38,10 +41,12 @@ def contacts_page(contacts: DataFrame, page: int = 1, per_page: int = K.PAGE_SIZ
         c = c.filter(F.col("full_name").ilike(pat) | F.col("email").ilike(pat))
     c = c.select("id", "full_name", "email", "email_status", "contacted_at", "open_detected", "replied", "channel")
     total = c.agg(F.count("*")).scalar()
-    rows = (
-        c.orderBy(F.col("contacted_at").desc_nulls_last(), F.col("id").asc())
-        .offset((page - 1) * per_page).limit(per_page)
-    )
+    ordered = c
+    if after is not None:
+        ts, last_id = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
+        ordered = c.filter((F.col("contacted_at") < ts) | ((F.col("contacted_at") == ts) & (F.col("id") > last_id)))
+    ordered = ordered.orderBy(F.col("contacted_at").desc_nulls_last(), F.col("id").asc())
+    rows = ordered.limit(per_page) if after is not None else ordered.offset((page - 1) * per_page).limit(per_page)
     return rows.select("*", total.alias("total"), F.ceil(total / F.lit(per_page)).cast("bigint").alias("pages"),
                        F.lit(page).alias("current_page"))
 

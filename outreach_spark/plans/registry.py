@@ -253,6 +253,19 @@ SELECT c.author_id, c.chunk, n.n_messages, c.thread_text FROM (
 JOIN (SELECT author_id, count(*) AS n_messages FROM msgs GROUP BY author_id) n ON c.author_id = n.author_id"""
 
 
+KEYSET_AFTER = ("1998-06-01 00:00:00", 0)
+
+
+@query("contacts_page_keyset", with_ctes(f"""
+SELECT *, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 20) AS BIGINT) AS pages, 1 AS current_page
+FROM f WHERE contacted_at < TIMESTAMP '{KEYSET_AFTER[0]}' OR (contacted_at = TIMESTAMP '{KEYSET_AFTER[0]}' AND id > {KEYSET_AFTER[1]})
+ORDER BY contacted_at DESC NULLS LAST, id LIMIT 20""", "contacts", local=[("f", """
+SELECT id, full_name, email, email_status, contacted_at, open_detected, replied, channel FROM contacts WHERE channel = 'gmail'""")]))
+def q_contacts_page_keyset(spark, sf):
+    """W4 keyset form: the gmail page after a given (contacted_at, id)."""
+    return ranking.contacts_page(fx.contacts(spark, sf), channel="gmail", after=KEYSET_AFTER)
+
+
 @query("thread_text", with_ctes(THREAD_SQL, "msgs"))
 def q_thread_text(spark, sf):
     return ranking.thread_text(fx.messages(spark, sf))
