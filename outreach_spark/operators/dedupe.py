@@ -72,9 +72,10 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
 
     Rows are applied in order: ``existing`` first, then ``incoming`` by ``order_col``. A row survives
     iff no later row shares its id or its email_key. When a surviving row replaced an existing row
-    with the same id, that row's engagement columns are kept (D7).
+    with the same id, that row's engagement columns are kept (D7). Works on the contact columns
+    ``existing`` has (id and email_key required), so callers carry only what they need.
     """
-    cols = [f.name for f in SC.CONTACTS.fields]
+    cols = [f.name for f in SC.CONTACTS.fields if f.name in existing.columns]
     old = existing.select(*cols).withColumn("_v", F.lit(0).cast("bigint"))
     order = F.col(order_col).cast("bigint") + 1 if order_col in incoming.columns else F.lit(1).cast("bigint")
     new = incoming.select(*cols, order.alias("_v"))
@@ -82,7 +83,7 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     # per id: the latest version, and the engagement of the existing row (version 0) if there is one
     by_id = allrows.groupBy("id").agg(
         F.max("_v").alias("_vid"),
-        F.max(F.when(F.col("_v") == 0, F.struct(*[F.col(c) for c in SC.ENGAGEMENT_COLUMNS]))).alias("_old"))
+        F.max(F.when(F.col("_v") == 0, F.struct(*[F.col(c) for c in SC.ENGAGEMENT_COLUMNS if c in cols]))).alias("_old"))
     last_by_email = allrows.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.max("_v").alias("_vem"))
     survivors = (
         allrows.join(by_id, "id").join(last_by_email, "email_key", "left")

@@ -1204,7 +1204,7 @@ _K1_COLS = ["channel", "id", "full_name", "email", "email_key", "contacted_at",
 
 
 def _k1_inputs(spark, sf):
-    c = fx.contacts(spark, sf)
+    c = fx.contacts(spark, sf).select(*_K1_COLS)
     before = F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz")
     existing = dedupe.first_per_email(c.filter(before), ["contacted_at", "id"])
     new_attempts = c.filter(~before).withColumn("seq", F.col("id"))

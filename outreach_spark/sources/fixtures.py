@@ -50,6 +50,8 @@ def spread(df: DataFrame, keys: list[str], size_bytes: int) -> DataFrame:
     the same rows.
     """
     spark = df.sparkSession
+    if str(spark.conf.get("outreach.spread.enabled", "true")).lower() != "true":
+        return df
     cores = spark.sparkContext.defaultParallelism
     split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
     if size_bytes // max(split, 1) + 1 >= cores:
