@@ -140,11 +140,14 @@ def q_status_breakdown(spark, sf):
 
 
 @query("bounce_rate", with_ctes("""
-SELECT bounces, total, CASE WHEN total > 0 THEN bounces / total ELSE 0.0 END AS bounce_rate
-FROM (SELECT count(*) FILTER (WHERE email_status IN ('bounced','dropped','failed')) AS bounces, count(*) AS total
-      FROM contacts WHERE channel = 'main' AND email_status <> 'pending')""", "contacts"))
+SELECT scope, bounces, total, CASE WHEN total > 0 THEN bounces / total ELSE 0.0 END AS bounce_rate FROM (
+  SELECT coalesce(channel, 'all') AS scope, count(*) FILTER (WHERE email_status IN ('bounced','dropped','failed')) AS bounces, count(*) AS total
+  FROM contacts WHERE email_status <> 'pending' GROUP BY ROLLUP (channel))""", "contacts"))
 def q_bounce_rate(spark, sf):
-    return metrics.bounce_rate(fx.contacts(spark, sf), "main")
+    """A8 for the main channel (the application's breaker input), the gmail channel and both together."""
+    c = fx.contacts(spark, sf)
+    parts = [metrics.bounce_rate(c, ch).select(F.lit(ch or "all").alias("scope"), "*") for ch in ("main", "gmail", None)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("days_since_start", with_ctes(f"""
