@@ -53,3 +53,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def cluster_settings(shuffle_bytes: int, target_partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20) -> dict[str, str]:
+    """Spark settings for a large cluster, sized from the expected bytes of the largest shuffle.
+
+    - initial shuffle partitions = shuffle_bytes / target (clamped to [2000, 200000]); AQE then
+      coalesces small ones towards the advisory size, so a task's shuffle input fits executor memory
+      and spills rarely;
+    - scan splits of the same target size;
+    - skew join on: a partition 5x the median and over 2 x target is split;
+    - broadcast only under an explicit byte bound (statistics and AQE runtime sizes are checked
+      against it), otherwise a shuffled join.
+    """
+    parts = max(2000, min(200_000, shuffle_bytes // max(target_partition_bytes, 1)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }

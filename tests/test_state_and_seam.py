@@ -76,3 +76,13 @@ def test_export_csv_round_trip(spark, scratch):
     assert sorted(r.email for r in scan_seen_emails(back).collect()) == sorted(r.email for r in scan_seen_emails(exp).collect())
     assert sorted(map(tuple, back.select("author_id", "open_detected", "date_collected").collect())) == \
         sorted(map(tuple, exp.select("author_id", "open_detected", "date_collected").collect()))
+
+
+def test_cluster_settings_scale_with_volume():
+    from outreach_spark.session import cluster_settings
+
+    small, big = cluster_settings(1 << 30), cluster_settings(100 << 40)
+    assert small["spark.sql.shuffle.partitions"] == "2000"
+    assert big["spark.sql.shuffle.partitions"] == "200000"
+    assert cluster_settings(10 << 40)["spark.sql.shuffle.partitions"] == str((10 << 40) // (256 << 20))
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
