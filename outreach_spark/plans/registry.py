@@ -1303,6 +1303,21 @@ def _ntz(df, col="ts"):
     return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
 
 
+@query("apply_engagement", with_ctes("""
+SELECT c.id, c.channel, coalesce(st.email_status, c.email_status) AS email_status,
+  c.open_detected OR o.open_at IS NOT NULL AS open_detected, coalesce(o.open_at, c.open_detected_at) AS open_detected_at,
+  c.lead_score + coalesce(s.add, 0) AS lead_score
+FROM contacts c
+LEFT JOIN (SELECT author_id, CAST(sum(CASE WHEN event = 'open' THEN 1 WHEN event = 'click' THEN 5 ELSE 0 END) AS BIGINT) AS add
+           FROM ev WHERE author_id IS NOT NULL AND event IN ('open', 'click') GROUP BY author_id) s ON c.id = s.author_id
+LEFT JOIN (SELECT author_id, max(ts) AS open_at FROM ev WHERE author_id IS NOT NULL AND event = 'open' GROUP BY author_id) o ON c.id = o.author_id
+LEFT JOIN dstat st ON c.id = st.author_id""", "contacts", "ev", local=[("dstat", _DELIVERY_STATUS_SQL)]))
+def q_apply_engagement(spark, sf):
+    """The event feed folded into the contacts snapshot: opens, last open, score increments, bounce / dropped status."""
+    c = fx.contacts(spark, sf).select("id", "channel", "email_status", "open_detected", "open_detected_at", "lead_score")
+    return engagement.apply_engagement(c, fx.delivery_events(spark, sf))
+
+
 @query("stream_delivery_events", with_ctes("SELECT event_id, ts, author_id, NULL::VARCHAR AS email, event, source FROM ev", "ev"))
 def q_stream_delivery_events(spark, sf):
     return _ntz(ST.parse_delivery_payloads(fx.delivery_payloads(spark, sf)))
