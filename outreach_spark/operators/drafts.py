@@ -14,9 +14,7 @@ from ..functions import text as TX
 from .ranking import thread_text
 
 
-def default_tokens(contacts: DataFrame, token_map: str | None = None) -> dict[str, Column]:
-    """Token values with the application's fallbacks: first title or 'their book', description cut at 400
-    or 'Not available', first two genres or 'General Fiction'. A map column overrides / adds tokens."""
+def _token_columns(token_map: str | None = None) -> dict[str, Column]:
     title = F.coalesce(F.get(F.col("book_titles"), 0), F.lit(K.FALLBACK_BOOK_TITLE))
     desc = F.coalesce(F.nullif(F.substring(F.col("book_description"), 1, K.INVITATION_DESCRIPTION_CHARS), F.lit("")), F.lit(K.FALLBACK_TEXT))
     genre = F.coalesce(F.nullif(F.array_join(F.slice(F.coalesce(F.col("genres"), F.array().cast("array<string>")), 1, 2), ", "), F.lit("")), F.lit(K.FALLBACK_GENRE))
@@ -26,33 +24,56 @@ def default_tokens(contacts: DataFrame, token_map: str | None = None) -> dict[st
         "BOOK_DESCRIPTION": desc,
         "BOOK_GENRE_LABEL": genre,
     }
-    if token_map and token_map in contacts.columns:
+    if token_map:
         tokens = {k: F.coalesce(F.col(token_map)[k], v) for k, v in tokens.items()}
     return tokens
 
 
-def render_drafts(contacts: DataFrame, template: str, run_date: str, tracking_base: str | None = None,
-                  default_subject: str = K.DEFAULT_INVITATION_SUBJECT, token_map: str | None = None,
-                  source: str | None = None) -> DataFrame:
-    """Fill -> split subject / body -> <p> paragraphs -> tracking pixel -> quality columns."""
-    filled = TX.fill_template(template, default_tokens(contacts, token_map))
-    d = contacts.select("id", "channel", filled.alias("_text"))
-    body = TX.draft_body(F.col("_text"))
-    d = d.select("id", "channel", TX.draft_subject(F.col("_text"), default_subject).alias("subject"), body.alias("body_plain"))
+def default_tokens(contacts: DataFrame, token_map: str | None = None) -> dict[str, Column]:
+    """Token values with the application's fallbacks: first title or 'their book', description cut at 400
+    or 'Not available', first two genres or 'General Fiction'. A map column overrides / adds tokens."""
+    return _token_columns(token_map if token_map and token_map in contacts.columns else None)
+
+
+_RENDER_EXPRS: dict = {}
+
+
+def _render_columns(template: str, run_date: str, tracking_base: str | None, default_subject: str,
+                    token_map: str | None, source: str | None):
+    """The three projections of a render, built from column names only (reusable across DataFrames)."""
+    stage1 = ["id", "channel", TX.fill_template(template, _token_columns(token_map)).alias("_text")]
+    stage2 = ["id", "channel", TX.draft_subject(F.col("_text"), default_subject).alias("subject"), TX.draft_body(F.col("_text")).alias("body_plain")]
     html = TX.paragraphs_html(F.col("body_plain"))
     if tracking_base:
         src = F.lit(f"&source={source}") if source else F.when(F.col("channel") == "gmail", F.lit("&source=gmail")).otherwise(F.lit(""))
         pixel = F.concat(F.lit(f'<img src="{tracking_base}/track/open?author_id='), F.col("id").cast("string"),
                          F.lit(f"&run_date={run_date}"), src, F.lit('" width="1" height="1" style="display:none;" />'))
         html = TX.add_tracking_pixel(html, pixel)
-    return d.select(
+    stage3 = [
         F.col("id").alias("author_id"), "channel", "subject", "body_plain", html.alias("body_html"),
         TX.matched_phrases_text(F.concat_ws("\n", F.col("subject"), F.col("body_plain"))).alias("banned_phrases"),
         F.array_join(TX.unfilled_tokens(F.col("body_plain")), "|").alias("unfilled_tokens"),
         TX.word_count(F.col("body_plain")).alias("word_count"),
         TX.ab_variant(F.col("id")).alias("ab_variant"),
         TX.tone(F.col("id")).alias("tone"),
-    )
+    ]
+    return stage1, stage2, stage3
+
+
+def render_drafts(contacts: DataFrame, template: str, run_date: str, tracking_base: str | None = None,
+                  default_subject: str = K.DEFAULT_INVITATION_SUBJECT, token_map: str | None = None,
+                  source: str | None = None) -> DataFrame:
+    """Fill -> split subject / body -> <p> paragraphs -> tracking pixel -> quality columns.
+
+    The projections depend only on the parameters, so they are built once per application and
+    reused (they name columns; each DataFrame resolves them itself).
+    """
+    tm = token_map if token_map and token_map in contacts.columns else None
+    key = (contacts.sparkSession.sparkContext.applicationId, template, run_date, tracking_base, default_subject, tm, source)
+    if key not in _RENDER_EXPRS:
+        _RENDER_EXPRS[key] = _render_columns(template, run_date, tracking_base, default_subject, tm, source)
+    stage1, stage2, stage3 = _RENDER_EXPRS[key]
+    return contacts.select(*stage1).select(*stage2).select(*stage3)
 
 
 DRAFT_INVITATION_COLS = ["invitation_subject", "invitation_body_html", "invitation_body_plain", "tokens_used", "saved_at"]
