@@ -180,6 +180,7 @@ def q_reply_state(spark, sf):
     return engagement.reply_state(r)
 
 
+@fx.memo_plan
 def _usage(spark, sf):
     d = fx.read(spark, sf, "documents")
     return d.select(F.col("n_chars").alias("input_tokens"), TX.word_count(F.col("text")).cast("bigint").alias("output_tokens"))
@@ -379,6 +380,7 @@ SELECT id, channel, full_name, contacted_at, email, probe_code, syntax_valid, (s
 FROM verdict"""
 
 
+@fx.memo_plan
 def _verdicts(spark, sf):
     return verify.verify_emails(fx.verify_requests(spark, sf), fx.mx_records(spark, sf))
 
@@ -419,6 +421,7 @@ FROM (SELECT nullif(lower(trim(email)), '') AS email_key,
       FROM vout WHERE nullif(lower(trim(email)), '') IS NOT NULL GROUP BY 1)"""
 
 
+@fx.memo_plan
 def _cache(spark, sf, before: str | None = None):
     v = _verdicts(spark, sf)
     if before:
@@ -605,6 +608,7 @@ def q_resolve_email(spark, sf):
 _CAT_WHERE = "WHERE p_size % 10 <> 0"
 
 
+@fx.memo_plan
 def _catalog(spark, sf, kind):
     readers = {"google_books": catalog.catalog_google_books, "open_library": catalog.catalog_open_library,
                "loc": catalog.catalog_loc, "gutendex": catalog.catalog_gutendex}
@@ -642,6 +646,7 @@ def q_catalog_gutendex(spark, sf):
 SOURCE_ORDER = [K.SOURCE_GOOGLE_BOOKS, K.SOURCE_OPEN_LIBRARY, K.SOURCE_LOC, K.SOURCE_GUTENDEX, K.SOURCE_WEB_SEARCH]
 
 
+@fx.memo_plan
 def _all_stubs(spark, sf):
     parts = [_catalog(spark, sf, k).withColumnRenamed("response_id", "seq") for k in ["google_books", "open_library", "loc", "gutendex"]]
     h = fx.search_hits(spark, sf).withColumn("url", scans.with_scheme(F.col("url")))
@@ -705,20 +710,24 @@ RUN_LOCAL = [("cand", CAND_SQL), ("cverdict", verdict_sql("cand")), ("classified
 RUN_LOCAL_SENT = RUN_LOCAL + [("sent", SENT_SQL)]
 
 
+@fx.memo_plan
 def _run_existing(spark, sf):
     return fx.contacts(spark, sf).filter(F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
 
 
+@fx.memo_plan
 def _classified(spark, sf, approval_required=False):
     verified = verify.verify_emails(fx.run_candidates(spark, sf), fx.mx_records(spark, sf))
     return funnel.classify_candidates(verified, _run_existing(spark, sf), approval_required=approval_required)
 
 
+@fx.memo_plan
 def _run(spark, sf):
     """The classified run with the sender's results merged (all candidates)."""
     return funnel.apply_send_results(fx.with_send_results(_classified(spark, sf)))
 
 
+@fx.memo_plan
 def _sent(spark, sf):
     return _run(spark, sf).filter(F.col("outcome") == "ready")
 
@@ -976,6 +985,7 @@ def q_mask_email(spark, sf):
     return fx.verify_requests(spark, sf).select("id", "email", EM.mask_email(F.col("email")).alias("masked"))
 
 
+@fx.memo_plan
 def _drafts_pair(spark, sf):
     """Main and gmail draft tables as the lookups need them (subject and html size; the html itself is not carried)."""
     c = fx.contacts(spark, sf)
@@ -996,6 +1006,7 @@ FROM (SELECT author_id, min({'p': p, 'subject': subject, 'body_html': body_html}
 ]
 
 
+@fx.memo_plan
 def _scan_drafts(spark, sf):
     main, gmail = _drafts_pair(spark, sf)
     return scans.scan_drafts(main, gmail)
@@ -1110,6 +1121,7 @@ FROM (SELECT * FROM contacts WHERE channel = '{channel}') c LEFT JOIN vout v ON
 _EXPORT_LOCAL = [("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL)]
 
 
+@fx.memo_plan
 def _export(spark, sf, channel):
     c = fx.contacts(spark, sf).filter(F.col("channel") == channel)
     v = _verdicts(spark, sf).select("id", F.col("is_deliverable").alias("email_verified"), F.col("smtp_result").alias("verification_result"))
@@ -1206,6 +1218,7 @@ _ENG = ["open_detected", "open_detected_at", "replied", "reply_sentiment", "foll
 _K1_COLS = ["channel", "id", "full_name", "email", "email_key", "contacted_at", "email_status", "approval_status"] + _ENG
 
 
+@fx.memo_plan
 def _k1_inputs(spark, sf):
     c = fx.contacts(spark, sf).select(*_K1_COLS)
     before = F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz")
@@ -1240,6 +1253,7 @@ def q_upsert_contacts(spark, sf):
     return dedupe.upsert_contacts(existing, incoming).select(*_K1_COLS)
 
 
+@fx.memo_plan
 def _logs(spark, sf, until: str | None = None):
     ev = fx.delivery_events(spark, sf)
     if until:

@@ -72,15 +72,15 @@ LANDED_SCHEMAS = {
 }
 
 
-def _memo(fn):
+def memo_plan(fn):
     """Memoise an adapter per (session, directory): DataFrames are immutable lazy plans, so reusing the
     object only saves re-building and re-analysing the same plan; nothing is computed or cached."""
     memo: dict = {}
 
-    def wrapper(spark: SparkSession, sf_dir: str, *args):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), args)
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), args, tuple(sorted(kwargs.items())))
         if key not in memo:
-            memo[key] = fn(spark, sf_dir, *args)
+            memo[key] = fn(spark, sf_dir, *args, **kwargs)
         return memo[key]
 
     wrapper.__doc__ = fn.__doc__
@@ -88,7 +88,7 @@ def _memo(fn):
     return wrapper
 
 
-@_memo
+@memo_plan
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     reader = spark.read.schema(LANDED_SCHEMAS[name]) if name in LANDED_SCHEMAS else spark.read
@@ -100,7 +100,7 @@ def _ts(s: str):
     return F.lit(s).cast("timestamp_ntz")
 
 
-@_memo
+@memo_plan
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contact attempt: orders joined to customer (the driver's shapes for the funnel table)."""
     o = read(spark, sf_dir, "orders")
@@ -167,7 +167,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
+@memo_plan
 def delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery / tracking events: view -> open, click, error -> bounce, purchase -> reply; signup is not a delivery event."""
     e = read(spark, sf_dir, "events")
@@ -182,7 +182,7 @@ def delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
+@memo_plan
 def inbound_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbound replies: purchase events of a contact, with a From header and the model's raw label text."""
     e = read(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
@@ -201,7 +201,7 @@ def inbound_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
+@memo_plan
 def mx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed MX records per domain (domain mail3 has none; exchanges end in a dot)."""
     s = read(spark, sf_dir, "supplier")
@@ -227,14 +227,14 @@ def _probe_code():
     return F.when(i % 5 == 0, 550).when(i % 5 == 1, 450).when(i % 5 == 2, F.lit(None)).otherwise(250).cast("int")
 
 
-@_memo
+@memo_plan
 def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses to verify with their landed SMTP probe code (NULL = connection blocked)."""
     c = contacts(spark, sf_dir)
     return c.select("id", "channel", "full_name", "contacted_at", _request_email().alias("email"), _probe_code().alias("probe_code"))
 
 
-@_memo
+@memo_plan
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation rows: system turns dropped; user = incoming, assistant = outgoing; ordered by turn."""
     cv = read(spark, sf_dir, "conversations").filter(F.col("role") != "system")
@@ -250,7 +250,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
+@memo_plan
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed search hits from the pages: query = page language + top-level domain, display url without http://."""
     p = read(spark, sf_dir, "pages")
@@ -266,7 +266,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
+@memo_plan
 def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Landed catalogue API responses, one JSON document per part row (authors empty when p_size % 10 = 0)."""
     p = read(spark, sf_dir, "part")
@@ -291,7 +291,7 @@ def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame
     return p.select(F.col("p_partkey").alias("response_id"), F.to_json(doc).alias("payload"))
 
 
-@_memo
+@memo_plan
 def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) -> DataFrame:
     """Webhook bodies: JSON arrays of at most ``batch_size`` consecutive delivery events."""
     ev = delivery_events(spark, sf_dir)
@@ -304,7 +304,7 @@ def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) ->
     )
 
 
-@_memo
+@memo_plan
 def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel / redirect hits as request URLs; the source parameter is present only for gmail contacts."""
     ev = delivery_events(spark, sf_dir).filter(F.col("event").isin("open", "click"))
@@ -315,7 +315,7 @@ def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", "ts", url.alias("request_url"))
 
 
-@_memo
+@memo_plan
 def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a run: the verification requests of contacts on or after the run cutoff, in id order
     (seq), with their titles; no address was found for every 17th id."""
