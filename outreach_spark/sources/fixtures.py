@@ -29,16 +29,10 @@ TABLE_KEYS = {
 }
 
 
-_SIZES: dict[str, int] = {}
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total bytes under ``path`` (one file-system call, remembered per path for the session)."""
-    if path not in _SIZES:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        _SIZES[path] = int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-    return _SIZES[path]
+def input_bytes(df: DataFrame) -> int:
+    """Bytes the scan will read, from the relation's statistics: the sum of the file sizes that
+    Spark's file index already listed when the DataFrame was created (no second listing)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, keys: list[str], size_bytes: int) -> DataFrame:
@@ -93,7 +87,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     reader = spark.read.schema(LANDED_SCHEMAS[name]) if name in LANDED_SCHEMAS else spark.read
     df = reader.parquet(path)
-    return spread(df, TABLE_KEYS[name], input_bytes(spark, path)) if name in TABLE_KEYS else df
+    return spread(df, TABLE_KEYS[name], input_bytes(df)) if name in TABLE_KEYS else df
 
 
 def _ts(s: str):
