@@ -314,3 +314,17 @@ def test_upsert_keeps_both_keys_unique(spark):
         assert any(r.id == last_id and r.email == last_email for r in out)
 
     check()
+
+
+def test_source_fallback_and_hit_scan(spark):
+    from outreach_spark.sources.scans import scan_search_hits, source_fallback
+
+    primary = spark.createDataFrame([("q1", 1, "A by X", "https://a.org", "s"), ("q1", 2, "", "b.org", "s")],
+                                    "query string, position bigint, title string, url string, snippet string")
+    secondary = spark.createDataFrame([("q1", 9, "Z", "z.org", "s"), ("q2", 1, "B by Y | Site", "b.org/x", "s"),
+                                       ("q2", 2, "C", "c.org", "s"), ("q2", 3, "D", "d.org", "s")],
+                                      "query string, position bigint, title string, url string, snippet string")
+    hits = source_fallback(primary, secondary)
+    assert sorted((r.query, r.position) for r in hits.collect()) == [("q1", 1), ("q1", 2), ("q2", 1), ("q2", 2), ("q2", 3)]
+    got = sorted((r.query, r.position, r.url, r.rank) for r in scan_search_hits(hits, 2).collect())
+    assert got == [("q1", 1, "https://a.org", 1), ("q2", 1, "https://b.org/x", 1), ("q2", 2, "https://c.org", 2)]
