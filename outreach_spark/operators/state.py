@@ -9,7 +9,6 @@ All paths live under the shared folder named by ``spark.checkpoint.dir`` (or a t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
