@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import op06_simhash_trie as op6
 from . import op10_quality_rules as op10
 from .common import read_table
 
 
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = op6.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op10.judge_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash_trie": op6_simhash_trie,
     "op10_quality_rules": op10_quality_rules,
 }
 
