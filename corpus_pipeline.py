@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from outreach_spark.llm import op03_line_winnow as op3
+from outreach_spark.llm import op06_simhash_trie as op6
 from outreach_spark.llm import op10_quality_rules as op10
 from outreach_spark.llm.common import cut, read_table
 
@@ -17,8 +19,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op10.filter_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of 50 words or more that occurred before lose their lines; every document stays."""
+    return op3.dedup_lines(docs, min_words=50)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays: four-word shingles, at most four differing bits."""
+    return op6.keep_one_per_group(docs, words=4, max_bits=4)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
 ]
 
 #: The classifier, the fingerprints and the tokenizer cannot be stated in SQL.

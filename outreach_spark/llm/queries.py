@@ -7,11 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import op03_line_winnow as op3
 from . import op06_simhash_trie as op6
 from . import op10_quality_rules as op10
 from .common import read_table
 
 
+def op3_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.dedup_lines(read_table(spark, sf_dir, "documents"), min_words=50)
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+n AS (
+  SELECT *, row_number() OVER d AS r, sum(w) OVER (d ROWS UNBOUNDED PRECEDING) AS c
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE w > 0
+  WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (
+  SELECT a.doc_id, a.r AS lo, b.r AS hi FROM n a JOIN n b
+  ON a.doc_id = b.doc_id AND b.r >= a.r AND b.r < a.r + 50 AND b.c >= a.c - a.w + 50),
+win AS (
+  SELECT doc_id, lo, min(hi) AS hi FROM p GROUP BY doc_id, lo
+  UNION
+  SELECT doc_id, max(lo) AS lo, hi FROM p GROUP BY doc_id, hi),
+runs AS (
+  SELECT win.doc_id, lo, hi, string_agg(line, chr(10) ORDER BY r) AS run
+  FROM win JOIN n ON n.doc_id = win.doc_id AND n.r BETWEEN lo AND hi GROUP BY ALL),
+later AS (
+  SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, lo) AS k FROM runs) WHERE k > 1),
+gone AS (
+  SELECT DISTINCT n.doc_id, n.pos FROM later JOIN n ON n.doc_id = later.doc_id AND n.r BETWEEN lo AND hi),
+kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY l.doc_id),
+changed AS (SELECT DISTINCT doc_id FROM gone)
+SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, d.lang, d.source,
+  CASE WHEN c.doc_id IS NULL THEN d.n_chars ELSE length(coalesce(k.text, '')) END AS n_chars
+FROM documents d LEFT JOIN changed c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = op6.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,8 +59,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_winnow": op3_line_winnow,
     "op6_simhash_trie": op6_simhash_trie,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_winnow": OP3_SQL,
+}
