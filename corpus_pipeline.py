@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from outreach_spark.llm import op03_line_winnow as op3
+from outreach_spark.llm import op05_rff_quality as op5
 from outreach_spark.llm import op06_simhash_trie as op6
 from outreach_spark.llm import op10_quality_rules as op10
 from outreach_spark.llm.common import cut, read_table
@@ -19,6 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op10.filter_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3 go."""
+    return op5.filter_documents(docs, read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words or more that occurred before lose their lines; every document stays."""
     return op3.dedup_lines(docs, min_words=50)
@@ -31,6 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
 ]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op03_line_winnow as op3
+from . import op05_rff_quality as op5
 from . import op06_simhash_trie as op6
 from . import op10_quality_rules as op10
 from .common import read_table
@@ -48,6 +49,11 @@ FROM documents d LEFT JOIN changed c USING (doc_id) LEFT JOIN kept k USING (doc_
 """
 
 
+def op5_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = op5.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = op6.simhash_groups(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,6 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_winnow": op3_line_winnow,
+    "op5_rff_quality": op5_rff_quality,
     "op6_simhash_trie": op6_simhash_trie,
     "op10_quality_rules": op10_quality_rules,
 }
