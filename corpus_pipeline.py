@@ -6,11 +6,13 @@ Each stage reads its predecessor's written Parquet as ``docs`` and calls one ope
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from outreach_spark.llm import op03_line_winnow as op3
 from outreach_spark.llm import op05_rff_quality as op5
 from outreach_spark.llm import op06_simhash_trie as op6
+from outreach_spark.llm import op08_harmonic_packing as op8
 from outreach_spark.llm import op10_quality_rules as op10
 from outreach_spark.llm.common import cut, read_table
 
@@ -35,11 +37,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op6.keep_one_per_group(docs, words=4, max_bits=4)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of at most 2048 ids."""
+    return op8.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("quality_classifier", quality_classifier),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("packing", packing),
 ]
 
 #: The classifier, the fingerprints and the tokenizer cannot be stated in SQL.

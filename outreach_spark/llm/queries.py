@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op03_line_winnow as op3
 from . import op05_rff_quality as op5
 from . import op06_simhash_trie as op6
+from . import op08_harmonic_packing as op8
 from . import op10_quality_rules as op10
 from .common import read_table
 
@@ -59,6 +61,10 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op10.judge_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_winnow": op3_line_winnow,
     "op5_rff_quality": op5_rff_quality,
     "op6_simhash_trie": op6_simhash_trie,
+    "op8_harmonic_packing": op8_harmonic_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
