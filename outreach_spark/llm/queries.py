@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import op02_automaton_bpe as op2
 from . import op03_line_winnow as op3
 from . import op05_rff_quality as op5
 from . import op06_simhash_trie as op6
@@ -16,6 +17,11 @@ from . import op10_quality_rules as op10
 from .common import read_table
 
 
+def op2_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = op2.round_trip(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.dedup_lines(read_table(spark, sf_dir, "documents"), min_words=50)
 
@@ -71,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_automaton_bpe": op2_automaton_bpe,
     "op3_line_winnow": op3_line_winnow,
     "op5_rff_quality": op5_rff_quality,
     "op6_simhash_trie": op6_simhash_trie,
@@ -79,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_automaton_bpe": op2_automaton_bpe,
     "op3_line_winnow": OP3_SQL,
 }
