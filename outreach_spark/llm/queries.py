@@ -12,6 +12,7 @@ from . import op02_automaton_bpe as op2
 from . import op03_line_winnow as op3
 from . import op05_rff_quality as op5
 from . import op06_simhash_trie as op6
+from . import op07_prefix_counts as op7
 from . import op08_harmonic_packing as op8
 from . import op10_quality_rules as op10
 from .common import read_table
@@ -67,6 +68,11 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = op7.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_winnow": op3_line_winnow,
     "op5_rff_quality": op5_rff_quality,
     "op6_simhash_trie": op6_simhash_trie,
+    "op7_prefix_counts": op7_prefix_counts,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op10_quality_rules": op10_quality_rules,
 }
