@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import local_file, map_texts
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the vocabulary's cut of a text into words, with white space spelled out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Words kept per task with their ids; the cache starts anew beyond it.
+#: Words kept per worker with their ids; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
 #: Texts encoded together: their words bound a task's memory.
 SLICE = 256
@@ -217,18 +218,24 @@ class Encoder:
         words = set().union(*cuts)
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        new = list(words - self.known.keys())
+        new = [w for w in words if w not in self.known]
         if new:
             self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cuts]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, lexicon_file: str) -> Encoder:
+    """One per Python worker: its bounded tables serve all tasks of the worker."""
+    return Encoder(path, Automaton(np.load(lexicon_file, mmap_mode="r")))
+
+
 def encode(docs: DataFrame, path: str, lexicon: str, out: str = "encoded", text_col: str = "text") -> DataFrame:
     """``docs`` plus the struct ``out``: ``ids`` (binary) and ``n_tokens``. ``lexicon``: from ``build_lexicon``."""
 
     def make():
-        run = Encoder(path, Automaton(np.load(SparkFiles.get(lexicon), mmap_mode="r")))
+        run = _encoder(path, SparkFiles.get(lexicon))
 
         def work(texts: list[bytes]) -> list:
             ids = [x for i in range(0, len(texts), SLICE) for x in run([t.decode() for t in texts[i : i + SLICE]])]

@@ -26,6 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from .common import cut
 
 #: Fixed value: the vocabulary's cut of a lower-cased run, with white space spelled out.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
-#: Words kept per task with their ids; the cache starts anew beyond it.
+#: Words kept per worker with their ids; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
 
 
@@ -58,13 +59,15 @@ def cut_lengths(n: int, capacity: int, slack: float = 0.02, fine: int = 24) -> l
     return out
 
 
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit integers, equal to the tokenizers library's.
 
     The vocabulary's tokenizer lower-cases, drops white space and cuts the rest into letters, single
-    digits and marks. A text of Latin letters is cut here, and each distinct part is merged once per task.
+    digits and marks. A text of Latin letters is cut here, and each distinct part is merged once.
     A text with other letters (which may need normalising) or with a special token is cut at spaces and
     newlines, where its encoding falls apart anyway, and each distinct run goes through the library once.
+    The bounded tables of a Python worker serve all its tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -80,7 +83,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         words = set().union(*cuts)
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        new = list(words - known.keys())
+        new = [w for w in words if w not in known]
         known.update(zip(new, encode_new(new)))
         return [b"".join(map(known.__getitem__, c)) for c in cuts]
 
