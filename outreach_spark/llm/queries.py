@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import op02_automaton_bpe as op2
 from . import op03_line_winnow as op3
+from . import op04_vantage_trees as op4
 from . import op05_rff_quality as op5
 from . import op06_simhash_trie as op6
 from . import op07_prefix_counts as op7
@@ -58,6 +59,24 @@ FROM documents d LEFT JOIN changed c USING (doc_id) LEFT JOIN kept k USING (doc_
 """
 
 
+def op4_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, factor=1.0)
+
+
+#: The search is exact at factor 1, so SQL states it.
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+
 def op5_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = op5.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -85,6 +104,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_automaton_bpe": op2_automaton_bpe,
     "op3_line_winnow": op3_line_winnow,
+    "op4_vantage_trees": op4_vantage_trees,
     "op5_rff_quality": op5_rff_quality,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_prefix_counts": op7_prefix_counts,
@@ -95,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_automaton_bpe": op2_automaton_bpe,
     "op3_line_winnow": OP3_SQL,
+    "op4_vantage_trees": OP4_SQL,
 }
