@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import op01_url_rules as op1
 from . import op02_automaton_bpe as op2
 from . import op03_line_winnow as op3
 from . import op04_vantage_trees as op4
@@ -19,6 +20,20 @@ from . import op10_quality_rules as op10
 from .common import read_table
 
 
+#: The fixed rules of the url query.
+URL_RULES = [
+    op1.parse_rule("allow", "org/"),
+    op1.parse_rule("block", "example.org/es/"),
+    op1.parse_rule("block", "example.org/en/1"),
+    op1.parse_rule("allow", "com/fr/"),
+    op1.parse_rule("block", "com/de/"),
+]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES, min_support=0.01, min_confidence=0.8)
+
+
 def op2_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = op2.round_trip(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
@@ -102,6 +117,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_rules": op1_url_rules,
     "op2_automaton_bpe": op2_automaton_bpe,
     "op3_line_winnow": op3_line_winnow,
     "op4_vantage_trees": op4_vantage_trees,
@@ -113,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_rules": op1_url_rules,
     "op2_automaton_bpe": op2_automaton_bpe,
     "op3_line_winnow": OP3_SQL,
     "op4_vantage_trees": OP4_SQL,
