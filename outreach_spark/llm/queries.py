@@ -16,6 +16,7 @@ from . import op05_rff_quality as op5
 from . import op06_simhash_trie as op6
 from . import op07_prefix_counts as op7
 from . import op08_harmonic_packing as op8
+from . import op09_gru_scoring as op9
 from . import op10_quality_rules as op10
 from .common import read_table
 
@@ -111,6 +112,10 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.score_documents(read_table(spark, sf_dir, "documents"), held_fold=(7, 2))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op10.judge_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_trie": op6_simhash_trie,
     "op7_prefix_counts": op7_prefix_counts,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op9_gru_scoring": op9_gru_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 
