@@ -109,3 +109,13 @@ SOURCE_LOC = "Library of Congress"
 SOURCE_GUTENDEX = "Project Gutenberg"
 SOURCE_WEB_SEARCH = "Web Search"
 GUTENDEX_DESCRIPTION = "Classic/Public Domain seed"
+
+# log and message texts (fixed values)
+LOG_OPENED = "Email opened by author "
+LOG_CLICKED = "Link clicked by author "
+LOG_GMAIL_SUFFIX = " (Gmail)"
+LOG_REPLY_MAIN = "Reply from main channel author: "
+LOG_REPLY_GMAIL = "Reply from Gmail channel author: "
+LOG_REPLY_WEBHOOK = "Reply received via webhook from: "
+REPLY_SUBJECT = "Re: Invitation"
+REPLY_SUBJECT_WEBHOOK = "Re: Invitation (Webhook)"

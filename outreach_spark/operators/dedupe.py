@@ -7,7 +7,7 @@ starts with the ordering key), so a hot key is combined map-side instead of bein
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as SC
@@ -18,6 +18,12 @@ def _keyed(df: DataFrame, col: str = "email") -> DataFrame:
     return df if "email_key" in df.columns else df.withColumn("email_key", email_key(col))
 
 
+def spread_key(key: Column, row: Column) -> Column:
+    """A left-join key under which rows without ``key`` are dealt by ``row`` and match nothing (no address
+    holds a space)."""
+    return F.coalesce(key, F.concat(F.lit("no key "), row.cast("string")))
+
+
 def not_contacted(candidates: DataFrame, contacts: DataFrame, scope: str = "both") -> DataFrame:
     """J1 (scope='main') / J2 (scope='both'): drop candidates whose email was contacted in the scope."""
     if scope not in ("main", "gmail", "both"):
@@ -70,27 +76,34 @@ def cross_channel_overlap(contacts: DataFrame) -> DataFrame:
 def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "seq") -> DataFrame:
     """K1: insert-or-replace with two unique keys (id and email_key).
 
-    Rows are applied in order: ``existing`` first, then ``incoming`` by ``order_col``. A row survives
-    iff no later row shares its id or its email_key. When a surviving row replaced an existing row
-    with the same id, that row's engagement columns are kept (D7). Works on the contact columns
-    ``existing`` has (id and email_key required), so callers carry only what they need.
+    Rows are applied in order: ``existing`` first, then ``incoming`` by (``order_col``, id, address); the
+    column is required, since without an order "the last one wins" has no meaning. A row survives iff no
+    later row shares its id or its email_key. When a surviving row replaced an existing row with the same id,
+    that row's engagement columns are kept (D7). Works on the contact columns ``existing`` has (id and
+    email_key required), so callers carry only what they need.
+
+    The order of a row is one decimal (0 for existing rows), so both "last" aggregates hash narrow rows; the
+    engagement of replaced rows is read for the incoming ids only.
     """
+    if order_col not in incoming.columns:
+        raise ValueError(f"upsert_contacts needs the order column {order_col!r} on the incoming rows")
     cols = [f.name for f in SC.CONTACTS.fields if f.name in existing.columns]
-    old = existing.select(*cols).withColumn("_v", F.lit(0).cast("bigint"))
-    order = F.col(order_col).cast("bigint") + 1 if order_col in incoming.columns else F.lit(1).cast("bigint")
-    new = incoming.select(*cols, order.alias("_v"))
-    allrows = old.unionByName(new)
-    # per id: the latest version, and the engagement of the existing row (version 0) if there is one
-    by_id = allrows.groupBy("id").agg(
-        F.max("_v").alias("_vid"),
-        F.max(F.when(F.col("_v") == 0, F.struct(*[F.col(c) for c in SC.ENGAGEMENT_COLUMNS if c in cols]))).alias("_old"))
-    last_by_email = allrows.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(F.max("_v").alias("_vem"))
+    kept = [c for c in SC.ENGAGEMENT_COLUMNS if c in cols]
+    wide = "decimal(38,0)"
+    at = (F.col(order_col).cast(wide) + F.lit(1)) * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("id").cast(wide) + F.lit(str(2**63)).cast("decimal(20,0)")
+    batch = incoming.dropDuplicates([order_col, "id", "email_key"]).select(*cols, at.cast(wide).alias("_v"))
+    rows = existing.select(*cols, F.lit(0).cast(wide).alias("_v")).unionByName(batch)
+    by_id = rows.groupBy("id").agg(F.max("_v").alias("_vid"))
+    by_email = rows.filter(F.col("email_key").isNotNull()).groupBy(F.col("email_key").alias("_k")).agg(F.max("_v").alias("_vem"))
     survivors = (
-        allrows.join(by_id, "id").join(last_by_email, "email_key", "left")
-        .filter((F.col("_v") == F.col("_vid")) & (F.col("_vem").isNull() | (F.col("_v") == F.col("_vem"))))
+        rows.join(by_id, "id").filter(F.col("_v") == F.col("_vid"))
+        .withColumn("_k", spread_key(F.col("email_key"), F.col("id"))).join(by_email, "_k", "left")
+        .filter(F.col("_vem").isNull() | (F.col("_v") == F.col("_vem")))
     )
+    if not kept:
+        return survivors.select(*cols)
+    replaced = existing.join(incoming.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max(F.struct(*kept)).alias("_old"))
     carried = (F.col("_v") > 0) & F.col("_old").isNotNull()
-    return survivors.select(*[
-        F.when(carried, F.col("_old")[c]).otherwise(F.col(c)).alias(c) if c in SC.ENGAGEMENT_COLUMNS else F.col(c)
-        for c in cols
+    return survivors.join(replaced, "id", "left").select(*[
+        F.when(carried, F.col("_old")[c]).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in cols
     ])

@@ -35,12 +35,9 @@ def default_tokens(contacts: DataFrame, token_map: str | None = None) -> dict[st
     return _token_columns(token_map if token_map and token_map in contacts.columns else None)
 
 
-_RENDER_EXPRS: dict = {}
-
-
 def _render_columns(template: str, run_date: str, tracking_base: str | None, default_subject: str,
                     token_map: str | None, source: str | None):
-    """The three projections of a render, built from column names only (reusable across DataFrames)."""
+    """The projections of a render, one after the other."""
     stage1 = ["id", "channel", TX.fill_template(template, _token_columns(token_map)).alias("_text")]
     stage2 = ["id", "channel", TX.draft_subject(F.col("_text"), default_subject).alias("subject"), TX.draft_body(F.col("_text")).alias("body_plain")]
     html = TX.paragraphs_html(F.col("body_plain"))
@@ -64,16 +61,12 @@ def render_drafts(contacts: DataFrame, template: str, run_date: str, tracking_ba
                   default_subject: str = K.DEFAULT_INVITATION_SUBJECT, token_map: str | None = None,
                   source: str | None = None) -> DataFrame:
     """Fill -> split subject / body -> <p> paragraphs -> tracking pixel -> quality columns.
-
-    The projections depend only on the parameters, so they are built once per application and
-    reused (they name columns; each DataFrame resolves them itself).
     """
     tm = token_map if token_map and token_map in contacts.columns else None
-    key = (contacts.sparkSession.sparkContext.applicationId, template, run_date, tracking_base, default_subject, tm, source)
-    if key not in _RENDER_EXPRS:
-        _RENDER_EXPRS[key] = _render_columns(template, run_date, tracking_base, default_subject, tm, source)
-    stage1, stage2, stage3 = _RENDER_EXPRS[key]
-    return contacts.select(*stage1).select(*stage2).select(*stage3)
+    out = contacts
+    for stage in _render_columns(template, run_date, tracking_base, default_subject, tm, source):
+        out = out.select(*stage)
+    return out
 
 
 DRAFT_INVITATION_COLS = ["invitation_subject", "invitation_body_html", "invitation_body_plain", "tokens_used", "saved_at"]

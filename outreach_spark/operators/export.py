@@ -63,10 +63,17 @@ def export_contacts(profiles: DataFrame, run_date: str, channel: str = "main") -
 
 
 def export_status_patch(export: DataFrame, patches: DataFrame) -> DataFrame:
-    """K8: by-id patches (status + sent time, subject, open + time, follow-up status + time); NULL = unchanged."""
+    """K8: by-id patches (status + sent time, subject, open + time, follow-up status + time); NULL = unchanged.
+
+    Several patches of one id are merged: per column the value of the latest patch by ``patch_seq`` that has
+    one (without that column, the largest value)."""
     pcols = [c for c in ["email_status", "date_email_sent", "email_subject_used", "open_detected", "open_detected_at",
                          "followup_status", "followup_sent_at"] if c in patches.columns]
-    p = patches.select(F.col("author_id"), *[F.col(c).alias("_p_" + c) for c in pcols])
+    if "patch_seq" in patches.columns:
+        merged = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("patch_seq"))).alias("_p_" + c) for c in pcols]
+    else:
+        merged = [F.max(c).alias("_p_" + c) for c in pcols]
+    p = patches.groupBy("author_id").agg(*merged)
     j = export.join(p, "author_id", "left")
     return j.select(*[F.coalesce(F.col("_p_" + c), F.col(c)).alias(c) if c in pcols else F.col(c) for c in export.columns])
 

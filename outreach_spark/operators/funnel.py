@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.emails import email_key
+from .dedupe import spread_key
 from .metrics import _ts, bounce_rate
 from .topn import top_n_per_group
 
@@ -47,17 +48,6 @@ def breaker_gate(candidates: DataFrame, contacts: DataFrame, channel: str = "mai
     return candidates.filter(rate <= F.lit(threshold))
 
 
-def warmup_caps(contacts: DataFrame, as_of, caps: dict = K.DAILY_CAP) -> DataFrame:
-    """Per channel cap = min(daily cap, base + per_day x days running); one row per channel."""
-    days = F.coalesce(F.greatest(F.lit(1).cast("bigint"), F.timestamp_diff("DAY", F.min("contacted_at"), _ts(as_of))), F.lit(1).cast("bigint"))
-    per = contacts.groupBy("channel").agg(days.alias("days_running"))
-    cap_map = F.create_map(*[x for ch, v in caps.items() for x in (F.lit(ch), F.lit(v))])
-    base_map = F.create_map(*[x for ch, v in K.WARMUP_BASE.items() for x in (F.lit(ch), F.lit(v))])
-    step_map = F.create_map(*[x for ch, v in K.WARMUP_PER_DAY.items() for x in (F.lit(ch), F.lit(v))])
-    cap = F.least(cap_map[F.col("channel")], base_map[F.col("channel")] + step_map[F.col("channel")] * F.col("days_running"))
-    return per.select("channel", "days_running", cap.cast("bigint").alias("cap"))
-
-
 def warmup_cap_expr(contacts: DataFrame, as_of, caps: dict = K.DAILY_CAP) -> Column:
     """W2 cap as a column: per channel of the fixed vocabulary, min(daily cap, base + per_day x days
     running), with days running as a scalar subquery per channel (no join, no broadcast)."""
@@ -102,33 +92,39 @@ def classify_candidates(candidates: DataFrame, contacts: DataFrame, verdicts: Da
                         approval_required: bool = False, scope: str = "both", verdict_key: str = "email_key") -> DataFrame:
     """Outcome per candidate (the funnel flagship).
 
-    no_email -> already_contacted (seen in ``scope`` of ``contacts``, or a later duplicate within the
-    run whose first occurrence went on) -> undeliverable -> pending_approval | ready.
+    Candidates are taken in ``seq`` order: no_email -> already_contacted (seen in ``scope`` of
+    ``contacts``, or an earlier deliverable row of the run went on with the address) -> undeliverable ->
+    pending_approval | ready. An undeliverable row marks nothing, so a later deliverable row of its
+    address still goes on.
 
     Verdict columns (smtp_result, is_deliverable) are either already on the candidate rows (the
-    output of ``verify_emails``) or joined from ``verdicts`` on ``verdict_key``. "Seen before" and
-    "first in this run" come from ONE aggregation over (previous addresses UNION run addresses), so a
-    hot address is combined map-side and joined back once.
+    output of ``verify_emails``) or joined from ``verdicts`` on ``verdict_key``. "Seen before" and "first
+    deliverable of this run" come from ONE aggregation over (previous addresses UNION run addresses), so
+    a hot address is combined map-side and joined back once. Rows without an address are dealt by seq,
+    under a key that no address has.
     """
     c = candidates.withColumn("email_key", email_key(F.col("email")))
     if verdicts is not None:
-        c = c.join(verdicts.select(verdict_key, "smtp_result", "is_deliverable"), verdict_key, "left")
-    seen = contacts if scope == "both" else contacts.filter(F.col("channel") == scope)
-    keys = seen.select("email_key", F.lit(True).alias("_seen"), F.lit(None).cast("bigint").alias("_seq")).unionByName(
-        c.select("email_key", F.lit(False).alias("_seen"), F.col("seq").cast("bigint").alias("_seq")))
-    stats = keys.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(
-        F.max("_seen").alias("_seen"), F.min("_seq").alias("_first_seq"))
-    j = c.join(stats, "email_key", "left")
+        one = verdicts.filter(F.col(verdict_key).isNotNull()).groupBy(verdict_key).agg(
+            F.max(F.struct("is_deliverable", "smtp_result")).alias("_v")).select(verdict_key, "_v.smtp_result", "_v.is_deliverable")
+        c = c.join(one, verdict_key, "left")
     deliverable = F.coalesce(F.col("is_deliverable"), F.lit(False))
+    seen = contacts if scope == "both" else contacts.filter(F.col("channel") == scope)
+    no_seq = F.lit(None).cast("bigint")
+    keys = seen.filter(F.col("email_key").isNotNull()).select("email_key", F.lit(True).alias("_seen"), no_seq.alias("_seq")).unionByName(
+        c.filter(F.col("email_key").isNotNull()).select("email_key", F.lit(False).alias("_seen"), F.when(deliverable, F.col("seq")).cast("bigint").alias("_seq")))
+    stats = keys.groupBy("email_key").agg(F.max("_seen").alias("_seen"), F.min("_seq").alias("_first_seq"))
     outcome = (
         F.when(F.col("email_key").isNull(), "no_email")
         .when(F.coalesce(F.col("_seen"), F.lit(False)), "already_contacted")
-        .when((F.col("seq") != F.col("_first_seq")) & deliverable, "already_contacted")
+        .when(F.col("seq") > F.col("_first_seq"), "already_contacted")
         .when(~deliverable, "undeliverable")
         .when(F.lit(approval_required), "pending_approval")
         .otherwise("ready")
     )
-    return j.withColumn("outcome", outcome).drop("_seen", "_first_seq")
+    dealt = c.withColumn("_k", spread_key(F.col("email_key"), F.col("seq")))
+    j = dealt.join(stats.withColumnRenamed("email_key", "_k"), "_k", "left")
+    return j.withColumn("outcome", outcome).drop("_k", "_seen", "_first_seq")
 
 
 def apply_send_results(run: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -139,7 +135,10 @@ def apply_send_results(run: DataFrame, results: DataFrame | None = None) -> Data
     Ready rows without a result stay 'pending'; rows that were not ready get NULL.
     """
     if results is not None:
-        r = results.select("id", F.col("status"), F.col("sent_at"), F.col("error"))
+        # one result per id: the latest, a success before a failure at one time
+        ok = F.col("status").isin("sent", "dry_run")
+        last = results.groupBy("id").agg(F.max(F.struct("sent_at", ok.alias("_ok"), "status", "error")).alias("_r"))
+        r = last.select("id", "_r.status", "_r.sent_at", "_r.error")
         run = run.drop(*[c for c in ("status", "sent_at", "error") if c in run.columns]).join(r, "id", "left")
     ready = F.col("outcome") == "ready"
     return (
@@ -186,7 +185,8 @@ def run_summary(run: DataFrame) -> DataFrame:
 def followup_summary(eligible: DataFrame, results: DataFrame) -> DataFrame:
     """Per channel: eligible authors, follow-ups sent and failed, first 5 errors."""
     e = eligible.groupBy("channel").agg(F.count("*").alias("eligible_authors"))
-    r = eligible.select("id", "channel", F.col("id").alias("seq")).join(results.select("id", "status", "error"), "id")
+    one = results.groupBy("id").agg(F.min(F.struct((F.col("status") != "sent").alias("_failed"), "status", "error")).alias("_r"))
+    r = eligible.select("id", "channel", F.col("id").alias("seq")).join(one.select("id", "_r.status", "_r.error"), "id")
     s = r.groupBy("channel").agg(F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(F.col("status") != "sent").alias("failed"))
     errs = r.filter(F.col("status") != "sent").select("channel", "seq", F.concat(F.lit("Follow-up failed for "), F.col("id").cast("string"), F.lit(": "), F.coalesce("error", F.lit("unknown error"))).alias("message"))
     out = e.join(s, "channel", "left").join(_first_errors(errs, ["channel"]), "channel", "left")

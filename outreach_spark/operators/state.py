@@ -8,7 +8,11 @@ All paths live under the shared folder named by ``spark.checkpoint.dir`` (or a t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -17,14 +21,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def committed_versions(spark: SparkSession, root: str) -> list[int]:
+def committed_versions(spark: SparkSession, root: str, prefix: str = "version=") -> list[int]:
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("version=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
+        if name.startswith(prefix) and fs.exists(st.getPath().suffix("/_SUCCESS")):
             out.append(int(name.split("=", 1)[1]))
     return sorted(out)
 
@@ -40,31 +44,123 @@ def read_latest(spark: SparkSession, root: str, schema=None) -> DataFrame | None
 
 
 def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> int:
-    """Write ``df`` as the next version (or the given one, e.g. a streaming batch id). Returns the version.
+    """Write ``df`` as the next version (or the given one). Returns the version.
 
-    A version that is already committed is left as it is (replay of the same batch)."""
+    A version that is already committed raises: nothing is dropped or overwritten without notice."""
     spark = df.sparkSession
     versions = committed_versions(spark, root)
     v = (versions[-1] + 1 if versions else 0) if version is None else version
     if v in versions:
-        return v
+        raise ValueError(f"version {v} of {root} is already committed")
     df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={v:09d}")
     return v
 
 
 def append_new(existing: DataFrame | None, incoming: DataFrame, key: str) -> DataFrame:
-    """K4 / K5: rows of ``incoming`` whose key is new (deduplicated within the batch too)."""
-    new = incoming.dropDuplicates([key])
+    """K4 / K5: rows of ``incoming`` whose key is new. Of rows with one key in the batch the smallest (by all
+    columns) stays, so a retry keeps the same row."""
+    rest = [c for c in incoming.columns if c != key]
+    new = incoming.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in incoming.columns])
     if existing is None:
         return new
     return new.join(existing.select(key), key, "left_anti")
 
 
-def append_rows(df: DataFrame, root: str, key: str) -> DataFrame:
-    """Append the rows whose ``key`` is not yet in the table at ``root``; returns the appended rows."""
+def append_rows(df: DataFrame, root: str, key: str, buckets: int = 64) -> DataFrame:
+    """Append the rows whose ``key`` is not yet in the table at ``root``; returns the appended rows, read
+    back from what was written.
+
+    The table is partitioned by a hash bucket of the key, so only the buckets that the batch touches are
+    searched for its keys.
+    """
     spark = df.sparkSession
     fs, p = _fs(spark, root)
-    existing = spark.read.parquet(root) if fs.exists(p) else None
-    new = append_new(existing, df, key)
-    new.write.mode("append").parquet(root)
-    return new
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    existing = spark.read.parquet(f"{root.rstrip('/')}/rows") if fs.exists(p) else None
+    part = f"{root.rstrip('/')}/incoming/{uuid.uuid4().hex}"
+    df.withColumn("bucket", bucket).write.parquet(part)  # the batch is evaluated once
+    batch = spark.read.parquet(part)
+    if existing is not None:
+        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        existing = existing.filter(F.col("bucket").isin(touched))
+    done = f"{root.rstrip('/')}/appended/{uuid.uuid4().hex}"
+    append_new(existing, batch, key).write.parquet(done)
+    new = spark.read.parquet(done)
+    new.write.mode("append").partitionBy("bucket").parquet(f"{root.rstrip('/')}/rows")
+    return new.drop("bucket")
+
+
+def read_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The table that ``append_rows`` keeps."""
+    return spark.read.parquet(f"{root.rstrip('/')}/rows").drop("bucket")
+
+
+class BucketedState:
+    """Keyed state of a stream as a table of hash buckets; a micro-batch rewrites only buckets it touches.
+
+    A commit writes the touched buckets under ``data/batch=N`` and then a manifest ``manifest/batch=N`` (the
+    batch that holds each bucket's current rows, and the owner: the stream's checkpoint). A batch whose
+    manifest exists is a replay: with the same owner nothing is done, with another one (a new checkpoint
+    that starts at 0 again) an error is raised instead of dropping batches.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], owner: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.keys, self.owner, self.buckets = spark, root.rstrip("/"), keys, owner, buckets
+
+    def _manifest(self) -> tuple[int, dict[int, int]]:
+        """Last committed batch (-1: none) and the batch of each bucket."""
+        versions = committed_versions(self.spark, f"{self.root}/manifest", "batch=")
+        if not versions:
+            return -1, {}
+        rows = self.spark.read.schema("bucket int, at bigint, owner string").parquet(f"{self.root}/manifest/batch={versions[-1]}").collect()
+        owners = {r.owner for r in rows}
+        if owners != {self.owner}:
+            raise ValueError(f"{self.root} belongs to another stream checkpoint ({owners}); migrate it or use a new folder")
+        return versions[-1], {r.bucket: r.at for r in rows if r.bucket >= 0}
+
+    def _paths(self, where: dict[int, int]) -> list[str]:
+        return [f"{self.root}/data/batch={at}/bucket={b}" for b, at in sorted(where.items())]
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def read(self) -> DataFrame | None:
+        """The current state, or None before the first commit."""
+        _, where = self._manifest()
+        return self.spark.read.parquet(*self._paths(where)) if where else None
+
+    def commit(self, updates: DataFrame, merge: Callable[[DataFrame], DataFrame], batch: int) -> bool:
+        """Merge ``updates`` (rows in the state's schema) into the state: ``merge`` reduces the union of old and
+        new rows of the touched buckets to one row per key. False when the batch was committed before."""
+        last, where = self._manifest()
+        if batch <= last:
+            return False
+        touched = [r.b for r in updates.select(self.bucket().alias("b")).distinct().collect()]  # at most ``buckets`` rows
+        if touched:
+            old = self._paths({b: where[b] for b in touched if b in where})
+            rows = updates.unionByName(self.spark.read.parquet(*old)) if old else updates
+            merged = merge(rows).withColumn("bucket", self.bucket())
+            merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/batch={batch}")
+            where |= {b: batch for b in touched}
+        manifest = [(b, at, self.owner) for b, at in where.items()] or [(-1, batch, self.owner)]
+        self.spark.createDataFrame(manifest, "bucket int, at bigint, owner string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+        self._compact(batch, where)
+        return True
+
+    def _compact(self, batch: int, where: dict[int, int], keep: int = 2) -> None:
+        """Drop bucket versions and manifests that no reader of the last ``keep`` commits can need."""
+        versions = committed_versions(self.spark, f"{self.root}/manifest", "batch=")
+        for old in versions[:-keep]:
+            fs, p = _fs(self.spark, f"{self.root}/manifest/batch={old}")
+            fs.delete(p, True)
+        recent = self.spark.read.schema("bucket int, at bigint").parquet(*[f"{self.root}/manifest/batch={v}" for v in versions[-keep:]]).distinct().collect()
+        used = {(r.bucket, r.at) for r in recent}
+        fs, p = _fs(self.spark, f"{self.root}/data")
+        if not fs.exists(p):
+            return
+        for written in fs.listStatus(p):
+            at = int(written.getPath().getName().split("=", 1)[1])
+            for part in fs.listStatus(written.getPath()):
+                name = part.getPath().getName()
+                if name.startswith("bucket=") and (int(name.split("=", 1)[1]), at) not in used and at < batch:
+                    fs.delete(part.getPath(), True)

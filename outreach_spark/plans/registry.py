@@ -180,7 +180,6 @@ def q_reply_state(spark, sf):
     return engagement.reply_state(r)
 
 
-@fx.memo_plan
 def _usage(spark, sf):
     d = fx.read(spark, sf, "documents")
     return d.select(F.col("n_chars").alias("input_tokens"), TX.word_count(F.col("text")).cast("bigint").alias("output_tokens"))
@@ -380,7 +379,6 @@ SELECT id, channel, full_name, contacted_at, email, probe_code, syntax_valid, (s
 FROM verdict"""
 
 
-@fx.memo_plan
 def _verdicts(spark, sf):
     return verify.verify_emails(fx.verify_requests(spark, sf), fx.mx_records(spark, sf))
 
@@ -421,7 +419,6 @@ FROM (SELECT nullif(lower(trim(email)), '') AS email_key,
       FROM vout WHERE nullif(lower(trim(email)), '') IS NOT NULL GROUP BY 1)"""
 
 
-@fx.memo_plan
 def _cache(spark, sf, before: str | None = None):
     v = _verdicts(spark, sf)
     if before:
@@ -608,7 +605,6 @@ def q_resolve_email(spark, sf):
 _CAT_WHERE = "WHERE p_size % 10 <> 0"
 
 
-@fx.memo_plan
 def _catalog(spark, sf, kind):
     readers = {"google_books": catalog.catalog_google_books, "open_library": catalog.catalog_open_library,
                "loc": catalog.catalog_loc, "gutendex": catalog.catalog_gutendex}
@@ -646,7 +642,6 @@ def q_catalog_gutendex(spark, sf):
 SOURCE_ORDER = [K.SOURCE_GOOGLE_BOOKS, K.SOURCE_OPEN_LIBRARY, K.SOURCE_LOC, K.SOURCE_GUTENDEX, K.SOURCE_WEB_SEARCH]
 
 
-@fx.memo_plan
 def _all_stubs(spark, sf):
     parts = [_catalog(spark, sf, k).withColumnRenamed("response_id", "seq") for k in ["google_books", "open_library", "loc", "gutendex"]]
     h = fx.search_hits(spark, sf).withColumn("url", scans.with_scheme(F.col("url")))
@@ -688,13 +683,13 @@ CLASSIFIED_SQL = f"""
 SELECT c.*, v.smtp_result, v.is_deliverable,
   CASE WHEN c.email_key IS NULL THEN 'no_email'
        WHEN s.email_key IS NOT NULL THEN 'already_contacted'
-       WHEN c.seq <> f.first_seq AND coalesce(v.is_deliverable, false) THEN 'already_contacted'
+       WHEN EXISTS (SELECT 1 FROM cand e JOIN cverdict w ON e.id = w.id
+                    WHERE nullif(lower(trim(e.email)), '') = c.email_key AND e.seq < c.seq
+                      AND w.smtp_result NOT IN ('INVALID_SYNTAX','ROLE_BASED','MX_NOT_FOUND','SMTP_550')) THEN 'already_contacted'
        WHEN NOT coalesce(v.is_deliverable, false) THEN 'undeliverable'
        ELSE 'ready' END AS outcome
 FROM (SELECT *, nullif(lower(trim(email)), '') AS email_key FROM cand) c
 LEFT JOIN (SELECT DISTINCT email_key FROM contacts WHERE contacted_at < {SQL_CUTOFF} AND email_key IS NOT NULL) s ON c.email_key = s.email_key
-LEFT JOIN (SELECT email_key, min(seq) AS first_seq FROM (SELECT nullif(lower(trim(email)), '') AS email_key, seq FROM cand)
-           WHERE email_key IS NOT NULL GROUP BY 1) f ON c.email_key = f.email_key
 LEFT JOIN (SELECT id, smtp_result, smtp_result NOT IN ('INVALID_SYNTAX','ROLE_BASED','MX_NOT_FOUND','SMTP_550') AS is_deliverable FROM cverdict) v
   ON c.id = v.id"""
 
@@ -710,24 +705,20 @@ RUN_LOCAL = [("cand", CAND_SQL), ("cverdict", verdict_sql("cand")), ("classified
 RUN_LOCAL_SENT = RUN_LOCAL + [("sent", SENT_SQL)]
 
 
-@fx.memo_plan
 def _run_existing(spark, sf):
     return fx.contacts(spark, sf).filter(F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz"))
 
 
-@fx.memo_plan
 def _classified(spark, sf, approval_required=False):
     verified = verify.verify_emails(fx.run_candidates(spark, sf), fx.mx_records(spark, sf))
     return funnel.classify_candidates(verified, _run_existing(spark, sf), approval_required=approval_required)
 
 
-@fx.memo_plan
 def _run(spark, sf):
     """The classified run with the sender's results merged (all candidates)."""
     return funnel.apply_send_results(fx.with_send_results(_classified(spark, sf)))
 
 
-@fx.memo_plan
 def _sent(spark, sf):
     return _run(spark, sf).filter(F.col("outcome") == "ready")
 
@@ -985,7 +976,6 @@ def q_mask_email(spark, sf):
     return fx.verify_requests(spark, sf).select("id", "email", EM.mask_email(F.col("email")).alias("masked"))
 
 
-@fx.memo_plan
 def _drafts_pair(spark, sf):
     """Main and gmail draft tables as the lookups need them (subject and html size; the html itself is not carried)."""
     c = fx.contacts(spark, sf)
@@ -1006,7 +996,6 @@ FROM (SELECT author_id, min({'p': p, 'subject': subject, 'body_html': body_html}
 ]
 
 
-@fx.memo_plan
 def _scan_drafts(spark, sf):
     main, gmail = _drafts_pair(spark, sf)
     return scans.scan_drafts(main, gmail)
@@ -1121,7 +1110,6 @@ FROM (SELECT * FROM contacts WHERE channel = '{channel}') c LEFT JOIN vout v ON
 _EXPORT_LOCAL = [("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL)]
 
 
-@fx.memo_plan
 def _export(spark, sf, channel):
     c = fx.contacts(spark, sf).filter(F.col("channel") == channel)
     v = _verdicts(spark, sf).select("id", F.col("is_deliverable").alias("email_verified"), F.col("smtp_result").alias("verification_result"))
@@ -1218,7 +1206,6 @@ _ENG = ["open_detected", "open_detected_at", "replied", "reply_sentiment", "foll
 _K1_COLS = ["channel", "id", "full_name", "email", "email_key", "contacted_at", "email_status", "approval_status"] + _ENG
 
 
-@fx.memo_plan
 def _k1_inputs(spark, sf):
     c = fx.contacts(spark, sf).select(*_K1_COLS)
     before = F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz")
@@ -1253,7 +1240,6 @@ def q_upsert_contacts(spark, sf):
     return dedupe.upsert_contacts(existing, incoming).select(*_K1_COLS)
 
 
-@fx.memo_plan
 def _logs(spark, sf, until: str | None = None):
     ev = fx.delivery_events(spark, sf)
     if until:
@@ -1270,7 +1256,7 @@ SELECT ts AS timestamp, CASE WHEN action = 'log_warning' THEN 'WARNING' ELSE 'IN
 FROM routed"""
 
 _ROUTED_SQL = """
-SELECT event_id, ts, author_id, source, event,
+SELECT event_id, ts, author_id, NULL::VARCHAR AS email, source, event,
   CASE WHEN event = 'open' AND author_id IS NOT NULL THEN 'mark_open_and_score'
        WHEN event = 'click' AND author_id IS NOT NULL THEN 'score'
        WHEN event IN ('bounce', 'dropped') THEN 'log_warning' END AS action,
@@ -1293,22 +1279,24 @@ def q_scan_logs(spark, sf):
     return scans.scan_logs(_logs(spark, sf), K.SYSTEM_LOG_SIZE).select("timestamp", "level", "category", "message", "log_key")
 
 
-@query("append_messages", with_ctes("""
+@query("append_messages", with_ctes(f"""
 SELECT msg_id, author_id, email, direction, subject FROM (
   SELECT msg_id, author_id, NULL::VARCHAR AS email, direction, subject FROM msgs
   UNION ALL
-  SELECT DISTINCT concat('in-', i.msg_id) AS msg_id, NULL::BIGINT AS author_id, nullif(lower(trim(i.sender)), '') AS email, 'incoming' AS direction,
-    'Re: Invitation' AS subject
-  FROM inbound i WHERE EXISTS (SELECT 1 FROM contacts c WHERE c.email_key = nullif(lower(trim(i.sender)), '')))""", "msgs", "inbound", "contacts"))
+  SELECT DISTINCT concat('in-', i.msg_id) AS msg_id, coalesce(k.main_id, k.gmail_id) AS author_id, i.ek AS email, 'incoming' AS direction,
+    CASE WHEN k.email_key IS NULL THEN '{K.REPLY_SUBJECT_WEBHOOK}' ELSE '{K.REPLY_SUBJECT}' END AS subject
+  FROM (SELECT *, nullif(lower(trim(sender)), '') AS ek FROM inbound WHERE sender IS NOT NULL) i
+  LEFT JOIN (SELECT email_key, min(id) FILTER (WHERE channel = 'main') AS main_id, min(id) FILTER (WHERE channel = 'gmail') AS gmail_id
+             FROM contacts WHERE email_key IS NOT NULL GROUP BY 1) k ON i.ek = k.email_key)""", "msgs", "inbound", "contacts"))
 def q_append_messages(spark, sf):
-    """K5: conversation rows plus inbound replies from known senders, appended twice (a replay) and kept once."""
+    """K5: conversation rows plus inbound replies with their author, appended twice (a replay) and kept once."""
     from ..operators.state import append_new
 
     existing = fx.messages(spark, sf).select("msg_id", "author_id", F.lit(None).cast("string").alias("email"), "direction", "subject")
     rep = ST.stream_replies(fx.inbound_replies(spark, sf), fx.contacts(spark, sf)).select(
-        F.concat(F.lit("in-"), F.col("msg_id")).alias("msg_id"), F.lit(None).cast("bigint").alias("author_id"),
-        F.col("email_key").alias("email"), "direction", "subject")
-    return existing.unionByName(append_new(existing, rep.unionByName(rep), "msg_id"))
+        F.concat(F.lit("in-"), F.col("msg_id")).alias("msg_id"), "author_id", F.col("email_key").alias("email"), "direction", "subject")
+    replayed = rep.withColumn("_twice", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_twice")
+    return existing.unionByName(append_new(existing, replayed, "msg_id"))
 
 
 # ---------------------------------------------------------------- streams as batch
@@ -1319,17 +1307,20 @@ def _ntz(df, col="ts"):
 
 @query("apply_engagement", with_ctes("""
 SELECT c.id, c.channel, coalesce(st.email_status, c.email_status) AS email_status,
-  c.open_detected OR o.open_at IS NOT NULL AS open_detected, coalesce(o.open_at, c.open_detected_at) AS open_detected_at,
+  c.open_detected OR o.open_at IS NOT NULL AS open_detected, greatest(o.open_at, c.open_detected_at) AS open_detected_at,
   c.lead_score + coalesce(s.add, 0) AS lead_score
 FROM contacts c
-LEFT JOIN (SELECT author_id, CAST(sum(CASE WHEN event = 'open' THEN 1 WHEN event = 'click' THEN 5 ELSE 0 END) AS BIGINT) AS add
-           FROM ev WHERE author_id IS NOT NULL AND event IN ('open', 'click') GROUP BY author_id) s ON c.id = s.author_id
-LEFT JOIN (SELECT author_id, max(ts) AS open_at FROM ev WHERE author_id IS NOT NULL AND event = 'open' GROUP BY author_id) o ON c.id = o.author_id
-LEFT JOIN dstat st ON c.id = st.author_id""", "contacts", "ev", local=[("dstat", _DELIVERY_STATUS_SQL)]))
+LEFT JOIN (SELECT author_id, source, CAST(sum(CASE WHEN event = 'open' THEN 1 WHEN event = 'click' THEN 5 ELSE 0 END) AS BIGINT) AS add
+           FROM ev WHERE author_id IS NOT NULL AND event IN ('open', 'click') GROUP BY 1, 2) s ON c.id = s.author_id AND c.channel = s.source
+LEFT JOIN (SELECT author_id, source, max(ts) AS open_at FROM ev WHERE author_id IS NOT NULL AND event = 'open' GROUP BY 1, 2) o
+  ON c.id = o.author_id AND c.channel = o.source
+LEFT JOIN (SELECT author_id, source, CASE arg_max(event, (ts, event_id)) WHEN 'bounce' THEN 'bounced' ELSE 'dropped' END AS email_status
+           FROM ev WHERE author_id IS NOT NULL AND event IN ('bounce', 'dropped') GROUP BY 1, 2) st
+  ON c.id = st.author_id AND c.channel = st.source""", "contacts", "ev"))
 def q_apply_engagement(spark, sf):
-    """The event feed folded into the contacts snapshot: opens, last open, score increments, bounce / dropped status."""
+    """The event feed folded into the contacts snapshot: opens, last open, score, bounce / dropped status."""
     c = fx.contacts(spark, sf).select("id", "channel", "email_status", "open_detected", "open_detected_at", "lead_score")
-    return engagement.apply_engagement(c, fx.delivery_events(spark, sf))
+    return engagement.apply_engagement(c, fx.delivery_events(spark, sf), base_scores=False)
 
 
 @query("stream_delivery_events", with_ctes("SELECT event_id, ts, author_id, NULL::VARCHAR AS email, event, source FROM ev", "ev"))
@@ -1374,16 +1365,21 @@ def q_stream_lead_scores(spark, sf):
 
 
 @query("stream_open_state", with_ctes("""
-SELECT author_id, true AS open_detected, max(ts) AS open_detected_at FROM ev WHERE author_id IS NOT NULL AND event = 'open' GROUP BY author_id""", "ev"))
+SELECT author_id, source, true AS open_detected, max(ts) AS open_detected_at FROM ev WHERE author_id IS NOT NULL AND event = 'open'
+GROUP BY author_id, source""", "ev"))
 def q_stream_open_state(spark, sf):
     return ST.stream_open_state(fx.delivery_events(spark, sf))
 
 
-@query("stream_replies", with_ctes("""
-SELECT i.msg_id, i.ts, k.email_key, k.channel, i.sentiment, 'incoming' AS direction, 'Re: Invitation' AS subject, i.body,
-  concat('Reply received from: ', k.email_key, ' (Sentiment: ', i.sentiment, ')') AS log_message
-FROM inbound i JOIN (SELECT DISTINCT email_key, channel FROM contacts WHERE email_key IS NOT NULL) k ON nullif(lower(trim(i.sender)), '') = k.email_key""",
-                                   "inbound", "contacts"))
+@query("stream_replies", with_ctes(f"""
+SELECT i.msg_id, i.ts, i.ek AS email_key, coalesce(k.main_id, k.gmail_id) AS author_id, k.main_id IS NOT NULL AS known_main,
+  k.gmail_id IS NOT NULL AS known_gmail, i.sentiment, 'incoming' AS direction,
+  CASE WHEN k.email_key IS NULL THEN '{K.REPLY_SUBJECT_WEBHOOK}' ELSE '{K.REPLY_SUBJECT}' END AS subject, i.body,
+  concat(CASE WHEN k.main_id IS NOT NULL THEN '{K.LOG_REPLY_MAIN}' WHEN k.gmail_id IS NOT NULL THEN '{K.LOG_REPLY_GMAIL}'
+              ELSE '{K.LOG_REPLY_WEBHOOK}' END, i.ek, ' (Sentiment: ', i.sentiment, ')') AS log_message
+FROM (SELECT *, nullif(lower(trim(sender)), '') AS ek FROM inbound WHERE sender IS NOT NULL) i
+LEFT JOIN (SELECT email_key, min(id) FILTER (WHERE channel = 'main') AS main_id, min(id) FILTER (WHERE channel = 'gmail') AS gmail_id
+           FROM contacts WHERE email_key IS NOT NULL GROUP BY 1) k ON i.ek = k.email_key""", "inbound", "contacts"))
 def q_stream_replies(spark, sf):
     return ST.stream_replies(fx.inbound_replies(spark, sf), fx.contacts(spark, sf))
 

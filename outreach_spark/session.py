@@ -58,7 +58,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cluster_settings(shuffle_bytes: int, target_partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20) -> dict[str, str]:
     """Spark settings for a large cluster, sized from the expected bytes of the largest shuffle.
 
-    - initial shuffle partitions = shuffle_bytes / target (clamped to [2000, 200000]); AQE then
+    - initial shuffle partitions = shuffle_bytes / target (at least 2000); AQE then
       coalesces small ones towards the advisory size, so a task's shuffle input fits executor memory
       and spills rarely;
     - scan splits of the same target size;
@@ -66,7 +66,7 @@ def cluster_settings(shuffle_bytes: int, target_partition_bytes: int = 256 << 20
     - broadcast only under an explicit byte bound (statistics and AQE runtime sizes are checked
       against it), otherwise a shuffled join.
     """
-    parts = max(2000, min(200_000, shuffle_bytes // max(target_partition_bytes, 1)))
+    parts = max(2000, shuffle_bytes // max(target_partition_bytes, 1))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

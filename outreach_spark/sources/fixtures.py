@@ -21,38 +21,6 @@ EVENTS_AS_OF = "2024-01-31 00:00:00"
 RUN_CUTOFF = "1998-01-01 00:00:00"
 
 
-# primary key of each fact / text table (used to spread a scan that has fewer splits than cores);
-# lookup tables (customer, supplier, nation, region) are joined as they are
-TABLE_KEYS = {
-    "orders": ["o_orderkey"], "part": ["p_partkey"], "events": ["event_id"], "documents": ["doc_id"],
-    "pages": ["page_id"], "conversations": ["conv_id", "turn"], "lineitem": ["l_orderkey", "l_linenumber"],
-}
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes the scan will read, from the relation's statistics: the sum of the file sizes that
-    Spark's file index already listed when the DataFrame was created (no second listing)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, keys: list[str], size_bytes: int) -> DataFrame:
-    """Hash-repartition a scan on its key when it yields fewer splits than the cluster has cores.
-
-    Expected splits = size / spark.sql.files.maxPartitionBytes. Large inputs already scan in
-    parallel and are returned unchanged; a one-split input would otherwise run all per-row work of
-    the next stages in one task. Hash placement on the key is deterministic, so a retried task sees
-    the same rows.
-    """
-    spark = df.sparkSession
-    if str(spark.conf.get("outreach.spread.enabled", "true")).lower() != "true":
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
-    if size_bytes // max(split, 1) + 1 >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 # declared schemas of the landed tables: reads skip footer-based schema inference
 LANDED_SCHEMAS = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
@@ -66,35 +34,16 @@ LANDED_SCHEMAS = {
 }
 
 
-def memo_plan(fn):
-    """Memoise an adapter per (session, directory): DataFrames are immutable lazy plans, so reusing the
-    object only saves re-building and re-analysing the same plan; nothing is computed or cached."""
-    memo: dict = {}
-
-    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), args, tuple(sorted(kwargs.items())))
-        if key not in memo:
-            memo[key] = fn(spark, sf_dir, *args, **kwargs)
-        return memo[key]
-
-    wrapper.__doc__ = fn.__doc__
-    wrapper.__name__ = fn.__name__
-    return wrapper
-
-
-@memo_plan
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     reader = spark.read.schema(LANDED_SCHEMAS[name]) if name in LANDED_SCHEMAS else spark.read
-    df = reader.parquet(path)
-    return spread(df, TABLE_KEYS[name], input_bytes(df)) if name in TABLE_KEYS else df
+    return reader.parquet(path)
 
 
 def _ts(s: str):
     return F.lit(s).cast("timestamp_ntz")
 
 
-@memo_plan
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contact attempt: orders joined to customer (the driver's shapes for the funnel table)."""
     o = read(spark, sf_dir, "orders")
@@ -161,7 +110,6 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo_plan
 def delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery / tracking events: view -> open, click, error -> bounce, purchase -> reply; signup is not a delivery event."""
     e = read(spark, sf_dir, "events")
@@ -176,7 +124,6 @@ def delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo_plan
 def inbound_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbound replies: purchase events of a contact, with a From header and the model's raw label text."""
     e = read(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
@@ -195,7 +142,6 @@ def inbound_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo_plan
 def mx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed MX records per domain (domain mail3 has none; exchanges end in a dot)."""
     s = read(spark, sf_dir, "supplier")
@@ -221,14 +167,12 @@ def _probe_code():
     return F.when(i % 5 == 0, 550).when(i % 5 == 1, 450).when(i % 5 == 2, F.lit(None)).otherwise(250).cast("int")
 
 
-@memo_plan
 def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses to verify with their landed SMTP probe code (NULL = connection blocked)."""
     c = contacts(spark, sf_dir)
     return c.select("id", "channel", "full_name", "contacted_at", _request_email().alias("email"), _probe_code().alias("probe_code"))
 
 
-@memo_plan
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation rows: system turns dropped; user = incoming, assistant = outgoing; ordered by turn."""
     cv = read(spark, sf_dir, "conversations").filter(F.col("role") != "system")
@@ -244,7 +188,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo_plan
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed search hits from the pages: query = page language + top-level domain, display url without http://."""
     p = read(spark, sf_dir, "pages")
@@ -260,7 +203,6 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@memo_plan
 def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Landed catalogue API responses, one JSON document per part row (authors empty when p_size % 10 = 0)."""
     p = read(spark, sf_dir, "part")
@@ -285,7 +227,6 @@ def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame
     return p.select(F.col("p_partkey").alias("response_id"), F.to_json(doc).alias("payload"))
 
 
-@memo_plan
 def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) -> DataFrame:
     """Webhook bodies: JSON arrays of at most ``batch_size`` consecutive delivery events."""
     ev = delivery_events(spark, sf_dir)
@@ -298,7 +239,6 @@ def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) ->
     )
 
 
-@memo_plan
 def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel / redirect hits as request URLs; the source parameter is present only for gmail contacts."""
     ev = delivery_events(spark, sf_dir).filter(F.col("event").isin("open", "click"))
@@ -309,7 +249,6 @@ def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", "ts", url.alias("request_url"))
 
 
-@memo_plan
 def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a run: the verification requests of contacts on or after the run cutoff, in id order
     (seq), with their titles; no address was found for every 17th id."""
@@ -330,20 +269,18 @@ def with_send_results(candidates: DataFrame) -> DataFrame:
     })
 
 
+# two short letters that use the job's token names; a job passes its own template text
 INVITATION_TEMPLATE = (
-    "SUBJECT: Invitation to Feature {{BOOK_TITLE}} in Our Author Spotlight\n\n"
-    "Hello {{AUTHOR_NAME}},\n\n"
-    "Our reading circle has been talking about {{BOOK_TITLE}}, and members keep returning to this: {{BOOK_DESCRIPTION}}\n\n"
-    "Each month we host a relaxed virtual Author Spotlight, and we would be glad to feature you and your "
-    "{{BOOK_GENRE_LABEL}}. Members especially enjoy hearing about {{AUTHOR_JOURNEY_DETAIL}}.\n\n"
-    "If that sounds good, a short reply is all it takes.\n\n"
-    "Warm regards,\nThe Reading Circle"
+    "SUBJECT: {{BOOK_TITLE}} on next month's reading list?\n\n"
+    "Dear {{AUTHOR_NAME}},\n\n"
+    "We came across {{BOOK_TITLE}} while looking for new {{BOOK_GENRE_LABEL}}. From its description: {{BOOK_DESCRIPTION}}\n\n"
+    "Would you answer a few questions from readers in writing? One of them would be about {{AUTHOR_JOURNEY_DETAIL}}.\n\n"
+    "Yours,\nThe list editors"
 )
 
 FOLLOWUP_TEMPLATE = (
-    "SUBJECT: Re: Invitation to Feature {{BOOK_TITLE}} in Our Author Spotlight\n\n"
-    "Hello {{AUTHOR_NAME}},\n\n"
-    "A short note in case my earlier message got buried. We would still love to host you and {{BOOK_TITLE}}; "
-    "members are looking forward to {{FOLLOWUP_SPECIFIC_HOOK}}.\n\n"
-    "Warm regards,\nThe Reading Circle"
+    "SUBJECT: Second note on {{BOOK_TITLE}}\n\n"
+    "Dear {{AUTHOR_NAME}},\n\n"
+    "Our earlier message may not have arrived. The question about {{FOLLOWUP_SPECIFIC_HOOK}} is still open.\n\n"
+    "Yours,\nThe list editors"
 )

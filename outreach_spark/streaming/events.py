@@ -10,6 +10,7 @@ from .. import schemas as SC
 from ..functions.emails import email_key, sender_address
 from ..functions.text import normalise_sentiment
 from ..operators.engagement import event_points, lead_scores, open_state
+from ..operators.state import BucketedState
 
 
 def as_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -52,14 +53,15 @@ def parse_inbound(df: DataFrame, from_col: str = "from_header") -> DataFrame:
 
 def route_events(events: DataFrame) -> DataFrame:
     """Open -> mark + score; click -> score; bounce / dropped -> warning; other types ignored;
-    open / click without an author ignored."""
+    open / click without an author ignored. The address goes along where the feed has one."""
     e = F.col("event")
     action = (
         F.when((e == "open") & F.col("author_id").isNotNull(), "mark_open_and_score")
         .when((e == "click") & F.col("author_id").isNotNull(), "score")
         .when(e.isin("bounce", "dropped"), "log_warning")
     )
-    return events.select("event_id", "ts", "author_id", "source", "event", action.alias("action"),
+    email = F.col("email") if "email" in events.columns else F.lit(None).cast("string")
+    return events.select("event_id", "ts", "author_id", email.alias("email"), "source", "event", action.alias("action"),
                          event_points(e).alias("points")).filter(F.col("action").isNotNull())
 
 
@@ -69,15 +71,24 @@ def stream_lead_scores(events: DataFrame) -> DataFrame:
 
 
 def stream_open_state(events: DataFrame) -> DataFrame:
-    """Opened flag and last open time per author."""
-    return open_state(events).select("author_id", "open_detected", "open_detected_at")
+    """Opened flag and last open time per author and channel."""
+    return open_state(events, by_channel=True).select("author_id", "source", "open_detected", "open_detected_at")
 
 
-def stream_event_dedup(events: DataFrame, delay: str = "1 day", key: str = "event_id") -> DataFrame:
-    """Drop repeated deliveries of an event id (within the watermark when streaming)."""
+def event_key(events: DataFrame) -> Column:
+    """What makes an event one event: its id, or its content where it has none (pixel and click hits)."""
+    content = F.concat_ws("|", F.lit("hit"), F.col("author_id").cast("string"), F.col("event"), F.col("source"), F.col("ts").cast("string"))
+    return F.coalesce(F.concat(F.lit("id|"), F.col("event_id").cast("string")), content)
+
+
+def stream_event_dedup(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Drop repeated deliveries of an event (within the watermark when streaming)."""
+    keyed = events.withColumn("_event_key", event_key(events))
     if events.isStreaming:
-        return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-    return events.dropDuplicates([key])
+        out = keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["_event_key"])
+    else:
+        out = keyed.dropDuplicates(["_event_key"])
+    return out.drop("_event_key")
 
 
 def stream_daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -88,18 +99,19 @@ def stream_daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_logs(routed: DataFrame) -> DataFrame:
-    """One log row per applied event."""
+    """One log row per applied event; a bounce names the address, else the author."""
     a, aid = F.col("action"), F.col("author_id").cast("string")
-    gm = F.when(F.col("source") == "gmail", F.lit(" (Gmail)")).otherwise(F.lit(""))
+    gm = F.when(F.col("source") == "gmail", F.lit(K.LOG_GMAIL_SUFFIX)).otherwise(F.lit(""))
+    email = F.nullif(F.col("email"), F.lit("")) if "email" in routed.columns else F.lit(None).cast("string")
     msg = (
-        F.when(a == "mark_open_and_score", F.concat(F.lit("Email opened by author "), aid, gm))
-        .when(a == "score", F.concat(F.lit("Link clicked by author "), aid, gm))
-        .otherwise(F.concat(F.lit("Email "), F.col("event"), F.lit(" for "), F.coalesce(aid, F.lit("unknown"))))
+        F.when(a == "mark_open_and_score", F.concat(F.lit(K.LOG_OPENED), aid, gm))
+        .when(a == "score", F.concat(F.lit(K.LOG_CLICKED), aid, gm))
+        .otherwise(F.concat(F.lit("Email "), F.col("event"), F.lit(" for "), F.coalesce(email, aid, F.lit("unknown"))))
     )
     return routed.select(
         F.col("ts").alias("timestamp"), F.when(a == "log_warning", "WARNING").otherwise("INFO").alias("level"),
         F.lit("WEBHOOK").alias("category"), msg.alias("message"), F.lit(None).cast("string").alias("details"),
-        F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("log_key"),
+        F.concat(F.lit("event:"), F.coalesce(F.col("event_id").cast("string"), event_key(routed))).alias("log_key"),
     )
 
 
@@ -109,73 +121,146 @@ def reply_lookback(replies: DataFrame, as_of, days: int = K.REPLY_LOOKBACK_DAYS)
     return replies.filter(F.to_date(F.col("ts")) >= F.date_sub(d, days))
 
 
+def known_addresses(contacts: DataFrame) -> DataFrame:
+    """One row per address: the id that knows it on each channel (the smallest)."""
+    c = contacts.filter(F.col("email_key").isNotNull())
+    one = lambda ch: F.min(F.when(F.col("channel") == ch, F.col("id")))
+    return c.groupBy("email_key").agg(one("main").alias("main_id"), one("gmail").alias("gmail_id"))
+
+
 def stream_replies(inbound: DataFrame, contacts: DataFrame) -> DataFrame:
-    """T4: inbound -> sender -> known contact (stream-static join, each channel once) -> label,
-    plus the message row and the log text that the sink appends."""
-    from ..operators.dedupe import channel_emails
+    """T4: inbound -> sender -> label, one row per message.
 
+    The author is the contact with the sender's address (main before gmail, D10); a sender that no channel
+    knows is kept without an author, as the inbound webhook logs it."""
     r = parse_inbound(inbound).withColumn("email_key", email_key(F.col("sender")))
-    j = r.join(channel_emails(contacts), "email_key", "inner")
+    j = r.join(known_addresses(contacts), "email_key", "left")
+    known = F.col("main_id").isNotNull() | F.col("gmail_id").isNotNull()
+    text = F.when(F.col("main_id").isNotNull(), K.LOG_REPLY_MAIN).when(F.col("gmail_id").isNotNull(), K.LOG_REPLY_GMAIL).otherwise(K.LOG_REPLY_WEBHOOK)
     return j.select(
-        "msg_id", "ts", "email_key", "channel", "sentiment",
-        F.lit("incoming").alias("direction"), F.lit("Re: Invitation").alias("subject"), "body",
-        F.concat(F.lit("Reply received from: "), F.col("email_key"), F.lit(" (Sentiment: "), F.col("sentiment"), F.lit(")")).alias("log_message"),
+        "msg_id", "ts", "email_key", F.coalesce("main_id", "gmail_id").alias("author_id"),
+        F.col("main_id").isNotNull().alias("known_main"), F.col("gmail_id").isNotNull().alias("known_gmail"), "sentiment",
+        F.lit("incoming").alias("direction"), F.when(known, K.REPLY_SUBJECT).otherwise(K.REPLY_SUBJECT_WEBHOOK).alias("subject"), "body",
+        F.concat(text, F.col("email_key"), F.lit(" (Sentiment: "), F.col("sentiment"), F.lit(")")).alias("log_message"),
     )
 
 
-def merge_snapshot(updates: DataFrame, root: str, keys: list[str], version: int) -> int:
-    """Replace the rows of ``keys`` present in ``updates`` in the latest snapshot; commit as ``version``."""
-    from ..operators.state import read_latest, write_snapshot
+# ---------------------------------------------------------------- runners
+
+
+def read_events(spark: SparkSession, source_dir: str, kind: str = "rows", file_glob: str | None = None) -> DataFrame:
+    """The delivery feed as it lands: ``rows`` (Parquet events), ``webhook`` (S14: text files, one JSON array of
+    events per line) or ``hits`` (S15: JSON lines with ``ts`` and ``request_url``)."""
+    reader = spark.readStream.option("pathGlobFilter", file_glob) if file_glob else spark.readStream
+    none = F.lit(None)
+    if kind == "webhook":
+        events = parse_delivery_payloads(reader.text(source_dir), "value")
+        return events.select("event_id", "ts", "author_id", "email", "event", F.coalesce("source", F.lit("main")).alias("source"))
+    if kind == "hits":
+        hits = parse_tracking_hits(reader.schema("ts timestamp, request_url string").json(source_dir))
+        return hits.filter(F.col("author_id").isNotNull()).select(
+            none.cast("bigint").alias("event_id"), "ts", "author_id", none.cast("string").alias("email"), "event", "source")
+    if kind == "rows":
+        events = as_event_time(reader.schema("event_id bigint, ts timestamp_ntz, author_id bigint, event string, source string").parquet(source_dir))
+        return events.select("event_id", "ts", "author_id", none.cast("string").alias("email"), "event", "source")
+    raise ValueError(f"unknown kind of feed: {kind}")
+
+
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream's checkpoint got when it was made."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first().id
 
-    old = read_latest(updates.sparkSession, root)
-    new = updates if old is None else old.join(updates.select(*keys), keys, "left_anti").unionByName(updates)
-    return write_snapshot(new, root, version)
+
+def merge_engagement(rows: DataFrame) -> DataFrame:
+    """Points, opens and open times of one key, added up."""
+    return rows.groupBy("author_id", "source").agg(
+        F.sum("lead_score").alias("lead_score"), F.max("open_detected_at").alias("open_detected_at"),
+        F.min("first_open_at").alias("first_open_at"), F.sum("opens").alias("opens"))
+
+
+def engagement_updates(events: DataFrame) -> DataFrame:
+    """What a batch of events adds to the engagement state: one aggregate per (author, channel)."""
+    is_open = F.col("event") == "open"
+    ev = events.filter(F.col("author_id").isNotNull() & F.col("event").isin("open", "click"))
+    return ev.groupBy("author_id", "source").agg(
+        F.sum(event_points(F.col("event"))).cast("bigint").alias("lead_score"), F.max(F.when(is_open, F.col("ts"))).alias("open_detected_at"),
+        F.min(F.when(is_open, F.col("ts"))).alias("first_open_at"), F.count_if(is_open).alias("opens"))
+
+
+def _started(stream: DataFrame, apply, checkpoint: str, available_now: bool):
+    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
 
 
 def run_event_stream(spark: SparkSession, source_dir: str, out_root: str, checkpoint_root: str,
-                     available_now: bool = True, file_glob: str | None = None) -> list:
-    """Run the delivery-event stream: dedupe -> route -> logs (file sink) and keyed state.
+                     available_now: bool = True, file_glob: str | None = None, kind: str = "rows", buckets: int = 64) -> list:
+    """Run the delivery-event stream: dedupe once -> per micro-batch logs and keyed state.
 
-    Scores and open state are streaming aggregations in update mode: each micro-batch emits the
-    current totals of the authors it touched and ``merge_snapshot`` commits a new snapshot version
-    named by the batch id, so a replayed batch commits nothing new. Per-batch work grows with the
-    batch and the snapshot, not with the event history.
+    A micro-batch is persisted and read three times: its log rows go to ``logs/batch=N`` (written over on a
+    replay), and its sums are merged into the buckets of ``engagement`` that they touch, so the work of a
+    batch follows the batch and the touched buckets, not the history.
     """
-    reader = spark.readStream.schema("event_id bigint, ts timestamp_ntz, author_id bigint, event string, source string")
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
-    events = stream_event_dedup(as_event_time(reader.parquet(source_dir)))
+    events = stream_event_dedup(read_events(spark, source_dir, kind, file_glob))
+    checkpoint = f"{checkpoint_root}/events"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        state = BucketedState(session, f"{out_root}/engagement", ["author_id", "source"], checkpoint_id(session, checkpoint), buckets)
+        batch = batch.persist()
+        try:
+            stream_logs(route_events(batch)).write.mode("overwrite").parquet(f"{out_root}/logs/batch={number}")
+            state.commit(engagement_updates(batch), merge_engagement, number)
+        finally:
+            batch.unpersist()
 
-    def trig(w):
-        return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return [_started(events, apply, checkpoint, available_now)]
 
-    logs_q = trig(stream_logs(route_events(events)).writeStream.format("parquet")
-                  .option("path", f"{out_root}/logs").option("checkpointLocation", f"{checkpoint_root}/logs")).start()
-    scores_q = trig(stream_lead_scores(events).writeStream.outputMode("update")
-                    .foreachBatch(lambda b, i: merge_snapshot(b, f"{out_root}/lead_scores", ["author_id", "source"], i))
-                    .option("checkpointLocation", f"{checkpoint_root}/lead_scores")).start()
-    open_q = trig(stream_open_state(events).writeStream.outputMode("update")
-                  .foreachBatch(lambda b, i: merge_snapshot(b, f"{out_root}/open_state", ["author_id"], i))
-                  .option("checkpointLocation", f"{checkpoint_root}/open_state")).start()
-    return [logs_q, scores_q, open_q]
+
+def merge_replies(rows: DataFrame) -> DataFrame:
+    """Reply state of one address: the latest label (ties by msg_id), its time, the number of messages."""
+    return rows.groupBy("email_key").agg(F.max("last").alias("last"), F.sum("replies").alias("replies"))
 
 
 def run_reply_stream(spark: SparkSession, source_dir: str, contacts: DataFrame, out_root: str, checkpoint_root: str,
-                     available_now: bool = True, schema: str | None = None) -> list:
-    """T4 as a stream: inbound replies -> known contacts (stream-static join) -> message rows appended
-    through the file sink, and reply state (replied, latest label) merged per micro-batch by address."""
-    from ..operators.engagement import reply_state
+                     available_now: bool = True, schema: str | None = None, as_of=None, lookback_days: int = K.REPLY_LOOKBACK_DAYS,
+                     buckets: int = 64) -> list:
+    """Reply detection as one stream: lookback (T5, when ``as_of`` is given), one row per msg_id (D12), sender ->
+    author (D10) and label (T4); message rows with their log text go to ``messages/batch=N``, reply state per
+    address is merged into the buckets it touches.
 
+    A message id is remembered for the lookback period, beyond which the lookback drops a redelivery anyway.
+    """
     reader = spark.readStream.schema(schema or "msg_id string, ts timestamp_ntz, from_header string, body string, model_output string")
-    replies = stream_replies(reader.parquet(source_dir), contacts)
-
-    def trig(w):
-        return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-
-    msgs_q = trig(replies.select("msg_id", "ts", "email_key", "channel", "direction", "subject", "body", "log_message")
-                  .writeStream.format("parquet").option("path", f"{out_root}/messages")
-                  .option("checkpointLocation", f"{checkpoint_root}/messages")).start()
-    state_q = trig(reply_state(replies.select("email_key", "ts", "msg_id", "sentiment")).writeStream.outputMode("update")
-                   .foreachBatch(lambda b, i: merge_snapshot(b, f"{out_root}/reply_state", ["email_key"], i))
-                   .option("checkpointLocation", f"{checkpoint_root}/reply_state")).start()
-    return [msgs_q, state_q]
+    inbound = as_event_time(reader.parquet(source_dir))
+    if as_of is not None:
+        inbound = reply_lookback(inbound, as_of, lookback_days)
+    inbound = inbound.withWatermark("ts", f"{lookback_days} days").dropDuplicatesWithinWatermark(["msg_id"])
+    checkpoint = f"{checkpoint_root}/replies"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        state = BucketedState(session, f"{out_root}/reply_state", ["email_key"], checkpoint_id(session, checkpoint), buckets)
+        replies = stream_replies(batch, contacts).persist()
+        try:
+            replies.drop("known_main", "known_gmail").write.mode("overwrite").parquet(f"{out_root}/messages/batch={number}")
+            updates = replies.filter(F.col("email_key").isNotNull()).groupBy("email_key").agg(
+                F.max(F.struct("ts", "msg_id", "sentiment")).alias("last"), F.count("*").alias("replies"))
+            state.commit(updates, merge_replies, number)
+        finally:
+            replies.unpersist()
+
+    return [_started(inbound, apply, checkpoint, available_now)]
+
+
+def read_reply_state(spark: SparkSession, out_root: str, checkpoint_root: str, buckets: int = 64) -> DataFrame:
+    """The reply state that ``run_reply_stream`` keeps, with the columns of A12."""
+    owner = checkpoint_id(spark, f"{checkpoint_root}/replies")
+    rows = BucketedState(spark, f"{out_root}/reply_state", ["email_key"], owner, buckets).read()
+    return rows.select("email_key", F.lit(True).alias("replied"), F.col("last.sentiment").alias("reply_sentiment"),
+                       F.col("last.ts").cast("timestamp_ntz").alias("last_reply_at"), "replies")
+
+
+def read_engagement(spark: SparkSession, out_root: str, checkpoint_root: str, buckets: int = 64) -> DataFrame:
+    """The engagement state that ``run_event_stream`` keeps."""
+    owner = checkpoint_id(spark, f"{checkpoint_root}/events")
+    return BucketedState(spark, f"{out_root}/engagement", ["author_id", "source"], owner, buckets).read()

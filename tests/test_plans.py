@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as E
+from outreach_spark.plans.registry import REGISTRY
 from tests.conftest import SF_SMALL
 
-KEYS = sorted(E.queries())
+KEYS = sorted(REGISTRY)
 
 
 def plan_of(spark, key):

@@ -2,10 +2,11 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from outreach_spark.operators import engagement
-from outreach_spark.operators.state import committed_versions, read_latest
+from outreach_spark.operators.state import committed_versions
 from outreach_spark.sources import fixtures as fx
 from outreach_spark.streaming import events as ST
 from tests.conftest import SF_SMALL
@@ -35,17 +36,65 @@ def test_event_stream_equals_batch_and_survives_restart(spark, scratch):
     # second landing: the rest of the feed plus a re-delivery of already-seen clicks (same event ids)
     _land(spark, scratch, ev.filter(F.col("ts") >= cut).unionByName(ev.filter((F.col("ts") < cut) & (F.col("event") == "click"))), "part-b")
     run()
-    scores = read_latest(spark, os.path.join(out, "lead_scores"))
+    scores = ST.read_engagement(spark, out, ckpt)
     batch = engagement.lead_scores(ev, by_channel=True)
     assert _rows(scores, ["author_id", "source", "lead_score"]) == _rows(batch, ["author_id", "source", "lead_score"])
-    opens = read_latest(spark, os.path.join(out, "open_state")).withColumn("open_detected_at", F.col("open_detected_at").cast("timestamp_ntz"))
-    assert _rows(opens, ["author_id", "open_detected_at"]) == _rows(engagement.open_state(ev), ["author_id", "open_detected_at"])
+    opens = scores.filter("opens > 0").withColumn("open_detected_at", F.col("open_detected_at").cast("timestamp_ntz"))
+    cols = ["author_id", "source", "open_detected_at", "opens"]
+    assert _rows(opens, cols) == _rows(engagement.open_state(ev, by_channel=True), cols)
     logs = spark.read.parquet(os.path.join(out, "logs"))
     assert logs.count() == ST.route_events(ev).count() == logs.select("log_key").distinct().count()
     # restart with no new input: nothing new is committed
-    before = committed_versions(spark, os.path.join(out, "lead_scores"))
+    before = committed_versions(spark, os.path.join(out, "engagement", "manifest"), "batch=")
     run()
-    assert committed_versions(spark, os.path.join(out, "lead_scores")) == before
+    assert committed_versions(spark, os.path.join(out, "engagement", "manifest"), "batch=") == before
+    # a new checkpoint starts at batch 0 again: it is refused instead of being dropped
+    with pytest.raises(Exception, match="another stream checkpoint"):
+        for q in ST.run_event_stream(spark, src, out, os.path.join(scratch, "ckpt2"), available_now=True):
+            q.awaitTermination(300)
+
+
+def test_event_stream_from_webhook_bodies_and_hits(spark, scratch):
+    ev = fx.delivery_events(spark, SF_SMALL)
+    fx.delivery_payloads(spark, SF_SMALL).select("body").write.text(os.path.join(scratch, "bodies"))
+    q = ST.run_event_stream(spark, os.path.join(scratch, "bodies"), os.path.join(scratch, "o1"), os.path.join(scratch, "c1"), kind="webhook")[0]
+    q.awaitTermination(300)
+    got = ST.read_engagement(spark, os.path.join(scratch, "o1"), os.path.join(scratch, "c1"))
+    cols = ["author_id", "source", "lead_score"]
+    assert _rows(got, cols) == _rows(engagement.lead_scores(ev, by_channel=True), cols)
+    # the pixel's requests carry no id: each (author, event, channel, time) counts once
+    hits = fx.tracking_hits(spark, SF_SMALL)
+    hits.select("ts", "request_url").unionByName(hits.select("ts", "request_url").limit(50)).write.json(os.path.join(scratch, "hits"))
+    q = ST.run_event_stream(spark, os.path.join(scratch, "hits"), os.path.join(scratch, "o2"), os.path.join(scratch, "c2"), kind="hits")[0]
+    q.awaitTermination(300)
+    got = ST.read_engagement(spark, os.path.join(scratch, "o2"), os.path.join(scratch, "c2"))
+    content = ["author_id", "event", "source", "ts"]
+    want = engagement.lead_scores(ev.filter(F.col("event").isin("open", "click")).dropDuplicates(content), by_channel=True)
+    assert _rows(got, cols) == _rows(want, cols)
+
+
+def test_state_rewrites_only_touched_buckets(spark, scratch):
+    from outreach_spark.operators.state import BucketedState
+
+    st = BucketedState(spark, os.path.join(scratch, "st"), ["author_id", "source"], "owner", buckets=16)
+    schema = "author_id bigint, source string, lead_score bigint, open_detected_at timestamp, first_open_at timestamp, opens bigint"
+    rows = lambda ids: spark.createDataFrame([(i, "main", 1, None, None, 0) for i in ids], schema)
+    assert st.commit(rows(range(200)), ST.merge_engagement, 0)
+    assert st.commit(rows([7]), ST.merge_engagement, 1) and not st.commit(rows([7]), ST.merge_engagement, 1)
+    assert [d for d in os.listdir(os.path.join(scratch, "st", "data", "batch=1")) if d.startswith("bucket=")].__len__() == 1
+    for n in range(2, 6):
+        assert st.commit(rows([7]), ST.merge_engagement, n)
+    got = {r.author_id: r.lead_score for r in st.read().collect()}
+    assert got == {i: 6 if i == 7 else 1 for i in range(200)}
+    parts = [os.path.join(d, x) for d, xs, _ in os.walk(os.path.join(scratch, "st", "data")) for x in xs if x.startswith("bucket=")]
+    assert len(parts) <= 16 + 2  # compaction
+
+
+def test_events_without_an_id_are_kept(spark):
+    rows = [(None, "2024-01-01 00:00:01", 1, "open", "main"), (None, "2024-01-01 00:00:02", 1, "open", "main"),
+            (None, "2024-01-01 00:00:02", 1, "open", "main"), (5, "2024-01-01 00:00:02", 1, "open", "main"), (5, "2024-01-01 00:00:03", 1, "open", "main")]
+    ev = spark.createDataFrame(rows, "event_id bigint, ts string, author_id bigint, event string, source string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert ST.stream_event_dedup(ev).count() == 3
 
 
 def test_daily_counts_stream_equals_batch(spark, scratch):
@@ -77,20 +126,45 @@ def test_reply_stream_static_join(spark, scratch):
     q = (ST.stream_replies(stream, fx.contacts(spark, SF_SMALL)).writeStream.format("memory").queryName("t4_replies")
          .option("checkpointLocation", os.path.join(scratch, "ck4")).trigger(availableNow=True).start())
     q.awaitTermination(300)
-    want = ST.stream_replies(rp, fx.contacts(spark, SF_SMALL))
-    assert _rows(spark.table("t4_replies"), ["msg_id", "channel", "sentiment"]) == _rows(want, ["msg_id", "channel", "sentiment"])
+    want = {r.msg_id for r in ST.parse_inbound(rp).collect()}
+    got = [r.msg_id for r in spark.table("t4_replies").collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
-def test_reply_stream_runner_equals_batch(spark, scratch):
-    from outreach_spark.operators.engagement import reply_state
-
+def test_reply_detection_counts_each_message_once(spark, scratch):
     rp = fx.inbound_replies(spark, SF_SMALL)
-    rp.write.parquet(os.path.join(scratch, "landing", "rp2"))
+    stranger = rp.limit(1).select(F.lit("x1").alias("msg_id"), "ts", F.lit("Nobody <nobody@else.org>").alias("from_header"), "body", "model_output")
+    landed = rp.unionByName(rp.limit(30)).unionByName(stranger)  # redelivered messages
+    landed.write.parquet(os.path.join(scratch, "landing", "rp2"))
     c = fx.contacts(spark, SF_SMALL)
-    for q in ST.run_reply_stream(spark, os.path.join(scratch, "landing", "rp2"), c, os.path.join(scratch, "rout"), os.path.join(scratch, "rck")):
+    out, ck = os.path.join(scratch, "rout"), os.path.join(scratch, "rck")
+    for q in ST.run_reply_stream(spark, os.path.join(scratch, "landing", "rp2"), c, out, ck):
         q.awaitTermination(300)
-    got = read_latest(spark, os.path.join(scratch, "rout", "reply_state"))
-    want = reply_state(ST.stream_replies(rp, c))
-    cols = ["email_key", "reply_sentiment", "replies"]
-    assert _rows(got, cols) == _rows(want, cols)
-    assert spark.read.parquet(os.path.join(scratch, "rout", "messages")).count() == ST.stream_replies(rp, c).count()
+    state = {r.email_key: (r.reply_sentiment, r.replies) for r in ST.read_reply_state(spark, out, ck).collect()}
+    # expectation from the messages themselves, row by row
+    want = {}
+    for r in sorted(ST.parse_inbound(rp.unionByName(stranger)).collect(), key=lambda r: (r.ts, r.msg_id)):
+        want[r.sender] = (r.sentiment, want.get(r.sender, (None, 0))[1] + 1)
+    assert state == want
+    n = rp.select("msg_id").distinct().count() + 1
+    msgs = spark.read.parquet(os.path.join(out, "messages"))
+    assert sum(v[1] for v in state.values()) == msgs.count() == msgs.select("msg_id").distinct().count() == n
+    by = {r.msg_id: r for r in msgs.collect()}
+    ids = {}
+    for r in c.select("id", "channel", "email_key").collect():
+        ids.setdefault((r.email_key, r.channel), []).append(r.id)
+    for r in by.values():
+        assert r.author_id == (min(ids.get((r.email_key, "main")) or ids.get((r.email_key, "gmail")) or [0]) or None)
+    assert by["x1"].author_id is None and "webhook" in by["x1"].log_message.lower()
+    assert engagement.reply_state(ST.stream_replies(landed, c)).agg(F.sum("replies")).first()[0] == n
+
+
+def test_reply_lookback_in_the_stream(spark, scratch):
+    rp = fx.inbound_replies(spark, SF_SMALL)
+    rp.write.parquet(os.path.join(scratch, "landing", "rp3"))
+    out, ck = os.path.join(scratch, "rout3"), os.path.join(scratch, "rck3")
+    for q in ST.run_reply_stream(spark, os.path.join(scratch, "landing", "rp3"), fx.contacts(spark, SF_SMALL), out, ck, as_of=fx.EVENTS_AS_OF):
+        q.awaitTermination(300)
+    want = {r.msg_id for r in ST.reply_lookback(rp, fx.EVENTS_AS_OF).collect()}
+    assert {r.msg_id for r in spark.read.parquet(os.path.join(out, "messages")).collect()} == want
+    assert 0 < len(want) < rp.count()
