@@ -51,11 +51,13 @@ def context_email(text: str | Column, excluded: list[str] = K.CONTEXT_EXCLUDED_W
     return F.get(ok, 0)
 
 
+MAILTO_PATTERN = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']mailto:([^"'?]*)"""
+
+
 def mailto_targets(html: str | Column) -> Column:
-    """P5 helper: mailto targets in document order, query part removed, trimmed."""
-    raw = F.regexp_extract_all(
-        F.coalesce(_c(html), F.lit("")), F.lit(r"""href\s*=\s*["']mailto:([^"'?]*)"""), 1
-    )
+    """P5 helper: mailto targets of ``a`` elements in document order, query part removed, trimmed. Tag and
+    attribute names in any case, either quote."""
+    raw = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(MAILTO_PATTERN), 1)
     return F.transform(raw, lambda e: F.trim(e))
 
 

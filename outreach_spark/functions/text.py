@@ -42,25 +42,21 @@ def _phrase_hits(text: str | Column, phrases: list[str]) -> list[Column]:
 def matched_phrases_text(text: str | Column, phrases: list[str] = K.BANNED_PHRASES, sep: str = "|") -> Column:
     """The phrases (in list order) that occur case-insensitively in the text, joined by ``sep``.
 
-    One ``contains`` per fixed phrase under ``concat_ws`` (which skips the NULLs of non-matches): no
-    lambda, so the test stays in generated code and ``lower(text)`` is computed once per row.
+    One alternation decides whether there is anything to list; only rows that hit test each phrase.
     """
-    return F.concat_ws(sep, *_phrase_hits(text, phrases))
+    return F.when(contains_any(text, phrases), F.concat_ws(sep, *_phrase_hits(text, phrases))).otherwise(F.lit(""))
 
 
 def matched_phrase_count(text: str | Column, phrases: list[str] = K.BANNED_PHRASES) -> Column:
-    return sum((F.when(h.isNotNull(), 1).otherwise(0) for h in _phrase_hits(text, phrases)), F.lit(0))
-
-
-def matched_phrases(text: str | Column, phrases: list[str] = K.BANNED_PHRASES) -> Column:
-    """P14 as an array (for callers that need one; the text form is cheaper)."""
-    joined = matched_phrases_text(text, phrases, "\u0001")
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
+    hits = sum((F.when(h.isNotNull(), 1).otherwise(0) for h in _phrase_hits(text, phrases)), F.lit(0))
+    return F.when(contains_any(text, phrases), hits).otherwise(F.lit(0))
 
 
 def word_count(text: str | Column) -> Column:
-    """Number of whitespace-separated words (runs of non-whitespace), counted without building an array."""
-    return F.regexp_count(F.coalesce(_c(text), F.lit("")), F.lit(r"[^ \t\n\r\f]+"))
+    """Number of whitespace-separated words (runs of non-whitespace): every run becomes one character, the
+    whitespace goes, and the length remains. No array is built."""
+    marked = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[^ \t\n\r\f]+", "x")
+    return F.length(F.translate(marked, " \t\n\r\f", ""))
 
 
 TOKEN_PATTERN = r"\{\{([A-Z_]+)\}\}"
@@ -124,9 +120,10 @@ def draft_body(text: str | Column) -> Column:
 
 
 def paragraphs_html(body: str | Column) -> Column:
-    """Split on blank lines, drop empty parts, wrap each in <p>...</p>, concatenate."""
-    parts = F.filter(F.split(F.coalesce(_c(body), F.lit("")), "\n\n"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
+    """The body (whitespace-stripped, as ``draft_body`` gives it) cut at blank lines, each part in <p>...</p>."""
+    b = F.coalesce(_c(body), F.lit(""))
+    joined = F.regexp_replace(b, "(?:\n\n)+", "</p><p>")
+    return F.when(b == "", F.lit("")).otherwise(F.concat(F.lit("<p>"), joined, F.lit("</p>")))
 
 
 def add_tracking_pixel(html: str | Column, pixel: Column) -> Column:

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as TX
-from .ranking import thread_text
+from .ranking import THREAD_CHUNK_MESSAGES
 
 
-def _token_columns(token_map: str | None = None) -> dict[str, Column]:
+def _token_columns(token_map: str | None = None, description_chars: int = K.INVITATION_DESCRIPTION_CHARS, first_name: bool = False) -> dict[str, Column]:
     title = F.coalesce(F.get(F.col("book_titles"), 0), F.lit(K.FALLBACK_BOOK_TITLE))
-    desc = F.coalesce(F.nullif(F.substring(F.col("book_description"), 1, K.INVITATION_DESCRIPTION_CHARS), F.lit("")), F.lit(K.FALLBACK_TEXT))
+    desc = F.coalesce(F.nullif(F.substring(F.col("book_description"), 1, description_chars), F.lit("")), F.lit(K.FALLBACK_TEXT))
     genre = F.coalesce(F.nullif(F.array_join(F.slice(F.coalesce(F.col("genres"), F.array().cast("array<string>")), 1, 2), ", "), F.lit("")), F.lit(K.FALLBACK_GENRE))
     tokens = {
-        "AUTHOR_NAME": F.col("full_name"),
+        "AUTHOR_NAME": F.split_part(F.trim("full_name"), F.lit(" "), F.lit(1)) if first_name else F.col("full_name"),
         "BOOK_TITLE": title,
         "BOOK_DESCRIPTION": desc,
         "BOOK_GENRE_LABEL": genre,
@@ -35,38 +35,47 @@ def default_tokens(contacts: DataFrame, token_map: str | None = None) -> dict[st
     return _token_columns(token_map if token_map and token_map in contacts.columns else None)
 
 
-def _render_columns(template: str, run_date: str, tracking_base: str | None, default_subject: str,
-                    token_map: str | None, source: str | None):
-    """The projections of a render, one after the other."""
-    stage1 = ["id", "channel", TX.fill_template(template, _token_columns(token_map)).alias("_text")]
-    stage2 = ["id", "channel", TX.draft_subject(F.col("_text"), default_subject).alias("subject"), TX.draft_body(F.col("_text")).alias("body_plain")]
-    html = TX.paragraphs_html(F.col("body_plain"))
+def _render(contacts: DataFrame, filled: Column, subject: Column, run_date: str, tracking_base: str | None, source: str | None) -> DataFrame:
+    """One projection per step, so no text is computed twice: fill, split, paragraphs, quality columns.
+    ``subject`` is over ``_text`` and the contact's columns."""
+    out = contacts.select("*", filled.alias("_text"))
+    out = out.select("id", "channel", subject.alias("subject"), TX.draft_body(F.col("_text")).alias("body_plain"))
+    out = out.withColumn("_html", TX.paragraphs_html(F.col("body_plain")))
+    html = F.col("_html")
     if tracking_base:
         src = F.lit(f"&source={source}") if source else F.when(F.col("channel") == "gmail", F.lit("&source=gmail")).otherwise(F.lit(""))
         pixel = F.concat(F.lit(f'<img src="{tracking_base}/track/open?author_id='), F.col("id").cast("string"),
                          F.lit(f"&run_date={run_date}"), src, F.lit('" width="1" height="1" style="display:none;" />'))
         html = TX.add_tracking_pixel(html, pixel)
-    stage3 = [
+    return out.select(
         F.col("id").alias("author_id"), "channel", "subject", "body_plain", html.alias("body_html"),
         TX.matched_phrases_text(F.concat_ws("\n", F.col("subject"), F.col("body_plain"))).alias("banned_phrases"),
         F.array_join(TX.unfilled_tokens(F.col("body_plain")), "|").alias("unfilled_tokens"),
         TX.word_count(F.col("body_plain")).alias("word_count"),
         TX.ab_variant(F.col("id")).alias("ab_variant"),
         TX.tone(F.col("id")).alias("tone"),
-    ]
-    return stage1, stage2, stage3
+    )
 
 
 def render_drafts(contacts: DataFrame, template: str, run_date: str, tracking_base: str | None = None,
                   default_subject: str = K.DEFAULT_INVITATION_SUBJECT, token_map: str | None = None,
                   source: str | None = None) -> DataFrame:
-    """Fill -> split subject / body -> <p> paragraphs -> tracking pixel -> quality columns.
-    """
+    """Fill -> split subject / body -> <p> paragraphs -> tracking pixel -> quality columns."""
     tm = token_map if token_map and token_map in contacts.columns else None
-    out = contacts
-    for stage in _render_columns(template, run_date, tracking_base, default_subject, tm, source):
-        out = out.select(*stage)
-    return out
+    filled = TX.fill_template(template, _token_columns(tm))
+    return _render(contacts, filled, TX.draft_subject(F.col("_text"), default_subject), run_date, tracking_base, source)
+
+
+def render_followups(eligible: DataFrame, drafts: DataFrame, template: str, run_date: str, tracking_base: str | None = None,
+                     token_map: str | None = None, source: str | None = None) -> DataFrame:
+    """P18 for follow-ups: the subject is "Re: " + the original subject whatever the text's first line says
+    (which is dropped when it is a subject line), the description is cut at 300 and the name is the first
+    name. ``drafts``: ``author_id``, ``invitation_subject`` (one row per author)."""
+    tm = token_map if token_map and token_map in eligible.columns else None
+    original = drafts.select(F.col("author_id").alias("id"), F.col("invitation_subject").alias("_original"))
+    filled = TX.fill_template(template, _token_columns(tm, K.FOLLOWUP_DESCRIPTION_CHARS, first_name=True))
+    subject = F.concat(F.lit("Re: "), F.coalesce(F.col("_original"), F.lit(K.DEFAULT_ORIGINAL_SUBJECT)))
+    return _render(eligible.join(original, "id", "left"), filled, subject, run_date, tracking_base, source)
 
 
 DRAFT_INVITATION_COLS = ["invitation_subject", "invitation_body_html", "invitation_body_plain", "tokens_used", "saved_at"]
@@ -100,28 +109,30 @@ def upsert_drafts(existing: DataFrame, invitations: DataFrame | None = None, fol
 
 
 def contact_with_draft(contacts: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Contact by id, main row over gmail row, with its draft (left join)."""
+    """Contact by id, main row over gmail row (an id is unique within a channel), with its draft (left join).
+    The choice is a hash aggregate of one number per id; the row itself is joined once."""
     prio = F.when(F.col("channel") == "main", 0).otherwise(1)
-    cols = [c for c in contacts.columns if c != "id"]
-    one = contacts.groupBy("id").agg(F.min(F.struct(prio.alias("_p"), *cols)).alias("_c"))
-    one = one.select("id", *[F.col("_c")[c].alias(c) for c in cols])
+    best = contacts.groupBy("id").agg(F.min(prio).alias("_p"))
+    one = contacts.withColumn("_p", prio).join(best, ["id", "_p"]).drop("_p")
     return one.join(drafts.withColumnRenamed("author_id", "id"), "id", "left")
 
 
 def followup_context(eligible: DataFrame, messages: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Eligible contact + thread + original subject; a thread makes it 'smart', else 'template'
-    with subject 'Re: <original subject or Invitation>'. One row per thread chunk (W8), one row
-    without a chunk when there is no thread."""
-    th = thread_text(messages).withColumnRenamed("author_id", "id")
+    """One row per eligible contact: the size of its thread and the original subject. A thread makes it
+    'smart', else 'template' with subject 'Re: <original subject or Invitation>'. The thread's text is read by
+    (author, chunk) from ``thread_text`` (W8): ``n_chunks`` says how many."""
+    chunk = F.floor(F.col("seq") / THREAD_CHUNK_MESSAGES)
+    per_chunk = messages.groupBy(F.col("author_id").alias("id"), chunk.alias("chunk")).agg(F.count("*").alias("n"))
+    th = per_chunk.groupBy("id").agg(F.sum("n").alias("n_messages"), F.count("*").alias("n_chunks"))
     subj = drafts.select(F.col("author_id").alias("id"), F.col("invitation_subject").alias("original_subject"))
     j = eligible.select("id", "channel", "full_name", "email").join(th, "id", "left").join(subj, "id", "left")
-    smart = F.col("thread_text").isNotNull()
+    smart = F.col("n_messages").isNotNull()
     orig = F.coalesce(F.col("original_subject"), F.lit(K.DEFAULT_ORIGINAL_SUBJECT))
+    none = F.lit(0).cast("bigint")
     return j.select(
-        "id", "channel", "full_name", "email", "chunk", F.coalesce("n_messages", F.lit(0).cast("bigint")).alias("n_messages"),
+        "id", "channel", "full_name", "email", F.coalesce("n_messages", none).alias("n_messages"), F.coalesce("n_chunks", none).alias("n_chunks"),
         F.when(smart, "smart").otherwise("template").alias("mode"),
         F.when(smart, F.lit(K.DEFAULT_SMART_FOLLOWUP_SUBJECT)).otherwise(F.concat(F.lit("Re: "), orig)).alias("followup_subject"),
-        "thread_text",
     )
 
 

@@ -36,7 +36,11 @@ def page_emails(pages: DataFrame) -> DataFrame:
         "page_id", "url", EM.page_mailto(F.col("html")).alias("mailto_email"), EM.page_email(F.col("html")).alias("page_email"))
 
 
-ANCHOR = r"""<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>([^<]*)</a>"""
+#: One whole link: any case, either quote, markup inside.
+ANCHOR = r"""(?is)<a\b[^>]*\shref\s*=.*?</a>"""
+HREF = r"""(?i)\shref\s*=\s*["']([^"']*)"""
+OPENING_TAG = r"^<[^>]*>"
+ANY_TAG = r"<[^>]*>"
 
 
 def _origin(url):
@@ -54,30 +58,52 @@ def absolute_url(href, page_url):
     )
 
 
+def _contact_link(html):
+    """The page's contact / about link by selector order (link text, then href), then position, or null:
+    a struct (selector_rank, pos, href, text), found within the row."""
+    anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR), 0)
+
+    def ranked(a, i):
+        text = F.trim(F.regexp_replace(F.regexp_replace(a, OPENING_TAG, ""), ANY_TAG, ""))
+        href = F.regexp_extract(a, HREF, 1)
+        low_text, low_href = F.lower(text), F.lower(href)
+        rank = F.lit(None).cast("int")
+        selectors = [(low_text, t.lower()) for t in K.CONTACT_LINK_TEXTS] + [(low_href, h) for h in K.CONTACT_LINK_HREFS]
+        for n, (col, needle) in reversed(list(enumerate(selectors, start=1))):
+            rank = F.when(F.contains(col, F.lit(needle)), F.lit(n)).otherwise(rank)
+        return F.struct(F.when(~low_href.startswith("mailto:"), rank).alias("selector_rank"), i.alias("pos"), href.alias("href"), text.alias("text"))
+
+    return F.array_min(F.filter(F.transform(anchors, ranked), lambda x: x["selector_rank"].isNotNull()))
+
+
 def contact_subpage_links(pages: DataFrame) -> DataFrame:
-    """The page's contact / about link chosen by selector order (link text, then href), then position."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(ANCHOR), 1)
-    texts = F.regexp_extract_all(F.col("html"), F.lit(ANCHOR), 2)
-    a = pages.select("page_id", "url", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "a"))
-    low_text, low_href = F.lower(F.col("a.text")), F.lower(F.col("a.href"))
-    rank = None
-    selectors = [(low_text, t.lower()) for t in K.CONTACT_LINK_TEXTS] + [(low_href, h) for h in K.CONTACT_LINK_HREFS]
-    for i, (col, needle) in reversed(list(enumerate(selectors, start=1))):
-        rank = F.when(F.contains(col, F.lit(needle)), F.lit(i)).otherwise(rank if rank is not None else F.lit(None))
-    a = a.withColumn("selector_rank", rank).filter(F.col("selector_rank").isNotNull() & ~F.lower(F.col("a.href")).startswith("mailto:"))
-    best = a.groupBy("page_id", "url").agg(F.min(F.struct("selector_rank", "pos", "a")).alias("b"))
-    return best.select("page_id", "url", F.col("b.selector_rank").alias("selector_rank"), F.col("b.a.text").alias("link_text"),
-                       F.col("b.a.href").alias("href"), absolute_url(F.col("b.a.href"), F.col("url")).alias("subpage_url"))
+    """Pages with a contact / about link: the link, its selector and the address it leads to."""
+    b = pages.select("page_id", "url", _contact_link(F.col("html")).alias("b")).filter(F.col("b").isNotNull())
+    return b.select("page_id", "url", F.col("b.selector_rank").alias("selector_rank"), F.col("b.text").alias("link_text"),
+                    F.col("b.href").alias("href"), absolute_url(F.col("b.href"), F.col("url")).alias("subpage_url"))
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """Per url key what resolving needs (``_k``, ``email``, ``_sk``), in one pass over the page texts: the html
+    doesn't leave the scan. Of pages with one key (http and https copies) the smallest id counts."""
+    link = _contact_link(F.col("html"))
+    facts = pages.select(url_key(F.col("url")).alias("_k"), "page_id", "url", EM.page_email(F.col("html")).alias("email"), link.alias("b"))
+    facts = facts.select("_k", "page_id", "email", url_key(absolute_url(F.col("b.href"), F.col("url"))).alias("_sk"))
+    one = facts.groupBy("_k").agg(F.min(F.struct("page_id", "email", "_sk")).alias("f"))
+    return one.select("_k", "f.email", "f._sk")
 
 
 def resolve_email(stubs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Context email -> home page email -> subpage email -> not_found, with provenance."""
-    p = pages.select(url_key(F.col("url")).alias("_k"), "url", "html")
-    home = p.select("_k", EM.page_email(F.col("html")).alias("home_email"))
-    links = contact_subpage_links(pages).select(url_key(F.col("url")).alias("_k"), url_key(F.col("subpage_url")).alias("_sk"))
-    sub = p.select(F.col("_k").alias("_sk"), EM.page_email(F.col("html")).alias("subpage_email"))
-    s = stubs.withColumn("context_email", EM.context_email(F.col("description"))).withColumn("_k", url_key(F.col("url")))
-    j = s.join(home, "_k", "left").join(links, "_k", "left").join(sub, "_sk", "left")
+    """Context email -> home page email -> subpage email -> not_found, with provenance; one row per stub."""
+    from .dedupe import spread_key
+
+    facts = page_facts(pages)
+    home = facts.select("_k", F.col("email").alias("home_email"), "_sk")
+    sub = facts.select(F.col("_k").alias("_s"), F.col("email").alias("subpage_email"))
+    row = F.xxhash64(*stubs.columns)
+    s = stubs.withColumn("context_email", EM.context_email(F.col("description"))).withColumn("_k", spread_key(url_key(F.col("url")), row))
+    # most rows have no subpage to look up: they are dealt over all tasks under keys that match nothing
+    j = s.join(home, "_k", "left").withColumn("_s", spread_key(F.when(F.col("home_email").isNull(), F.col("_sk")), row)).join(sub, "_s", "left")
     email = F.coalesce("context_email", "home_email", "subpage_email")
     source = (F.when(F.col("context_email").isNotNull(), "context").when(F.col("home_email").isNotNull(), "website_crawl_home")
               .when(F.col("subpage_email").isNotNull(), "website_crawl_subpage").otherwise("not_found"))

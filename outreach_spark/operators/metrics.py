@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.emails import email_key
 
 
 def _ts(as_of) -> Column:
@@ -115,6 +116,16 @@ def bounce_rate(contacts: DataFrame, channel: str | None = "main") -> DataFrame:
     return agg.select("bounces", "total", rate.alias("bounce_rate"))
 
 
+def bounce_rates(contacts: DataFrame) -> DataFrame:
+    """A8 for main, gmail and both together (scope 'all'), from one aggregate over contacts."""
+    bad = F.col("email_status").isin("bounced", "dropped", "failed")
+    scopes = {"main": F.col("channel") == "main", "gmail": F.col("channel") == "gmail", "all": F.lit(True)}
+    sums = contacts.filter(F.col("email_status") != "pending").agg(F.array(*[
+        F.struct(F.lit(k).alias("scope"), F.count_if(on & bad).alias("bounces"), F.count_if(on).alias("total")) for k, on in scopes.items()]).alias("s"))
+    rate = F.when(F.col("total") > 0, F.col("bounces") / F.col("total")).otherwise(F.lit(0.0))
+    return sums.select(F.explode("s").alias("s")).select("s.*").withColumn("bounce_rate", rate)
+
+
 def days_since_start(contacts: DataFrame, as_of, channel: str | None = "main") -> DataFrame:
     """Whole elapsed days (not midnights) since the first contact; at least 1; 1 without rows."""
     first = _scope(contacts, channel).agg(F.min("contacted_at").alias("first_contact"))
@@ -122,6 +133,17 @@ def days_since_start(contacts: DataFrame, as_of, channel: str | None = "main") -
     return first.select("first_contact", F.coalesce(F.greatest(F.lit(1).cast("bigint"), days), F.lit(1).cast("bigint")).alias("days"))
 
 
+def day_activity(contacts: DataFrame, replies: DataFrame, day: str) -> DataFrame:
+    """Per channel: contacts whose (last) open is of ``day``, and messages of ``day`` from its addresses (``replies``:
+    msg_id, ts, sender)."""
+    on = F.lit(day).cast("date")
+    opens = contacts.groupBy("channel").agg(F.count_if(F.to_date("open_detected_at") == on).alias("opens"))
+    sent = replies.filter(F.to_date("ts") == on).select("msg_id", email_key("sender").alias("email_key")).distinct()
+    known = contacts.select("email_key", "channel").join(sent.select("email_key").distinct(), "email_key", "left_semi").distinct()
+    got = known.join(sent, "email_key").groupBy("channel").agg(F.count("*").alias("replies"))
+    return opens.join(got, "channel", "left").select("channel", "opens", F.coalesce("replies", F.lit(0).cast("bigint")).alias("replies"))
+
+
 def llm_cost(usage: DataFrame, input_col: str = "input_tokens", output_col: str = "output_tokens") -> DataFrame:
     """sum(input x 0.59 + output x 0.79) / 1e6, from exact integer token sums."""
     s = usage.agg(F.sum(input_col).alias("input_tokens"), F.sum(output_col).alias("output_tokens"))

@@ -6,6 +6,8 @@ Each CTE states the same relation as the DataFrame adapter in ``sources/fixtures
 
 from __future__ import annotations
 
+from .. import constants as K
+
 CONTACTS_AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
 EVENTS_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 RUN_CUTOFF = "TIMESTAMP '1998-01-01 00:00:00'"
@@ -85,6 +87,35 @@ FROM pages"""),
 }
 
 
+_LINKS = {
+    1: "concat('<a href=\"mailto:writer', page_id, '@books.example?subject=Hi\">write</a>')",
+    2: "concat('<A HREF=''mailto:Info@books.example''>info</A> <A class=\"m\" HREF=\"mailto:Jane', page_id, '@books.example\">Jane</A>')",
+    3: "concat('<a class=\"x\" href=\"/contact/', page_id, '\"><span>Contact</span> us</a>')",
+    4: "concat('<a href=''about-', page_id, '.html''>Who we are</a>')",
+    5: "concat('<A HREF=\"https://other.example/c', page_id, '\">Get in <b>touch</b></A>')",
+}
+_BLACKLIST = "[" + ", ".join(f"'{t}'" for t in K.BLACKLIST_TERMS) + "]"
+_PHRASES = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in K.BANNED_PHRASES) + "]"
+
+CTES["pg"] = ([], f"""
+SELECT page_id, url, concat(html, CASE page_id % 7 {' '.join(f'WHEN {k} THEN {v}' for k, v in _LINKS.items())} ELSE '' END) AS html FROM pages
+UNION ALL SELECT page_id + 1000000000, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/contact/', page_id),
+  concat('<p>mail author', page_id, '@pen.example</p>') FROM pages WHERE page_id % 7 = 3
+UNION ALL SELECT page_id + 2000000000, regexp_replace(url, '^https', 'http'), html FROM pages WHERE page_id % 20 = 0 AND starts_with(url, 'https://')""")
+CTES["nhits"] = (["hits"], f"""
+SELECT query, position, CASE WHEN position % 9 = 2 THEN concat(title, ' ', upper(term)) ELSE title END AS title,
+  CASE WHEN position % 9 = 1 THEN concat(url, '/', term) ELSE url END AS url,
+  CASE WHEN position % 9 = 3 THEN concat(snippet, ' ', term) ELSE snippet END AS snippet, engine
+FROM (SELECT *, {_BLACKLIST}[(position // 9) % {len(K.BLACKLIST_TERMS)} + 1] AS term FROM hits)""")
+CTES["dtext"] = ([], f"""
+SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN concat('SUBJECT: About ', doc_id, chr(10) || chr(10))
+                           WHEN doc_id % 6 = 3 THEN concat('subject:About ', doc_id, chr(10) || chr(10)) ELSE '' END,
+  text, CASE WHEN doc_id % 5 = 1 THEN concat(chr(10) || chr(10), upper({_PHRASES}[doc_id % {len(K.BANNED_PHRASES)} + 1])) ELSE '' END) AS text
+FROM documents""")
+CTES["lmsgs"] = (["msgs"], """
+SELECT msg_id, author_id % 3 AS author_id, direction, subject, body, timestamp, (author_id // 3) * 16 + seq AS seq FROM msgs""")
+
+
 def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | None = None) -> str:
     order: list[str] = []
 

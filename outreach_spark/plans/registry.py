@@ -145,9 +145,7 @@ SELECT scope, bounces, total, CASE WHEN total > 0 THEN bounces / total ELSE 0.0
   FROM contacts WHERE email_status <> 'pending' GROUP BY ROLLUP (channel))""", "contacts"))
 def q_bounce_rate(spark, sf):
     """A8 for the main channel (the application's breaker input), the gmail channel and both together."""
-    c = fx.contacts(spark, sf)
-    parts = [metrics.bounce_rate(c, ch).select(F.lit(ch or "all").alias("scope"), "*") for ch in ("main", "gmail", None)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return metrics.bounce_rates(fx.contacts(spark, sf))
 
 
 @query("days_since_start", with_ctes(f"""
@@ -269,9 +267,10 @@ def q_contacts_page_keyset(spark, sf):
     return ranking.contacts_page(fx.contacts(spark, sf), channel="gmail", after=KEYSET_AFTER)
 
 
-@query("thread_text", with_ctes(THREAD_SQL, "msgs"))
+@query("thread_text", with_ctes(THREAD_SQL.replace("msgs", "lmsgs"), "lmsgs"))
 def q_thread_text(spark, sf):
-    return ranking.thread_text(fx.messages(spark, sf))
+    """W8 over threads of up to some hundred messages, in chunks of 64."""
+    return ranking.thread_text(fx.long_threads(spark, sf))
 
 
 @query("scan_messages", with_ctes("SELECT * FROM msgs ORDER BY timestamp, seq, msg_id", "msgs"))
@@ -481,24 +480,24 @@ def q_personal_email_filter(spark, sf):
     return m.filter(EM.is_personal_email(F.col("email"))).select("doc_id", "email")
 
 
-_MAILTO_SQL = r"""href\s*=\s*["']mailto:([^"'?]*)"""
+_MAILTO_SQL = EM.MAILTO_PATTERN
 _PAGE_EMAIL_SQL = f"""
   list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '{_MAILTO_SQL.replace("'", "''")}', 1), lambda e: trim(e)),
               lambda e: e <> '' AND NOT regexp_matches(lower(e), '{_GENERIC_SQL}'))[1]"""
 _PAGE_REGEX_SQL = f"list_filter(regexp_extract_all(coalesce(html, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '{_GENERIC_SQL}'))[1]"
 
 
-@query("page_mailto", f"SELECT page_id, url, {_PAGE_EMAIL_SQL} AS mailto_email FROM pages")
+@query("page_mailto", with_ctes(f"SELECT page_id, url, {_PAGE_EMAIL_SQL} AS mailto_email FROM pg", "pg"))
 def q_page_mailto(spark, sf):
-    return fx.read(spark, sf, "pages").select("page_id", "url", EM.page_mailto(F.col("html")).alias("mailto_email"))
+    return fx.linked_pages(spark, sf).select("page_id", "url", EM.page_mailto(F.col("html")).alias("mailto_email"))
 
 
-@query("page_email", f"SELECT page_id, url, {_PAGE_EMAIL_SQL} AS mailto_email, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS page_email FROM pages")
+@query("page_email", with_ctes(f"SELECT page_id, url, {_PAGE_EMAIL_SQL} AS mailto_email, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS page_email FROM pg", "pg"))
 def q_page_email(spark, sf):
-    return extract.page_emails(fx.read(spark, sf, "pages"))
+    return extract.page_emails(fx.linked_pages(spark, sf))
 
 
-_ANCHOR_SQL = extract.ANCHOR.replace("'", "''")
+_ANCHOR_SQL, _HREF_SQL = extract.ANCHOR.replace("'", "''"), extract.HREF.replace("'", "''")
 _SEL_SQL = " ".join(
     [f"WHEN contains(lower(a.text), '{t.lower()}') THEN {i}" for i, t in enumerate(K.CONTACT_LINK_TEXTS, 1)]
     + [f"WHEN contains(lower(a.href), '{h}') THEN {i}" for i, h in enumerate(K.CONTACT_LINK_HREFS, len(K.CONTACT_LINK_TEXTS) + 1)])
@@ -513,15 +512,16 @@ SELECT page_id, url, b.selector_rank AS selector_rank, b.text AS link_text, b.hr
                         ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) END, b.href) END AS subpage_url
 FROM (SELECT page_id, url, min({{'selector_rank': selector_rank, 'pos': pos, 'href': a.href, 'text': a.text}}) AS b FROM (
         SELECT page_id, url, pos, a, CASE {_SEL_SQL} END AS selector_rank FROM (
-          SELECT page_id, url, generate_subscripts(hrefs, 1) - 1 AS pos, unnest(list_zip(hrefs, texts)) AS z FROM (
-            SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR_SQL}', 1) AS hrefs, regexp_extract_all(html, '{_ANCHOR_SQL}', 2) AS texts FROM pages))
-        , LATERAL (SELECT {{'href': z[1], 'text': z[2]}} AS a))
+          SELECT page_id, url, pos, {{'href': regexp_extract(x, '{_HREF_SQL}', 1),
+                 'text': trim(regexp_replace(regexp_replace(x, '{extract.OPENING_TAG}', ''), '{extract.ANY_TAG}', '', 'g'))}} AS a FROM (
+            SELECT page_id, url, generate_subscripts(xs, 1) - 1 AS pos, unnest(xs) AS x FROM (
+              SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR_SQL}', 0) AS xs FROM pg))))
       WHERE selector_rank IS NOT NULL AND NOT starts_with(lower(a.href), 'mailto:') GROUP BY page_id, url)"""
 
 
-@query("contact_subpage_links", CONTACT_LINKS_SQL)
+@query("contact_subpage_links", with_ctes(CONTACT_LINKS_SQL, "pg"))
 def q_contact_subpage_links(spark, sf):
-    return extract.contact_subpage_links(fx.read(spark, sf, "pages"))
+    return extract.contact_subpage_links(fx.linked_pages(spark, sf))
 
 
 _HIT_FILTER_SQL = "coalesce(title, '') <> '' AND coalesce(url, '') <> ''"
@@ -529,11 +529,11 @@ _BL_SQL = "|".join(t.lower().replace(".", "\\.") for t in K.BLACKLIST_TERMS)
 
 
 @query("blacklist_filter", with_ctes(f"""
-SELECT query, position, title, url, snippet FROM hits
+SELECT query, position, title, url, snippet FROM nhits
 WHERE NOT (coalesce(regexp_matches(lower(url), '{_BL_SQL}'), false) OR coalesce(regexp_matches(lower(snippet), '{_BL_SQL}'), false)
-           OR coalesce(regexp_matches(lower(title), '{_BL_SQL}'), false))""", "hits"))
+           OR coalesce(regexp_matches(lower(title), '{_BL_SQL}'), false))""", "nhits"))
 def q_blacklist_filter(spark, sf):
-    return extract.blacklist_filter(fx.search_hits(spark, sf)).select("query", "position", "title", "url", "snippet")
+    return extract.blacklist_filter(fx.noted_hits(spark, sf)).select("query", "position", "title", "url", "snippet")
 
 
 @query("name_from_title", with_ctes("""
@@ -569,10 +569,11 @@ def q_source_fallback(spark, sf):
 @query("scan_pages", with_ctes(f"""
 SELECT h.query, h.position, h.url, p.page_id, length(p.html) AS html_chars
 FROM (SELECT query, position, {_SCHEME_SQL} AS url FROM hits) h
-LEFT JOIN pages p ON lower(regexp_replace(h.url, '^https?://', '')) = lower(regexp_replace(p.url, '^https?://', ''))""", "hits"))
+LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS k, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM pg GROUP BY 1) p
+  ON lower(regexp_replace(h.url, '^https?://', '')) = p.k""", "hits", "pg"))
 def q_scan_pages(spark, sf):
     h = fx.search_hits(spark, sf).select("query", "position", scans.with_scheme(F.col("url")).alias("url"))
-    return scans.scan_pages(h, fx.read(spark, sf, "pages")).select("query", "position", "url", "page_id", F.length("html").cast("bigint").alias("html_chars"))
+    return scans.scan_pages(h, fx.linked_pages(spark, sf)).select("query", "position", "url", "page_id", F.length("html").cast("bigint").alias("html_chars"))
 
 
 @query("resolve_email", with_ctes(f"""
@@ -585,18 +586,19 @@ FROM (SELECT position, trim(split_part(CASE WHEN regexp_matches(coalesce(title,
              {_SCHEME_SQL} AS url,
              list_filter(regexp_extract_all(coalesce(snippet, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '(support|info|noreply)'))[1] AS context_email
       FROM hits) s
-LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS k, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS home_email FROM pages) home
-  ON lower(regexp_replace(s.url, '^https?://', '')) = home.k
-LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS k, lower(regexp_replace(subpage_url, '^https?://', '')) AS sk FROM links) l
-  ON lower(regexp_replace(s.url, '^https?://', '')) = l.k
-LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS sk, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS subpage_email FROM pages) sub
-  ON l.sk = sub.sk""", "hits", local=[("links", CONTACT_LINKS_SQL)]))
+LEFT JOIN (SELECT k, email AS home_email, sk FROM facts) home ON lower(regexp_replace(s.url, '^https?://', '')) = home.k
+LEFT JOIN (SELECT k AS sk, email AS subpage_email FROM facts) sub ON home.sk = sub.sk""", "hits", "pg", local=[("links", CONTACT_LINKS_SQL), ("facts", f"""
+SELECT * FROM (
+  SELECT lower(regexp_replace(p.url, '^https?://', '')) AS k, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS email,
+    lower(regexp_replace(l.subpage_url, '^https?://', '')) AS sk,
+    row_number() OVER (PARTITION BY lower(regexp_replace(p.url, '^https?://', '')) ORDER BY p.page_id) AS rn
+  FROM pg p LEFT JOIN links l ON p.page_id = l.page_id) WHERE rn = 1""")]))
 def q_resolve_email(spark, sf):
     """P9 over web-search stubs (description = snippet, url = hit url) and the landed pages."""
     h = fx.search_hits(spark, sf)
     stubs = h.select("position", TX.name_from_title(F.col("title")).alias("name"), F.coalesce(F.col("snippet"), F.lit("")).alias("description"),
                      scans.with_scheme(F.col("url")).alias("url"))
-    r = extract.resolve_email(stubs, fx.read(spark, sf, "pages"))
+    r = extract.resolve_email(stubs, fx.linked_pages(spark, sf))
     return r.select("position", "name", "url", "email", "email_source")
 
 
@@ -880,8 +882,14 @@ _TOKENS_SQL = {
 }
 
 
-def filled_sql(template: str) -> str:
-    parts = [_lit(v) if kind == "lit" else f"coalesce({_TOKENS_SQL[v]}, '')" for kind, v in TX.template_parts(template, _TOKENS_SQL)]
+_FOLLOWUP_TOKENS_SQL = _TOKENS_SQL | {
+    "AUTHOR_NAME": "split_part(trim(full_name), ' ', 1)",
+    "BOOK_DESCRIPTION": f"coalesce(nullif(substr(book_description, 1, {K.FOLLOWUP_DESCRIPTION_CHARS}), ''), {_lit(K.FALLBACK_TEXT)})",
+}
+
+
+def filled_sql(template: str, tokens: dict = _TOKENS_SQL) -> str:
+    parts = [_lit(v) if kind == "lit" else f"coalesce({tokens[v]}, '')" for kind, v in TX.template_parts(template, tokens)]
     return "concat(" + ", ".join(parts) + ")"
 
 
@@ -901,7 +909,7 @@ _TONES_SQL = "[" + ", ".join(_lit(t) for t in K.TONES) + "]"
 _HEXPOS = "(instr('0123456789abcdef', substr(md5(concat(cast(id as varchar), 'tone')), {i}, 1)) - 1)"
 
 
-def render_sql(src: str, template: str, default_subject: str = K.DEFAULT_INVITATION_SUBJECT) -> str:
+def render_sql(src: str, template: str, default_subject: str = K.DEFAULT_INVITATION_SUBJECT, tokens: dict = _TOKENS_SQL) -> str:
     """DuckDB form of ``operators.drafts.render_drafts`` over relation ``src``."""
     html = "array_to_string(list_transform(list_filter(string_split(body_plain, chr(10) || chr(10)), lambda p: p <> ''), lambda p: concat('<p>', p, '</p>')), '')"
     pixel = (f"concat('<img src=\"{TRACKING_BASE}/track/open?author_id=', cast(id as varchar), '&run_date={RUN_DATE}', "
@@ -915,7 +923,7 @@ SELECT id AS author_id, channel, subject, body_plain, {html_px} AS body_html,
   CASE WHEN substr(md5(cast(id as varchar)), 1, 1) < '8' THEN 'A' ELSE 'B' END AS ab_variant,
   {_TONES_SQL}[({_HEXPOS.format(i=1)} * 16 + {_HEXPOS.format(i=2)}) % {len(K.TONES)} + 1] AS tone
 FROM (SELECT id, channel, {_subject_sql('t', default_subject)} AS subject, {_body_sql('t')} AS body_plain
-      FROM (SELECT id, channel, {_strip_sql(filled_sql(template))} AS t FROM {src}))"""
+      FROM (SELECT id, channel, {_strip_sql(filled_sql(template, tokens))} AS t FROM {src}))"""
 
 
 def _render(df, template=fx.INVITATION_TEMPLATE, default_subject=K.DEFAULT_INVITATION_SUBJECT):
@@ -939,10 +947,11 @@ def q_unfilled_tokens(spark, sf):
 
 
 @query("split_draft", with_ctes(f"""
-SELECT msg_id, {_subject_sql('body', K.DEFAULT_SMART_FOLLOWUP_SUBJECT)} AS subject, {_body_sql('body')} AS body FROM msgs WHERE direction = 'outgoing'""", "msgs"))
+SELECT doc_id, {_subject_sql('t', K.DEFAULT_SMART_FOLLOWUP_SUBJECT)} AS subject, {_body_sql('t')} AS body
+FROM (SELECT doc_id, {_strip_sql('text')} AS t FROM dtext)""", "dtext"))
 def q_split_draft(spark, sf):
-    m = fx.messages(spark, sf).filter(F.col("direction") == "outgoing")
-    return m.select("msg_id", TX.draft_subject(F.col("body"), K.DEFAULT_SMART_FOLLOWUP_SUBJECT).alias("subject"), TX.draft_body(F.col("body")).alias("body"))
+    d = fx.draft_texts(spark, sf)
+    return d.select("doc_id", TX.draft_subject(F.col("text"), K.DEFAULT_SMART_FOLLOWUP_SUBJECT).alias("subject"), TX.draft_body(F.col("text")).alias("body"))
 
 
 @query("word_count", "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+')) AS INTEGER) AS words FROM documents")
@@ -950,11 +959,11 @@ def q_word_count(spark, sf):
     return fx.read(spark, sf, "documents").select("doc_id", TX.word_count(F.col("text")).alias("words"))
 
 
-@query("banned_phrases", f"""
+@query("banned_phrases", with_ctes(f"""
 SELECT doc_id, array_to_string(m, '|') AS banned_phrases, CAST(len(m) AS INTEGER) AS n_banned
-FROM (SELECT doc_id, list_filter({_PHRASES_SQL}, lambda p: contains(lower(coalesce(text, '')), lower(p))) AS m FROM documents)""")
+FROM (SELECT doc_id, list_filter({_PHRASES_SQL}, lambda p: contains(lower(coalesce(text, '')), lower(p))) AS m FROM dtext)""", "dtext"))
 def q_banned_phrases(spark, sf):
-    d = fx.read(spark, sf, "documents")
+    d = fx.draft_texts(spark, sf)
     return d.select("doc_id", TX.matched_phrases_text(F.col("text")).alias("banned_phrases"),
                     TX.matched_phrase_count(F.col("text")).alias("n_banned"))
 
@@ -1023,14 +1032,13 @@ def q_approval_send_list(spark, sf):
 
 
 @query("followup_context", with_ctes(f"""
-SELECT e.id, e.channel, e.full_name, e.email, t.chunk, coalesce(t.n_messages, 0) AS n_messages,
-  CASE WHEN t.thread_text IS NOT NULL THEN 'smart' ELSE 'template' END AS mode,
-  CASE WHEN t.thread_text IS NOT NULL THEN '{K.DEFAULT_SMART_FOLLOWUP_SUBJECT}' ELSE concat('Re: ', coalesce(d.subject, '{K.DEFAULT_ORIGINAL_SUBJECT}')) END AS followup_subject,
-  t.thread_text
+SELECT e.id, e.channel, e.full_name, e.email, coalesce(t.n_messages, 0) AS n_messages, coalesce(t.n_chunks, 0) AS n_chunks,
+  CASE WHEN t.author_id IS NOT NULL THEN 'smart' ELSE 'template' END AS mode,
+  CASE WHEN t.author_id IS NOT NULL THEN '{K.DEFAULT_SMART_FOLLOWUP_SUBJECT}' ELSE concat('Re: ', coalesce(d.subject, '{K.DEFAULT_ORIGINAL_SUBJECT}')) END AS followup_subject
 FROM (SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
         AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY) e
-LEFT JOIN thread t ON e.id = t.author_id
-LEFT JOIN drafts d ON e.id = d.author_id""", "contacts", "msgs", local=_DRAFT_PAIR_LOCAL + [("thread", THREAD_SQL)]))
+LEFT JOIN (SELECT author_id, count(*) AS n_messages, count(DISTINCT seq // 64) AS n_chunks FROM msgs GROUP BY author_id) t ON e.id = t.author_id
+LEFT JOIN drafts d ON e.id = d.author_id""", "contacts", "msgs", local=_DRAFT_PAIR_LOCAL))
 def q_followup_context(spark, sf):
     el = engagement.followup_eligible(fx.contacts(spark, sf), C_ASOF)
     d = _scan_drafts(spark, sf).select("author_id", F.col("subject").alias("invitation_subject"))
@@ -1043,8 +1051,8 @@ _K3_LOCAL = [
   NULL::VARCHAR AS followup_body_plain
 FROM ({render_sql("(SELECT * FROM contacts WHERE channel = 'main')", fx.INVITATION_TEMPLATE)}) r JOIN contacts c ON r.author_id = c.id"""),
     ("inv", f"SELECT author_id, subject, body_html, body_plain FROM ({render_sql(chr(40) + 'SELECT * FROM contacts WHERE email_status = ' + chr(39) + 'sent' + chr(39) + chr(41), fx.INVITATION_TEMPLATE)})"),
-    ("fu", f"""SELECT author_id, subject, body_html, body_plain FROM ({render_sql(f'''(SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected
-  AND NOT replied AND NOT followup_sent AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY)''', fx.FOLLOWUP_TEMPLATE, K.DEFAULT_SMART_FOLLOWUP_SUBJECT)})"""),
+    ("fu", f"""SELECT r.author_id, concat('Re: ', coalesce(i.subject, '{K.DEFAULT_ORIGINAL_SUBJECT}')) AS subject, r.body_html, r.body_plain FROM ({render_sql(f'''(SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected
+  AND NOT replied AND NOT followup_sent AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY)''', fx.FOLLOWUP_TEMPLATE, tokens=_FOLLOWUP_TOKENS_SQL)}) r LEFT JOIN inv i ON r.author_id = i.author_id"""),
     ("step1", f"""
 SELECT coalesce(e.author_id, i.author_id) AS author_id,
   CASE WHEN i.author_id IS NOT NULL THEN i.subject ELSE e.invitation_subject END AS invitation_subject,
@@ -1074,7 +1082,8 @@ def q_upsert_drafts(spark, sf):
         "*", *[F.lit(None).cast("string").alias(x) for x in drafts.DRAFT_FOLLOWUP_COLS])
     inv = _draft_rows(_render(c.filter(F.col("email_status") == "sent")), asof)
     el = engagement.followup_eligible(c, C_ASOF)
-    fu = _draft_rows(_render(el, fx.FOLLOWUP_TEMPLATE, K.DEFAULT_SMART_FOLLOWUP_SUBJECT), asof, prefix="followup").drop("tokens_used")
+    fu = drafts.render_followups(el, inv.select("author_id", "invitation_subject"), fx.FOLLOWUP_TEMPLATE, RUN_DATE, TRACKING_BASE)
+    fu = _draft_rows(fu, asof, prefix="followup").drop("tokens_used")
     out = drafts.upsert_drafts(existing, inv, fu)
     return out.select("author_id", "invitation_subject", F.length("invitation_body_html").cast("bigint").alias("inv_html_chars"), "followup_subject",
                       F.length("followup_body_plain").cast("bigint").alias("fu_plain_chars"), "saved_at")
@@ -1178,14 +1187,16 @@ def q_export_reply_patch(spark, sf):
 
 @query("export_daily_summary", with_ctes(f"""
 SELECT '{RUN_DATE}' AS date, rs.channel, rs.discovered, rs.valid_emails, rs.sent, rs.failed, rs.skipped,
-  coalesce(fs.sent, 0) AS followups_sent, st.opens, st.replies, rs.sources, round(cost.c, 6) AS cost,
+  coalesce(fs.sent, 0) AS followups_sent, coalesce(st.opens, 0) AS opens, coalesce(rep.replies, 0) AS replies, rs.sources, round(cost.c, 6) AS cost,
   CASE WHEN rs.errors = '' THEN '' ELSE array_to_string(string_split(rs.errors, '; ')[1:5], '; ') END AS errors
 FROM rsum rs
 LEFT JOIN (SELECT channel, count(*) FILTER (WHERE lead_score > 0) AS sent FROM elig GROUP BY channel) fs ON rs.channel = fs.channel
-LEFT JOIN (SELECT channel, count(*) FILTER (WHERE open_detected) AS opens, count(*) FILTER (WHERE replied) AS replies FROM contacts GROUP BY channel) st
-  ON rs.channel = st.channel,
+LEFT JOIN (SELECT channel, count(*) FILTER (WHERE CAST(open_detected_at AS DATE) = DATE '{RUN_DATE}') AS opens FROM contacts GROUP BY channel) st
+  ON rs.channel = st.channel
+LEFT JOIN (SELECT k.channel, count(DISTINCT i.msg_id) AS replies FROM inbound i JOIN contacts k ON nullif(lower(trim(i.sender)), '') = k.email_key
+           WHERE CAST(i.ts AS DATE) = DATE '{RUN_DATE}' GROUP BY 1) rep ON rs.channel = rep.channel,
 (SELECT (CAST(sum(n_chars) AS BIGINT) * 0.59 + CAST(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))) AS BIGINT) * 0.79) / 1e6 AS c FROM documents) cost""",
-                                         "vf", "contacts", "mx", local=RUN_LOCAL_SENT + [("rsum", RUN_SUMMARY_SQL), ("elig", f"""
+                                         "vf", "contacts", "mx", "inbound", local=RUN_LOCAL_SENT + [("rsum", RUN_SUMMARY_SQL), ("elig", f"""
 SELECT * FROM contacts WHERE email_status = 'sent' AND open_detected AND NOT replied AND NOT followup_sent
   AND contacted_at <= {SQL_C_ASOF} - INTERVAL {K.FOLLOW_UP_DELAY_DAYS} DAY""")]))
 def q_export_daily_summary(spark, sf):
@@ -1193,10 +1204,10 @@ def q_export_daily_summary(spark, sf):
     rs = funnel.run_summary(_run(spark, sf))
     el = engagement.followup_eligible(c, C_ASOF)
     fsum = funnel.followup_summary(el, _followup_results(el)).select("channel", F.col("sent").alias("followups_sent"))
-    st = c.groupBy("channel").agg(F.count_if("open_detected").alias("opens"), F.count_if("replied").alias("replies"))
+    st = metrics.day_activity(c, ST.parse_inbound(fx.inbound_replies(spark, sf)), RUN_DATE)
     cost = metrics.llm_cost(_usage(spark, sf)).select("cost_usd").scalar()
     s = rs.join(fsum, "channel", "left").join(st, "channel", "left").select(
-        "*", F.coalesce("followups_sent", F.lit(0).cast("bigint")).alias("_fs"), cost.alias("cost")).drop("followups_sent").withColumnRenamed("_fs", "followups_sent")
+        *rs.columns, *[F.coalesce(x, F.lit(0).cast("bigint")).alias(x) for x in ("followups_sent", "opens", "replies")], cost.alias("cost"))
     return export.export_daily_summary(s, RUN_DATE)
 
 
@@ -1329,7 +1340,8 @@ def q_stream_delivery_events(spark, sf):
 
 
 @query("stream_tracking_hits", with_ctes("""
-SELECT event_id, ts, author_id, source, event, NULL::VARCHAR AS target_url FROM ev WHERE event IN ('open', 'click')""", "ev"))
+SELECT event_id, ts, author_id, source, event,
+  CASE WHEN event = 'click' THEN concat('https://books.example.org/b/', event_id % 5) END AS target_url FROM ev WHERE event IN ('open', 'click')""", "ev"))
 def q_stream_tracking_hits(spark, sf):
     return ST.parse_tracking_hits(fx.tracking_hits(spark, sf))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.emails import email_key
 from ..functions.text import ab_variant as _ab
 from .scans import parse_genres
@@ -188,6 +189,68 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the links that some pages get, by page_id % 7
+LINK_FORMS = {
+    1: '<a href="mailto:writer{id}@books.example?subject=Hi">write</a>',
+    2: """<A HREF='mailto:Info@books.example'>info</A> <A class="m" HREF="mailto:Jane{id}@books.example">Jane</A>""",
+    3: '<a class="x" href="/contact/{id}"><span>Contact</span> us</a>',
+    4: "<a href='about-{id}.html'>Who we are</a>",
+    5: '<A HREF="https://other.example/c{id}">Get in <b>touch</b></A>',
+}
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed pages with contact links in the forms that real pages use, the contact page that form 3
+    leads to, and an http copy of every 20th page (same address but for the scheme)."""
+    p = read(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    extra = F.lit("")
+    for k, form in LINK_FORMS.items():
+        before, *parts = form.split("{id}")
+        text = F.concat(F.lit(before), *[x for part in parts for x in (i.cast("string"), F.lit(part))])
+        extra = F.when(i % 7 == k, text).otherwise(extra)
+    base = p.select(i, "url", F.concat("html", extra).alias("html"))
+    origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    contact = p.filter(i % 7 == 3).select(
+        (i + F.lit(10**9)).alias("page_id"), F.concat(origin, F.lit("/contact/"), i.cast("string")).alias("url"),
+        F.concat(F.lit("<p>mail author"), i.cast("string"), F.lit("@pen.example</p>")).alias("html"))
+    copies = p.filter((i % 20 == 0) & F.col("url").startswith("https://")).select(
+        (i + F.lit(2 * 10**9)).alias("page_id"), F.regexp_replace("url", "^https", "http").alias("url"), "html")
+    return base.unionByName(contact).unionByName(copies)
+
+
+def noted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search hits of which some lead to shops and directories (a blacklist term in url, title or snippet)."""
+    h = search_hits(spark, sf_dir)
+    n = F.col("position")
+    terms = F.array(*[F.lit(t) for t in K.BLACKLIST_TERMS])
+    term = F.element_at(terms, (F.floor(n / 9) % len(K.BLACKLIST_TERMS) + 1).cast("int"))
+    return h.withColumns({
+        "url": F.when(n % 9 == 1, F.concat("url", F.lit("/"), term)).otherwise(F.col("url")),
+        "title": F.when(n % 9 == 2, F.concat("title", F.lit(" "), F.upper(term))).otherwise(F.col("title")),
+        "snippet": F.when(n % 9 == 3, F.concat("snippet", F.lit(" "), term)).otherwise(F.col("snippet")),
+    })
+
+
+def draft_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as draft texts: every third starts with a subject line (in changing case), every fifth holds
+    one of the banned phrases."""
+    d = read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    phrases = F.array(*[F.lit(x) for x in K.BANNED_PHRASES])
+    phrase = F.element_at(phrases, (i % len(K.BANNED_PHRASES) + 1).cast("int"))
+    subject = F.when(i % 6 == 0, "SUBJECT: ").when(i % 6 == 3, "subject:")
+    text = F.when(i % 5 == 1, F.concat("text", F.lit("\n\n"), F.upper(phrase))).otherwise(F.col("text"))
+    return d.select("doc_id", F.when(i % 3 == 0, F.concat(subject, F.lit("About "), i.cast("string"), F.lit("\n\n"), text)).otherwise(text).alias("text"))
+
+
+def long_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages gathered into threads of up to some hundred: every conversation of one residue is one thread."""
+    return messages(spark, sf_dir).select(
+        "msg_id", (F.col("author_id") % 3).alias("author_id"), "direction", "subject", "body", "timestamp",
+        (F.floor(F.col("author_id") / 3) * 16 + F.col("seq")).alias("seq"))
+
+
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed search hits from the pages: query = page language + top-level domain, display url without http://."""
     p = read(spark, sf_dir, "pages")
@@ -244,8 +307,9 @@ def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = delivery_events(spark, sf_dir).filter(F.col("event").isin("open", "click"))
     path = F.when(F.col("event") == "open", F.lit("open")).otherwise(F.lit("click"))
     src = F.when(F.col("source") == "gmail", F.lit("&source=gmail")).otherwise(F.lit(""))
+    target = F.when(F.col("event") == "click", F.concat(F.lit("&url=https%3A%2F%2Fbooks.example.org%2Fb%2F"), (F.col("event_id") % 5).cast("string")))
     url = F.concat(F.lit("https://track.example.org/track/"), path, F.lit("?author_id="),
-                   F.col("author_id").cast("string"), F.lit("&run_date=2024-01-01"), src)
+                   F.col("author_id").cast("string"), F.lit("&run_date=2024-01-01"), src, F.coalesce(target, F.lit("")))
     return ev.select("event_id", "ts", url.alias("request_url"))
 
 

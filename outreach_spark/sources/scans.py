@@ -54,15 +54,14 @@ def scan_verifications(cache: DataFrame) -> DataFrame:
 
 
 def scan_drafts(main_drafts: DataFrame, gmail_drafts: DataFrame) -> DataFrame:
-    """One draft per author: the main channel's, else the gmail channel's.
-
-    A keyed aggregate (min over (priority, row)) rather than a window, so a hot author id is
-    combined map-side.
-    """
+    """One draft per author: the main channel's, else the gmail channel's. A draft table has one row per
+    author (K3's key), so the two are joined on it and no row is sorted for a choice."""
     cols = [c for c in main_drafts.columns if c != "author_id"]
-    both = main_drafts.withColumn("_prio", F.lit(0)).unionByName(gmail_drafts.withColumn("_prio", F.lit(1)), allowMissingColumns=True)
-    best = both.groupBy("author_id").agg(F.min(F.struct("_prio", *cols)).alias("_d"))
-    return best.select("author_id", *[F.col("_d")[c].alias(c) for c in cols], F.when(F.col("_d._prio") == 0, "main").otherwise("gmail").alias("draft_channel"))
+    m = main_drafts.select("author_id", *[F.col(c).alias("_m_" + c) for c in cols], F.lit(True).alias("_main"))
+    j = m.join(gmail_drafts, "author_id", "full_outer")
+    in_main = F.coalesce("_main", F.lit(False))
+    return j.select("author_id", *[F.when(in_main, F.col("_m_" + c)).otherwise(F.col(c)).alias(c) for c in cols],
+                    F.when(in_main, "main").otherwise("gmail").alias("draft_channel"))
 
 
 def scan_messages(messages: DataFrame, author_id=None, email: str | None = None) -> DataFrame:
@@ -105,9 +104,13 @@ def url_key(url: Column) -> Column:
 
 
 def scan_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page HTML for each hit's url (left join; NULL when the page was not landed)."""
-    p = pages.select(url_key(F.col("url")).alias("_u"), F.col("page_id"), F.col("html"))
-    return hits.withColumn("_u", url_key(F.col("url"))).join(p, "_u", "left").drop("_u")
+    """Page HTML for each hit's url (left join; NULL when the page was not landed), one row per hit: of
+    pages with one key (http and https copies) the smallest id counts. The choice is made on narrow rows,
+    so the html is joined once, by id, and only for pages that a hit asks for."""
+    keys = pages.select(url_key(F.col("url")).alias("_u"), "page_id")
+    asked = hits.withColumn("_u", url_key(F.col("url")))
+    one = keys.join(asked.select("_u").distinct(), "_u", "left_semi").groupBy("_u").agg(F.min("page_id").alias("page_id"))
+    return asked.join(one, "_u", "left").drop("_u").join(pages.select("page_id", "html"), "page_id", "left").select(*hits.columns, "page_id", "html")
 
 
 def scan_seen_emails(export: DataFrame, email_col: str = "email") -> DataFrame:
