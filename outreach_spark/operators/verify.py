@@ -27,7 +27,8 @@ def mx_lookup(mx: DataFrame) -> DataFrame:
 
 def verify_emails(requests: DataFrame, mx: DataFrame, email_col: str = "email", code_col: str = "probe_code") -> DataFrame:
     """Syntax -> role prefix -> MX -> probe code (250 deliverable; 550 not; other code deliverable;
-    no answer = blocked, deliverable).
+    no answer = blocked, deliverable). Where the probe table has ``probe_error``, a row with one is VERIFY_ERROR
+    (deliverable); the reason of other codes and of a block is the server's ``probe_message``.
 
     The MX table is per domain; its size is bounded by the number of distinct domains, and the join is
     left to the optimizer (broadcast when its statistics are under the threshold, else shuffled; AQE
@@ -40,10 +41,14 @@ def verify_emails(requests: DataFrame, mx: DataFrame, email_col: str = "email",
     j = req.join(mx_lookup(mx).select("domain", "mx_host"), "domain", "left")
     code = F.col(code_col)
     mx_found = F.col("mx_host").isNotNull()
+    none = F.lit(None).cast("string")
+    error = F.col("probe_error") if "probe_error" in requests.columns else none
+    message = F.col("probe_message") if "probe_message" in requests.columns else none
     result = (
         F.when(~F.col("syntax_valid"), "INVALID_SYNTAX")
         .when(F.col("_role"), "ROLE_BASED")
         .when(~mx_found, "MX_NOT_FOUND")
+        .when(error.isNotNull(), "VERIFY_ERROR")
         .when(code.isNull(), "SMTP_BLOCK")
         .when(code == 250, "DELIVERABLE")
         .when(code == 550, "SMTP_550")
@@ -55,7 +60,9 @@ def verify_emails(requests: DataFrame, mx: DataFrame, email_col: str = "email",
         .when(F.col("smtp_result") == "ROLE_BASED", "Role-based email")
         .when(F.col("smtp_result") == "MX_NOT_FOUND", "No MX record")
         .when(F.col("smtp_result") == "SMTP_550", "User does not exist")
-        .when(F.col("smtp_result") == "SMTP_BLOCK", "No answer from mail server")
+        .when(F.col("smtp_result") == "VERIFY_ERROR", error)
+        .when(F.col("smtp_result") == "SMTP_BLOCK", F.coalesce(message, F.lit("No answer from mail server")))
+        .when(F.col("smtp_result") != "DELIVERABLE", message)
     )
     out = j.withColumn("smtp_result", result)
     return out.select(

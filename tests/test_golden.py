@@ -65,6 +65,61 @@ def test_contact_subpage_links_order_and_resolution(spark):
     assert r.link_text == "CONTACT" and r.selector_rank == 1 and r.subpage_url == "https://x.org/home/team.html"
 
 
+def test_links_in_real_markup(spark):
+    forms = ['<a href="/contact"><span>Contact</span> us</a>', "<a href='/contact'>x</a>", '<A class="b" HREF="/contact">x</A>', '<a\nhref="/x">Get in\n<b>touch</b></a>',
+             '<a href="mailto:a@x.org">Contact</a>', '<link href="/contact"><a name="contact">Contact</a>']
+    pages = spark.createDataFrame([(i, "https://x.org/", h) for i, h in enumerate(forms)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.link_text, r.subpage_url) for r in extract.contact_subpage_links(pages).collect()}
+    assert got == {0: ("Contact us", "https://x.org/contact"), 1: ("x", "https://x.org/contact"), 2: ("x", "https://x.org/contact")}
+    html = '<link href="mailto:no@x.org"><A HREF="mailto:Jane@x.org?subject=1">'
+    assert one(spark.createDataFrame([(html,)], "html string").select(EM.page_mailto("html").alias("m"))).m == "Jane@x.org"
+
+
+def test_one_page_per_address(spark):
+    from outreach_spark.sources import scans
+
+    pages = spark.createDataFrame([(2, "http://a.org/", "second b@a.org"), (1, "https://a.org/", "first a@a.org")], "page_id bigint, url string, html string")
+    stubs = spark.createDataFrame([("A", "", "a.org/"), ("N", "", None), ("N", "", None)], "name string, description string, url string")
+    assert sorted(str(r.email) for r in extract.resolve_email(stubs, pages).collect()) == ["None", "None", "a@a.org"]
+    hits = spark.createDataFrame([("q", "https://a.org/"), ("q", "https://b.org/")], "query string, url string")
+    assert sorted((r.url, r.page_id) for r in scans.scan_pages(hits, pages).collect() if r.page_id) == [("https://a.org/", 1)]
+    assert scans.scan_pages(hits, pages).count() == 2
+
+
+def test_new_files_are_seen_in_the_same_session(spark, scratch):
+    from outreach_spark.sources import fixtures as fx
+
+    ev = spark.createDataFrame([(i, T0, 1, "click", 0.0, None) for i in range(5)], fx.LANDED_SCHEMAS["events"])
+    ev.write.parquet(f"{scratch}/events.parquet")
+    assert fx.delivery_events(spark, scratch).count() == 5
+    ev.withColumn("event_id", F.col("event_id") + 5).write.mode("append").parquet(f"{scratch}/events.parquet")
+    assert fx.delivery_events(spark, scratch).count() == 10
+
+
+def test_engagement_by_channel_and_folding_twice(spark):
+    c = contacts_df(spark, [{"id": 1, "channel": "main", "lead_score": 2, "email_status": "sent"}, {"id": 1, "channel": "gmail", "lead_score": 0, "email_status": "sent"}])
+    ev = spark.createDataFrame([(1, T0, 1, "open", "main"), (2, T0, 1, "click", "gmail"), (3, T0, 1, "bounce", "gmail")],
+                               "event_id bigint, ts timestamp_ntz, author_id bigint, event string, source string")
+    once = engagement.apply_engagement(c, ev)
+    got = {r.channel: (r.lead_score, r.open_detected, r.email_status) for r in once.collect()}
+    assert got == {"main": (3, True, "sent"), "gmail": (5, False, "bounced")}
+    twice = engagement.apply_engagement(once, ev)
+    assert sorted(map(str, twice.select(*once.columns).collect())) == sorted(map(str, once.collect()))
+    older = ev.withColumn("ts", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    back = engagement.apply_engagement(once, older)
+    assert {r.channel: r.open_detected_at for r in back.collect()}["main"] == T0
+
+
+def test_followup_drafts(spark):
+    from outreach_spark.operators import drafts
+
+    el = contacts_df(spark, [{"id": 1, "channel": "main", "full_name": "Ann Lee"}, {"id": 2, "channel": "main", "full_name": "Bo"}]).withColumn("book_description", F.lit("d" * 500))
+    d = spark.createDataFrame([(1, "First note")], "author_id bigint, invitation_subject string")
+    out = {r.author_id: r for r in drafts.render_followups(el, d, "SUBJECT: other\n\nHi {{AUTHOR_NAME}}: {{BOOK_DESCRIPTION}}", "2024-01-01").collect()}
+    assert out[1].subject == "Re: First note" and out[2].subject == "Re: Invitation"
+    assert out[1].body_plain == "Hi Ann: " + "d" * 300
+
+
 def test_resolve_email_home_then_subpage(spark):
     pages = spark.createDataFrame([
         (1, "https://a.org/", '<a href="/contact">Contact</a> nothing here'),
@@ -281,6 +336,10 @@ def test_verify_chain(spark):
     got = {r.id: (r.smtp_result, r.is_deliverable) for r in verify.verify_emails(req, mx).collect()}
     assert got == {1: ("INVALID_SYNTAX", False), 2: ("ROLE_BASED", False), 3: ("MX_NOT_FOUND", False), 4: ("SMTP_550", False),
                    5: ("SMTP_450", True), 6: ("SMTP_BLOCK", True), 7: ("DELIVERABLE", True)}
+    probes = spark.createDataFrame([(1, "a@ok.org", 451, "greylisted", None), (2, "b@ok.org", None, None, "boom"), (3, "c@ok.org", None, "timed out", None),
+                                    (4, "d@ok.org", 250, "ok", None)], "id bigint, email string, probe_code int, probe_message string, probe_error string")
+    got = {r.id: (r.smtp_result, r.is_deliverable, r.failure_reason) for r in verify.verify_emails(probes, mx).collect()}
+    assert got == {1: ("SMTP_451", True, "greylisted"), 2: ("VERIFY_ERROR", True, "boom"), 3: ("SMTP_BLOCK", True, "timed out"), 4: ("DELIVERABLE", True, None)}
     assert one(verify.mx_lookup(mx)).mx_host == "mx0.ok.org"
     dom = spark.createDataFrame([("x@ OK.org./",), ("x@a.b",), ("nodomain",)], "e string").select(EM.email_domain("e").alias("d"))
     assert [r.d for r in dom.collect()] == ["ok.org", "a.b", None]
