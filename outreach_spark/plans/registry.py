@@ -1120,9 +1120,10 @@ _EXPORT_LOCAL = [("verdict", VERDICT_SQL), ("vout", VERIFY_OUT_SQL)]
 
 
 def _export(spark, sf, channel):
-    c = fx.contacts(spark, sf).filter(F.col("channel") == channel)
-    v = _verdicts(spark, sf).select("id", F.col("is_deliverable").alias("email_verified"), F.col("smtp_result").alias("verification_result"))
-    return export.export_contacts(c.join(v, "id", "left"), RUN_DATE, channel)
+    """The channel's contacts with their verdict on the row (no join back by id)."""
+    c = fx.probed_contacts(spark, sf).filter(F.col("channel") == channel)
+    v = verify.verify_emails(c, fx.mx_records(spark, sf), email_col="request_email")
+    return export.export_contacts(v.withColumnsRenamed({"is_deliverable": "email_verified", "smtp_result": "verification_result"}), RUN_DATE, channel)
 
 
 @query("export_contacts_main", with_ctes(export_sql("main"), "vf", "mx", local=_EXPORT_LOCAL))

@@ -174,6 +174,11 @@ def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "channel", "full_name", "contacted_at", _request_email().alias("email"), _probe_code().alias("probe_code"))
 
 
+def probed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts with the address that is verified and its probe code next to them."""
+    return contacts(spark, sf_dir).withColumns({"request_email": _request_email(), "probe_code": _probe_code()})
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation rows: system turns dropped; user = incoming, assistant = outgoing; ordered by turn."""
     cv = read(spark, sf_dir, "conversations").filter(F.col("role") != "system")

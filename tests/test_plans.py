@@ -38,8 +38,33 @@ def test_global_top_k_is_take_ordered(spark, key):
     assert "TakeOrderedAndProject" in plan_of(spark, key)
 
 
-@pytest.mark.parametrize("key", ["first_per_email", "upsert_verifications", "scan_drafts", "mx_lookup", "classify_candidates"])
+@pytest.mark.parametrize("key", ["first_per_email", "upsert_verifications", "mx_lookup", "classify_candidates"])
 def test_keyed_first_wins_are_aggregates_not_windows(spark, key):
     p = plan_of(spark, key)
     assert "HashAggregate" in p or "SortAggregate" in p or "ObjectHashAggregate" in p
     assert "Window [" not in p
+
+
+@pytest.mark.parametrize("key", ["scan_drafts", "contact_with_draft", "classify_candidates", "run_summary", "resolve_email"])
+def test_no_whole_rows_in_sorted_aggregates(spark, key):
+    for line in plan_of(spark, key).splitlines():
+        if "SortAggregate" in line:  # a choice among rows may carry narrow fields, never texts
+            assert not any(t in line for t in ("body_html", "html#", "book_description", "full_name")), line
+
+
+@pytest.mark.parametrize("key, scans", [("bounce_rate", 2), ("export_contacts_main", 3), ("contact_subpage_links", 3), ("followup_eligible", 2)])
+def test_inputs_are_read_as_often_as_needed(spark, key, scans):
+    assert plan_of(spark, key).count("FileScan parquet") <= scans
+
+
+def test_no_plan_depends_on_input_size(spark):
+    for key in ("banned_phrases", "export_daily_summary", "lead_scores"):
+        assert "REPARTITION_BY_NUM" not in plan_of(spark, key)
+    from outreach_spark.plans.registry import REGISTRY
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+        assert REGISTRY["lead_scores"][0](spark, SF_SMALL).count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
