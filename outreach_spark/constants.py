@@ -56,9 +56,6 @@ TONES = [
 
 # ---- fixed values: vocabularies
 CHANNELS = ["main", "gmail"]
-EMAIL_STATUSES = ["pending", "sent", "failed", "dry_run", "no_email", "pending_approval", "bounced", "dropped", "spam"]
-APPROVAL_STATUSES = ["pending", "approved", "rejected"]
-EVENT_TYPES = ["open", "click", "bounce", "dropped"]
 
 # ---- fixed values: engagement points
 OPEN_POINTS = 1

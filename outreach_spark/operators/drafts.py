@@ -29,6 +29,11 @@ def _token_columns(token_map: str | None = None, description_chars: int = K.INVI
     return tokens
 
 
+def bio_token() -> Column:
+    """The author's bio cut at 300 characters, for contact tables that have one."""
+    return F.coalesce(F.nullif(F.substring(F.col("bio"), 1, K.BIO_CHARS), F.lit("")), F.lit(K.FALLBACK_TEXT))
+
+
 def default_tokens(contacts: DataFrame, token_map: str | None = None) -> dict[str, Column]:
     """Token values with the application's fallbacks: first title or 'their book', description cut at 400
     or 'Not available', first two genres or 'General Fiction'. A map column overrides / adds tokens."""
@@ -62,7 +67,8 @@ def render_drafts(contacts: DataFrame, template: str, run_date: str, tracking_ba
                   source: str | None = None) -> DataFrame:
     """Fill -> split subject / body -> <p> paragraphs -> tracking pixel -> quality columns."""
     tm = token_map if token_map and token_map in contacts.columns else None
-    filled = TX.fill_template(template, _token_columns(tm))
+    tokens = _token_columns(tm) | ({"AUTHOR_BIO": bio_token()} if "bio" in contacts.columns else {})
+    filled = TX.fill_template(template, tokens)
     return _render(contacts, filled, TX.draft_subject(F.col("_text"), default_subject), run_date, tracking_base, source)
 
 

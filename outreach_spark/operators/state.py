@@ -86,6 +86,7 @@ def append_rows(df: DataFrame, root: str, key: str, buckets: int = 64) -> DataFr
     done = f"{root.rstrip('/')}/appended/{uuid.uuid4().hex}"
     append_new(existing, batch, key).write.parquet(done)
     new = spark.read.parquet(done)
+    fs.delete(_fs(spark, part)[1], True)
     new.write.mode("append").partitionBy("bucket").parquet(f"{root.rstrip('/')}/rows")
     return new.drop("bucket")
 

@@ -273,7 +273,7 @@ def q_thread_text(spark, sf):
     return ranking.thread_text(fx.long_threads(spark, sf))
 
 
-@query("scan_messages", with_ctes("SELECT * FROM msgs ORDER BY timestamp, seq, msg_id", "msgs"))
+@query("scan_messages", with_ctes("SELECT * FROM msgs", "msgs"))
 def q_scan_messages(spark, sf):
     return scans.scan_messages(fx.messages(spark, sf))
 

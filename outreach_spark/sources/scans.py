@@ -65,12 +65,15 @@ def scan_drafts(main_drafts: DataFrame, gmail_drafts: DataFrame) -> DataFrame:
 
 
 def scan_messages(messages: DataFrame, author_id=None, email: str | None = None) -> DataFrame:
-    """Conversation rows for an author id or an email (or all), oldest first."""
+    """Conversation rows of an author id or an email, oldest first. Without either, all rows gathered by
+    author and oldest first within each: the bodies are dealt by author, not sorted as a whole."""
     out = messages
     if author_id is not None:
         out = out.filter(F.col("author_id") == F.lit(author_id))
     if email is not None:
         out = out.filter(email_key("email") == email_key(F.lit(email)))
+    if author_id is None and email is None:
+        return out.repartition("author_id").sortWithinPartitions("author_id", "timestamp", "seq", "msg_id")
     return out.orderBy("timestamp", "seq", "msg_id")
 
 

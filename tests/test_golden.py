@@ -110,6 +110,23 @@ def test_engagement_by_channel_and_folding_twice(spark):
     assert {r.channel: r.open_detected_at for r in back.collect()}["main"] == T0
 
 
+def test_messages_of_one_author_or_address(spark):
+    from outreach_spark.sources.scans import scan_messages
+
+    m = spark.createDataFrame([("b", 1, "A@x.org", T0, 1), ("a", 1, None, T0, 0), ("c", 2, "a@x.org ", datetime(2024, 1, 9), 0)],
+                              "msg_id string, author_id bigint, email string, timestamp timestamp_ntz, seq bigint")
+    assert [r.msg_id for r in scan_messages(m, author_id=1).collect()] == ["a", "b"]
+    assert [r.msg_id for r in scan_messages(m, email="a@X.org").collect()] == ["c", "b"]
+    assert scan_messages(m).count() == 3
+
+
+def test_bio_token(spark):
+    from outreach_spark.operators import drafts
+
+    c = contacts_df(spark, [{"id": 1, "channel": "main", "full_name": "Ann"}]).withColumn("bio", F.lit("b" * 400))
+    assert one(drafts.render_drafts(c, "{{AUTHOR_BIO}}", "2024-01-01")).body_plain == "b" * 300
+
+
 def test_followup_drafts(spark):
     from outreach_spark.operators import drafts
 
