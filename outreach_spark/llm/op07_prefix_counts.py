@@ -103,7 +103,7 @@ class PrefixCounter:
                 i += 1
             else:
                 j += 1
-        if len(self.stable) > 2_000_000:
+        if len(self.stable) > 500_000:
             self.stable.clear()
         self.stable[q, p] = result
         return result
