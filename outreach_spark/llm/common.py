@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,26 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that tasks can import it wherever the driver was started from.
+
+    Called before a function is handed to Spark; once per application.
+    """
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if sc.applicationId in _SHIPPED or not package.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="llm-package-"), f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -44,6 +66,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and the table
     outlives any executor."""
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -77,6 +100,7 @@ def map_texts(
     ``make()`` runs once per task and returns a function from a list of texts to one list or Arrow array
     per field. The other columns pass through untouched, so clashing names need no care.
     """
+    ship_package(docs.sparkSession)
     names = [*docs.columns, out_col]
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, fields, True)])
@@ -93,6 +117,19 @@ def map_texts(
     return docs.mapInArrow(run, schema)
 
 
+def slices(texts: list, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``limit`` characters or bytes in all, so that what a step holds per
+    slice is bounded by the limit or by one text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def local_file(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     """Write a size-bounded file on the driver, hand it to every executor with ``addFile`` and return the
     name under which tasks find it (``SparkFiles.get``). Executors that join later fetch it too."""
