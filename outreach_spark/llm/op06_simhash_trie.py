@@ -246,7 +246,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with a third of all nodes is pre-aggregated and its join side can be split. Each round's edges are a
     written table; rounds end when nothing changes.
     """
-    spark = edges.sparkSession
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
@@ -260,7 +259,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds; {spark.version}")
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _components(prints: DataFrame, max_bits: int) -> DataFrame:
