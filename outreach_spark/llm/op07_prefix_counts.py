@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship_package, slices
+
 MARK = "▁"
 #: Units kept per task with their tables; the cache starts anew beyond it.
 CACHE_UNITS = 400_000
-SLICE = 1024
+#: Characters cut into units together; in sorted order they share prefixes.
+SLICE = 8 << 20
 _UNITS = re.compile(" *[^ ]+| +")
 
 
@@ -127,7 +130,7 @@ class PrefixCounter:
                 same += 1
             del last[same + 1 :], count[same + 1 :]
             for i in range(same + 1, n + 1):
-                for j in range(max(0, i - longest), i):
+                for j in range(i - 1, max(-1, i - 1 - longest), -1):  # short pieces first: most prefixes end in one
                     piece = unit[j:i]
                     if piece not in score:
                         continue
@@ -187,6 +190,7 @@ def truncation(table: np.ndarray, budget: int) -> int:
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_table: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, fits`` per document: ``fits`` is the number of characters that
     stay within ``limit`` tokens. With ``with_table``, also ``counts``: the whole prefix table."""
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [source.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("fits", T.LongType())]
     fields += [T.StructField("counts", T.ArrayType(T.IntegerType()))] * with_table
@@ -194,10 +198,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                rows = []
-                texts = part.column(1).to_pylist()
+            all_texts = batch.column(1).to_pylist()
+            for lo, hi in slices(all_texts, SLICE):
+                part, texts, rows = batch.slice(lo, hi - lo), all_texts[lo:hi], []
                 for text, table in zip(texts, counter.tables_of(texts)):
                     n = int(table[-1])
                     rows.append((len(text.encode()), n, n > limit, len(text) if n <= limit else truncation(table, limit), *([table] if with_table else [])))
