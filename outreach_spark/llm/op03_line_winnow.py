@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, free_name
+from .common import WORD_CLASS, cut, free_name
 
 #: Keys are two 64-bit hashes with different seeds.
 _SALT = "line"
@@ -74,7 +74,7 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(``k``, ``pos``) of every line inside a run of ``min_words`` words or more that occurred before."""
-    found = windows(line_table(docs, id_col, text_col), min_words)
+    found = cut(windows(line_table(docs, id_col, text_col), min_words), "line-windows")  # read twice below
     at = F.struct("k", "lo", "hi")
     first = found.groupBy("fingerprint", "run").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("fingerprint", "run", "first")
     later = found.join(first, ["fingerprint", "run"]).where(F.col("first") < at)
