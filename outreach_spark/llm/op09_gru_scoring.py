@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
-from .common import cut, fold
+from .common import cut, fold, ship_package
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -95,13 +95,17 @@ def _tokenize(table: pa.Table) -> pa.Table:
 
 
 def _symbols(docs: pa.Table, words: pa.Table, n_words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Local ids of each document, and per local id its training count and its symbol."""
+    """Local ids of each document, and per local id its training count and its symbol. ``words`` may leave out
+    what is never counted (count 0) or, for symbols alone, other words."""
+    ids = [unpack_ids(x) for x in docs.column("ids").to_pylist()]
+    n = 1 + max((int(x.max()) for x in ids if len(x)), default=-1)
     local = words.column("local").to_numpy()
-    count, symbol = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-    count[local] = words.column("c").to_numpy()
-    symbol[local] = words.column("symbol").to_numpy()
-    symbol[symbol == 0] = n_words
-    return [unpack_ids(x) for x in docs.column("ids").to_pylist()], count, symbol
+    own = local < n
+    count, symbol = np.zeros(n, np.int64), np.full(n, n_words)
+    count[local[own]] = words.column("c").to_numpy()[own]
+    given = words.column("symbol").to_numpy()[own]
+    symbol[local[own]] = np.where(given == 0, n_words, given)
+    return ids, count, symbol
 
 
 def train_rounds(samples: DataFrame, shape: gru.Shape, flat: np.ndarray, rounds: int, trainer_tokens: int) -> np.ndarray:
@@ -140,6 +144,7 @@ def score_documents(
     trainer_tokens: int = 1 << 20,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sizes = {r.b: r.s for r in source.groupBy(_bucket(F.octet_length("text")).alias("b")).agg(F.sum(F.octet_length("text")).alias("s")).collect()}  # one row per power of two
     key = F.xxhash64("doc_id", "text")
@@ -185,7 +190,7 @@ def score_documents(
         return pa.table({"draw": texts_of.column("draw"), "symbols": pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()), "n": pa.array([len(r) for r in rows], pa.int64())})
 
     drawn = texts.where(~F.col("held_out") & (F.pmod("draw", F.lit(train_share)) == 0))
-    samples = drawn.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(sample, "draw long, symbols binary, n long")
+    samples = drawn.groupBy("chunk").cogroup(numbered.where("symbol > 0").groupBy("chunk")).applyInArrow(sample, "draw long, symbols binary, n long")
     flat = train_rounds(samples, shape, flat, rounds, trainer_tokens)
 
     def score(texts_of: pa.Table, words_of: pa.Table) -> pa.Table:
@@ -208,7 +213,7 @@ def score_documents(
         )
 
     out = [source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    return texts.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(lambda a, b: score(a, b) if a.num_rows else _nothing(out), T.StructType(out))
+    return texts.groupBy("chunk").cogroup(numbered.where("c > 0").groupBy("chunk")).applyInArrow(lambda a, b: score(a, b) if a.num_rows else _nothing(out), T.StructType(out))
 
 
 def _nothing(fields: list[T.StructField]) -> pa.Table:
