@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ByteWords, Merger
-from .common import cut
+from .common import cut, ship_package, slices
 
 #: Fixed value: the vocabulary's cut of a lower-cased run, with white space spelled out.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
@@ -101,6 +101,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
 def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``)."""
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [source.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
@@ -109,10 +110,10 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):  # a slice's words bound the memory
-                part = batch.slice(lo, 512)
-                rows, at = [], []
-                for i, ids in enumerate(encode(part.column(1).to_pylist())):
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts, 2 << 20):
+                part, rows, at = batch.slice(lo, hi - lo), [], []
+                for i, ids in enumerate(encode(texts[lo:hi])):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in cut_lengths(n, capacity):
