@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ByteWords, Merger, byte_letters
-from .common import local_file, map_texts
+from .common import cut, local_file, map_texts, ship_package, slices
 
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the vocabulary's cut of a text into words, with white space spelled out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: Words kept per worker with their ids; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
-#: Texts encoded together: their words bound a task's memory.
-SLICE = 256
+#: Bytes of text encoded together: their words bound a task's memory.
+SLICE = 1 << 20
 
 
 # ---------------------------------------------------------------- automaton
@@ -139,12 +139,12 @@ class Automaton:
 # ---------------------------------------------------------------- encoding
 
 
-def cut_words(specials: list[str]) -> Callable[[str], list[str]]:
+def word_cutter(specials: list[str]) -> Callable[[str], list[str]]:
     """A text's words in order; a special token is a word of its own."""
     find = regex.compile(WORDS).findall
     special = re.compile("|".join(f"({re.escape(s)})" for s in specials)) if specials else None
 
-    def cut(text: str) -> list[str]:
+    def words_of(text: str) -> list[str]:
         if special is None or not special.search(text):
             return find(text)
         out: list[str] = []
@@ -153,21 +153,22 @@ def cut_words(specials: list[str]) -> Callable[[str], list[str]]:
                 out += [part] if i % (len(specials) + 1) else find(part)
         return out
 
-    return cut
+    return words_of
 
 
 def count_words(docs: DataFrame, specials: list[str], text_col: str = "text") -> DataFrame:
     """(``word``, ``n``) over all texts; each task adds up its words before the shuffle."""
+    ship_package(docs.sparkSession)
 
     def run(batches):
-        cut, held = cut_words(specials), Counter()
+        words_of, held = word_cutter(specials), Counter()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(cut(text))
+                held.update(words_of(text))
                 if len(held) > CACHE_WORDS:
                     yield rows()
                     held.clear()
@@ -179,11 +180,20 @@ def count_words(docs: DataFrame, specials: list[str], text_col: str = "text") ->
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = 65_536) -> str:
     """Compile the corpus's most frequent words and hand the file to the executors; returns its name.
 
-    Only ``lexicon_words`` words come to the driver, at any corpus size.
+    The words are those above a count: the lowest step of a fixed scale (eight to a doubling) above which
+    there are at most ``lexicon_words``. So a histogram of the scale and at most that many words come to the
+    driver, at any corpus size and number of partitions.
     """
     merger = Merger(path)
-    top = count_words(docs, list(merger.special), text_col).where(~F.col("word").isin(list(merger.special))).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
-    words = sorted(r.word.encode() for r in top)
+    step = F.floor(8 * F.log2("n")).cast("int")
+    counts = cut(count_words(docs, list(merger.special), text_col).where(~F.col("word").isin(list(merger.special))).select("word", step.alias("step")), "word-counts")
+    least, room = 0, lexicon_words
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 8 x 63 rows
+        room -= r["count"]
+        if room < 0:
+            least = r.step + 1
+            break
+    words = sorted(r.word.encode() for r in counts.where(F.col("step") >= least).select("word").collect())
     flat = compile_automaton(words, ByteWords(merger).encode(words))
 
     def write(to: str) -> None:
@@ -199,7 +209,7 @@ class Encoder:
     def __init__(self, path: str, automaton: Automaton) -> None:
         merger = Merger(path)
         self.special = {s: i.to_bytes(4, "little") for s, i in merger.special.items()}
-        self.cut = cut_words(list(merger.special))
+        self.words_of = word_cutter(list(merger.special))
         self.merged = ByteWords(merger)
         self.automaton = automaton
         self.known: dict[str, bytes] = {}
@@ -214,7 +224,7 @@ class Encoder:
         self.known.update(self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
+        cuts = [self.words_of(t) for t in texts]
         words = set().union(*cuts)
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
@@ -238,7 +248,7 @@ def encode(docs: DataFrame, path: str, lexicon: str, out: str = "encoded", text_
         run = _encoder(path, SparkFiles.get(lexicon))
 
         def work(texts: list[bytes]) -> list:
-            ids = [x for i in range(0, len(texts), SLICE) for x in run([t.decode() for t in texts[i : i + SLICE]])]
+            ids = [x for lo, hi in slices(texts, SLICE) for x in run([t.decode() for t in texts[lo:hi]])]
             return [ids, [len(x) // 4 for x in ids]]
 
         return work

@@ -20,7 +20,7 @@ TEXTS = [*HARD, "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "  two  \n\n t
 
 def test_equals_library(spark):
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{SF_MED}/documents.parquet").collect()][:400]
-    words = sorted({w.encode() for t in texts[:200] for w in op2.cut_words([])(t)})[::2]
+    words = sorted({w.encode() for t in texts[:200] for w in op2.word_cutter([])(t)})[::2]
     auto = op2.Automaton(op2.compile_automaton(words, ByteWords(Merger(PATH)).encode(words)))
     got = op2.Encoder(PATH, auto)(texts)
     table = op2.token_bytes(Merger(PATH))
