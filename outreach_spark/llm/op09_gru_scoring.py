@@ -140,7 +140,7 @@ def score_documents(
     hidden: int = 16,
     rounds: int = 2,
     train_share: int = 16,
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 4 << 20,
     trainer_tokens: int = 1 << 20,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document."""
