@@ -7,6 +7,7 @@ not this model's matter. p(word) = p(class | state) p(word | class, state).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -178,29 +179,41 @@ def gradient(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets
         d_rec = np.hstack([dz, dr, dc * r])
         g["rec"] += h.T @ d_rec
         carry = (dh * z + d_rec @ p["rec"].T) * (inputs[:, t] != 0)[:, None]
-    np.add.at(g["inp"], inputs.T.reshape(-1), d_inp.reshape(-1, 3 * hidden))
+    at = inputs.T.reshape(-1)
+    order = np.argsort(at, kind="stable")
+    used, starts = np.unique(at[order], return_index=True)
+    g["inp"][used] = np.add.reduceat(d_inp.reshape(-1, 3 * hidden)[order], starts)
     grad /= n
     return grad, loss / n
 
 
-def train(shape: Shape, flat: np.ndarray, stream: np.ndarray, rows: int = 64, time: int = 24, rate: float = 0.01, clip: float = 1.0) -> np.ndarray:
-    """One pass of truncated backpropagation (Adam) over a stream of documents (each ended by 0)."""
+def train(shape: Shape, flat: np.ndarray, streams: Iterable[np.ndarray], rows: int = 256, time: int = 24, rate: float = 0.01, clip: float = 1.0) -> tuple[np.ndarray, int]:
+    """One pass of truncated backpropagation (Adam) over streams of documents (each ended by 0), one stream
+    after the other; the weights and the number of symbols read. A stream is cut into lanes of equal width, of
+    which the last may be shorter."""
     flat = flat.copy()
     p = shape.split(flat)
-    rows = max(1, min(rows, len(stream) // (2 * time)))
-    width = len(stream) // rows
-    if width < 1:
-        return flat
-    lanes = stream[: rows * width].reshape(rows, width)
-    inputs = np.concatenate([np.zeros((rows, 1), lanes.dtype), lanes[:, :-1]], axis=1)
-    state = np.zeros((rows, shape.hidden), F4)
     first, second = np.zeros_like(flat), np.zeros_like(flat)
-    for step, lo in enumerate(range(0, width, time), 1):
-        grad, _ = gradient(shape, p, inputs[:, lo : lo + time], lanes[:, lo : lo + time], state)
-        norm = float(np.linalg.norm(grad))
-        if norm > clip:
-            grad *= F4(clip / norm)
-        first += F4(0.1) * (grad - first)
-        second += F4(0.01) * (grad * grad - second)
-        flat -= F4(rate) * (first / F4(1 - 0.9**step)) / (np.sqrt(second / F4(1 - 0.99**step)) + F4(1e-6))
-    return flat
+    step = read = 0
+    for stream in streams:
+        if not len(stream):
+            continue
+        width = -(-len(stream) // max(1, min(rows, len(stream) // (2 * time))))
+        n = -(-len(stream) // width)
+        last = len(stream) - (n - 1) * width
+        lanes = np.zeros((n, width), np.int64)
+        lanes.reshape(-1)[: len(stream)] = stream
+        inputs = np.concatenate([np.zeros((n, 1), lanes.dtype), lanes[:, :-1]], axis=1)
+        state = np.zeros((n, shape.hidden), F4)
+        edges = [*range(0, last, time), *range(last, width, time), width]
+        for lo, hi in zip(edges, edges[1:]):
+            own = n if hi <= last else n - 1
+            grad, _ = gradient(shape, p, inputs[:own, lo:hi], lanes[:own, lo:hi], state[:own])
+            step, read = step + 1, read + own * (hi - lo)
+            norm = float(np.linalg.norm(grad))
+            if norm > clip:
+                grad *= F4(clip / norm)
+            first += F4(0.1) * (grad - first)
+            second += F4(0.01) * (grad * grad - second)
+            flat -= F4(rate) * (first / F4(1 - 0.9**step)) / (np.sqrt(second / F4(1 - 0.99**step)) + F4(1e-6))
+    return flat, read

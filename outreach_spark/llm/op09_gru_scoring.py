@@ -2,16 +2,17 @@
 
 Tokens are words (A-Z lower-cased) and one end per document. Words outside a held-out fold are counted over
 the whole corpus. The ``frequent`` most common ones are symbols of the recurrent model (``gru``), which is
-trained by truncated backpropagation: documents of the training part are dealt by a hash, a share
-``train_share`` of them (a parameter of the training schedule; it grows with the corpus) is read in
-``rounds``; in a round every task trains a copy on its own documents and the copies are averaged, weighted by
-their tokens. All other words are the model's class of other words, in which a word has its add-one relative
+trained by truncated backpropagation on every document outside the fold, to its last token, in ``rounds``
+passes (``train_share`` 1; a larger one reads one document in so many, by a hash); in a round every task trains
+a copy on its own documents and the copies are averaged, weighted by their tokens. All other words are the model's class of other words, in which a word has its add-one relative
 frequency, ``(c + 1) / (N' + V' + 1)`` over the other words. Every text is scored whole: its windows carry the
 state on. Its score is the sum of log10 probabilities, its base score that of the add-one unigram model.
 
 Documents are gathered in chunks of about ``chunk_bytes`` and similar length. A chunk's words are numbered
 once (frequent first), so words are counted and joined per chunk, not per token: no row is made per token,
-and a common word has one row per chunk. Ids are kept as two planes of 16 bits, whose upper one is mostly zero.
+and a common word has one row per chunk. What does not depend on the model (counts, base score, words
+of the class of other words) is found once per chunk and written with the document's symbols; training and
+scoring read that table. Ids are kept as two planes of 16 bits, whose upper one is mostly zero.
 
 Defined cases: null text counts as empty (one token, the end); a null id is in the training part; repeated
 rows are scored one by one; without training documents all counts are zero; very long texts run through
@@ -21,6 +22,7 @@ their windows one after the other; an empty table gives an empty result; extra c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
-from .common import cut, fold, ship_package
+from .common import cut, fold, ship_package, slices
+
+#: Symbols that are cut into lanes together, and bytes of symbols scored together: they bound a task's memory.
+STREAM, SCORED = 1 << 20, 4 << 20
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -108,21 +113,33 @@ def _symbols(docs: pa.Table, words: pa.Table, n_words: int) -> tuple[list[np.nda
     return ids, count, symbol
 
 
+def _streams(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[np.ndarray]:
+    """The documents' symbols, joined to streams of about ``limit``."""
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            held.append(unpack_ids(x))
+            size += len(held[-1])
+            if size >= limit:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def train_rounds(samples: DataFrame, shape: gru.Shape, flat: np.ndarray, rounds: int, trainer_tokens: int) -> np.ndarray:
-    """Average of the copies that the tasks train, ``rounds`` times. ``samples``: ``draw``, ``symbols`` (binary), ``n``."""
-    total = samples.agg(F.sum("n")).first()[0] or 0
+    """Average of the copies that the tasks train, ``rounds`` times. ``samples``: ``symbols`` (binary), ``n_tokens``."""
+    total = samples.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return flat
-    dealt = cut(samples.repartition(max(1, -(-total // trainer_tokens)), "draw").sortWithinPartitions("draw", "n", "symbols").select("symbols"), "lm-samples")
+    dealt = samples.select("symbols").coalesce(max(1, -(-total // trainer_tokens)))
     for _ in range(rounds):
         now = flat
 
         def learn(batches, now=now):
-            docs = [np.frombuffer(x, "<u2").astype(np.int64) for b in batches for x in b.column(0).to_pylist()]
-            if docs:
-                stream = np.concatenate(docs)
-                new = gru.train(shape, now, stream)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(new.astype(np.float64) * len(stream)), pa.array(np.full(len(new), float(len(stream))))], names=["at", "v", "w"])
+            new, n = gru.train(shape, now, _streams(batches, STREAM))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(new.astype(np.float64) * n), pa.array(np.full(len(new), float(n)))], names=["at", "v", "w"])
 
         summed = dealt.mapInArrow(learn, "at long, v double, w double").groupBy("at").agg((F.sum("v") / F.sum("w")).alias("v")).collect()  # one row per parameter
         flat = np.zeros(shape.size, np.float32)
@@ -139,7 +156,7 @@ def score_documents(
     frequent: int = 511,
     hidden: int = 16,
     rounds: int = 2,
-    train_share: int = 16,
+    train_share: int = 1,
     chunk_bytes: int = 4 << 20,
     trainer_tokens: int = 1 << 20,
 ) -> DataFrame:
@@ -182,38 +199,44 @@ def score_documents(
     base_total = math.log10(tokens + distinct_tokens + 1)
     n_own = shape.words
 
-    def sample(texts_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        rows = [np.zeros(1, np.int64)] * 0
-        if texts_of.num_rows:
-            ids, _, symbol = _symbols(texts_of, words_of, n_own)
-            rows = [np.append(symbol[x], 0) for x in ids]
-        return pa.table({"draw": texts_of.column("draw"), "symbols": pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()), "n": pa.array([len(r) for r in rows], pa.int64())})
-
-    drawn = texts.where(~F.col("held_out") & (F.pmod("draw", F.lit(train_share)) == 0))
-    samples = drawn.groupBy("chunk").cogroup(numbered.where("symbol > 0").groupBy("chunk")).applyInArrow(sample, "draw long, symbols binary, n long")
-    flat = train_rounds(samples, shape, flat, rounds, trainer_tokens)
-
-    def score(texts_of: pa.Table, words_of: pa.Table) -> pa.Table:
+    def code(texts_of: pa.Table, words_of: pa.Table) -> pa.Table:
         ids, count, symbol = _symbols(texts_of, words_of, n_own)
-        other = symbol == n_own
-        inner = np.where(other, np.log10(count + 1.0) - other_total, 0.0)
+        inner = np.where(symbol == n_own, np.log10(count + 1.0) - other_total, 0.0)
         unigram = np.log10(count + 1.0) - base_total
         end = math.log10(n_ends + 1.0) - base_total
-        got = gru.document_log_probs(shape, flat, [np.append(symbol[x], 0) for x in ids])
-        return pa.table(
+        made = pa.table(
             {
                 "doc_id": texts_of.column("doc_id"),
                 "held_out": texts_of.column("held_out"),
+                "draw": texts_of.column("draw"),
                 "n_tokens": pa.array([len(x) + 1 for x in ids], pa.int64()),
                 "n_known": pa.array([int(np.count_nonzero(count[x])) + (n_ends > 0) for x in ids], pa.int64()),
-                "train_tokens": pa.array([tokens] * len(ids), pa.int64()),
                 "base_score": pa.array([float(unigram[x].sum()) + end for x in ids], pa.float64()),
-                "score": pa.array([float(g.sum()) / math.log(10) + float(inner[x].sum()) for g, x in zip(got, ids)], pa.float64()),
+                "inner_score": pa.array([float(inner[x].sum()) for x in ids], pa.float64()),
+                "symbols": pa.array([pack_ids(np.append(symbol[x], 0)) for x in ids], pa.binary()),
             }
         )
-
-    out = [source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    return texts.groupBy("chunk").cogroup(numbered.where("c > 0").groupBy("chunk")).applyInArrow(lambda a, b: score(a, b) if a.num_rows else _nothing(out), T.StructType(out))
+        return made.sort_by([("draw", "ascending"), ("n_tokens", "ascending"), ("symbols", "ascending")])
+
+    kept = [T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType())]
+    counts = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")]
+    fields = [*kept, T.StructField("draw", T.LongType()), *counts, T.StructField("base_score", T.DoubleType()), T.StructField("inner_score", T.DoubleType()), T.StructField("symbols", T.BinaryType())]
+    both_sides = texts.groupBy("chunk").cogroup(numbered.where("c > 0").groupBy("chunk"))
+    coded = cut(both_sides.applyInArrow(lambda a, b: code(a, b) if a.num_rows else _nothing(fields), T.StructType(fields)), "lm-coded")
+    drawn = coded.where(~F.col("held_out") & (F.pmod("draw", F.lit(train_share)) == 0))
+    flat = train_rounds(drawn, shape, flat, rounds, trainer_tokens)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("symbols").to_pylist()
+            for lo, hi in slices(sizes, SCORED):
+                part = batch.slice(lo, hi - lo)
+                got = gru.document_log_probs(shape, flat, [unpack_ids(x) for x in sizes[lo:hi]])
+                model = np.array([float(g.sum()) / math.log(10) for g in got]) + part.column("inner_score").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array([tokens] * len(got), pa.int64()), part.column("base_score"), pa.array(model)], names=[f.name for f in out])
+
+    out = [*kept, *counts, T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    return coded.drop("draw").mapInArrow(score, T.StructType(out))
 
 
 def _nothing(fields: list[T.StructField]) -> pa.Table:

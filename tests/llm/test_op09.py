@@ -66,3 +66,26 @@ def test_small_cases(spark):
     assert op9.score_documents(df.limit(0)).collect() == []
     only_held = df.where("doc_id is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in op9.score_documents(only_held).collect())
+
+
+def test_every_training_document_reaches_the_model(spark, monkeypatch):
+    read, train_rounds = [], op9.train_rounds
+
+    def spy(samples, *args):
+        read.append(sum(len(op9.unpack_ids(r.symbols)) for r in samples.select("symbols").collect()))
+        return train_rounds(samples, *args)
+
+    monkeypatch.setattr(op9, "train_rounds", spy)
+    rows = QUERIES["op9_gru_scoring"](spark, SF_MED).collect()
+    assert read == [sum(r.n_tokens for r in rows if not r.held_out)] and read[0] == rows[0].train_tokens
+
+
+def test_training_reads_every_symbol():
+    shape = gru.Shape(5, hidden=3, per_class=3)
+    flat = shape.start(np.ones(6))
+    for n in (1, 2, 47, 48, 97, 500, 24 * 2 * 7 + 5):
+        stream = np.random.default_rng(n).integers(0, 6, n)
+        other = np.append(stream[:-1], (stream[-1] + 1) % 6)
+        got, read = gru.train(shape, flat, [stream, stream[:1]], rows=4)
+        assert read == n + 1
+        assert not np.array_equal(got, gru.train(shape, flat, [other, stream[:1]], rows=4)[0])
