@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 F4 = np.float32
+#: Targets whose class distributions are held at a time.
+BLOCK = 1 << 14
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,6 +97,10 @@ def steps(p: dict[str, np.ndarray], hidden: int, inputs: np.ndarray, state: np.n
 
 def log_probs(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target symbol; for other words, of their class."""
+    return np.concatenate([_log_probs(shape, p, states[lo : lo + BLOCK], targets[lo : lo + BLOCK]) for lo in range(0, len(targets), BLOCK)] or [np.zeros(0)])
+
+
+def _log_probs(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     cls = np.minimum(targets // shape.per_class, shape.classes)
     cls[targets >= shape.words] = shape.classes
     rows = np.arange(len(targets))
@@ -137,14 +143,17 @@ def document_log_probs(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], w
     return result
 
 
-def gradient(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean negative log-probability over one window (truncated there), and that mean."""
+def gradient(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, grad: np.ndarray | None = None, touched: dict | None = None) -> tuple[np.ndarray, float]:
+    """Gradient of the mean negative log-probability over one window (truncated there), and that mean.
+
+    ``grad`` is a buffer of zeros to write to. ``touched`` receives, for each part, the rows that aren't zero.
+    """
     hidden, (rows, time) = shape.hidden, inputs.shape
     keep: list = []
     states = steps(p, hidden, inputs, state, keep=keep)
     flat_states, flat_targets = states.reshape(-1, hidden), targets.reshape(-1)
     n = len(flat_targets)
-    grad = np.zeros(shape.size, F4)
+    grad = np.zeros(shape.size, F4) if grad is None else grad
     g = shape.split(grad)
     cls = np.minimum(flat_targets // shape.per_class, shape.classes)
     cls[flat_targets >= shape.words] = shape.classes
@@ -180,20 +189,25 @@ def gradient(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets
         g["rec"] += h.T @ d_rec
         carry = (dh * z + d_rec @ p["rec"].T) * (inputs[:, t] != 0)[:, None]
     at = inputs.T.reshape(-1)
-    order = np.argsort(at, kind="stable")
-    used, starts = np.unique(at[order], return_index=True)
-    g["inp"][used] = np.add.reduceat(d_inp.reshape(-1, 3 * hidden)[order], starts)
-    grad /= n
+    by_input = np.argsort(at, kind="stable")
+    used, starts = np.unique(at[by_input], return_index=True)
+    g["inp"][used] = np.add.reduceat(d_inp.reshape(-1, 3 * hidden)[by_input], starts)
+    rows_of = {name: slice(None) for name in g} | {"inp": used, "out": (own := slice(None) if np.diff(ends).all() else np.flatnonzero(np.diff(ends))), "out_b": own}
+    for name, own in rows_of.items():
+        g[name][own] /= n
+    if touched is not None:
+        touched.update(rows_of)
     return grad, loss / n
 
 
 def train(shape: Shape, flat: np.ndarray, streams: Iterable[np.ndarray], rows: int = 256, time: int = 24, rate: float = 0.01, clip: float = 1.0) -> tuple[np.ndarray, int]:
     """One pass of truncated backpropagation (Adam) over streams of documents (each ended by 0), one stream
     after the other; the weights and the number of symbols read. A stream is cut into lanes of equal width, of
-    which the last may be shorter."""
+    which the last may be shorter. A step moves only the inputs
+    and classes of words that its window has."""
     flat = flat.copy()
-    p = shape.split(flat)
-    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    grad, touched = np.zeros_like(flat), {}
+    p, g, first, second = (shape.split(x) for x in (flat, grad, np.zeros_like(flat), np.zeros_like(flat)))
     step = read = 0
     for stream in streams:
         if not len(stream):
@@ -208,12 +222,13 @@ def train(shape: Shape, flat: np.ndarray, streams: Iterable[np.ndarray], rows: i
         edges = [*range(0, last, time), *range(last, width, time), width]
         for lo, hi in zip(edges, edges[1:]):
             own = n if hi <= last else n - 1
-            grad, _ = gradient(shape, p, inputs[:own, lo:hi], lanes[:own, lo:hi], state[:own])
+            gradient(shape, p, inputs[:own, lo:hi], lanes[:own, lo:hi], state[:own], grad, touched)
             step, read = step + 1, read + own * (hi - lo)
-            norm = float(np.linalg.norm(grad))
-            if norm > clip:
-                grad *= F4(clip / norm)
-            first += F4(0.1) * (grad - first)
-            second += F4(0.01) * (grad * grad - second)
-            flat -= F4(rate) * (first / F4(1 - 0.9**step)) / (np.sqrt(second / F4(1 - 0.99**step)) + F4(1e-6))
+            norm = sum(float(np.square(g[k][at]).sum(dtype=np.float64)) for k, at in touched.items()) ** 0.5
+            for k, at in touched.items():
+                d, m, v = g[k][at] * F4(min(1.0, clip / max(norm, 1e-30))), first[k][at], second[k][at]
+                m += F4(0.1) * (d - m)
+                v += F4(0.01) * (d * d - v)
+                p[k][at] -= F4(rate / (1 - 0.9**step)) * m / (np.sqrt(v / F4(1 - 0.99**step)) + F4(1e-6))
+                first[k][at], second[k][at], g[k][at] = m, v, 0
     return flat, read

@@ -1,11 +1,13 @@
 """Operator 9: document log-likelihood under a gated recurrent language model.
 
 Tokens are words (A-Z lower-cased) and one end per document. Words outside a held-out fold are counted over
-the whole corpus. The ``frequent`` most common ones are symbols of the recurrent model (``gru``), which is
+the whole corpus. Those that occur at least ``rare`` times the square root of the corpus's words often are
+symbols of the recurrent model (``gru``), in about as many classes by rank as a class has words; so the
+vocabulary grows with the corpus, at most by that root. Weights are handed out as a file. The model is
 trained by truncated backpropagation on every document outside the fold, to its last token, in ``rounds``
 passes (``train_share`` 1; a larger one reads one document in so many, by a hash); in a round every task trains
-a copy on its own documents and the copies are averaged, weighted by their tokens. All other words are the model's class of other words, in which a word has its add-one relative
-frequency, ``(c + 1) / (N' + V' + 1)`` over the other words. Every text is scored whole: its windows carry the
+a copy on its own documents and the copies are averaged, weighted by their tokens. All other words are the
+model's class of other words, in which a word has its add-one relative frequency, ``(c + 1) / (N' + V' + 1)`` over the other words. Every text is scored whole: its windows carry the
 state on. Its score is the sum of log10 probabilities, its base score that of the add-one unigram model.
 
 Documents are gathered in chunks of about ``chunk_bytes`` and similar length. A chunk's words are numbered
@@ -26,15 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
-from .common import cut, fold, ship_package, slices
+from .common import cut, fold, local_file, ship_package, slices
 
 #: Symbols that are cut into lanes together, and bytes of symbols scored together: they bound a task's memory.
 STREAM, SCORED = 1 << 20, 4 << 20
+#: Weights that are averaged together.
+WEIGHTS = 1 << 14
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -132,28 +137,40 @@ def train_rounds(samples: DataFrame, shape: gru.Shape, flat: np.ndarray, rounds:
     total = samples.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return flat
-    dealt = samples.select("symbols").coalesce(max(1, -(-total // trainer_tokens)))
+    dealt = samples.select("symbols").coalesce(max(1, -(-total // max(trainer_tokens, 4 * shape.size))))  # weights sent stay below symbols read
+
+    def average(table: pa.Table) -> pa.Table:
+        w = table.column("w").to_pylist()
+        summed = sum(np.frombuffer(x, "<f4").astype(np.float64) * n for x, n in zip(table.column("v").to_pylist(), w))
+        return pa.table({"at": table.column("at").slice(0, 1), "v": pa.array([(summed / sum(w)).astype("<f4").tobytes()], pa.binary())})
+
     for _ in range(rounds):
-        now = flat
+        name = _weights_file(samples.sparkSession, flat)
 
-        def learn(batches, now=now):
-            new, n = gru.train(shape, now, _streams(batches, STREAM))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new))), pa.array(new.astype(np.float64) * n), pa.array(np.full(len(new), float(n)))], names=["at", "v", "w"])
+        def learn(batches, name=name):
+            new, n = gru.train(shape, _weights(name), _streams(batches, STREAM))
+            for at in range(0, len(new) if n else 0, WEIGHTS):
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([new[at : at + WEIGHTS].astype("<f4").tobytes()], pa.binary()), pa.array([n])], names=["at", "v", "w"])
 
-        summed = dealt.mapInArrow(learn, "at long, v double, w double").groupBy("at").agg((F.sum("v") / F.sum("w")).alias("v")).collect()  # one row per parameter
-        flat = np.zeros(shape.size, np.float32)
-        for at, v in summed:
-            flat[at] = v
+        parts = dealt.mapInArrow(learn, "at long, v binary, w long").groupBy("at").applyInArrow(average, "at long, v binary").collect()  # the weights once
+        flat = np.concatenate([np.frombuffer(v, "<f4") for _, v in sorted(parts)])
     return flat
 
 
+def _weights_file(spark: SparkSession, flat: np.ndarray) -> str:
+    return local_file(spark, "lm-weights", lambda to: flat.astype("<f4").tofile(to))
+
+
+def _weights(name: str) -> np.ndarray:
+    return np.asarray(np.memmap(SparkFiles.get(name), "<f4", mode="r"))
+
+
 def score_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     held_fold: tuple[int, int] = (7, 2),
-    frequent: int = 511,
+    rare: float = 1 / 32,
     hidden: int = 16,
     rounds: int = 2,
     train_share: int = 1,
@@ -186,16 +203,17 @@ def score_documents(
     n_words, n_distinct = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_ends = texts.where("not held_out").count()
     tokens, distinct_tokens = n_words + n_ends, n_distinct + (n_ends > 0)
-    top = distinct.orderBy(F.desc("c"), "word").limit(frequent).select("word", "c").collect()  # ``frequent`` rows
+    least = max(1, math.ceil(rare * math.sqrt(n_words)))
+    top = distinct.where(F.col("c") >= least).orderBy(F.desc("c"), "word").select("word", "c").toArrow()  # at most n_words / least rows
     spark = docs.sparkSession
-    symbols = spark.createDataFrame([(bytes(r.word), i + 1) for i, r in enumerate(top)], "word binary, symbol long")
-    shape = gru.Shape(words=len(top) + 1, hidden=hidden)
+    symbols = spark.createDataFrame(pa.table({"word": top.column("word").cast(pa.binary()), "symbol": pa.array(np.arange(1, top.num_rows + 1))}), "word binary, symbol long")
+    shape = gru.Shape(words=top.num_rows + 1, hidden=hidden, per_class=max(32, math.isqrt(top.num_rows)))
     numbered = words.join(F.broadcast(symbols), "word", "left").select("chunk", "local", "c", F.coalesce("symbol", F.lit(0)).alias("symbol"))
 
-    top_counts = [r.c for r in top]
+    top_counts = top.column("c").to_pylist()
     others = n_words - sum(top_counts)
     flat = shape.start(np.array([n_ends, *top_counts, others], float))
-    other_total = math.log10(others + n_distinct - len(top) + 1)
+    other_total = math.log10(others + n_distinct - top.num_rows + 1)
     base_total = math.log10(tokens + distinct_tokens + 1)
     n_own = shape.words
 
@@ -224,9 +242,10 @@ def score_documents(
     both_sides = texts.groupBy("chunk").cogroup(numbered.where("c > 0").groupBy("chunk"))
     coded = cut(both_sides.applyInArrow(lambda a, b: code(a, b) if a.num_rows else _nothing(fields), T.StructType(fields)), "lm-coded")
     drawn = coded.where(~F.col("held_out") & (F.pmod("draw", F.lit(train_share)) == 0))
-    flat = train_rounds(drawn, shape, flat, rounds, trainer_tokens)
+    weights = _weights_file(spark, train_rounds(drawn, shape, flat, rounds, trainer_tokens))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = _weights(weights)
         for batch in batches:
             sizes = batch.column("symbols").to_pylist()
             for lo, hi in slices(sizes, SCORED):

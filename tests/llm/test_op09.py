@@ -89,3 +89,22 @@ def test_training_reads_every_symbol():
         got, read = gru.train(shape, flat, [stream, stream[:1]], rows=4)
         assert read == n + 1
         assert not np.array_equal(got, gru.train(shape, flat, [other, stream[:1]], rows=4)[0])
+
+
+def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    shapes, train_rounds = [], op9.train_rounds
+    monkeypatch.setattr(op9, "train_rounds", lambda samples, shape, *args: shapes.append(shape) or train_rounds(samples, shape, *args))
+    docs = spark.read.parquet(f"{SF_MED}/documents.parquet")
+    c = Counter(w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in plain_words(r.text))
+    QUERIES["op9_gru_scoring"](spark, SF_MED)
+    often = sum(n >= math.sqrt(sum(c.values())) / 32 for n in c.values())
+    assert shapes[0].words == often + 1 > 512 and shapes[0].classes <= 2 * math.sqrt(often)
+
+
+def test_untouched_rows_keep_their_weights():
+    shape = gru.Shape(90, hidden=3, per_class=10)
+    flat = shape.start(np.ones(91))
+    got = shape.split(gru.train(shape, flat, [np.tile([1, 25, 0], 40)])[0])
+    was = shape.split(flat)
+    assert [k for k in range(9) if not np.array_equal(got["out"][k], was["out"][k])] == [0, 2]
+    assert [i for i in range(91) if not np.array_equal(got["inp"][i], was["inp"][i])] == [0, 1, 25]
