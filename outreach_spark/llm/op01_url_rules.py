@@ -8,9 +8,10 @@ rules: an inverted index holds each rule under its rarest token, a url looks up
 fires when all its tokens are there. The most confident rule wins, then support, then fewer tokens, then
 block before allow; with no rule ``default`` holds.
 
-A url has at most one token per field of ``tokens``, 9 in all, and one label, so with relative support s
-there are at most 2^10 / s frequent combinations whatever the number of urls: rules stay few. Urls are judged
-by distinct token set, so a host that a third of all urls share is judged once.
+Every host label, path segment and query name of a url is in its tokens, each once, and support prunes them.
+Tokens that the same labelled urls have are one item of the mining: with two of them a rule is as confident as
+with one, and would be dropped, so this changes no verdict and a rule fires whichever of them a url has. Urls
+are judged by distinct token set, so a host that a third of all urls share is judged once per set.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no tokens, and gets ``default``;
 null ids and repeated rows are judged like any others; without labelled urls every verdict is ``default``; an
@@ -23,7 +24,7 @@ import string
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -64,7 +65,7 @@ def rule_column(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The url's tokens, sorted; each field gives at most one."""
+    """The url's distinct tokens, sorted."""
     labels = F.split(host, r"\.")
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     last = F.try_element_at(segments, F.lit(-1))
@@ -77,10 +78,36 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         ("second", F.when(F.size(segments) >= 2, plain(F.try_element_at(segments, F.lit(2))))),
         ("digit", F.nullif(F.regexp_extract(F.coalesce(last, F.lit("")), r"^([0-9])", 1), F.lit(""))),
         ("kind", F.nullif(F.lower(F.regexp_extract(F.coalesce(last, F.lit("")), r"\.([A-Za-z0-9]{1,8})$", 1)), F.lit(""))),
-        ("query", F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^=&#]*)", 1), F.lit(""))),
-        ("depth", F.when(host != "", F.least(F.size(segments), F.lit(5)).cast("string"))),
+        ("depth", F.when(host != "", F.size(segments).cast("string"))),
     ]
-    return F.array_sort(F.array_compact(F.array(*[F.concat(F.lit(name + "="), value) for name, value in fields])))
+    asked = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
+    names = F.transform(F.split(asked, "&"), lambda q: F.substring_index(q, "=", 1))
+    lists = [
+        ("label", F.slice(labels, 2, F.greatest(F.size(labels) - 3, F.lit(0)))),
+        ("segment", F.transform(F.slice(segments, 3, F.greatest(F.size(segments) - 2, F.lit(0))), plain)),
+        ("query", F.filter(names, lambda q: q != "")),
+    ]
+    one = F.array_compact(F.array(*[F.concat(F.lit(name + "="), value) for name, value in fields]))
+    named = lambda name: lambda value: F.concat(F.lit(name + "="), value)
+    many = [F.transform(values, named(name)) for name, values in lists]
+    return F.array_sort(F.array_distinct(F.concat(one, *many)))
+
+
+def token_items(labelled: DataFrame, min_support: float) -> DataFrame:
+    """(``token``, ``item``) of the tokens with enough support; tokens that occur in the same sets share an item."""
+    sets = cut(labelled.groupBy("tokens").count(), "url-sets")
+    least = min_support * sets.agg(F.sum("count")).first()[0]
+    mark = [F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("n")]
+    found = (
+        sets.select(F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit("b"), "tokens").alias("b"), "count", F.explode("tokens").alias("token"))
+        .groupBy("token").agg(*mark, F.sum("count").alias("freq")).where(F.col("freq") >= least)
+    )
+    return cut(found.select("token", F.min("token").over(Window.partitionBy("a", "b", "n")).alias("item")), "url-items")
+
+
+def as_items(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """(``tokens``, ``items``) of the distinct ``tokens`` that have any item."""
+    return sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(items, "token").groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
@@ -136,7 +163,11 @@ def judge_urls(
     labelled = read.where("given is not null").select("tokens", F.col("given").alias("verdict"))
     if labelled.isEmpty():
         return read.select("page_id", "host", "path", "rule", F.lit(default).alias("verdict"))
-    index = mine_rules(labelled, min_support, min_confidence)
-    judged = match_rules(read.where("given is null").select("tokens").distinct(), index)
+    items = token_items(labelled, min_support)
+    baskets = labelled.join(as_items(labelled, items), "tokens", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "verdict")
+    index = mine_rules(baskets, min_support, min_confidence)
+    sets = cut(as_items(read.where("given is null"), items), "url-item-sets")
+    fired = match_rules(sets.select(F.col("items").alias("tokens")).distinct(), index).withColumnRenamed("tokens", "items")
+    judged = sets.join(fired, "items").select("tokens", "verdict")
     out = read.join(judged, "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", "verdict", F.lit(default)).alias("verdict"))

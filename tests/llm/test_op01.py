@@ -81,3 +81,30 @@ def test_small_cases(spark):
     assert by[3] == ["a.example.org", "/es/x", "example.org/es/", "block"]
     assert op1.judge_urls(df.limit(0), URL_RULES).collect() == []
     assert {r.verdict for r in op1.judge_urls(df.where("page_id < 3"), URL_RULES).collect()} == {"allow"}
+
+
+def plain_tokens(spark, url):
+    df = spark.createDataFrame([(url,)], "__url string")
+    host, path = op1.url_parts(F.col("__url"))
+    return df.select(op1.tokens(F.col("__url"), host, path).alias("t")).first().t
+
+
+def test_every_part_of_a_url_has_a_token(spark):
+    got = plain_tokens(spark, "http://blog.own.name.example.com/a/b/c12/d/c3/e.html?x=1&y=2&x&#?z=1")
+    assert {"sub=blog", "label=own", "label=name", "site=example.com", "tld=com", "first=a", "second=b", "segment=c0", "segment=d", "segment=e.html", "kind=html", "query=x", "query=y", "depth=6"} == set(got)
+    assert len(got) == len(set(got))
+
+
+def test_urls_that_differ_in_one_middle_part_get_their_own_verdict(spark):
+    shapes = ["http://blog.{}.example.com/p/q/r", "http://www.example.com/p/q/{}/s/t", "http://www.example.com/p?a=1&{}=2"]
+    rules = [op1.Rule("block", "known.org", "/bad"), op1.Rule("allow", "known.org", "/good")]
+    for shape in shapes:
+        # labelled urls hold the part in the same place, below another host
+        rows = [(None, None)] * 0
+        for n in range(10):
+            for verdict, word in (("bad", "spam"), ("good", "ham")):
+                known = shape.format(word).replace("example.com/p", f"known.org/{verdict}{n}")
+                rows.append((len(rows), known))
+        rows += [(100, shape.format("spam")), (101, shape.format("ham"))]
+        got = {r.page_id: r.verdict for r in op1.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, default="none").collect()}
+        assert (got[100], got[101]) == ("block", "allow"), shape
