@@ -4,8 +4,8 @@ import __spark_entry__ as E
 from outreach_spark.llm.queries import ORACLE_SQL, QUERIES
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(E.queries())
 
 
