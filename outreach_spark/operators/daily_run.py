@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as K
+from .. import schemas as SC
 from ..session import scratch_path
 from ..sources.scans import conform_schema
 from .dedupe import upsert_contacts
@@ -26,6 +27,10 @@ from .verify import verify_emails
 SUMMARY_SCHEMA = "channel string, discovered bigint, valid_emails bigint, sent bigint, failed bigint, skipped bigint, sources string, errors string"
 
 
+#: The contact columns with the run's order, by which the last row of an id or address wins.
+_ORDERED = StructType([*SC.CONTACTS.fields, StructField("seq", LongType())])
+
+
 def window_message(hour: int, start: int, end: int) -> str:
     return f"Smart Scheduling: Current hour {hour} UTC is outside the window ({start}-{end}). Pausing pipeline."
 
@@ -79,7 +84,7 @@ def run_daily(spark: SparkSession, candidates: DataFrame, contacts: DataFrame, m
         "email_status", F.coalesce(F.col("email_status"), F.lit("pending_approval"))).withColumn(
         "approval_status", F.when(F.col("outcome") == "pending_approval", "pending").otherwise("approved")).withColumn(
         "contacted_at", F.lit(as_of).cast("timestamp_ntz"))
-    new_contacts = upsert_contacts(conform_schema(contacts), conform_schema(stored).withColumn("seq", F.col("id")))
+    new_contacts = upsert_contacts(conform_schema(contacts), conform_schema(stored, _ORDERED))
     version = write_snapshot(new_contacts, f"{root}/contacts")
     return {"outcomes": outcomes, "summary": f"{root}/summary", "contacts": f"{root}/contacts", "contacts_version": version, "gates": gates}
 

@@ -73,6 +73,16 @@ def cross_channel_overlap(contacts: DataFrame) -> DataFrame:
     return per.filter((F.col("main_attempts") > 0) & (F.col("gmail_attempts") > 0))
 
 
+def order_text(c: Column, kind: str) -> Column:
+    """A column as text that sorts as the column does: whole numbers and times as hex digits of their distance from the
+    smallest one, anything else as its own text."""
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        c, kind = F.unix_micros(c.cast("timestamp")), "bigint"
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.lpad(F.hex(c.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return c.cast("string")
+
+
 def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "seq") -> DataFrame:
     """K1: insert-or-replace with two unique keys (id and email_key).
 
@@ -80,19 +90,21 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     column is required, since without an order "the last one wins" has no meaning. A row survives iff no
     later row shares its id or its email_key. When a surviving row replaced an existing row with the same id,
     that row's engagement columns are kept (D7). Works on the contact columns ``existing`` has (id and
-    email_key required), so callers carry only what they need.
+    email_key required), so callers carry only what they need. Ids are text or numbers, of one type in both.
 
-    The order of a row is one decimal (0 for existing rows), so both "last" aggregates hash narrow rows; the
-    engagement of replaced rows is read for the incoming ids only.
+    The place of a row in that order is one short text that sorts as (order, id, address) do, empty for existing rows, so
+    both "last" aggregates carry that text and a key, never a row; the engagement of replaced rows is read for
+    the incoming ids only.
     """
     if order_col not in incoming.columns:
         raise ValueError(f"upsert_contacts needs the order column {order_col!r} on the incoming rows")
     cols = [f.name for f in SC.CONTACTS.fields if f.name in existing.columns]
     kept = [c for c in SC.ENGAGEMENT_COLUMNS if c in cols]
-    wide = "decimal(38,0)"
-    at = (F.col(order_col).cast(wide) + F.lit(1)) * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("id").cast(wide) + F.lit(str(2**63)).cast("decimal(20,0)")
-    batch = incoming.dropDuplicates([order_col, "id", "email_key"]).select(*cols, at.cast(wide).alias("_v"))
-    rows = existing.select(*cols, F.lit(0).cast(wide).alias("_v")).unionByName(batch)
+    kinds = dict(incoming.dtypes)
+    parts = [F.coalesce(order_text(F.col(c), kinds[c]), F.lit("")) for c in (order_col, "id", "email_key")]
+    at = F.concat(F.lit("+"), F.concat_ws("\u0001", *parts))
+    batch = incoming.dropDuplicates([order_col, "id", "email_key"]).select(*cols, at.alias("_v"))
+    rows = existing.select(*cols, F.lit("").alias("_v")).unionByName(batch)
     by_id = rows.groupBy("id").agg(F.max("_v").alias("_vid"))
     by_email = rows.filter(F.col("email_key").isNotNull()).groupBy(F.col("email_key").alias("_k")).agg(F.max("_v").alias("_vem"))
     survivors = (
@@ -103,7 +115,7 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     if not kept:
         return survivors.select(*cols)
     replaced = existing.join(incoming.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max(F.struct(*kept)).alias("_old"))
-    carried = (F.col("_v") > 0) & F.col("_old").isNotNull()
+    carried = (F.col("_v") != "") & F.col("_old").isNotNull()
     return survivors.join(replaced, "id", "left").select(*[
         F.when(carried, F.col("_old")[c]).otherwise(F.col(c)).alias(c) if c in kept else F.col(c) for c in cols
     ])

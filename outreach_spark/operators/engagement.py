@@ -38,8 +38,10 @@ def open_state(events: DataFrame, by_channel: bool = False) -> DataFrame:
 def reply_state(replies: DataFrame, key: str = "email_key") -> DataFrame:
     """Replied flag, the latest sentiment (ties by msg_id) and the number of messages per address.
 
-    Rows of one message (one per channel, or redelivered) count once: a first aggregate reduces to messages."""
-    per_message = replies.groupBy(key, "msg_id").agg(F.max(F.struct("ts", "sentiment")).alias("_m"))
+    Rows of one message (one per channel, or redelivered) count once: a first aggregate reduces to messages. A row without a
+    message id is a message of its own."""
+    one = replies.withColumn("_id", F.coalesce(F.col("msg_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))))
+    per_message = one.groupBy(key, "msg_id", "_id").agg(F.max(F.struct("ts", "sentiment")).alias("_m"))
     return per_message.groupBy(key).agg(
         F.lit(True).alias("replied"),
         F.max(F.struct("_m.ts", "msg_id", "_m.sentiment"))["sentiment"].alias("reply_sentiment"),
@@ -75,7 +77,19 @@ def apply_engagement(contacts: DataFrame, events: DataFrame, base_scores: bool =
     greatest of stored and seen, and the score is ``score_base`` (the score before any event, kept from the
     first fold on) plus the feed's points.
     """
-    seen = engagement_of(events).select(F.col("author_id").alias("id"), F.col("source").alias("channel"), "points", "open_at", "last_status")
+    return _fold(contacts, engagement_of(events), base_scores)
+
+
+def apply_engagement_state(contacts: DataFrame, state: DataFrame, base_scores: bool = True) -> DataFrame:
+    """The same fold from the state that the event stream keeps (``read_engagement``), so that opens, scores and bounces
+    reach the snapshot, and with it the circuit breaker, without reading the feed again."""
+    seen = state.select("author_id", "source", F.col("lead_score").alias("points"), F.col("open_detected_at").cast("timestamp_ntz").alias("open_at"),
+                        F.col("status.event").alias("last_status"))
+    return _fold(contacts, seen, base_scores)
+
+
+def _fold(contacts: DataFrame, seen: DataFrame, base_scores: bool) -> DataFrame:
+    seen = seen.select(F.col("author_id").alias("id"), F.col("source").alias("channel"), "points", "open_at", "last_status")
     j = contacts.join(seen, ["id", "channel"], "left")
     base = F.col("score_base") if "score_base" in contacts.columns else F.col("lead_score")
     made = {

@@ -8,10 +8,7 @@ All paths live under the shared folder named by ``spark.checkpoint.dir`` (or a t
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,111 +54,137 @@ def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> int:
 
 
 def append_new(existing: DataFrame | None, incoming: DataFrame, key: str) -> DataFrame:
-    """K4 / K5: rows of ``incoming`` whose key is new. Of rows with one key in the batch the smallest (by all
-    columns) stays, so a retry keeps the same row."""
-    rest = [c for c in incoming.columns if c != key]
-    new = incoming.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in incoming.columns])
+    """K4 / K5: rows of ``incoming`` whose key is new. Of different rows with one key in the batch the one with the smallest
+    hash stays, so a retry keeps the same row; a row without a key is compared with none.
+
+    The choice is made on (key, hash), so no text goes through a sorted aggregate; of the table only the keys that the batch
+    names are kept (a semi-join, which a small batch makes a map-side one), before the anti-join."""
+    cols = incoming.columns
+    once = incoming.distinct().withColumn("_h", F.xxhash64(*cols))
+    best = once.groupBy(F.col(key).alias("_k")).agg(F.min("_h").alias("_best"))
+    new = once.join(best, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_best"))).select(*cols)
     if existing is None:
         return new
-    return new.join(existing.select(key), key, "left_anti")
+    named = existing.select(key).join(incoming.select(key), key, "left_semi")
+    return new.join(named, key, "left_anti")
 
 
-def append_rows(df: DataFrame, root: str, key: str, buckets: int = 64) -> DataFrame:
-    """Append the rows whose ``key`` is not yet in the table at ``root``; returns the appended rows, read
-    back from what was written.
+def append_rows(df: DataFrame, root: str, key: str, every: int = 64) -> DataFrame:
+    """Append the rows whose ``key`` is not yet in the table at ``root``; returns the appended rows, read back from what was
+    written.
 
-    The table is partitioned by a hash bucket of the key, so only the buckets that the batch touches are
-    searched for its keys.
+    Every append is one committed folder ``rows/batch=N``, written once (one writer at a time; a folder without ``_SUCCESS``
+    is nobody's and is written over). After ``every`` appends the folders are folded into one, sorted by key range.
     """
     spark = df.sparkSession
-    fs, p = _fs(spark, root)
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    existing = spark.read.parquet(f"{root.rstrip('/')}/rows") if fs.exists(p) else None
-    part = f"{root.rstrip('/')}/incoming/{uuid.uuid4().hex}"
-    df.withColumn("bucket", bucket).write.parquet(part)  # the batch is evaluated once
-    batch = spark.read.parquet(part)
-    if existing is not None:
-        touched = [r.bucket for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` rows
-        existing = existing.filter(F.col("bucket").isin(touched))
-    done = f"{root.rstrip('/')}/appended/{uuid.uuid4().hex}"
-    append_new(existing, batch, key).write.parquet(done)
-    new = spark.read.parquet(done)
-    fs.delete(_fs(spark, part)[1], True)
-    new.write.mode("append").partitionBy("bucket").parquet(f"{root.rstrip('/')}/rows")
-    return new.drop("bucket")
+    done = committed_versions(spark, f"{root}/rows", "batch=")
+    path = f"{root.rstrip('/')}/rows/batch={max(done, default=-1) + 1}"
+    append_new(read_rows(spark, root) if done else None, df, key).write.mode("overwrite").parquet(path)
+    new = spark.read.schema(df.schema).parquet(path)
+    if len(done) >= every:
+        return _fold_rows(spark, root, key, new)
+    return new
+
+
+def _fold_rows(spark: SparkSession, root: str, key: str, new: DataFrame) -> DataFrame:
+    """All batches as one folder under the next number; the folders it holds are listed in ``folded`` before they go, so a
+    reader never sees a row twice. The newest batch stays for who asked for it."""
+    done = committed_versions(spark, f"{root}/rows", "batch=")
+    old, last = done[:-1], done[-1]
+    path = f"{root.rstrip('/')}/rows/batch={last + 1}"
+    rows = spark.read.parquet(*[f"{root}/rows/batch={b}" for b in old if b not in _folded(spark, root)])
+    spark.createDataFrame([(b, last + 1) for b in old], "batch bigint, into bigint").coalesce(1).write.mode("append").parquet(f"{root}/folded")
+    rows.repartitionByRange(key).write.mode("overwrite").parquet(path)
+    for b in old:
+        fs, p = _fs(spark, f"{root}/rows/batch={b}")
+        fs.delete(p, True)
+    return new
+
+
+def _folded(spark: SparkSession, root: str) -> set[int]:
+    """Batches whose rows another committed batch holds."""
+    fs, p = _fs(spark, f"{root}/folded")
+    if not fs.exists(p):
+        return set()
+    done = set(committed_versions(spark, f"{root}/rows", "batch="))
+    return {r.batch for r in spark.read.parquet(f"{root}/folded").collect() if r.into in done}  # one row per folded append
 
 
 def read_rows(spark: SparkSession, root: str) -> DataFrame:
     """The table that ``append_rows`` keeps."""
-    return spark.read.parquet(f"{root.rstrip('/')}/rows").drop("bucket")
-
-
-class BucketedState:
-    """Keyed state of a stream as a table of hash buckets; a micro-batch rewrites only buckets it touches.
+    gone = _folded(spark, root)
+    return spark.read.parquet(*[f"{root.rstrip('/')}/rows/batch={b}" for b in committed_versions(spark, f"{root}/rows", "batch=") if b not in gone])
 
-    A commit writes the touched buckets under ``data/batch=N`` and then a manifest ``manifest/batch=N`` (the
-    batch that holds each bucket's current rows, and the owner: the stream's checkpoint). A batch whose
-    manifest exists is a replay: with the same owner nothing is done, with another one (a new checkpoint
-    that starts at 0 again) an error is raised instead of dropping batches.
-    """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], owner: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.keys, self.owner, self.buckets = spark, root.rstrip("/"), keys, owner, buckets
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
 
-    def _manifest(self) -> tuple[int, dict[int, int]]:
-        """Last committed batch (-1: none) and the batch of each bucket."""
-        versions = committed_versions(self.spark, f"{self.root}/manifest", "batch=")
-        if not versions:
-            return -1, {}
-        rows = self.spark.read.schema("bucket int, at bigint, owner string").parquet(f"{self.root}/manifest/batch={versions[-1]}").collect()
-        owners = {r.owner for r in rows}
-        if owners != {self.owner}:
-            raise ValueError(f"{self.root} belongs to another stream checkpoint ({owners}); migrate it or use a new folder")
-        return versions[-1], {r.bucket: r.at for r in rows if r.bucket >= 0}
 
-    def _paths(self, where: dict[int, int]) -> list[str]:
-        return [f"{self.root}/data/batch={at}/bucket={b}" for b, at in sorted(where.items())]
+class ChangedKeys:
+    """The readable side of a stream's keyed state: the values live in Spark's state store, and every micro-batch adds the keys
+    that it changed, with their new values, as rows under ``delta/batch=N``. The newest row of a key is its state.
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    A batch that is committed is a replay and left alone. Deltas belong to the checkpoint whose id stands in ``owner``: a new
+    checkpoint starts at batch 0 with an empty store, so it is refused instead of mixed in. After ``every`` deltas they are folded
+    into ``base/version=N``, range-partitioned by key; the two newest bases and the deltas that they need are kept for readers.
+    """
 
-    def read(self) -> DataFrame | None:
-        """The current state, or None before the first commit."""
-        _, where = self._manifest()
-        return self.spark.read.parquet(*self._paths(where)) if where else None
-
-    def commit(self, updates: DataFrame, merge: Callable[[DataFrame], DataFrame], batch: int) -> bool:
-        """Merge ``updates`` (rows in the state's schema) into the state: ``merge`` reduces the union of old and
-        new rows of the touched buckets to one row per key. False when the batch was committed before."""
-        last, where = self._manifest()
-        if batch <= last:
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], every: int = 50) -> None:
+        self.spark, self.root, self.keys, self.every = spark, root.rstrip("/"), keys, every
+
+    def owner(self) -> str | None:
+        fs, p = _fs(self.spark, f"{self.root}/owner")
+        return self.spark.read.text(f"{self.root}/owner").first().value if fs.exists(p) else None
+
+    def check_owner(self, checkpoint: str) -> None:
+        """Refuse a checkpoint that did not make this table."""
+        fs, p = _fs(self.spark, f"{checkpoint.rstrip('/')}/metadata")
+        mine = self.spark.read.schema("id string").json(str(p)).first().id if fs.exists(p) else None
+        if self.owner() not in (None, mine):
+            raise ValueError(f"{self.root} belongs to another stream checkpoint; migrate it or use a new folder")
+
+    def put(self, changed: DataFrame, batch: int, owner: str) -> bool:
+        """Add the changed rows of one batch. False when it was added before."""
+        if self.owner() is None:
+            self.spark.createDataFrame([(owner,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/owner")
+        elif self.owner() != owner:
+            raise ValueError(f"{self.root} belongs to another stream checkpoint; migrate it or use a new folder")
+        deltas = committed_versions(self.spark, f"{self.root}/delta", "batch=")
+        base = max(committed_versions(self.spark, f"{self.root}/base"), default=-1)
+        if batch in deltas or batch <= base:
             return False
-        touched = [r.b for r in updates.select(self.bucket().alias("b")).distinct().collect()]  # at most ``buckets`` rows
-        if touched:
-            old = self._paths({b: where[b] for b in touched if b in where})
-            rows = updates.unionByName(self.spark.read.parquet(*old)) if old else updates
-            merged = merge(rows).withColumn("bucket", self.bucket())
-            merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/batch={batch}")
-            where |= {b: batch for b in touched}
-        manifest = [(b, at, self.owner) for b, at in where.items()] or [(-1, batch, self.owner)]
-        self.spark.createDataFrame(manifest, "bucket int, at bigint, owner string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
-        self._compact(batch, where)
+        changed.write.mode("overwrite").parquet(f"{self.root}/delta/batch={batch}")
+        if len([d for d in deltas if d > base]) + 1 >= self.every:
+            self.fold(batch)
         return True
 
-    def _compact(self, batch: int, where: dict[int, int], keep: int = 2) -> None:
-        """Drop bucket versions and manifests that no reader of the last ``keep`` commits can need."""
-        versions = committed_versions(self.spark, f"{self.root}/manifest", "batch=")
-        for old in versions[:-keep]:
-            fs, p = _fs(self.spark, f"{self.root}/manifest/batch={old}")
+    def _rows(self) -> tuple[DataFrame | None, int]:
+        base = max(committed_versions(self.spark, f"{self.root}/base"), default=-1)
+        paths = [f"{self.root}/delta/batch={d}" for d in committed_versions(self.spark, f"{self.root}/delta", "batch=") if d > base]
+        rows = None
+        if paths:
+            rows = self.spark.read.option("basePath", f"{self.root}/delta").parquet(*paths).withColumnRenamed("batch", "_batch")
+        if base >= 0:
+            folded = self.spark.read.parquet(f"{self.root}/base/version={base:09d}").withColumn("_batch", F.lit(-1))
+            rows = folded if rows is None else rows.unionByName(folded)
+        return rows, base
+
+    def read(self) -> DataFrame | None:
+        """One row per key, or None before the first batch. The newest batch number is found on (key, number) alone."""
+        rows, _ = self._rows()
+        if rows is None:
+            return None
+        newest = rows.groupBy(*self.keys).agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, [*self.keys, "_batch"]).drop("_batch")
+
+    def fold(self, upto: int) -> None:
+        """Write the state as a base that holds all batches up to ``upto`` and drop what no reader needs any more."""
+        self.read().repartitionByRange(*self.keys).write.mode("overwrite").parquet(f"{self.root}/base/version={upto:09d}")
+        bases = committed_versions(self.spark, f"{self.root}/base")
+        keep_from = bases[-2] if len(bases) > 1 else -1
+        gone = [f"base/version={b:09d}" for b in bases[:-2]]
+        gone += [f"delta/batch={d}" for d in committed_versions(self.spark, f"{self.root}/delta", "batch=") if d <= keep_from]
+        for name in gone:
+            fs, p = _fs(self.spark, f"{self.root}/{name}")
             fs.delete(p, True)
-        recent = self.spark.read.schema("bucket int, at bigint").parquet(*[f"{self.root}/manifest/batch={v}" for v in versions[-keep:]]).distinct().collect()
-        used = {(r.bucket, r.at) for r in recent}
-        fs, p = _fs(self.spark, f"{self.root}/data")
-        if not fs.exists(p):
-            return
-        for written in fs.listStatus(p):
-            at = int(written.getPath().getName().split("=", 1)[1])
-            for part in fs.listStatus(written.getPath()):
-                name = part.getPath().getName()
-                if name.startswith("bucket=") and (int(name.split("=", 1)[1]), at) not in used and at < batch:
-                    fs.delete(part.getPath(), True)

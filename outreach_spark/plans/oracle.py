@@ -116,6 +116,27 @@ CTES["lmsgs"] = (["msgs"], """
 SELECT msg_id, author_id % 3 AS author_id, direction, subject, body, timestamp, (author_id // 3) * 16 + seq AS seq FROM msgs""")
 
 
+def uuid_sql(number: str) -> str:
+    """The id in the form of a uuid that ``fixtures.as_uuid`` makes of a number."""
+    h = f"md5(cast({number} as varchar))"
+    return f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12))"
+
+
+_ARRIVED = "TIMESTAMP '2024-02-01 00:00:00' + to_minutes(cast({} as integer))"
+CTES["feed"] = (["ev"], f"""
+SELECT coalesce('id|' || event_id, concat('at|post-', post_id, '|0|', pos, '|')) AS event_key, event_id, coalesce(ts, arrived_at) AS ts, arrived_at,
+  author_id, email, event, source
+FROM (SELECT event_id // 8 AS post_id, row_number() OVER (PARTITION BY event_id // 8 ORDER BY event_id) - 1 AS pos,
+        CASE WHEN event_id % 3 <> 0 THEN {uuid_sql('event_id')} END AS event_id, CASE WHEN event_id % 6 <> 0 THEN ts END AS ts,
+        {_ARRIVED.format('event_id // 8')} AS arrived_at, CASE WHEN event_id % 11 <> 0 THEN {uuid_sql('author_id')} END AS author_id,
+        CASE WHEN event = 'bounce' AND event_id % 2 = 0 THEN concat('reader', author_id, '@mail.example') END AS email, event, source FROM ev)""")
+CTES["tcontacts"] = (["contacts"], f"SELECT * REPLACE ({uuid_sql('id')} AS id) FROM contacts")
+CTES["landed"] = (["inbound"], f"""
+SELECT CASE WHEN n % 4 <> 0 THEN concat(n, '@mail.example') ELSE concat('at|mail-', n % 100, '|', n, '|') END AS msg_id,
+  CASE WHEN n % 4 <> 0 THEN ts ELSE {_ARRIVED.format('n % 100')} END AS ts, sender, body, sentiment
+FROM (SELECT *, cast(msg_id AS bigint) AS n FROM inbound) WHERE sender IS NOT NULL""")
+
+
 def with_ctes(body: str, *names: str, local: list[tuple[str, str]] | None = None) -> str:
     order: list[str] = []
 

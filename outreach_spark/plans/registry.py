@@ -17,7 +17,7 @@ from ..functions import text as TX
 from ..operators import dedupe, drafts, engagement, export, extract, funnel, metrics, ranking, verify
 from ..sources import catalog, fixtures as fx, scans
 from ..streaming import events as ST
-from .oracle import CONTACTS_AS_OF as SQL_C_ASOF, EVENTS_AS_OF as SQL_E_ASOF, RUN_CUTOFF as SQL_CUTOFF, with_ctes
+from .oracle import CONTACTS_AS_OF as SQL_C_ASOF, EVENTS_AS_OF as SQL_E_ASOF, RUN_CUTOFF as SQL_CUTOFF, uuid_sql, with_ctes
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -1223,6 +1223,7 @@ def _k1_inputs(spark, sf):
     before = F.col("contacted_at") < F.lit(CUTOFF).cast("timestamp_ntz")
     existing = dedupe.first_per_email(c.filter(before), ["contacted_at", "id"])
     new_attempts = c.filter(~before).withColumn("seq", F.col("id"))
+    text = lambda df: df.withColumn("id", fx.as_uuid(F.col("id")))
     # approvals re-inserted by id with the application's defaults for the engagement columns (applied last)
     approvals = existing.filter(F.col("approval_status") == "pending").select(
         *[F.lit(False).alias(x) if x in ("open_detected", "replied", "followup_sent") else
@@ -1232,7 +1233,7 @@ def _k1_inputs(spark, sf):
           F.lit("approved").alias(x) if x == "approval_status" else F.col(x)
           for x in existing.columns],
         (F.lit(10 ** 12) + F.col("id")).alias("seq"))
-    return existing, new_attempts.unionByName(approvals)
+    return text(existing), text(new_attempts.unionByName(approvals))
 
 
 @query("upsert_contacts", with_ctes(f"""
@@ -1240,20 +1241,26 @@ SELECT {', '.join(f'CASE WHEN s.v > 0 AND o.id IS NOT NULL THEN o.{x} ELSE s.{x}
 FROM (SELECT *, max(v) OVER (PARTITION BY id) AS vid, max(v) OVER (PARTITION BY email_key) AS vem FROM allrows) s
 LEFT JOIN existing o ON s.id = o.id
 WHERE s.v = s.vid AND (s.email_key IS NULL OR s.v = s.vem)""", "contacts", local=[
-    ("existing", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email_key ORDER BY contacted_at, id) AS rn FROM contacts
+    ("numbered", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email_key ORDER BY contacted_at, id) AS rn FROM contacts
                     WHERE contacted_at < {SQL_CUTOFF} AND email_key IS NOT NULL) WHERE rn = 1"""),
+    ("existing", f"SELECT * REPLACE ({uuid_sql('id')} AS id) FROM numbered"),
     ("allrows", f"""
 SELECT {', '.join(_K1_COLS)}, 0 AS v FROM existing
-UNION ALL SELECT {', '.join(_K1_COLS)}, id + 1 AS v FROM contacts WHERE contacted_at >= {SQL_CUTOFF}
-UNION ALL SELECT channel, id, full_name, email, email_key, contacted_at, email_status, 'approved' AS approval_status, false, NULL::TIMESTAMP,
-  false, NULL::VARCHAR, false, NULL::TIMESTAMP, CAST(0 AS BIGINT), 1000000000000 + id + 1 AS v FROM existing WHERE approval_status = 'pending'""")]))
+UNION ALL SELECT {', '.join(x if x != 'id' else uuid_sql('id') + ' AS id' for x in _K1_COLS)}, id + 1 AS v FROM contacts WHERE contacted_at >= {SQL_CUTOFF}
+UNION ALL SELECT channel, {uuid_sql('id')} AS id, full_name, email, email_key, contacted_at, email_status, 'approved' AS approval_status, false, NULL::TIMESTAMP,
+  false, NULL::VARCHAR, false, NULL::TIMESTAMP, CAST(0 AS BIGINT), 1000000000000 + id + 1 AS v FROM numbered WHERE approval_status = 'pending'""")]))
 def q_upsert_contacts(spark, sf):
     existing, incoming = _k1_inputs(spark, sf)
     return dedupe.upsert_contacts(existing, incoming).select(*_K1_COLS)
 
 
+def _feed(spark, sf):
+    """The delivery feed as it lands: text ids, events without id, time or author, known by their place."""
+    return _ntz(_ntz(ST.parse_delivery_payloads(fx.delivery_payloads(spark, sf))), "arrived_at")
+
+
 def _logs(spark, sf, until: str | None = None):
-    ev = fx.delivery_events(spark, sf)
+    ev = _feed(spark, sf)
     if until:
         ev = ev.filter(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
     return ST.stream_logs(ST.route_events(ev))
@@ -1261,22 +1268,22 @@ def _logs(spark, sf, until: str | None = None):
 
 _LOGS_SQL = """
 SELECT ts AS timestamp, CASE WHEN action = 'log_warning' THEN 'WARNING' ELSE 'INFO' END AS level, 'WEBHOOK' AS category,
-  CASE WHEN action = 'mark_open_and_score' THEN concat('Email opened by author ', cast(author_id as varchar), CASE WHEN source = 'gmail' THEN ' (Gmail)' ELSE '' END)
-       WHEN action = 'score' THEN concat('Link clicked by author ', cast(author_id as varchar), CASE WHEN source = 'gmail' THEN ' (Gmail)' ELSE '' END)
-       ELSE concat('Email ', event, ' for ', coalesce(cast(author_id as varchar), 'unknown')) END AS message,
-  NULL::VARCHAR AS details, concat('event:', cast(event_id as varchar)) AS log_key
+  CASE WHEN action = 'mark_open_and_score' THEN concat('Email opened by author ', author_id, CASE WHEN source = 'gmail' THEN ' (Gmail)' ELSE '' END)
+       WHEN action = 'score' THEN concat('Link clicked by author ', author_id, CASE WHEN source = 'gmail' THEN ' (Gmail)' ELSE '' END)
+       ELSE concat('Email ', event, ' for ', coalesce(email, author_id, 'unknown')) END AS message,
+  NULL::VARCHAR AS details, concat('event:', event_key) AS log_key
 FROM routed"""
 
 _ROUTED_SQL = """
-SELECT event_id, ts, author_id, NULL::VARCHAR AS email, source, event,
+SELECT event_key, event_id, ts, author_id, email, source, event,
   CASE WHEN event = 'open' AND author_id IS NOT NULL THEN 'mark_open_and_score'
        WHEN event = 'click' AND author_id IS NOT NULL THEN 'score'
        WHEN event IN ('bounce', 'dropped') THEN 'log_warning' END AS action,
   CASE WHEN event = 'open' THEN 1 WHEN event = 'click' THEN 5 ELSE 0 END AS points
-FROM ev WHERE (event = 'open' AND author_id IS NOT NULL) OR (event = 'click' AND author_id IS NOT NULL) OR event IN ('bounce', 'dropped')"""
+FROM feed WHERE (event = 'open' AND author_id IS NOT NULL) OR (event = 'click' AND author_id IS NOT NULL) OR event IN ('bounce', 'dropped')"""
 
 
-@query("append_logs", with_ctes("SELECT timestamp, level, category, message, log_key FROM logs", "ev", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
+@query("append_logs", with_ctes("SELECT timestamp, level, category, message, log_key FROM logs", "feed", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
 def q_append_logs(spark, sf):
     """K4: the log table after appending a full replay onto the logs of the first two weeks (no duplicates)."""
     from ..operators.state import append_new
@@ -1286,26 +1293,26 @@ def q_append_logs(spark, sf):
 
 
 @query("scan_logs", with_ctes(f"SELECT timestamp, level, category, message, log_key FROM logs ORDER BY timestamp DESC, log_key DESC LIMIT {K.SYSTEM_LOG_SIZE}",
-                              "ev", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
+                              "feed", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
 def q_scan_logs(spark, sf):
     return scans.scan_logs(_logs(spark, sf), K.SYSTEM_LOG_SIZE).select("timestamp", "level", "category", "message", "log_key")
 
 
 @query("append_messages", with_ctes(f"""
 SELECT msg_id, author_id, email, direction, subject FROM (
-  SELECT msg_id, author_id, NULL::VARCHAR AS email, direction, subject FROM msgs
+  SELECT msg_id, {uuid_sql('author_id')} AS author_id, NULL::VARCHAR AS email, direction, subject FROM msgs
   UNION ALL
   SELECT DISTINCT concat('in-', i.msg_id) AS msg_id, coalesce(k.main_id, k.gmail_id) AS author_id, i.ek AS email, 'incoming' AS direction,
     CASE WHEN k.email_key IS NULL THEN '{K.REPLY_SUBJECT_WEBHOOK}' ELSE '{K.REPLY_SUBJECT}' END AS subject
-  FROM (SELECT *, nullif(lower(trim(sender)), '') AS ek FROM inbound WHERE sender IS NOT NULL) i
+  FROM (SELECT *, nullif(lower(trim(sender)), '') AS ek FROM landed) i
   LEFT JOIN (SELECT email_key, min(id) FILTER (WHERE channel = 'main') AS main_id, min(id) FILTER (WHERE channel = 'gmail') AS gmail_id
-             FROM contacts WHERE email_key IS NOT NULL GROUP BY 1) k ON i.ek = k.email_key)""", "msgs", "inbound", "contacts"))
+             FROM tcontacts WHERE email_key IS NOT NULL GROUP BY 1) k ON i.ek = k.email_key)""", "msgs", "landed", "tcontacts"))
 def q_append_messages(spark, sf):
     """K5: conversation rows plus inbound replies with their author, appended twice (a replay) and kept once."""
     from ..operators.state import append_new
 
-    existing = fx.messages(spark, sf).select("msg_id", "author_id", F.lit(None).cast("string").alias("email"), "direction", "subject")
-    rep = ST.stream_replies(fx.inbound_replies(spark, sf), fx.contacts(spark, sf)).select(
+    existing = fx.messages(spark, sf).select("msg_id", fx.as_uuid(F.col("author_id")).alias("author_id"), F.lit(None).cast("string").alias("email"), "direction", "subject")
+    rep = ST.stream_replies(fx.landed_inbound(spark, sf), fx.text_id_contacts(spark, sf)).select(
         F.concat(F.lit("in-"), F.col("msg_id")).alias("msg_id"), "author_id", F.col("email_key").alias("email"), "direction", "subject")
     replayed = rep.withColumn("_twice", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_twice")
     return existing.unionByName(append_new(existing, replayed, "msg_id"))
@@ -1335,21 +1342,21 @@ def q_apply_engagement(spark, sf):
     return engagement.apply_engagement(c, fx.delivery_events(spark, sf), base_scores=False)
 
 
-@query("stream_delivery_events", with_ctes("SELECT event_id, ts, author_id, NULL::VARCHAR AS email, event, source FROM ev", "ev"))
+@query("stream_delivery_events", with_ctes("SELECT * FROM feed", "feed"))
 def q_stream_delivery_events(spark, sf):
-    return _ntz(ST.parse_delivery_payloads(fx.delivery_payloads(spark, sf)))
+    return _feed(spark, sf)
 
 
-@query("stream_tracking_hits", with_ctes("""
-SELECT event_id, ts, author_id, source, event,
+@query("stream_tracking_hits", with_ctes(f"""
+SELECT event_id, ts, {uuid_sql('author_id')} AS author_id, source, event,
   CASE WHEN event = 'click' THEN concat('https://books.example.org/b/', event_id % 5) END AS target_url FROM ev WHERE event IN ('open', 'click')""", "ev"))
 def q_stream_tracking_hits(spark, sf):
     return ST.parse_tracking_hits(fx.tracking_hits(spark, sf))
 
 
-@query("stream_inbound_messages", with_ctes("SELECT msg_id, ts, sender, body, sentiment FROM inbound", "inbound"))
+@query("stream_inbound_messages", with_ctes("SELECT * FROM landed", "landed"))
 def q_stream_inbound_messages(spark, sf):
-    return ST.parse_inbound(fx.inbound_replies(spark, sf))
+    return _ntz(ST.parse_inbound(fx.landed_inbound(spark, sf)))
 
 
 @query("sender_address", with_ctes("""
@@ -1365,9 +1372,9 @@ def q_normalise_sentiment(spark, sf):
     return fx.inbound_replies(spark, sf).select("msg_id", "model_output", TX.normalise_sentiment(F.col("model_output")).alias("sentiment"))
 
 
-@query("stream_route_events", with_ctes("SELECT * FROM routed", "ev", local=[("routed", _ROUTED_SQL)]))
+@query("stream_route_events", with_ctes("SELECT * FROM routed", "feed", local=[("routed", _ROUTED_SQL)]))
 def q_stream_route_events(spark, sf):
-    return ST.route_events(fx.delivery_events(spark, sf))
+    return ST.route_events(_feed(spark, sf))
 
 
 @query("stream_lead_scores", with_ctes("""
@@ -1390,25 +1397,34 @@ SELECT i.msg_id, i.ts, i.ek AS email_key, coalesce(k.main_id, k.gmail_id) AS aut
   CASE WHEN k.email_key IS NULL THEN '{K.REPLY_SUBJECT_WEBHOOK}' ELSE '{K.REPLY_SUBJECT}' END AS subject, i.body,
   concat(CASE WHEN k.main_id IS NOT NULL THEN '{K.LOG_REPLY_MAIN}' WHEN k.gmail_id IS NOT NULL THEN '{K.LOG_REPLY_GMAIL}'
               ELSE '{K.LOG_REPLY_WEBHOOK}' END, i.ek, ' (Sentiment: ', i.sentiment, ')') AS log_message
-FROM (SELECT *, nullif(lower(trim(sender)), '') AS ek FROM inbound WHERE sender IS NOT NULL) i
+FROM (SELECT *, nullif(lower(trim(sender)), '') AS ek FROM landed) i
 LEFT JOIN (SELECT email_key, min(id) FILTER (WHERE channel = 'main') AS main_id, min(id) FILTER (WHERE channel = 'gmail') AS gmail_id
-           FROM contacts WHERE email_key IS NOT NULL GROUP BY 1) k ON i.ek = k.email_key""", "inbound", "contacts"))
+           FROM tcontacts WHERE email_key IS NOT NULL GROUP BY 1) k ON i.ek = k.email_key""", "landed", "tcontacts"))
 def q_stream_replies(spark, sf):
-    return ST.stream_replies(fx.inbound_replies(spark, sf), fx.contacts(spark, sf))
+    return _ntz(ST.stream_replies(fx.landed_inbound(spark, sf), fx.text_id_contacts(spark, sf)))
 
 
 @query("reply_lookback", with_ctes(f"""
-SELECT msg_id, ts, sender, sentiment FROM inbound WHERE CAST(ts AS DATE) >= CAST({SQL_E_ASOF} AS DATE) - INTERVAL {K.REPLY_LOOKBACK_DAYS} DAY""", "inbound"))
+SELECT msg_id, ts, sender, sentiment FROM landed WHERE CAST(ts AS DATE) >= CAST({SQL_E_ASOF} AS DATE) - INTERVAL {K.REPLY_LOOKBACK_DAYS} DAY""", "landed"))
 def q_reply_lookback(spark, sf):
-    return ST.reply_lookback(ST.parse_inbound(fx.inbound_replies(spark, sf)), E_ASOF).select("msg_id", "ts", "sender", "sentiment")
+    return ST.reply_lookback(_ntz(ST.parse_inbound(fx.landed_inbound(spark, sf))), E_ASOF).select("msg_id", "ts", "sender", "sentiment")
 
 
-@query("stream_event_dedup", with_ctes("SELECT event_id, ts, author_id, event, source FROM ev", "ev"))
+@query("stream_event_dedup", with_ctes("SELECT * FROM feed", "feed"))
 def q_stream_event_dedup(spark, sf):
-    """The feed with every click delivered twice; the de-duplicated feed equals the original."""
-    ev = fx.delivery_events(spark, sf)
+    """The feed with every click delivered twice; the de-duplicated feed equals the original, events without an id or a time
+    included."""
+    ev = _feed(spark, sf)
     replayed = ev.unionByName(ev.filter(F.col("event") == "click"))
-    return ST.stream_event_dedup(replayed).select("event_id", "ts", "author_id", "event", "source")
+    return ST.stream_event_dedup(replayed)
+
+
+@query("feed_health", with_ctes("""
+SELECT CAST(arrived_at AS DATE) AS day, event, count(*) AS events, count(*) FILTER (ts < arrived_at - INTERVAL 1 DAY) AS late,
+  count(*) FILTER (event_id IS NULL) AS without_id, count(*) FILTER (author_id IS NULL) AS without_author FROM feed GROUP BY 1, 2""", "feed"))
+def q_feed_health(spark, sf):
+    """Late events and events without id or author, counted per arrival day and type."""
+    return ST.feed_health(_feed(spark, sf))
 
 
 @query("stream_daily_counts", with_ctes("SELECT CAST(ts AS DATE) AS day, event, count(*) AS events FROM ev GROUP BY 1, 2", "ev"))
@@ -1416,6 +1432,6 @@ def q_stream_daily_counts(spark, sf):
     return ST.stream_daily_counts(ST.as_event_time(fx.delivery_events(spark, sf)))
 
 
-@query("stream_logs", with_ctes("SELECT * FROM logs", "ev", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
+@query("stream_logs", with_ctes("SELECT * FROM logs", "feed", local=[("routed", _ROUTED_SQL), ("logs", _LOGS_SQL)]))
 def q_stream_logs(spark, sf):
     return _logs(spark, sf)

@@ -8,7 +8,7 @@ S, L, B, D, TS = T.StringType(), T.LongType(), T.BooleanType(), T.DoubleType(),
 ARR = T.ArrayType(T.StringType())
 
 CONTACTS = T.StructType([
-    T.StructField("channel", S), T.StructField("id", L), T.StructField("full_name", S),
+    T.StructField("channel", S), T.StructField("id", S), T.StructField("full_name", S),
     T.StructField("email", S), T.StructField("email_key", S), T.StructField("source_platform", S),
     T.StructField("contacted_at", TS), T.StructField("email_status", S), T.StructField("book_titles", ARR),
     T.StructField("book_description", S), T.StructField("genres", ARR), T.StructField("open_detected", B),
@@ -39,7 +39,7 @@ VERIFICATIONS = T.StructType([
 ])
 
 MESSAGES = T.StructType([
-    T.StructField("msg_id", S), T.StructField("author_id", L), T.StructField("email", S),
+    T.StructField("msg_id", S), T.StructField("author_id", S), T.StructField("email", S),
     T.StructField("direction", S), T.StructField("subject", S), T.StructField("body", S),
     T.StructField("timestamp", TS), T.StructField("seq", L),
 ])
@@ -49,9 +49,10 @@ LOGS = T.StructType([
     T.StructField("message", S), T.StructField("details", S), T.StructField("log_key", S),
 ])
 
-# one delivery / tracking event as it arrives in a webhook payload (JSON array of these)
+# one delivery / tracking event as it arrives in a webhook payload (JSON array of these); ids are text of any form
+# (JSON numbers are read as text too), and the application's own bodies have neither an id nor a time
 DELIVERY_EVENT = T.StructType([
-    T.StructField("event_id", L), T.StructField("ts", T.TimestampType()), T.StructField("author_id", L),
+    T.StructField("event_id", S), T.StructField("ts", T.TimestampType()), T.StructField("author_id", S),
     T.StructField("email", S), T.StructField("event", S), T.StructField("source", S),
 ])
 DELIVERY_PAYLOAD = T.ArrayType(DELIVERY_EVENT)

@@ -8,6 +8,14 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: Settings of sessions that run the streams: keyed state in RocksDB (off the heap, a changelog per batch instead of
+#: whole snapshots).
+STREAMING = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "outreach_spark") -> SparkSession:
     """Session for tests and benches on one machine.
 
@@ -26,6 +34,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
+    for name, value in STREAMING.items():
+        builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -82,4 +92,5 @@ def cluster_settings(shuffle_bytes: int, target_partition_bytes: int = 256 << 20
         "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
         "spark.sql.session.timeZone": "UTC",
+        **STREAMING,
     }

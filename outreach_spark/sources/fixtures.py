@@ -45,6 +45,12 @@ def _ts(s: str):
     return F.lit(s).cast("timestamp_ntz")
 
 
+def as_uuid(number):
+    """The id that the application would have given: text in the form of a uuid."""
+    h = F.md5(number.cast("string"))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contact attempt: orders joined to customer (the driver's shapes for the funnel table)."""
     o = read(spark, sf_dir, "orders")
@@ -295,16 +301,31 @@ def catalogue_payloads(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame
     return p.select(F.col("p_partkey").alias("response_id"), F.to_json(doc).alias("payload"))
 
 
-def delivery_payloads(spark: SparkSession, sf_dir: str, batch_size: int = 8) -> DataFrame:
-    """Webhook bodies: JSON arrays of at most ``batch_size`` consecutive delivery events."""
+def bare_events(spark: SparkSession, sf_dir: str, batch_size: int = 8) -> DataFrame:
+    """The delivery events as the application's senders post them: ids are text, a third has none, a sixth no time either, some
+    have no author, the channel is named for gmail only. ``n`` numbers them; ``post_id`` is the request they came with."""
     ev = delivery_events(spark, sf_dir)
-    return (
-        ev.groupBy(F.floor(F.col("event_id") / batch_size).alias("post_id"))
-        .agg(F.to_json(F.collect_list(F.struct(
-            "event_id", F.col("ts").cast("timestamp").alias("ts"), "author_id",
-            F.lit(None).cast("string").alias("email"), "event", "source")),
-            {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("body"))
-    )
+    n = F.col("event_id")
+    return ev.select(
+        n.alias("n"), F.floor(n / batch_size).alias("post_id"), F.when(n % 3 != 0, as_uuid(n)).alias("event_id"),
+        F.when(n % 6 != 0, F.col("ts").cast("timestamp")).alias("ts"), F.when(n % 11 != 0, as_uuid(F.col("author_id"))).alias("author_id"),
+        F.when((F.col("event") == "bounce") & (n % 2 == 0), F.concat(F.lit("reader"), F.col("author_id").cast("string"), F.lit("@mail.example"))).alias("email"),
+        "event", F.when(F.col("source") == "gmail", "gmail").alias("source"))
+
+
+def _arrival(number):
+    """When a request arrived: one a minute."""
+    return F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), number.cast("int"))
+
+
+def delivery_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook bodies: JSON arrays of at most 8 consecutive delivery events (fields that are not there are left out), with the
+    place they landed at."""
+    fields = ["event_id", "ts", "author_id", "email", "event", "source"]
+    posts = bare_events(spark, sf_dir).groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("n", F.struct(*fields).alias("e")))).alias("es"))
+    body = F.to_json(F.transform("es", lambda x: x["e"]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return posts.select("post_id", body.alias("body"), F.concat(F.lit("post-"), F.col("post_id").cast("string")).alias("file"),
+                        F.lit(0).cast("bigint").alias("line"), _arrival(F.col("post_id")).alias("arrived_at"))
 
 
 def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,10 +335,24 @@ def tracking_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = F.when(F.col("source") == "gmail", F.lit("&source=gmail")).otherwise(F.lit(""))
     target = F.when(F.col("event") == "click", F.concat(F.lit("&url=https%3A%2F%2Fbooks.example.org%2Fb%2F"), (F.col("event_id") % 5).cast("string")))
     url = F.concat(F.lit("https://track.example.org/track/"), path, F.lit("?author_id="),
-                   F.col("author_id").cast("string"), F.lit("&run_date=2024-01-01"), src, F.coalesce(target, F.lit("")))
+                   as_uuid(F.col("author_id")), F.lit("&run_date=2024-01-01"), src, F.coalesce(target, F.lit("")))
     return ev.select("event_id", "ts", url.alias("request_url"))
 
 
+def landed_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inbound replies with the place they landed at; a quarter came as form posts, without message id and time."""
+    rp = inbound_replies(spark, sf_dir)
+    n = F.col("msg_id").cast("bigint")
+    post = n % 4 == 0
+    return rp.select(F.when(~post, F.concat(F.col("msg_id"), F.lit("@mail.example"))).alias("msg_id"), F.when(~post, F.col("ts").cast("timestamp")).alias("ts"),
+                     "from_header", "body", "model_output", F.concat(F.lit("mail-"), (n % 100).cast("string")).alias("file"), n.alias("line"), _arrival(n % 100).alias("arrived_at"))
+
+
+def text_id_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contacts under the application's own ids."""
+    return contacts(spark, sf_dir).withColumn("id", as_uuid(F.col("id")))
+
+
 def run_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a run: the verification requests of contacts on or after the run cutoff, in id order
     (seq), with their titles; no address was found for every 17th id."""

@@ -21,7 +21,8 @@ def parse_genres(raw: Column) -> Column:
 
 
 def conform_schema(df: DataFrame, schema=SC.CONTACTS, defaults: dict | None = None) -> DataFrame:
-    """Project onto the target schema; missing columns get their default (else NULL), all are cast."""
+    """Project onto the target schema; missing columns get their default (else NULL), all are cast but ids: they are
+    text in the application's tables and keep their own type where a table has numbers."""
     defaults = SC.CONTACT_DEFAULTS if defaults is None else defaults
     cols = []
     for f in schema.fields:
@@ -33,7 +34,8 @@ def conform_schema(df: DataFrame, schema=SC.CONTACTS, defaults: dict | None = No
             c = email_key("email")
         else:
             c = F.lit(defaults.get(f.name))
-        cols.append(c.cast(f.dataType).alias(f.name))
+        keep = f.name in ("id", "author_id") and f.name in df.columns
+        cols.append((c if keep else c.cast(f.dataType)).alias(f.name))
     return df.select(*cols)
 
 

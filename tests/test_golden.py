@@ -247,6 +247,20 @@ def test_send_window_bounds(spark):
 
 # ---- J/K/G: dedupe, upserts, approvals
 
+def fid(n):
+    """A text id like the application's."""
+    import uuid
+
+    return str(uuid.UUID(int=(n * 0x9E3779B97F4A7C15F39CC0605CEDC834) % 2**128))
+
+
+def text_contacts(spark, rows):
+    """``contacts_df`` with text ids."""
+    numbered = contacts_df(spark, [{**r, "id": n} for n, r in enumerate(rows)])
+    names = spark.createDataFrame([(n, r["id"]) for n, r in enumerate(rows)], "id bigint, _text string")
+    return numbered.join(names, "id").withColumn("id", F.col("_text")).drop("_text")
+
+
 def test_mixed_case_emails_match(spark):
     c = contacts_df(spark, [{"id": 1, "channel": "main", "email": "Jane.Doe@X.org "}])
     cand = spark.createDataFrame([(10, "jane.doe@x.org"), (11, "other@x.org")], "id bigint, email string")
@@ -268,6 +282,25 @@ def test_upsert_two_keys_chain(spark):
     assert got2 == {1: (7, True), 2: (3, False)}
 
 
+def test_upsert_with_text_ids_equals_a_row_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    ids = [fid(i) for i in range(12)]
+    mails = [f"m{i}@x.org" for i in range(10)]
+    for trial in range(3):
+        start = rng.sample(ids, 6)
+        existing = text_contacts(spark, [{"id": i, "channel": "main", "email": m, "lead_score": n} for n, (i, m) in enumerate(zip(start, rng.sample(mails, 6)))])
+        rows = [(rng.choice(ids), rng.choice(mails), n) for n in rng.sample(range(-30, 300), 25)]
+        incoming = text_contacts(spark, [{"id": i, "channel": "main", "email": m} for i, m, _ in rows]).withColumn("seq", F.lit(0))
+        order = spark.createDataFrame(rows, "id string, email string, s bigint")
+        incoming = incoming.drop("seq").join(order, ["id", "email"]).dropDuplicates(["s"]).withColumnRenamed("s", "seq")
+        table = {r.id: r.email for r in existing.collect()}
+        for i, m, _ in sorted(rows, key=lambda r: r[2]):
+            table = {k: v for k, v in table.items() if k != i and v != m} | {i: m}
+        assert {r.id: r.email for r in dedupe.upsert_contacts(existing, incoming).collect()} == table
+
+
 def test_upsert_needs_an_order_and_breaks_ties(spark):
     import pytest
 
@@ -420,7 +453,7 @@ def test_tracking_hits_defaults_and_decoding(spark):
         (4, "https://t.example.org/track/open?author_id=abc"),
     ], "event_id bigint, request_url string")
     got = {r.event_id: (r.author_id, r.source, r.event, r.target_url) for r in ST.parse_tracking_hits(df).collect()}
-    assert got == {1: (42, "main", "open", None), 2: (7, "gmail", "click", "https://books.example.org/a?b=1"), 4: (None, "main", "open", None)}
+    assert got == {1: ("42", "main", "open", None), 2: ("7", "gmail", "click", "https://books.example.org/a?b=1"), 4: ("abc", "main", "open", None)}
 
 
 def test_unknown_channel_is_an_error(spark):

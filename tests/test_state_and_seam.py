@@ -35,6 +35,43 @@ def test_append_rows_dedupes_on_key(spark, scratch):
     assert sorted(r.log_key for r in state.read_rows(spark, root).collect()) == ["k1", "k2", "k3"]
 
 
+def test_appends_are_folded_and_replays_add_nothing(spark, scratch):
+    root = os.path.join(scratch, "logs2")
+    batch = lambda ids: spark.createDataFrame([(f"k{i}", f"text {i}") for i in ids], "log_key string, body string")
+    for n in range(6):
+        added = state.append_rows(batch(range(n * 10 - 5 * (n > 0), n * 10 + 10)), root, "log_key", every=3)
+        assert added.count() == 10  # five are there already, but for the first batch
+        assert state.append_rows(batch(range(n * 10 + 10)), root, "log_key", every=3).count() == 0
+    got = [r.log_key for r in state.read_rows(spark, root).collect()]
+    assert sorted(got) == sorted(f"k{i}" for i in range(60))
+    assert len(state.committed_versions(spark, os.path.join(root, "rows"), "batch=")) <= 6
+
+
+def test_append_of_one_key_keeps_one_whole_row(spark):
+    rows = [("k", f"text {i}", i) for i in range(50)] * 2 + [(None, "no key", 1), (None, "no key", 2)]
+    df = spark.createDataFrame(rows, "log_key string, body string, v int")
+    once, twice = [sorted(map(tuple, state.append_new(None, df.repartition(n), "log_key").collect()), key=str) for n in (3, 7)]
+    assert once == twice and len([r for r in once if r[0] == "k"]) == 1
+    assert [r for r in once if r[0] == "k"][0] in [tuple(r) for r in rows]
+    plan = state.append_new(df, df, "log_key")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_changed_keys_hold_the_newest_row_and_refuse_another_stream(spark, scratch):
+    st = state.ChangedKeys(spark, os.path.join(scratch, "st"), ["id", "ch"], every=3)
+    rows = lambda ids, v: spark.createDataFrame([(f"u{i}", "main", v) for i in ids], "id string, ch string, v int")
+    assert st.read() is None
+    want = {}
+    for n in range(8):
+        ids = range(100) if n == 0 else [n, 50]
+        assert st.put(rows(ids, n), n, "me") and not st.put(rows(ids, 99), n, "me")  # a replay changes nothing
+        want |= {f"u{i}": n for i in ids}
+        assert {r.id: r.v for r in st.read().collect()} == want
+    assert len(state.committed_versions(spark, f"{st.root}/delta", "batch=")) <= 6 and len(state.committed_versions(spark, f"{st.root}/base")) == 2
+    with pytest.raises(ValueError, match="another stream checkpoint"):
+        st.put(rows([1], 1), 9, "you")
+
+
 def test_map_batches_seam(spark):
     rp = fx.inbound_replies(spark, SF_SMALL)
 
