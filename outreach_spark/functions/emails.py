@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .markup import links
 
 
 def _c(c: str | Column) -> Column:
@@ -51,14 +52,11 @@ def context_email(text: str | Column, excluded: list[str] = K.CONTEXT_EXCLUDED_W
     return F.get(ok, 0)
 
 
-MAILTO_PATTERN = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']mailto:([^"'?]*)"""
-
-
 def mailto_targets(html: str | Column) -> Column:
-    """P5 helper: mailto targets of ``a`` elements in document order, query part removed, trimmed. Tag and
-    attribute names in any case, either quote."""
-    raw = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(MAILTO_PATTERN), 1)
-    return F.transform(raw, lambda e: F.trim(e))
+    """P5 helper: mailto targets of the page's links in document order, query part removed, trimmed."""
+    hrefs = F.transform(links(html), lambda x: x["href"])
+    mails = F.filter(hrefs, lambda h: F.lower(F.substring(h, 1, 7)) == "mailto:")
+    return F.transform(mails, lambda h: F.trim(F.split_part(F.substring(h, F.lit(8), F.length(h)), F.lit("?"), F.lit(1))))
 
 
 def page_mailto(html: str | Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import emails as EM
 from ..functions import text as TX
+from ..functions.markup import links
 from ..sources.scans import url_key
 
 
@@ -36,13 +37,6 @@ def page_emails(pages: DataFrame) -> DataFrame:
         "page_id", "url", EM.page_mailto(F.col("html")).alias("mailto_email"), EM.page_email(F.col("html")).alias("page_email"))
 
 
-#: One whole link: any case, either quote, markup inside.
-ANCHOR = r"""(?is)<a\b[^>]*\shref\s*=.*?</a>"""
-HREF = r"""(?i)\shref\s*=\s*["']([^"']*)"""
-OPENING_TAG = r"^<[^>]*>"
-ANY_TAG = r"<[^>]*>"
-
-
 def _origin(url):
     return F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
 
@@ -60,20 +54,18 @@ def absolute_url(href, page_url):
 
 def _contact_link(html):
     """The page's contact / about link by selector order (link text, then href), then position, or null:
-    a struct (selector_rank, pos, href, text), found within the row."""
-    anchors = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR), 0)
+    a struct (selector_rank, pos, href, text), found within the row. A link that leads nowhere is none."""
 
     def ranked(a, i):
-        text = F.trim(F.regexp_replace(F.regexp_replace(a, OPENING_TAG, ""), ANY_TAG, ""))
-        href = F.regexp_extract(a, HREF, 1)
-        low_text, low_href = F.lower(text), F.lower(href)
+        low_text, low_href = F.lower(a["text"]), F.lower(a["href"])
         rank = F.lit(None).cast("int")
         selectors = [(low_text, t.lower()) for t in K.CONTACT_LINK_TEXTS] + [(low_href, h) for h in K.CONTACT_LINK_HREFS]
         for n, (col, needle) in reversed(list(enumerate(selectors, start=1))):
             rank = F.when(F.contains(col, F.lit(needle)), F.lit(n)).otherwise(rank)
-        return F.struct(F.when(~low_href.startswith("mailto:"), rank).alias("selector_rank"), i.alias("pos"), href.alias("href"), text.alias("text"))
+        leads = (a["href"] != "") & ~low_href.startswith("mailto:")
+        return F.struct(F.when(leads, rank).alias("selector_rank"), i.alias("pos"), a["href"].alias("href"), a["text"].alias("text"))
 
-    return F.array_min(F.filter(F.transform(anchors, ranked), lambda x: x["selector_rank"].isNotNull()))
+    return F.array_min(F.filter(F.transform(links(html), ranked), lambda x: x["selector_rank"].isNotNull()))
 
 
 def contact_subpage_links(pages: DataFrame) -> DataFrame:

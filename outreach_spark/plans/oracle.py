@@ -81,7 +81,7 @@ FROM conversations WHERE role <> 'system'"""),
     "hits": ([], """
 SELECT concat('authors ', regexp_extract(html, '<html lang="([a-z]+)"', 1), ' ', regexp_extract(url, '\\.(com|net|org)\\b', 1)) AS query,
   page_id AS position, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-  regexp_replace(url, '^http://', '') AS url, regexp_extract(html, '<p>([^<]*)</p>', 1) AS snippet,
+  regexp_replace(url, '^http://', '') AS url, array_to_string(list_transform(regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), ' ') AS snippet,
   CASE WHEN starts_with(url, 'https://') THEN 'primary' ELSE 'secondary' END AS engine
 FROM pages"""),
 }
@@ -93,6 +93,7 @@ _LINKS = {
     3: "concat('<a class=\"x\" href=\"/contact/', page_id, '\"><span>Contact</span> us</a>')",
     4: "concat('<a href=''about-', page_id, '.html''>Who we are</a>')",
     5: "concat('<A HREF=\"https://other.example/c', page_id, '\">Get in <b>touch</b></A>')",
+    6: "concat('<a class=m href=&#109;ailto:sam', page_id, '&#64;books.example>sam</a> <a title=\"a > b\" href=/reach?id=', page_id, '&amp;of=us>Reach', chr(10), 'us</a>')",
 }
 _BLACKLIST = "[" + ", ".join(f"'{t}'" for t in K.BLACKLIST_TERMS) + "]"
 _PHRASES = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in K.BANNED_PHRASES) + "]"

@@ -480,9 +480,22 @@ def q_personal_email_filter(spark, sf):
     return m.filter(EM.is_personal_email(F.col("email"))).select("doc_id", "email")
 
 
-_MAILTO_SQL = EM.MAILTO_PATTERN
+# links in the forms that the pages have: attributes quoted, unquoted or upper-case, the entities of the landed forms
+_ATTR_SQL = r"""(?:\s+[a-z-]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))*\s*"""
+_LINK_SQL = rf"(?is)<a{_ATTR_SQL}>.*?</a>"
+_OPEN_SQL = rf"(?is)^<a{_ATTR_SQL}>"
+
+
+def _href_sql(x: str) -> str:
+    attr = r"""(?is)\shref\s*=\s*(?:"([^"]*)|''([^'']*)|([^\s>"'']+))"""
+    tag = f"regexp_extract({x}, '{_OPEN_SQL}', 0)"
+    value = "concat(" + ", ".join(f"regexp_extract({tag}, '{attr}', {g})" for g in (1, 2, 3)) + ")"
+    return f"trim(replace(replace(replace({value}, '&#109;', 'm'), '&#64;', '@'), '&amp;', '&'))"
+
+
 _PAGE_EMAIL_SQL = f"""
-  list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '{_MAILTO_SQL.replace("'", "''")}', 1), lambda e: trim(e)),
+  list_filter(list_transform(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a{_ATTR_SQL}>', 0), lambda x: {_href_sql('x')}),
+                                         lambda h: starts_with(lower(h), 'mailto:')), lambda h: trim(split_part(substr(h, 8), '?', 1))),
               lambda e: e <> '' AND NOT regexp_matches(lower(e), '{_GENERIC_SQL}'))[1]"""
 _PAGE_REGEX_SQL = f"list_filter(regexp_extract_all(coalesce(html, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '{_GENERIC_SQL}'))[1]"
 
@@ -497,7 +510,6 @@ def q_page_email(spark, sf):
     return extract.page_emails(fx.linked_pages(spark, sf))
 
 
-_ANCHOR_SQL, _HREF_SQL = extract.ANCHOR.replace("'", "''"), extract.HREF.replace("'", "''")
 _SEL_SQL = " ".join(
     [f"WHEN contains(lower(a.text), '{t.lower()}') THEN {i}" for i, t in enumerate(K.CONTACT_LINK_TEXTS, 1)]
     + [f"WHEN contains(lower(a.href), '{h}') THEN {i}" for i, h in enumerate(K.CONTACT_LINK_HREFS, len(K.CONTACT_LINK_TEXTS) + 1)])
@@ -512,11 +524,11 @@ SELECT page_id, url, b.selector_rank AS selector_rank, b.text AS link_text, b.hr
                         ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) END, b.href) END AS subpage_url
 FROM (SELECT page_id, url, min({{'selector_rank': selector_rank, 'pos': pos, 'href': a.href, 'text': a.text}}) AS b FROM (
         SELECT page_id, url, pos, a, CASE {_SEL_SQL} END AS selector_rank FROM (
-          SELECT page_id, url, pos, {{'href': regexp_extract(x, '{_HREF_SQL}', 1),
-                 'text': trim(regexp_replace(regexp_replace(x, '{extract.OPENING_TAG}', ''), '{extract.ANY_TAG}', '', 'g'))}} AS a FROM (
+          SELECT page_id, url, pos, {{'href': {_href_sql('x')},
+                 'text': trim(regexp_replace(replace(regexp_replace(regexp_replace(x, '{_OPEN_SQL}', ''), '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))}} AS a FROM (
             SELECT page_id, url, generate_subscripts(xs, 1) - 1 AS pos, unnest(xs) AS x FROM (
-              SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR_SQL}', 0) AS xs FROM pg))))
-      WHERE selector_rank IS NOT NULL AND NOT starts_with(lower(a.href), 'mailto:') GROUP BY page_id, url)"""
+              SELECT page_id, url, regexp_extract_all(html, '{_LINK_SQL}', 0) AS xs FROM pg))))
+      WHERE selector_rank IS NOT NULL AND a.href <> '' AND NOT starts_with(lower(a.href), 'mailto:') GROUP BY page_id, url)"""
 
 
 @query("contact_subpage_links", with_ctes(CONTACT_LINKS_SQL, "pg"))

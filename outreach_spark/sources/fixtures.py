@@ -207,6 +207,7 @@ LINK_FORMS = {
     3: '<a class="x" href="/contact/{id}"><span>Contact</span> us</a>',
     4: "<a href='about-{id}.html'>Who we are</a>",
     5: '<A HREF="https://other.example/c{id}">Get in <b>touch</b></A>',
+    6: '<a class=m href=&#109;ailto:sam{id}&#64;books.example>sam</a> <a title="a > b" href=/reach?id={id}&amp;of=us>Reach\nus</a>',
 }
 
 
@@ -262,6 +263,12 @@ def long_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("author_id") / 3) * 16 + F.col("seq")).alias("seq"))
 
 
+def paragraphs(html: str):
+    """The text of all paragraphs of a page, without markup, joined by blanks."""
+    found = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1)
+    return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, "<[^>]*>", "")), " ")
+
+
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed search hits from the pages: query = page language + top-level domain, display url without http://."""
     p = read(spark, sf_dir, "pages")
@@ -272,7 +279,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("position"),
         F.regexp_extract(F.col("html"), r"<title>([^<]*)</title>", 1).alias("title"),
         F.regexp_replace(F.col("url"), r"^http://", "").alias("url"),
-        F.regexp_extract(F.col("html"), r"<p>([^<]*)</p>", 1).alias("snippet"),
+        paragraphs("html").alias("snippet"),
         F.when(F.col("url").startswith("https://"), "primary").otherwise("secondary").alias("engine"),
     )
 

@@ -70,7 +70,8 @@ def test_links_in_real_markup(spark):
              '<a href="mailto:a@x.org">Contact</a>', '<link href="/contact"><a name="contact">Contact</a>']
     pages = spark.createDataFrame([(i, "https://x.org/", h) for i, h in enumerate(forms)], "page_id bigint, url string, html string")
     got = {r.page_id: (r.link_text, r.subpage_url) for r in extract.contact_subpage_links(pages).collect()}
-    assert got == {0: ("Contact us", "https://x.org/contact"), 1: ("x", "https://x.org/contact"), 2: ("x", "https://x.org/contact")}
+    assert got == {0: ("Contact us", "https://x.org/contact"), 1: ("x", "https://x.org/contact"), 2: ("x", "https://x.org/contact"),
+                   3: ("Get in touch", "https://x.org/x")}
     html = '<link href="mailto:no@x.org"><A HREF="mailto:Jane@x.org?subject=1">'
     assert one(spark.createDataFrame([(html,)], "html string").select(EM.page_mailto("html").alias("m"))).m == "Jane@x.org"
 
