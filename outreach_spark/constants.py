@@ -116,3 +116,16 @@ LOG_REPLY_GMAIL = "Reply from Gmail channel author: "
 LOG_REPLY_WEBHOOK = "Reply received via webhook from: "
 REPLY_SUBJECT = "Re: Invitation"
 REPLY_SUBJECT_WEBHOOK = "Re: Invitation (Webhook)"
+
+# reasons of the verifier, by its verdict (fixed values)
+VERIFY_REASONS = {
+    "INVALID_SYNTAX": "Regex/Syntax failed",
+    "ROLE_BASED": "Role-based email",
+    "MX_NOT_FOUND": "No MX record",
+    "SMTP_550": "User does not exist",
+}
+NO_ANSWER_REASON = "No answer from mail server"
+
+# texts of the run's gates (fixed values)
+BREAKER_TEXT = "CIRCUIT BREAKER TRIPPED: Bounce rate (%.1f%%) exceeds threshold (%.1f%%)."
+WINDOW_TEXT = "Smart Scheduling: Current hour {hour} UTC is outside the window ({start}-{end}). Pausing pipeline."

@@ -32,7 +32,7 @@ _ORDERED = StructType([*SC.CONTACTS.fields, StructField("seq", LongType())])
 
 
 def window_message(hour: int, start: int, end: int) -> str:
-    return f"Smart Scheduling: Current hour {hour} UTC is outside the window ({start}-{end}). Pausing pipeline."
+    return K.WINDOW_TEXT.format(hour=hour, start=start, end=end)
 
 
 def run_gates(spark: SparkSession, contacts: DataFrame, as_of: str, channel: str, warmup: bool = True, enforce_window: bool = False,
@@ -92,7 +92,8 @@ def run_daily(spark: SparkSession, candidates: DataFrame, contacts: DataFrame, m
 def run_approvals(spark: SparkSession, contacts: DataFrame, drafts: DataFrame, decisions: DataFrame, results: DataFrame, as_of: str,
                   run_root: str | None = None, run_id: str = "approvals") -> dict:
     """Decisions (id, decision) -> approval status; approved contacts that wait and have a draft are the send
-    list; the sender's results set the status of those that were sent, the others go on waiting.
+    list, whenever they were approved; the sender's results set the status of those that were sent, the others go on
+    waiting and are taken up by the next run.
 
     Returns the paths of the send list (with the result of each row) and of the new contacts snapshot."""
     root = (run_root or scratch_path(spark, "approval_runs")).rstrip("/") + f"/{run_id}"
@@ -100,7 +101,7 @@ def run_approvals(spark: SparkSession, contacts: DataFrame, drafts: DataFrame, d
     decided = set_approval(contacts, decisions)
     decided.write.mode("overwrite").parquet(f"{root}/decided")
     decided = spark.read.schema(decided.schema).parquet(f"{root}/decided")
-    waiting = approval_send_list(decided.filter("updated"), drafts).withColumn("outcome", F.lit("ready"))
+    waiting = approval_send_list(decided, drafts).withColumn("outcome", F.lit("ready"))
     sent = apply_send_results(waiting.drop("outcome").withColumn("outcome", F.lit("ready")), results)
     sent.drop("outcome").write.mode("overwrite").parquet(f"{root}/send_list")
     done = spark.read.parquet(f"{root}/send_list").filter(F.col("email_status").isin("sent", "dry_run")).select("id", "channel", F.col("email_status").alias("_st"))
@@ -115,11 +116,13 @@ def run_approvals(spark: SparkSession, contacts: DataFrame, drafts: DataFrame, d
 
 def run_followups(spark: SparkSession, contacts: DataFrame, results: DataFrame, as_of: str,
                   run_root: str | None = None, run_id: str = "followups") -> dict:
-    """Eligible contacts -> (sender results) -> contacts with follow-up flags + follow-up summary."""
+    """Eligible contacts -> (sender results, by id and, where they name one, channel) -> contacts with follow-up flags + follow-up
+    summary."""
     root = (run_root or scratch_path(spark, "followup_runs")).rstrip("/") + f"/{run_id}"
     eligible = followup_eligible(contacts, as_of, K.FOLLOW_UP_DELAY_DAYS)
     followup_summary(eligible, results).write.mode("overwrite").parquet(f"{root}/summary")
-    done = results.filter(F.col("status") == "sent").select("id").distinct()
-    sent = eligible.select("id", "channel").join(done, "id").select("id", "channel", F.lit(as_of).cast("timestamp_ntz").alias("sent_at"))
+    keys = ["id", "channel"] if "channel" in results.columns else ["id"]
+    done = results.filter(F.col("status") == "sent").select(*keys).distinct()
+    sent = eligible.select("id", "channel").join(done, keys).select("id", "channel", F.lit(as_of).cast("timestamp_ntz").alias("sent_at"))
     version = write_snapshot(mark_followup_sent(contacts, sent), f"{root}/contacts")
     return {"summary": f"{root}/summary", "contacts": f"{root}/contacts", "contacts_version": version}

@@ -29,9 +29,18 @@ def not_contacted(candidates: DataFrame, contacts: DataFrame, scope: str = "both
     if scope not in ("main", "gmail", "both"):
         raise ValueError(f"unknown scope: {scope}")
     seen = contacts if scope == "both" else contacts.filter(F.col("channel") == scope)
-    # distinct: partial aggregation map-side; its hash partitioning on email_key is reused by the join
-    seen = _keyed(seen).select("email_key").filter(F.col("email_key").isNotNull()).distinct()
-    return _keyed(candidates).join(seen, "email_key", "left_anti")
+    return absent_from(_keyed(candidates), _keyed(seen), "email_key")
+
+
+def absent_from(rows: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` no row of ``history`` has; rows without a key stay.
+
+    Of the history only the keys that ``rows`` name are kept, by a semi-join: a run's keys are few, so it is a map-side
+    one and the history is scanned (one column) but not shuffled, however long it grows. Rows without a key are dealt."""
+    asked = rows.filter(F.col(key).isNotNull()).select(key)
+    named = history.select(key).join(asked, key, "left_semi").select(F.col(key).alias("_k"))
+    dealt = rows.withColumn("_k", spread_key(F.col(key), F.xxhash64(*rows.columns)))
+    return dealt.join(named, "_k", "left_anti").drop("_k")
 
 
 def name_key(c):
@@ -40,16 +49,23 @@ def name_key(c):
 
 def not_contacted_by_name(candidates: DataFrame, contacts: DataFrame, name_col: str = "name") -> DataFrame:
     """Drop candidates whose lower(trim(name)) was contacted on either channel."""
-    seen = contacts.select(name_key(F.col("full_name")).alias("_nk")).filter(F.col("_nk").isNotNull()).distinct()
-    return candidates.withColumn("_nk", name_key(F.col(name_col))).join(seen, "_nk", "left_anti").drop("_nk")
+    seen = contacts.select(name_key(F.col("full_name")).alias("_nk"))
+    return absent_from(candidates.withColumn("_nk", name_key(F.col(name_col))), seen, "_nk").drop("_nk")
 
 
 def first_per_email(candidates: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Within a run the first candidate per email wins (order_cols must end with a unique key)."""
+    """Within a run the first candidate per email wins (order_cols must end with a unique key).
+
+    The choice is made on the order columns alone; the rows are joined once, by address and order, so a hot
+    address is combined map-side and its rows stay spread."""
     c = _keyed(candidates).filter(F.col("email_key").isNotNull())
+    best = c.groupBy(F.col("email_key").alias("_k")).agg(F.min(F.struct(*order_cols)).alias("_first"))
+    best = best.select("_k", *[F.col("_first")[x].alias("_o_" + x) for x in order_cols])
+    same = F.col("email_key") == F.col("_k")
+    for x in order_cols:
+        same = same & F.col(x).eqNullSafe(F.col("_o_" + x))
     rest = [x for x in c.columns if x not in order_cols and x != "email_key"]
-    best = c.groupBy("email_key").agg(F.min(F.struct(*order_cols, *rest)).alias("_r"))
-    return best.select("email_key", *[F.col("_r")[x].alias(x) for x in order_cols + rest])
+    return c.join(best, same).select("email_key", *order_cols, *rest)
 
 
 def channel_emails(contacts: DataFrame) -> DataFrame:
@@ -92,8 +108,8 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     that row's engagement columns are kept (D7). Works on the contact columns ``existing`` has (id and
     email_key required), so callers carry only what they need. Ids are text or numbers, of one type in both.
 
-    The place of a row in that order is one short text that sorts as (order, id, address) do, empty for existing rows, so
-    both "last" aggregates carry that text and a key, never a row; the engagement of replaced rows is read for
+    The place of a row in that order is one short text that sorts as (order, id, address) do, and by a hash of the row beyond
+    that, empty for existing rows, so both "last" aggregates carry that text and a key, never a row; the engagement of replaced rows is read for
     the incoming ids only.
     """
     if order_col not in incoming.columns:
@@ -102,8 +118,8 @@ def upsert_contacts(existing: DataFrame, incoming: DataFrame, order_col: str = "
     kept = [c for c in SC.ENGAGEMENT_COLUMNS if c in cols]
     kinds = dict(incoming.dtypes)
     parts = [F.coalesce(order_text(F.col(c), kinds[c]), F.lit("")) for c in (order_col, "id", "email_key")]
-    at = F.concat(F.lit("+"), F.concat_ws("\u0001", *parts))
-    batch = incoming.dropDuplicates([order_col, "id", "email_key"]).select(*cols, at.alias("_v"))
+    at = F.concat(F.lit("+"), F.concat_ws("\u0001", *parts, F.hex(F.xxhash64(*cols))))
+    batch = incoming.select(*cols, order_col).distinct().select(*cols, at.alias("_v"))
     rows = existing.select(*cols, F.lit("").alias("_v")).unionByName(batch)
     by_id = rows.groupBy("id").agg(F.max("_v").alias("_vid"))
     by_email = rows.filter(F.col("email_key").isNotNull()).groupBy(F.col("email_key").alias("_k")).agg(F.max("_v").alias("_vem"))

@@ -89,9 +89,13 @@ DRAFT_FOLLOWUP_COLS = ["followup_subject", "followup_body_html", "followup_body_
 
 
 def _latest_per_author(df: DataFrame, cols: list[str], ts: str = "saved_at") -> DataFrame:
-    cols = [c for c in cols if c != ts]
-    best = df.groupBy("author_id").agg(F.max(F.struct(ts, *cols)).alias("_d"))
-    return best.select("author_id", *[F.col("_d")[c].alias(c) for c in [ts] + cols])
+    """The latest draft of every author, of several at one time that with the largest hash. Time and hash are one
+    number, so the choice carries no text; the draft is joined once."""
+    cols = [ts] + [c for c in cols if c != ts]
+    at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**62))).cast("decimal(38,0)") * F.lit(str(2**64)).cast("decimal(20,0)")
+    rows = df.select("author_id", *cols, (at + F.xxhash64(*cols).cast("decimal(38,0)")).cast("decimal(38,0)").alias("_at"))
+    best = rows.groupBy("author_id").agg(F.max("_at").alias("_at"))
+    return rows.join(best, ["author_id", "_at"]).distinct().drop("_at")
 
 
 def upsert_drafts(existing: DataFrame, invitations: DataFrame | None = None, followups: DataFrame | None = None) -> DataFrame:

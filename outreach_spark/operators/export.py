@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.emails import email_key
+from .dedupe import absent_from, spread_key
 
 
 def iso(ts: Column) -> Column:
@@ -84,7 +85,7 @@ def export_reply_patch(export: DataFrame, replied_emails: DataFrame | None = Non
     hit = F.lit(False)
     if replied_emails is not None:
         r = replied_emails.select(F.col("email_key").alias("_ek")).distinct().withColumn("_by_email", F.lit(True))
-        e = e.join(r, "_ek", "left")
+        e = e.withColumn("_ek", spread_key(F.col("_ek"), F.xxhash64("author_id", "email"))).join(r, "_ek", "left")
         hit = hit | F.coalesce(F.col("_by_email"), F.lit(False))
     if replied_ids is not None:
         r = replied_ids.select(F.col("id").cast("string").alias("author_id")).distinct().withColumn("_by_id", F.lit(True))
@@ -105,8 +106,7 @@ def export_daily_summary(summary: DataFrame, run_date: str) -> DataFrame:
 
 def export_unseen(contacts: DataFrame, export: DataFrame) -> DataFrame:
     """Contacts whose address is absent from an export."""
-    seen = export.select(email_key(F.col("email")).alias("email_key")).filter(F.col("email_key").isNotNull()).distinct()
-    return contacts.join(seen, "email_key", "left_anti")
+    return absent_from(contacts, export.select(email_key(F.col("email")).alias("email_key")), "email_key")
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv") -> None:

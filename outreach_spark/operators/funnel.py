@@ -25,9 +25,7 @@ def send_window(df: DataFrame, ts_col: str, start: int = K.SEND_WINDOW_START_UTC
 
 
 def _rate_error(rate: Column, threshold: float) -> Column:
-    return F.format_string(
-        "CIRCUIT BREAKER TRIPPED: Bounce rate (%.1f%%) exceeds threshold (%.1f%%).", rate * 100.0, F.lit(threshold * 100.0)
-    )
+    return F.format_string(K.BREAKER_TEXT, rate * 100.0, F.lit(threshold * 100.0))
 
 
 def circuit_breaker(contacts: DataFrame, threshold: float = K.MAX_BOUNCE_RATE) -> DataFrame:
@@ -183,10 +181,12 @@ def run_summary(run: DataFrame) -> DataFrame:
 
 
 def followup_summary(eligible: DataFrame, results: DataFrame) -> DataFrame:
-    """Per channel: eligible authors, follow-ups sent and failed, first 5 errors."""
+    """Per channel: eligible authors, follow-ups sent and failed, first 5 errors. Results belong to the contact of their id
+    and, where they name one, channel."""
     e = eligible.groupBy("channel").agg(F.count("*").alias("eligible_authors"))
-    one = results.groupBy("id").agg(F.min(F.struct((F.col("status") != "sent").alias("_failed"), "status", "error")).alias("_r"))
-    r = eligible.select("id", "channel", F.col("id").alias("seq")).join(one.select("id", "_r.status", "_r.error"), "id")
+    keys = ["id", "channel"] if "channel" in results.columns else ["id"]
+    one = results.groupBy(*keys).agg(F.min(F.struct((F.col("status") != "sent").alias("_failed"), "status", "error")).alias("_r"))
+    r = eligible.select("id", "channel", F.col("id").alias("seq")).join(one.select(*keys, "_r.status", "_r.error"), keys)
     s = r.groupBy("channel").agg(F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(F.col("status") != "sent").alias("failed"))
     errs = r.filter(F.col("status") != "sent").select("channel", "seq", F.concat(F.lit("Follow-up failed for "), F.col("id").cast("string"), F.lit(": "), F.coalesce("error", F.lit("unknown error"))).alias("message"))
     out = e.join(s, "channel", "left").join(_first_errors(errs, ["channel"]), "channel", "left")

@@ -64,12 +64,14 @@ def activity_feed(contacts: DataFrame, n: int = K.ACTIVITY_FEED_SIZE) -> DataFra
 def top_leads(contacts: DataFrame, n: int = K.TOP_LEADS_SIZE, scores: DataFrame | None = None) -> DataFrame:
     """Score > 0 or interested; interested ranks as 1000; top n (ties by id).
 
-    ``scores`` (author_id, lead_score), e.g. from the event feed, replaces the stored score when given.
+    ``scores`` (author_id, lead_score and, with ``source``, per channel), e.g. from the event feed, replaces the stored
+    score when given.
     """
     c = contacts
     if scores is not None:
+        keys = ["id", "channel"] if "source" in scores.columns else ["id"]
         c = c.drop("lead_score").join(
-            scores.withColumnRenamed("author_id", "id"), "id", "left"
+            scores.withColumnsRenamed({"author_id": "id", "source": "channel"}), keys, "left"
         ).withColumn("lead_score", F.coalesce(F.col("lead_score"), F.lit(0).cast("bigint")))
     interested = F.coalesce(F.col("reply_sentiment") == "interested", F.lit(False))
     c = c.filter((F.col("lead_score") > 0) | interested)

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.emails import email_domain, email_key, email_syntax_ok, is_role_address
+from .dedupe import spread_key
+from .lookup import one_row_lookup
 
 
 def mx_lookup(mx: DataFrame) -> DataFrame:
@@ -25,20 +28,21 @@ def mx_lookup(mx: DataFrame) -> DataFrame:
                        F.regexp_replace(F.col("p.exchange"), r"\.+$", "").alias("mx_host"))
 
 
-def verify_emails(requests: DataFrame, mx: DataFrame, email_col: str = "email", code_col: str = "probe_code") -> DataFrame:
+def verify_emails(requests: DataFrame, mx: DataFrame, email_col: str = "email", code_col: str = "probe_code", heavy_domains: int = 0) -> DataFrame:
     """Syntax -> role prefix -> MX -> probe code (250 deliverable; 550 not; other code deliverable;
     no answer = blocked, deliverable). Where the probe table has ``probe_error``, a row with one is VERIFY_ERROR
     (deliverable); the reason of other codes and of a block is the server's ``probe_message``.
 
     The MX table is per domain; its size is bounded by the number of distinct domains, and the join is
-    left to the optimizer (broadcast when its statistics are under the threshold, else shuffled; AQE
-    splits a skewed domain).
+    left to the optimizer (broadcast when its statistics are under the threshold, else shuffled). Where it is too large for
+    that, ``heavy_domains`` names how many of the commonest domains are answered from a map instead, so that a mail
+    provider with a third of all requests is not shuffled to one task. Requests without a domain are dealt.
     """
     e = F.col(email_col)
     syntax = email_syntax_ok(e)
     role = is_role_address(e)
     req = requests.withColumn("domain", email_domain(e)).withColumn("syntax_valid", syntax).withColumn("_role", role)
-    j = req.join(mx_lookup(mx).select("domain", "mx_host"), "domain", "left")
+    j = one_row_lookup(req, mx_lookup(mx).select("domain", "mx_host"), "domain", heavy_domains)
     code = F.col(code_col)
     mx_found = F.col("mx_host").isNotNull()
     none = F.lit(None).cast("string")
@@ -55,15 +59,11 @@ def verify_emails(requests: DataFrame, mx: DataFrame, email_col: str = "email",
         .otherwise(F.concat(F.lit("SMTP_"), code.cast("string")))
     )
     deliverable = ~F.col("smtp_result").isin("INVALID_SYNTAX", "ROLE_BASED", "MX_NOT_FOUND", "SMTP_550")
-    reason = (
-        F.when(F.col("smtp_result") == "INVALID_SYNTAX", "Regex/Syntax failed")
-        .when(F.col("smtp_result") == "ROLE_BASED", "Role-based email")
-        .when(F.col("smtp_result") == "MX_NOT_FOUND", "No MX record")
-        .when(F.col("smtp_result") == "SMTP_550", "User does not exist")
-        .when(F.col("smtp_result") == "VERIFY_ERROR", error)
-        .when(F.col("smtp_result") == "SMTP_BLOCK", F.coalesce(message, F.lit("No answer from mail server")))
-        .when(F.col("smtp_result") != "DELIVERABLE", message)
-    )
+    said = F.col("smtp_result")
+    reason = F.when(said == "VERIFY_ERROR", error).when(said == "SMTP_BLOCK", F.coalesce(message, F.lit(K.NO_ANSWER_REASON)))
+    for verdict, text in K.VERIFY_REASONS.items():
+        reason = reason.when(said == verdict, text)
+    reason = reason.when(said != "DELIVERABLE", message)
     out = j.withColumn("smtp_result", result)
     return out.select(
         *requests.columns,
@@ -86,6 +86,7 @@ def upsert_verifications(results: DataFrame, ts_col: str = "verified_at", tie_co
 def verification_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """The cached verdict when there is one; otherwise the row is marked to_verify (the work list)."""
     r = requests.withColumn("email_key", email_key(F.col("email")))
-    c = cache.select("email_key", F.col("smtp_result").alias("cached_result"), F.col("is_deliverable").alias("cached_deliverable"))
-    j = r.join(c, "email_key", "left")
+    r = r.withColumn("_k", spread_key(F.col("email_key"), F.xxhash64(*requests.columns)))
+    c = cache.select(F.col("email_key").alias("_k"), F.col("smtp_result").alias("cached_result"), F.col("is_deliverable").alias("cached_deliverable"))
+    j = r.join(c, "_k", "left").select("email_key", *requests.columns, "cached_result", "cached_deliverable")
     return j.withColumn("lookup", F.when(F.col("cached_result").isNotNull(), "cached").otherwise("to_verify"))

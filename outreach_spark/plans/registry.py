@@ -213,9 +213,9 @@ LEADERBOARD_SQL = with_ctes("""
 SELECT id, full_name, email, lead_score, reply_sentiment, channel,
   CASE WHEN reply_sentiment = 'interested' THEN 1000 ELSE lead_score END AS rank_score
 FROM (SELECT c.id, c.full_name, c.email, c.reply_sentiment, c.channel, coalesce(s.lead_score, 0) AS lead_score
-      FROM contacts c LEFT JOIN (SELECT author_id, CAST(sum(CASE WHEN event='open' THEN 1 WHEN event='click' THEN 5 ELSE 0 END) AS BIGINT) AS lead_score
-                                 FROM ev WHERE author_id IS NOT NULL AND event IN ('open','click') GROUP BY author_id) s
-      ON c.id = s.author_id)
+      FROM contacts c LEFT JOIN (SELECT author_id, source, CAST(sum(CASE WHEN event='open' THEN 1 WHEN event='click' THEN 5 ELSE 0 END) AS BIGINT) AS lead_score
+                                 FROM ev WHERE author_id IS NOT NULL AND event IN ('open','click') GROUP BY author_id, source) s
+      ON c.id = s.author_id AND c.channel = s.source)
 WHERE lead_score > 0 OR reply_sentiment = 'interested'
 ORDER BY rank_score DESC, id LIMIT 10""", "contacts", "ev")
 
@@ -223,7 +223,7 @@ ORDER BY rank_score DESC, id LIMIT 10""", "contacts", "ev")
 @query("lead_leaderboard", LEADERBOARD_SQL)
 def q_lead_leaderboard(spark, sf):
     """Flagship: contacts with their score recomputed from the event feed, top 10."""
-    scores = engagement.lead_scores(fx.delivery_events(spark, sf))
+    scores = engagement.lead_scores(fx.delivery_events(spark, sf), by_channel=True)
     return ranking.top_leads(fx.contacts(spark, sf), scores=scores)
 
 
@@ -409,6 +409,12 @@ def q_verify_emails(spark, sf):
     return _verdicts(spark, sf)
 
 
+@query("verify_emails_heavy", with_ctes(VERIFY_OUT_SQL, "vf", "mx", local=[("verdict", VERDICT_SQL)]))
+def q_verify_emails_heavy(spark, sf):
+    """J8 for an MX table that is too large to broadcast: the commonest mail domains are answered from a map."""
+    return verify.verify_emails(fx.verify_requests(spark, sf), fx.mx_records(spark, sf), heavy_domains=8)
+
+
 CACHE_SQL = """
 SELECT email_key, v.email AS email, v.is_deliverable AS is_deliverable, v.smtp_result AS smtp_result, v.failure_reason AS failure_reason,
   v.verified_at AS verified_at
@@ -556,6 +562,11 @@ def q_name_from_title(spark, sf):
     return fx.search_hits(spark, sf).select("position", "title", TX.name_from_title(F.col("title")).alias("name"))
 
 
+def _ukey(url: str) -> str:
+    bare = f"regexp_replace({url}, '^https?://', '')"
+    return f"concat(lower(regexp_extract({bare}, '^[^/?#]*', 0)), regexp_replace({bare}, '^[^/?#]*', ''))"
+
+
 _SCHEME_SQL = "CASE WHEN starts_with(url, 'http') THEN url ELSE concat('https://', url) END"
 
 
@@ -581,8 +592,8 @@ def q_source_fallback(spark, sf):
 @query("scan_pages", with_ctes(f"""
 SELECT h.query, h.position, h.url, p.page_id, length(p.html) AS html_chars
 FROM (SELECT query, position, {_SCHEME_SQL} AS url FROM hits) h
-LEFT JOIN (SELECT lower(regexp_replace(url, '^https?://', '')) AS k, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM pg GROUP BY 1) p
-  ON lower(regexp_replace(h.url, '^https?://', '')) = p.k""", "hits", "pg"))
+LEFT JOIN (SELECT {_ukey('url')} AS k, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM pg GROUP BY 1) p
+  ON {_ukey('h.url')} = p.k""", "hits", "pg"))
 def q_scan_pages(spark, sf):
     h = fx.search_hits(spark, sf).select("query", "position", scans.with_scheme(F.col("url")).alias("url"))
     return scans.scan_pages(h, fx.linked_pages(spark, sf)).select("query", "position", "url", "page_id", F.length("html").cast("bigint").alias("html_chars"))
@@ -598,12 +609,12 @@ FROM (SELECT position, trim(split_part(CASE WHEN regexp_matches(coalesce(title,
              {_SCHEME_SQL} AS url,
              list_filter(regexp_extract_all(coalesce(snippet, ''), '{_EMAIL_SQL}'), lambda e: NOT regexp_matches(lower(e), '(support|info|noreply)'))[1] AS context_email
       FROM hits) s
-LEFT JOIN (SELECT k, email AS home_email, sk FROM facts) home ON lower(regexp_replace(s.url, '^https?://', '')) = home.k
+LEFT JOIN (SELECT k, email AS home_email, sk FROM facts) home ON {_ukey('s.url')} = home.k
 LEFT JOIN (SELECT k AS sk, email AS subpage_email FROM facts) sub ON home.sk = sub.sk""", "hits", "pg", local=[("links", CONTACT_LINKS_SQL), ("facts", f"""
 SELECT * FROM (
-  SELECT lower(regexp_replace(p.url, '^https?://', '')) AS k, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS email,
-    lower(regexp_replace(l.subpage_url, '^https?://', '')) AS sk,
-    row_number() OVER (PARTITION BY lower(regexp_replace(p.url, '^https?://', '')) ORDER BY p.page_id) AS rn
+  SELECT {_ukey('p.url')} AS k, coalesce({_PAGE_EMAIL_SQL}, {_PAGE_REGEX_SQL}) AS email,
+    {_ukey('l.subpage_url')} AS sk,
+    row_number() OVER (PARTITION BY {_ukey('p.url')} ORDER BY p.page_id) AS rn
   FROM pg p LEFT JOIN links l ON p.page_id = l.page_id) WHERE rn = 1""")]))
 def q_resolve_email(spark, sf):
     """P9 over web-search stubs (description = snippet, url = hit url) and the landed pages."""

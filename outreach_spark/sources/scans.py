@@ -67,15 +67,13 @@ def scan_drafts(main_drafts: DataFrame, gmail_drafts: DataFrame) -> DataFrame:
 
 
 def scan_messages(messages: DataFrame, author_id=None, email: str | None = None) -> DataFrame:
-    """Conversation rows of an author id or an email, oldest first. Without either, all rows gathered by
-    author and oldest first within each: the bodies are dealt by author, not sorted as a whole."""
+    """Conversation rows of an author id or an email (without either, all rows), oldest first. The sort is by ranges
+    of (time, seq, id), so neither a long thread nor messages without an author meet in one task."""
     out = messages
     if author_id is not None:
         out = out.filter(F.col("author_id") == F.lit(author_id))
     if email is not None:
         out = out.filter(email_key("email") == email_key(F.lit(email)))
-    if author_id is None and email is None:
-        return out.repartition("author_id").sortWithinPartitions("author_id", "timestamp", "seq", "msg_id")
     return out.orderBy("timestamp", "seq", "msg_id")
 
 
@@ -104,18 +102,25 @@ def source_fallback(primary: DataFrame, secondary: DataFrame, key: str = "query"
 
 
 def url_key(url: Column) -> Column:
-    """Scheme-less, lower-cased url for matching a hit to a landed page."""
-    return F.lower(F.regexp_replace(url, r"^https?://", ""))
+    """Scheme-less url for matching a hit to a landed page: the host in lower case, the rest as it is (paths differ by case)."""
+    bare = F.regexp_replace(url, r"^(?i:https?)://", "")
+    return F.concat(F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_replace(bare, r"^[^/?#]*", ""))
 
 
 def scan_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Page HTML for each hit's url (left join; NULL when the page was not landed), one row per hit: of
     pages with one key (http and https copies) the smallest id counts. The choice is made on narrow rows,
-    so the html is joined once, by id, and only for pages that a hit asks for."""
+    so the html is joined once, by id, and only for pages that a hit asks for. Hits without a url or a landed page are
+    dealt over all tasks."""
+    from ..operators.dedupe import spread_key
+
+    row = F.xxhash64(*hits.columns)
     keys = pages.select(url_key(F.col("url")).alias("_u"), "page_id")
     asked = hits.withColumn("_u", url_key(F.col("url")))
     one = keys.join(asked.select("_u").distinct(), "_u", "left_semi").groupBy("_u").agg(F.min("page_id").alias("page_id"))
-    return asked.join(one, "_u", "left").drop("_u").join(pages.select("page_id", "html"), "page_id", "left").select(*hits.columns, "page_id", "html")
+    found = asked.withColumn("_u", spread_key(F.col("_u"), row)).join(one, "_u", "left").drop("_u")
+    texts = pages.select(F.col("page_id").cast("string").alias("_p"), "html")
+    return found.withColumn("_p", spread_key(F.col("page_id").cast("string"), row)).join(texts, "_p", "left").select(*hits.columns, "page_id", "html")
 
 
 def scan_seen_emails(export: DataFrame, email_col: str = "email") -> DataFrame:

@@ -68,3 +68,44 @@ def test_classify_under_skew(spark):
     for r in cand.collect():
         want = "already_contacted" if (r.email in seen or first[r.email] != r.seq) else "ready"
         assert got[r.id] == want
+
+
+def largest_share(df, by):
+    """Largest and median number of rows of the tasks of the last shuffle by ``by``, without AQE."""
+    sizes = sorted(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    return sizes[-1], sizes[len(sizes) // 2]
+
+
+def test_rows_without_a_key_or_with_a_heavy_one_stay_spread(spark):
+    from outreach_spark.operators.lookup import one_row_lookup
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("d"), (F.col("id") % 5000).cast("string"))).alias("k"))
+    table = spark.range(5000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("k"), F.col("id").alias("v")).unionByName(
+        spark.createDataFrame([("hot", -1)], "k string, v bigint"))
+    want = {r.id: (-1 if r.k == "hot" else int(r.k[1:]) if r.k else None) for r in rows.collect()}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain = one_row_lookup(rows, table, "k")
+        heavy = one_row_lookup(rows, table, "k", heavy=4)
+        assert {r.id: r.v for r in plain.collect()} == want == {r.id: r.v for r in heavy.collect()}
+        top, mid = largest_share(plain, "k")
+        assert top > 2 * mid  # the hot key alone; rows without a key are dealt
+        top, mid = largest_share(heavy, "k")
+        assert top < 1.5 * mid
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_history_is_not_shuffled_for_a_small_run(spark):
+    c = skewed_contacts(spark).withColumn("email_key", F.lower(F.trim("email")))
+    cand = spark.createDataFrame([(1, HOT), (2, "new@x.org"), (3, None), (4, " P5@x.org ")], "id bigint, email string")
+    out = dedupe.not_contacted(cand, c)
+    assert sorted(r.id for r in out.collect()) == [2, 3]
+    hist = spark.range(1000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("k"))
+    rows = spark.createDataFrame([("u5",), ("x",), (None,)], "k string")
+    plan = executed(dedupe.absent_from(rows, hist, "k"))
+    assert "LeftSemi, Build" in plan and "SortMergeJoin" not in plan
+    assert sorted(str(r.k) for r in dedupe.absent_from(rows, hist, "k").collect()) == ["None", "x"]
