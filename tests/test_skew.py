@@ -105,7 +105,7 @@ def test_history_is_not_shuffled_for_a_small_run(spark):
     out = dedupe.not_contacted(cand, c)
     assert sorted(r.id for r in out.collect()) == [2, 3]
     hist = spark.range(1000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("k"))
-    rows = spark.createDataFrame([("u5",), ("x",), (None,)], "k string")
+    rows = spark.sql("SELECT * FROM VALUES ('u5'), ('x'), (CAST(NULL AS STRING)) AS t(k)")
     plan = executed(dedupe.absent_from(rows, hist, "k"))
     assert "LeftSemi, Build" in plan and "SortMergeJoin" not in plan
     assert sorted(str(r.k) for r in dedupe.absent_from(rows, hist, "k").collect()) == ["None", "x"]
