@@ -5,7 +5,7 @@ of length n belongs to class ``k = capacity // n`` (length in (capacity/(k+1), c
 sequence of class k holds exactly k pieces, whatever their lengths. So a sequence is known from a piece's
 ordinal in its class alone: ordinal // k. Workers fill independently: pieces are dealt into buckets, a
 bucket numbers its own pieces per class, and the starting ordinals come from the small table of counts
-per class and bucket.
+per class and bucket. A number written beside each piece deals equal rows as well.
 
 Plain harmonic classes waste up to half of a sequence, so the rest of a document behind its full pieces is
 cut harmonically as well: a rest that would leave more than ``slack`` of its class's sequences empty
@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -64,10 +65,11 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit integers, equal to the tokenizers library's.
 
     The vocabulary's tokenizer lower-cases, drops white space and cuts the rest into letters, single
-    digits and marks. A text of Latin letters is cut here, and each distinct part is merged once.
-    A text with other letters (which may need normalising) or with a special token is cut at spaces and
-    newlines, where its encoding falls apart anyway, and each distinct run goes through the library once.
-    The bounded tables of a Python worker serve all its tasks.
+    digits and marks; no part crosses a blank. A text of Latin letters is split at blanks, each distinct run is cut into
+    parts once, and each distinct part is merged once.
+    A text with other letters (which may need normalising), with a special token or with one of the four control characters
+    that Python alone takes for blanks is cut at spaces and newlines, where its encoding falls apart anyway, and each
+    distinct run goes through the library once. The bounded tables of a Python worker serve all its tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -75,40 +77,48 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer, merger = Tokenizer.from_file(path), Merger(path)
     merged = ByteWords(merger)
     parts = regex.compile(PARTS).findall
-    odd = re.compile("|".join(["[\u0300-\U0010ffff]", *map(re.escape, merger.special)])).search
+    beyond = re.compile("[\u0300-\U0010ffff]").search
+    marks = [*merger.special, *"\x1c\x1d\x1e\x1f"]
     known_parts: dict[str, bytes] = {}
     known_runs: dict[str, bytes] = {}
+    known_strange: dict[str, bytes] = {}
 
     def look_up(known: dict[str, bytes], cuts: list[list[str]], encode_new: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
         words = set().union(*cuts)
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        new = [w for w in words if w not in known]
+        new = list(words.difference(known))
         known.update(zip(new, encode_new(new)))
         return [b"".join(map(known.__getitem__, c)) for c in cuts]
 
+    def by_parts(runs: list[str]) -> list[bytes]:
+        return look_up(known_parts, list(map(parts, runs)), lambda new: merged.encode([p.encode() for p in new]))
+
     def by_library(runs: list[str]) -> Iterable[bytes]:
         return (np.array(got.ids, "<u4").tobytes() for got in tokenizer.encode_batch_fast(runs, add_special_tokens=False))
 
+    def is_strange(text: str) -> bool:
+        return any(m in text for m in marks) or not text.isascii() and beyond(text) is not None
+
     def encode(texts: list[str]) -> list[bytes]:
-        strange = [odd(t) is not None for t in texts]
-        plain = iter(look_up(known_parts, [parts(t.lower()) for t, s in zip(texts, strange) if not s], lambda new: merged.encode([p.encode() for p in new])))
-        other = iter(look_up(known_runs, [t.replace("\n", " ").split(" ") for t, s in zip(texts, strange) if s], by_library))
+        strange = list(map(is_strange, texts))
+        plain = iter(look_up(known_runs, [t.lower().split() for t, s in zip(texts, strange) if not s], by_parts))
+        other = iter(look_up(known_strange, [t.replace("\n", " ").split(" ") for t, s in zip(texts, strange) if s], by_library))
         return [next(other if s else plain) for s in strange]
 
     return encode
 
 
 def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``)."""
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens``, its number in its task as ``salt`` (and ``ids``)."""
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fields = [source.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))]
+    fields = [source.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "salt"))]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encode, numbers = word_encoder(path), count()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices(texts, 2 << 20):
@@ -118,10 +128,10 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
                     n, start = len(ids) // 4, 0
                     for length in cut_lengths(n, capacity):
                         piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((start, length, zlib.crc32(piece), n, *([np.frombuffer(piece, "<i4")] if with_ids else [])))
+                        rows.append((start, length, zlib.crc32(piece), n, next(numbers), *([np.frombuffer(piece, "<i4")] if with_ids else [])))
                         at.append(i)
                         start += length
-                columns = [pa.array(x, type=pa.list_(pa.int32()) if j == 4 else pa.int64()) for j, x in enumerate(zip(*rows))]
+                columns = [pa.array(x, type=pa.list_(pa.int32()) if j == 5 else pa.int64()) for j, x in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *columns], names=[f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))
@@ -157,13 +167,13 @@ def pack(
     classed = pieces.withColumn("k", (F.lit(capacity) / F.col("length")).cast("long"))
     total = {k: n for k, n in classed.groupBy("k").count().collect()}  # at most ``capacity`` rows
     buckets = max(1, -(-sum(total.values()) // bucket_rows))
-    dealt = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    dealt = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)))
     starts = (
         dealt.groupBy("k", "bucket").agg(F.count("*").alias("n"))
         .withColumn("from", F.sum("n").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("k", "bucket", F.coalesce("from", F.lit(0)).alias("from"))
     )
-    own = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")
+    own = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens", "salt")
     numbered = dealt.withColumn("nth", F.row_number().over(own)).join(starts, ["k", "bucket"]).withColumn("ordinal", F.col("from") + F.col("nth") - 1)
     numbered = cut(numbered.drop("nth", "from", "bucket"), "numbered-pieces")
 
@@ -176,7 +186,7 @@ def pack(
     placed = numbered.join(F.broadcast(known), "k")  # at most ``capacity`` rows
     full = placed.where("ordinal < whole").withColumn("sequence_id", F.col("base") + F.floor(F.col("ordinal") / F.col("k")))
     before = Window.partitionBy("sequence_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    columns = [*(c for c in pieces.columns if c != "salt"), "sequence_id", "offset"]
     filled = full.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*columns)
     rest = placed.where("ordinal >= whole").select(*pieces.columns, "k", "ordinal")
     out = T.StructType([*rest.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -56,6 +56,26 @@ def test_encoder_equals_library(spark):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t) for t in texts]
 
 
+def test_equal_rows_are_dealt_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 != 0, "a b").alias("text"))
+    pieces = op8.piece_table(docs, PATH, 2048, 1)
+    dealt = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(10)).alias("b")).count().collect()
+    assert len(dealt) == 10 and max(r["count"] for r in dealt) < 1.5 * 600
+    packed = op8.pack(docs, PATH, bucket_rows=500)
+    assert packed.count() == 6000 and packed.where("doc_id is null").count() == 2000
+    assert packed.select("sequence_id", "offset").distinct().count() == 6000
+
+
+def test_random_odd_texts_equal_library(spark):
+    rng = random.Random(6)
+    letters = [*"abcXYZ 019'.,-#\n\t", *"\x1c\x1f\x85\xa0", "\u0130", "\u00e9", "e\u0301", "\u65e5", "\u3000", "'s", "'LL", "<|endoftext|>", "\U0001f44d", "\u2028", "\x00", "\u00df", "\u017f"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)]
+    got = op8.word_encoder(PATH)(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t) for t in texts]
+
+
 def test_query_packs_every_id_once(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     assert check_packing(QUERIES["op8_harmonic_packing"](spark, SF_SMALL).collect(), docs) < 0.05
