@@ -25,7 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -42,8 +42,10 @@ from .common import cut, ship_package, slices
 
 #: Fixed value: the vocabulary's cut of a lower-cased run, with white space spelled out.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
+#: Marks that end most words; none of them begins a part with letters.
+CLOSING = ".,;:!?)"
 #: Words kept per worker with their ids; the cache starts anew beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 def cut_lengths(n: int, capacity: int, slack: float = 0.02, fine: int = 24) -> list[int]:
@@ -79,31 +81,52 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     parts = regex.compile(PARTS).findall
     beyond = re.compile("[\u0300-\U0010ffff]").search
     marks = [*merger.special, *"\x1c\x1d\x1e\x1f"]
-    known_parts: dict[str, bytes] = {}
-    known_runs: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}
     known_strange: dict[str, bytes] = {}
 
-    def look_up(known: dict[str, bytes], cuts: list[list[str]], encode_new: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
-        words = set().union(*cuts)
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
-        new = list(words.difference(known))
-        known.update(zip(new, encode_new(new)))
-        return [b"".join(map(known.__getitem__, c)) for c in cuts]
-
-    def by_parts(runs: list[str]) -> list[bytes]:
-        return look_up(known_parts, list(map(parts, runs)), lambda new: merged.encode([p.encode() for p in new]))
-
-    def by_library(runs: list[str]) -> Iterable[bytes]:
-        return (np.array(got.ids, "<u4").tobytes() for got in tokenizer.encode_batch_fast(runs, add_special_tokens=False))
+    def learn(new: list[str]) -> None:
+        """Ids of runs not met before; their parts are kept in the same table. Letters alone, and letters before plain
+        marks, need no pattern."""
+        words = [run.rstrip(CLOSING) for run in new]
+        ended = [run for run, word in zip(new, words) if len(word) < len(run) and word.isalpha()]
+        other = [run for run, word in zip(new, words) if not word.isalpha()]
+        heads = [word for run, word in zip(new, words) if len(word) < len(run) and word.isalpha()]
+        tails = [run[len(word) :] for run, word in zip(ended, heads)]
+        cuts = list(map(parts, other))
+        fresh = {word for run, word in zip(new, words) if len(word) == len(run) and word.isalpha()}.union(heads, tails, *cuts)
+        fresh = [p for p in fresh if p not in known]
+        known.update(zip(fresh, merged.encode([p.encode() for p in fresh])))
+        known.update(zip(ended, [known[head] + known[tail] for head, tail in zip(heads, tails)]))
+        known.update(zip(other, [b"".join([known[p] for p in c]) for c in cuts]))
+
+    def learn_strange(new: list[str]) -> None:
+        got = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        known_strange.update(zip(new, (np.array(g.ids, "<u4").tobytes() for g in got)))
+
+    def look_up(table: dict[str, bytes], cuts: list[list[str]], learn_new: Callable[[list[str]], None]) -> list[bytes]:
+        if len(table) > CACHE_WORDS:
+            table.clear()
+        found = [list(map(table.get, c)) for c in cuts]
+        texts, places, runs = [], [], []  # what the table did not hold
+        for t, got in enumerate(found):
+            i = -1
+            for _ in range(got.count(None)):
+                i = got.index(None, i + 1)
+                texts.append(t)
+                places.append(i)
+                runs.append(cuts[t][i])
+        learn_new(list(set(runs)))
+        for t, i, run in zip(texts, places, runs):
+            found[t][i] = table[run]
+        return list(map(b"".join, found))
 
     def is_strange(text: str) -> bool:
         return any(m in text for m in marks) or not text.isascii() and beyond(text) is not None
 
     def encode(texts: list[str]) -> list[bytes]:
         strange = list(map(is_strange, texts))
-        plain = iter(look_up(known_runs, [t.lower().split() for t, s in zip(texts, strange) if not s], by_parts))
-        other = iter(look_up(known_strange, [t.replace("\n", " ").split(" ") for t, s in zip(texts, strange) if s], by_library))
+        plain = iter(look_up(known, [t.lower().split() for t, s in zip(texts, strange) if not s], learn))
+        other = iter(look_up(known_strange, [t.replace("\n", " ").split(" ") for t, s in zip(texts, strange) if s], learn_strange))
         return [next(other if s else plain) for s in strange]
 
     return encode
