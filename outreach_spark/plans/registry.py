@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import emails as EM
 from ..functions import text as TX
-from ..operators import dedupe, drafts, engagement, export, extract, funnel, metrics, ranking, verify
+from ..operators import dedupe, drafts, engagement, export, extract, funnel, incremental, metrics, positions, ranking, verify
 from ..sources import catalog, fixtures as fx, scans
 from ..streaming import events as ST
 from .oracle import CONTACTS_AS_OF as SQL_C_ASOF, EVENTS_AS_OF as SQL_E_ASOF, RUN_CUTOFF as SQL_CUTOFF, uuid_sql, with_ctes
@@ -139,6 +139,53 @@ def q_status_breakdown(spark, sf):
     return metrics.status_breakdown(fx.contacts(spark, sf))
 
 
+_VERSIONS = [
+    ("new_version", "SELECT * FROM contacts WHERE id % 8 <> 0"),
+    ("old_version", """SELECT * REPLACE (CASE WHEN id % 4 = 1 THEN 'pending' ELSE email_status END AS email_status,
+                                         CASE WHEN id % 5 = 2 THEN contacted_at - INTERVAL 3 DAY ELSE contacted_at END AS contacted_at)
+                       FROM contacts WHERE id % 7 <> 0""")]
+
+
+def _versions(spark, sf):
+    """Two versions of the contacts table: rows came, went, and were corrected in status and time."""
+    c, i = fx.contacts(spark, sf), F.col("id")
+    old = c.filter(i % 7 != 0).withColumn("email_status", F.when(i % 4 == 1, "pending").otherwise(F.col("email_status"))).withColumn(
+        "contacted_at", F.when(i % 5 == 2, F.col("contacted_at") - F.expr("INTERVAL 3 DAYS")).otherwise(F.col("contacted_at")))
+    return old, c.filter(i % 8 != 0)
+
+
+@query("snapshot_changes", with_ctes("""
+SELECT coalesce(n.id, o.id) AS id, coalesce(n.channel, o.channel) AS channel,
+  CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'deleted' ELSE 'changed' END AS change, o.email_status AS old_status, n.email_status AS new_status
+FROM old_version o FULL JOIN new_version n ON o.id = n.id AND o.channel = n.channel
+WHERE o.id IS NULL OR n.id IS NULL OR o.email_status <> n.email_status OR o.contacted_at <> n.contacted_at""", "contacts", local=_VERSIONS))
+def q_snapshot_changes(spark, sf):
+    old, new = _versions(spark, sf)
+    ch = incremental.snapshot_changes(old, new, ["id", "channel"], ["email_status", "contacted_at"])
+    return ch.select("id", "channel", "change", F.col("old.email_status").alias("old_status"), F.col("new.email_status").alias("new_status"))
+
+
+def _updated(spark, sf, name):
+    old, new = _versions(spark, sf)
+    r = incremental.REPORTS[name]
+    return r.updated(r.full(old), incremental.snapshot_changes(old, new, ["id", "channel"], r.columns))
+
+
+@query("status_breakdown_updated", with_ctes("""
+SELECT coalesce(nullif(email_status, ''), 'unknown') AS email_status, count(*) AS count FROM new_version GROUP BY 1""", "contacts", local=_VERSIONS))
+def q_status_breakdown_updated(spark, sf):
+    """A7 of the new version from the old report and the changes."""
+    return _updated(spark, sf, "status")
+
+
+@query("daily_counts_updated", with_ctes("""
+SELECT CAST(contacted_at AS DATE) AS day, count(*) FILTER (WHERE channel = 'main') AS main, count(*) FILTER (WHERE channel = 'gmail') AS gmail
+FROM new_version GROUP BY 1""", "contacts", local=_VERSIONS))
+def q_daily_counts_updated(spark, sf):
+    """A2's daily sums of the new version from the old report and the changes."""
+    return _updated(spark, sf, "days")
+
+
 @query("bounce_rate", with_ctes("""
 SELECT scope, bounces, total, CASE WHEN total > 0 THEN bounces / total ELSE 0.0 END AS bounce_rate FROM (
   SELECT coalesce(channel, 'all') AS scope, count(*) FILTER (WHERE email_status IN ('bounced','dropped','failed')) AS bounces, count(*) AS total
@@ -273,6 +320,16 @@ def q_thread_text(spark, sf):
     return ranking.thread_text(fx.long_threads(spark, sf))
 
 
+@query("thread_positions", with_ctes("""
+SELECT msg_id, author_id, row_number() OVER (PARTITION BY author_id ORDER BY timestamp, msg_id) - 1 AS seq
+FROM (SELECT msg_id, CASE WHEN author_id % 3 = 0 THEN NULL WHEN author_id % 3 = 1 THEN 1 ELSE author_id END AS author_id, timestamp FROM msgs)""", "msgs"))
+def q_thread_positions(spark, sf):
+    """Positions in threads that come without one; a third of all messages is one thread, a third has no author."""
+    a = F.col("author_id")
+    m = fx.messages(spark, sf).withColumn("author_id", F.when(a % 3 == 1, F.lit(1).cast("bigint")).when(a % 3 == 2, a))
+    return positions.message_positions(m)
+
+
 @query("scan_messages", with_ctes("SELECT * FROM msgs", "msgs"))
 def q_scan_messages(spark, sf):
     return scans.scan_messages(fx.messages(spark, sf))
