@@ -188,3 +188,19 @@ class ChangedKeys:
         for name in gone:
             fs, p = _fs(self.spark, f"{self.root}/{name}")
             fs.delete(p, True)
+
+
+def write_clustered(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> None:
+    """Write a history table bucketed and sorted by its join keys (at ``path``, a new folder per version), so that the daily joins
+    on them shuffle the day's rows only. Buckets hold some hundred MB each; both sides of a join must agree on them."""
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("errorifexists").saveAsTable(table)
+
+
+def read_clustered(spark: SparkSession, table: str, path: str, schema, keys: list[str], buckets: int) -> DataFrame:
+    """The table that ``write_clustered`` wrote, in this session or another: where the session's catalog does not know it, it is
+    declared over its folder."""
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)

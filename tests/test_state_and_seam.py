@@ -1,6 +1,8 @@
 """Versioned snapshots, idempotent appends, and the model seam."""
 
+import hashlib
 import os
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -85,6 +87,67 @@ def test_map_batches_seam(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_every_input_is_asked_once(spark, scratch):
+    from outreach_spark.operators.seam import call_once
+
+    calls, broken = os.path.join(scratch, "calls"), os.path.join(scratch, "broken")
+    os.makedirs(calls)
+    root = os.path.join(scratch, "results")
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        import uuid
+
+        texts = [None if pd.isna(t) else t for t in pdf["text"]]
+        if os.path.exists(broken) and "t7" in texts:
+            raise RuntimeError("the model is away")
+        with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+            f.writelines(f"{t!r}\n" for t in texts)
+        return pd.DataFrame({"label": ["none" if t is None else t.upper() for t in texts]})
+
+    def asked():
+        return Counter(line.strip() for n in os.listdir(calls) for line in open(os.path.join(calls, n)))
+
+    def portion(t):
+        return int(hashlib.sha256(("null" if t is None else "=" + t).encode()).hexdigest()[:4], 16) % 16
+
+    rows = spark.createDataFrame([(i, f"t{i % 20}" if i % 7 else None) for i in range(100)], "id int, text string")
+    texts = [None, *(f"t{i}" for i in range(20))]
+    open(broken, "w").close()
+    with pytest.raises(Exception, match="the model is away"):
+        call_once(rows, ["text"], label, "label string", "v1", root).count()
+    assert {repr(t) for t in texts if portion(t) < portion("t7")} <= set(asked())  # committed before the failure
+    os.rename(broken, broken + ".gone")
+    got = call_once(rows, ["text"], label, "label string", "v1", root)  # the failed run is repeated
+    assert all(r.label == ("none" if r.text is None else r.text.upper()) for r in got.collect()) and got.count() == 100
+    assert set(asked()) == {repr(t) for t in texts}
+    assert all(asked()[repr(t)] == 1 for t in texts if portion(t) != portion("t7"))  # only the portion under way is asked again
+    before = asked()
+    more = rows.unionByName(spark.createDataFrame([(100, "new"), (101, "")], "id int, text string"))
+    assert call_once(more, ["text"], label, "label string", "v1", root).filter("id >= 100 and label is not null").count() == 2
+    assert asked() - before == Counter(["'new'", "''"])
+    call_once(rows.filter("id = 1"), ["text"], label, "label string", "v2", root).count()
+    assert asked()["'t1'"] == before["'t1'"] + 1  # another version of the function asks anew
+
+
+def test_a_clustered_history_is_not_shuffled(spark, scratch):
+    hist = spark.range(5000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("email_key"), F.col("id"))
+    path = os.path.join(scratch, "hist")
+    state.write_clustered(hist, "hist_by_key", path, ["email_key"], 8)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        day = spark.range(100).select(F.concat(F.lit("u"), (F.col("id") * 60).cast("string")).alias("email_key"))
+        for _ in range(2):
+            table = state.read_clustered(spark, "hist_by_key", path, hist.schema, ["email_key"], 8)
+            out = day.join(table.select("email_key"), "email_key", "left_anti")
+            assert out.count() == sum(1 for i in range(100) if i * 60 >= 5000)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the day's rows only
+            spark.sql("DROP TABLE hist_by_key")  # an external table: the folder stays, the next session declares it again
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_masked_email_never_shows_local_part(spark):
     from hypothesis import given, settings, strategies as st
 
