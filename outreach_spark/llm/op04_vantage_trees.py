@@ -6,8 +6,9 @@ Largest inner product becomes nearest Euclidean neighbour by one more coordinate
 the points form a vantage-point tree: a node holds a vantage point, and splits the rest at the median
 distance to it; leaves hold up to ``leaf_rows`` points. Trees are written as a table (the index).
 
-Queries come in blocks of ``block_rows``, so what is sent to the shards at once is bounded; a block runs
-against all shards. A block goes through a tree together: each node meets the queries that still need it,
+Queries are packed into blocks of ``block_rows``, one binary value each, written as a table. Every shard gets all blocks
+after its tree, as rows of one sorted stream, so a task holds one tree and one block at a time and no vector
+passes the driver. A block goes through a tree together: each node meets the queries that still need it,
 nearer side first, and a query skips a side when the triangle inequality, relaxed by ``factor``, says that
 nothing there beats its k-th best: when ``factor`` times its k-th distance is less than its distance to the
 boundary. Factor 1 is exact; smaller factors prune more. Found candidates are scored again from the
@@ -16,10 +17,10 @@ original vectors, in double precision and coordinate order.
 Only ``k + 1`` ids of a point can enter a result (equal scores go to smaller ids, and a query skips itself),
 so a vector that a third of all rows share costs no more than another.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors of another
-dimension than most have, take no part; ids that are null neither; of rows with one id the first in vector
-order takes part; ties go to the smaller id; with fewer candidates than k all are returned; an empty table
-gives an empty result; extra columns are ignored.
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, rows without an id neither;
+shorter vectors count as filled up with zeros; rows equal in id and vector count once; rows that share an id with
+different vectors are queries and candidates of their own, but never of a query with that id; ties go to the smaller id;
+with fewer candidates than k all are returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship_package
+from .vectors import matrix, pack, padded, unpack
 
 
 def valid(vec: Column) -> Column:
@@ -76,7 +78,7 @@ class Tree:
             nodes.append([lo, hi, -1, -1, 0.0, 0.0])
             if parent >= 0:
                 nodes[parent][2 + side] = me
-            if hi - lo <= leaf_rows:
+            if hi - lo <= max(leaf_rows, 8):
                 continue
             some = rng.choice(np.arange(lo, hi), 5, replace=False)
             spread = [np.var(np.linalg.norm(wide[order[rng.choice(np.arange(lo, hi), 40)]] - wide[order[s]], axis=1)) for s in some]
@@ -168,64 +170,71 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- index and search
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 8192, leaf_rows: int = 256) -> tuple[DataFrame, float]:
-    """Trees of all shards (``shard, tree``) as a written table, and the largest norm. ``vectors``: ``id``, ``v``."""
+def build_index(vectors: DataFrame, shard_rows: int = 8192, leaf_rows: int = 256) -> tuple[DataFrame, int]:
+    """Trees of all shards (``shard, data``) as a written table, and the number of shards. ``vectors``: ``id``, ``v``."""
     rows, norm = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     shards = max(1, -(-rows // shard_rows))
 
     def build(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        v = np.stack(table.column("v").to_numpy())
-        return pa.table({"shard": table.column("shard")[:1], "tree": [Tree.build(ids, v, norm, leaf_rows).dump()]})
-
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return cut(dealt.groupBy("shard").applyInArrow(build, "shard long, tree binary"), "vantage-trees"), norm
-
-
-def _search_shards(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[pa.RecordBatch]:
-    """The k best rows of each query over the shards of one task."""
-    kth = np.full(len(ids), -np.inf)
-    rows: list[tuple] = []
-    for batch in batches:
-        for data in batch.column("tree"):
-            tree = Tree.load(data.as_py())
-            q, p, _ = tree.search(queries, kth, k + 1, factor)
-            score = in_order(queries[q], tree.points[p])
-            first = np.concatenate(([0], tree.ends[:-1]))[p]
-            n = np.minimum(tree.ends[p] - first, k + 1)  # ids of a point are in order
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((np.repeat(q, n), tree.ids[at], np.repeat(score, n)))
-    if not rows:
-        return
-    q, v, s = (np.concatenate(x) for x in zip(*rows))
+        tree = Tree.build(table.column("id").to_numpy(), matrix(table.column("v")), norm, leaf_rows)
+        return pa.table({"shard": table.column("shard")[:1], "data": [tree.dump()]})
+
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)))
+    return cut(dealt.groupBy("shard").applyInArrow(build, "shard long, data binary"), "vantage-trees"), shards
+
+
+def query_blocks(queries: DataFrame, block_rows: int) -> DataFrame:
+    """Queries (``no, id, v``) packed into blocks of about ``block_rows``, written."""
+    blocks = max(1, -(-queries.count() // block_rows))
+
+    def put(table: pa.Table) -> pa.Table:
+        return pa.table({"data": [pack(no=table.column("no").to_numpy(), id=table.column("id").to_numpy(), v=matrix(table.column("v")))]})
+
+    return cut(queries.groupBy(F.pmod(F.xxhash64("no"), F.lit(blocks)).alias("block")).applyInArrow(put, "data binary"), "query-blocks")
+
+
+def search_tree(tree: Tree, no: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+    """The k best rows of one shard for each query of one block (``no``: the query's number)."""
+    q, p, _ = tree.search(queries, np.full(len(ids), -np.inf), k + 1, factor)
+    score = in_order(queries[q], tree.points[p])
+    first = np.concatenate(([0], tree.ends[:-1]))[p]
+    n = np.minimum(tree.ends[p] - first, k + 1)  # ids of a point are in order
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    q, v, s = np.repeat(q, n), tree.ids[at], np.repeat(score, n)
     other = ids[q] != v
     q, v, s = q[other], v[other], s[other]
     order = np.lexsort((v, -s, q))
     q, v, s = q[order], v[order], s[order]
-    starts = np.searchsorted(q, np.arange(len(ids)))
-    keep = np.arange(len(q)) - starts[q] < k
-    yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(v[keep]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
+    keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q] < k
+    return pa.RecordBatch.from_arrays([pa.array(no[q[keep]]), pa.array(ids[q[keep]]), pa.array(v[keep]), pa.array(s[keep])], names=["no", "query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, leaf_rows: int = 256, block_rows: int = 16384, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, leaf_rows: int = 256, block_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of every row that ``is_query`` holds for."""
     spark = vectors.sparkSession
+    ship_package(spark)
     wide = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    wide = wide.where(valid(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    dims = wide.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    wide = cut(wide.where(F.size("v") == (dims.n if dims else 0)), "vectors")
-    trees, _ = build_index(wide.select("id", "v"), shard_rows, leaf_rows)
-    asking = wide.where("asks")
-    n_blocks = max(1, -(-asking.count() // block_rows))
-    found = None
-    for b in range(n_blocks):
-        block = asking.where(F.pmod(F.xxhash64(F.col("id"), F.lit("block")), F.lit(n_blocks)) == b).select("id", "v").toArrow()  # about block_rows rows
-        if not block.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((block.column("id").to_numpy(), np.stack(block.column("v").to_numpy())))
-        part = trees.select("tree").mapInArrow(lambda it, sent=sent: _search_shards(it, *sent.value, k, factor), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
+    wide = cut(wide.where(valid(F.col("v")) & F.col("id").isNotNull()).groupBy("id", "v").agg(F.max("asks").alias("asks")), "vectors")
+    dims = wide.agg(F.max(F.size("v"))).first()[0]
+    if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    wide = padded(wide, dims, fill=0.0)
+    trees, shards = build_index(wide.select("id", "v"), shard_rows, leaf_rows)
+    asking = cut(wide.where("asks").select(F.monotonically_increasing_id().alias("no"), "id", "v"), "queries")
+    blocks = query_blocks(asking, block_rows)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
+    stream = trees.select("shard", F.lit(0).alias("turn"), "data").unionByName(blocks.select(every, F.lit(1).alias("turn"), "data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, of = None, None
+        for batch in batches:
+            for shard, turn, data in zip(*(batch.column(c) for c in ("shard", "turn", "data"))):
+                if turn.as_py() == 0:
+                    tree, of = Tree.load(data.as_py()), shard
+                elif shard == of:  # a shard that got no rows has no tree
+                    b = unpack(data.as_py())
+                    yield search_tree(tree, b["no"], b["id"], b["v"], k, factor)
+
+    found = stream.repartition("shard").sortWithinPartitions("shard", "turn").mapInArrow(run, "no long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,4 @@
-"""Helpers of the integer vector searches: scaled rows as a table, array columns as matrices, best entries."""
+"""Helpers of the vector searches: scaled rows as a table, array columns as matrices, best entries."""
 
 from __future__ import annotations
 
@@ -24,10 +24,10 @@ def scaled(vec: Column, scale: float) -> Column:
     return F.transform(vec, lambda x: F.least(F.greatest(F.floor(x.cast("double") * scale), F.lit(-HOLD)), F.lit(HOLD)).cast("int"))
 
 
-def padded(rows: DataFrame, dims: int, col: str = "v") -> DataFrame:
-    """Shorter vectors get zeros at the end."""
+def padded(rows: DataFrame, dims: int, col: str = "v", fill: int | float = 0) -> DataFrame:
+    """Shorter vectors get zeros at the end (``fill``: a zero of their type)."""
     missing = F.lit(dims) - F.size(col)
-    return rows.withColumn(col, F.when(missing > 0, F.concat(F.col(col), F.array_repeat(F.lit(0), missing))).otherwise(F.col(col)))
+    return rows.withColumn(col, F.when(missing > 0, F.concat(F.col(col), F.array_repeat(F.lit(fill), missing))).otherwise(F.col(col)))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

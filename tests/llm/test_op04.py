@@ -66,6 +66,15 @@ def test_small_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (40, [inf, 1.0]), (4, [None, 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (6, []), (7, [-1.0, 2.0]), (7, [-1.0, 2.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, score string, shard int")
-    assert got(op4.nearest(df, F.col("vec_id") % 20 == 0)) == {0: [(1, 1.0), (7, -1.0)]}
+    assert got(op4.nearest(df, F.col("vec_id") % 20 == 0)) == {0: [(1, 1.0), (5, 1.0), (7, -1.0)]}  # a shorter vector counts as filled up
     assert op4.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
     assert op4.nearest(df, F.col("vec_id") == 99).collect() == []
+
+
+def test_rows_of_one_id_are_queries_and_candidates_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [0.0, 3.0]), (3, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = sorted(tuple(r) for r in op4.nearest(df, F.col("vec_id") == 0, k=9, shard_rows=2, leaf_rows=8, block_rows=1).collect())
+    first = [(0, 1, 1, 2.0), (0, 2, 3, 1.0), (0, 3, 1, 0.0)]
+    second = [(0, 1, 1, 3.0), (0, 2, 1, 1.0), (0, 3, 3, 0.0)]
+    assert out == sorted(first + second)
