@@ -10,7 +10,8 @@ that it doesn't accept is merged exactly (``bpe.Merger``), so the lexicon's size
 ``encode`` gives ids as little-endian unsigned 32-bit integers in a binary column, ``decode`` turns such a
 column into text again; special tokens inside a text are matched first, as the library does by default.
 
-Defined cases: null text counts as empty and has no ids; very long words are merged in n log n;
+Defined cases: null text counts as empty and has no ids; words beyond 256 bytes are never in the lexicon, and very long
+ones are merged in n log n;
 repeated rows are encoded alike; an empty table gives an empty result and an empty lexicon; ids outside the
 vocabulary are skipped when decoding, null ids decode to the empty text; other columns pass through.
 """
@@ -177,16 +178,21 @@ def count_words(docs: DataFrame, specials: list[str], text_col: str = "text") ->
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Longer words stay out of the lexicon and are merged, so its size is bounded by words times bytes.
+LEXICON_WORD_BYTES = 256
+
+
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", lexicon_words: int = 65_536) -> str:
     """Compile the corpus's most frequent words and hand the file to the executors; returns its name.
 
     The words are those above a count: the lowest step of a fixed scale (eight to a doubling) above which
-    there are at most ``lexicon_words``. So a histogram of the scale and at most that many words come to the
-    driver, at any corpus size and number of partitions.
+    there are at most ``lexicon_words``. So a histogram of the scale and at most that many words of up to
+    ``LEXICON_WORD_BYTES`` come to the driver, at any corpus size and number of partitions.
     """
     merger = Merger(path)
     step = F.floor(8 * F.log2("n")).cast("int")
-    counts = cut(count_words(docs, list(merger.special), text_col).where(~F.col("word").isin(list(merger.special))).select("word", step.alias("step")), "word-counts")
+    usable = ~F.col("word").isin(list(merger.special)) & (F.octet_length("word") <= LEXICON_WORD_BYTES)
+    counts = cut(count_words(docs, list(merger.special), text_col).where(usable).select("word", step.alias("step")), "word-counts")
     least, room = 0, lexicon_words
     for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 8 x 63 rows
         room -= r["count"]

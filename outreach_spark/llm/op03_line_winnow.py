@@ -1,18 +1,16 @@
-"""Operator 3: line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Operator 3: line dedup by an exact join of windows over line hashes, in DataFrame functions only.
 
 A text is its newline-separated lines; lines without a word are transparent (never matched, never
 deleted). For every line there is a window to the right and one to the left: the fewest lines, starting
-or ending there, that hold ``min_words`` words. In each window the line with the smallest hash is
-selected as fingerprint (winnowing). A repeated run of at least ``min_words`` words holds whole windows,
-so at least one of its fingerprints is selected in both copies: none is missed.
-
-Fingerprint positions are joined by (fingerprint, hash of the window's lines), with the earliest
-position only: an aggregate of minima per key and one join back, so a line shared by a third of all
-documents makes one row per copy, never pairs. The right windows extend a match towards the end of the
-run and the left windows towards its beginning; together they cover exactly the lines of every run of
-``min_words`` words or more that is equal to an earlier run. (A shared run is the union of its right
-and left windows.) These lines are deleted from the later copy. Order is (doc_id, text hash, line
-number), nulls first; every deleted line has an equal one that stays.
+or ending there, that hold ``min_words`` words. A window's key is the hash of all its lines, and with it the
+smallest of their hashes.
+
+This is not winnowing proper: a window minimum alone would be joined to all earlier places of that line, and a line
+that a third of all documents share would then make pairs. So no position is left out and no match is extended step by
+step: every window is joined to the earliest window with its key (an aggregate of minima and one join back), which makes
+one row per copy, never pairs. Every run of ``min_words`` words or more that is equal to an earlier run is the union of
+its right and left windows, so exactly its lines are found. They are deleted from the later copy. Order is
+(doc_id, text hash, line number), nulls first; every deleted line has an equal one that stays.
 
 Defined cases: null text stays null and takes no part; empty text stays empty; repeated rows (same id
 and text) count as one document and stay alike; null ids take part; with no repeated run a text is

@@ -52,6 +52,18 @@ def test_query(spark):
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_long_words_stay_out_of_the_lexicon(spark):
+    long = "x" * 5000
+    df = spark.createDataFrame([(i, f"{long} some words") for i in range(20)], "doc_id long, text string")
+    name = op2.build_lexicon(df, PATH)
+    from pyspark import SparkFiles
+
+    auto = op2.Automaton(np.load(SparkFiles.get(name)))
+    assert auto.look_up([long.encode()]) == [None] and auto.look_up([b" words"]) != [None]
+    ids = LIBRARY.encode(f"{long} some words", add_special_tokens=False).ids
+    assert {r.n_tokens for r in op2.round_trip(spark, df, PATH).collect()} == {len(ids)}
+
+
 def test_small_cases(spark):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.StringType())])
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "hi there", None), (3, "hi there", "x"), (3, "hi there", "x")], schema)
