@@ -37,6 +37,8 @@ from .common import cut, local_file, map_texts, ship_package, slices
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the vocabulary's cut of a text into words, with white space spelled out.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+#: The same cut of an ASCII text (white space is the six ASCII blanks in both).
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words kept per worker with their ids; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
 #: Bytes of text encoded together: their words bound a task's memory.
@@ -141,12 +143,16 @@ class Automaton:
 
 
 def word_cutter(specials: list[str]) -> Callable[[str], list[str]]:
-    """A text's words in order; a special token is a word of its own."""
-    find = regex.compile(WORDS).findall
+    """A text's words in order; a special token is a word of its own. ASCII texts are cut by the same pattern in ASCII classes."""
+    wide, narrow = regex.compile(WORDS).findall, re.compile(ASCII_WORDS, re.ASCII).findall
+
+    def find(text: str) -> list[str]:
+        return narrow(text) if text.isascii() else wide(text)
+
     special = re.compile("|".join(f"({re.escape(s)})" for s in specials)) if specials else None
 
     def words_of(text: str) -> list[str]:
-        if special is None or not special.search(text):
+        if not any(s in text for s in specials):
             return find(text)
         out: list[str] = []
         for i, part in enumerate(special.split(text)):
@@ -230,15 +236,23 @@ class Encoder:
         self.known.update(self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.words_of(t) for t in texts]
-        words = set().union(*cuts)
-        if len(self.known) + len(words) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
+        cuts = [self.words_of(t) for t in texts]
+        found = [list(map(self.known.get, c)) for c in cuts]
+        rows, places, words = [], [], []  # what the table did not hold
+        for t, got in enumerate(found):
+            i = -1
+            for _ in range(got.count(None)):
+                i = got.index(None, i + 1)
+                rows.append(t)
+                places.append(i)
+                words.append(cuts[t][i])
+        if words:
+            self._learn(list(set(words)))
+        for t, i, word in zip(rows, places, words):
+            found[t][i] = self.known[word]
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=1)

@@ -30,6 +30,15 @@ def test_equals_library(spark):
         assert b"".join(table[i] for i in ids).decode("utf-8", "replace") == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_random_texts_are_cut_alike(spark):
+    rnd = random.Random(3)
+    letters = [*"abcXYZ 0189'.,-#", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x00", "\x7f", "'s", "'LL", "'re", "  ", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 30))) for _ in range(3000)]
+    encoder = op2.Encoder(PATH, op2.Automaton(op2.compile_automaton([], [])))
+    for t, g in zip(texts, encoder(texts)):
+        assert np.frombuffer(g, "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t
+
+
 def test_automaton_is_a_minimal_perfect_numbering():
     rnd = random.Random(4)
     words = sorted({bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 6))) for _ in range(400)})
