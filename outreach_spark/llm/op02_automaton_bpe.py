@@ -236,7 +236,7 @@ class Encoder:
         self.known.update(self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS - SLICE // 8:  # what a slice can add beside
             self.known.clear()
         cuts = [self.words_of(t) for t in texts]
         found = [list(map(self.known.get, c)) for c in cuts]
@@ -287,30 +287,47 @@ def token_bytes(merger: Merger) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _decoder(path: str) -> Callable[[list[bytes]], list[str]]:
+    """Ids of each row to its text; one table per Python worker."""
+    table = token_bytes(Merger(path))
+    size = len(table)
+
+    def texts(rows: list[bytes]) -> list[str]:
+        out = []
+        for row in rows:
+            ids = np.frombuffer(row, "<u4")
+            if len(ids) and ids.max() >= size:
+                ids = ids[ids < size]
+            out.append(b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace"))
+        return out
+
+    return texts
+
+
 def decode(df: DataFrame, path: str, ids_col: str, out: str = "decoded") -> DataFrame:
     """``df`` plus the struct ``out`` with ``text``, from ids as ``encode`` writes them."""
 
     def make():
-        table = token_bytes(Merger(path))
-        size = len(table)
-
-        def work(rows: list[bytes]) -> list:
-            texts = []
-            for row in rows:
-                ids = np.frombuffer(row, "<u4")
-                if len(ids) and ids.max() >= size:
-                    ids = ids[ids < size]
-                texts.append(b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace"))
-            return [texts]
-
-        return work
+        texts = _decoder(path)
+        return lambda rows: [texts(rows)]
 
     return map_texts(df, ids_col, out, T.StructType([T.StructField("text", T.StringType())]), make)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536) -> DataFrame:
-    """(``doc_id, n_tokens, ids, text``): ids by the automaton and the text decoded from them."""
+    """(``doc_id, n_tokens, ids, text``): ids by the automaton and the text decoded from them, in one pass."""
     lexicon = build_lexicon(docs, path, text_col, lexicon_words)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coded = encode(source, path, lexicon, "__e").select("doc_id", "__e.ids", "__e.n_tokens")
-    return decode(coded, path, "ids", "__d").select("doc_id", "n_tokens", "ids", "__d.text")
+
+    def make():
+        run, back = _encoder(path, SparkFiles.get(lexicon)), _decoder(path)
+
+        def work(texts: list[bytes]) -> list:
+            ids = [x for lo, hi in slices(texts, SLICE) for x in run([t.decode() for t in texts[lo:hi]])]
+            return [ids, [len(x) // 4 for x in ids], back(ids)]
+
+        return work
+
+    fields = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("text", T.StringType())])
+    coded = map_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), "__text", "__e", fields, make)
+    return coded.select("doc_id", "__e.n_tokens", "__e.ids", "__e.text")
