@@ -39,8 +39,10 @@ _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: The same cut of an ASCII text (white space is the six ASCII blanks in both).
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Words kept per worker with their ids; the cache starts anew beyond it.
+#: Words counted per task before they are sent on.
 CACHE_WORDS = 300_000
+#: Words kept per worker with their ids; the table starts anew beyond it.
+KNOWN_WORDS = 400_000
 #: Bytes of text encoded together: their words bound a task's memory.
 SLICE = 1 << 20
 
@@ -236,7 +238,7 @@ class Encoder:
         self.known.update(self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS - SLICE // 8:  # what a slice can add beside
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         cuts = [self.words_of(t) for t in texts]
         found = [list(map(self.known.get, c)) for c in cuts]
