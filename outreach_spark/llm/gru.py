@@ -1,29 +1,42 @@
 """A small gated recurrent language model in numpy with a class-factored output.
 
 Symbols: 0 ends (and starts) a document, 1..n-1 are frequent words, n is any other word. Words lie in
-classes of about equal size by rank; other words are a class of their own, whose inner distribution is
-not this model's matter. p(word) = p(class | state) p(word | class, state).
+classes by rank, small ones of frequent words and large ones of rare words; other words are a class of their own,
+whose inner distribution is not this model's matter. p(word) = p(class | state) p(word | class, state).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 F4 = np.float32
 #: Targets whose class distributions are held at a time.
-BLOCK = 1 << 14
+BLOCK = 1 << 11
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F4(0.5) * np.tanh(F4(0.5) * x) + F4(0.5)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(states: np.ndarray, weights: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numerators and sums of the distributions over the rows of ``weights`` (biases last; ``states`` end with 1), and the
+    log-probability of entry ``at[i]`` in row i. States are within 1, so one shift bounds all logits; rows that would
+    vanish by it are shifted by their own largest."""
+    shift = (np.abs(weights[:, :-1]).sum(axis=1) + weights[:, -1]).max()
+    lowered = weights.copy()
+    lowered[:, -1] -= shift
+    x = states @ lowered.T
+    own = x[np.arange(len(at)), at]
+    ones = np.ones(len(weights), x.dtype)
+    e = np.exp(x, out=x)
+    total = e @ ones
+    if total.min(initial=1) < 1e-30:
+        x = states @ lowered.T
+        top = x.max(axis=1)
+        own = own - top
+        e = np.exp(np.subtract(x, top[:, None], out=x), out=x)
+        total = e @ ones
+    return e, total, own - np.log(total)
 
 
 @dataclass(frozen=True)
@@ -31,42 +44,61 @@ class Shape:
     words: int  # symbols with an own output: the end and the frequent words
     hidden: int = 16
     per_class: int = 32
+    sizes: tuple[int, ...] = ()  # words of each class; equal ones of ``per_class`` if not given
+
+    @cached_property
+    def edges(self) -> np.ndarray:
+        """First word of each class, and the number of words."""
+        sizes = self.sizes or [min(self.per_class, self.words - lo) for lo in range(0, self.words, self.per_class)]
+        return np.concatenate([[0], np.cumsum(sizes)])
 
     @property
     def classes(self) -> int:
         """Word classes; the class of other words comes after them."""
-        return -(-self.words // self.per_class)
+        return len(self.edges) - 1
+
+    def class_of(self, symbols: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, symbols, "right") - 1
 
     def parts(self) -> dict[str, tuple[int, ...]]:
-        h, n = self.hidden, self.classes
-        return {"inp": (self.words + 1, 3 * h), "rec": (h, 3 * h), "cls": (h, n + 1), "cls_b": (n + 1,), "out": (n, h, self.per_class), "out_b": (n, self.per_class)}
+        h = self.hidden
+        return {"inp": (self.words + 1, 3 * h), "rec": (h, 3 * h), "cls": (self.classes + 1, h + 1), "word": (self.words, h + 1)}
 
     @property
     def size(self) -> int:
         return sum(int(np.prod(s)) for s in self.parts().values())
 
     def split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        """Views of one flat parameter vector."""
+        """Views of one flat parameter vector; ``out`` has those of ``word`` by class. Biases are the last column."""
         views, at = {}, 0
         for name, shape in self.parts().items():
             n = int(np.prod(shape))
             views[name] = flat[at : at + n].reshape(shape)
             at += n
-        return views
+        return views | {"out": [views["word"][lo:hi] for lo, hi in zip(self.edges, self.edges[1:])]}
 
     def start(self, counts: np.ndarray, seed: int = 9) -> np.ndarray:
         """Random weights, and output biases that give the frequencies ``counts`` (of symbols 0..words)."""
         flat = np.random.default_rng(seed).normal(0, 0.1, self.size).astype(F4)
         p = self.split(flat)
-        weights = np.full(self.classes * self.per_class, 1e-9)
-        weights[: self.words] = counts[: self.words] + 1.0
-        weights = weights.reshape(self.classes, self.per_class)
-        p["out_b"][:] = np.log(weights)
-        p["cls_b"][:] = np.log(np.append(weights.sum(axis=1), counts[self.words] + 1.0))
-        p["cls_b"] -= p["cls_b"].max()
+        weights = np.asarray(counts, float) + 1.0
+        p["word"][:, -1] = np.log(weights[: self.words])
+        p["cls"][:, -1] = np.log(np.add.reduceat(weights, self.edges))
+        p["cls"][:, -1] -= p["cls"][:, -1].max()
         return flat
 
 
+def class_sizes(counts: np.ndarray, call: float = 5.0) -> tuple[int, ...]:
+    """Sizes of classes by rank for little work: a class costs ``call`` entries per token however small it is, and
+    its own size for each of its tokens, so its share of the tokens times its size is kept at about ``call``."""
+    share = np.append(0.0, np.cumsum(counts / max(counts.sum(), 1)))
+    edges = [0]
+    for hi in range(1, len(counts) + 1):
+        if hi == len(counts) or (share[hi + 1] - share[edges[-1]]) * (hi + 1 - edges[-1]) > call:
+            edges.append(hi)
+    return tuple(int(n) for n in np.diff(edges))
+
+
 def steps(p: dict[str, np.ndarray], hidden: int, inputs: np.ndarray, state: np.ndarray, active: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
     """States after each input (rows x time x hidden); ``state`` is carried on in place.
 
@@ -74,45 +106,71 @@ def steps(p: dict[str, np.ndarray], hidden: int, inputs: np.ndarray, state: np.n
     backward pass needs; there an input 0 resets the state first.
     """
     rows, time = inputs.shape
-    out = np.zeros((rows, time, hidden), F4)
+    x = np.ascontiguousarray(p["inp"][inputs.T].transpose(0, 2, 1))  # gates x rows at each time, overwritten by their values
+    rec, half, carried = np.ascontiguousarray(p["rec"].T), F4(0.5), np.ascontiguousarray(state.T)
+    live = (inputs.T != 0).astype(F4)
+    out = np.zeros((time, hidden, rows), F4)
     for t in range(time):
         n = rows if active is None else int(active[t])
         if not n:
             break
-        x = p["inp"][inputs[:n, t]]
-        h = state[:n]
+        h = carried[:, :n]
         if keep is not None:
-            h = h * (inputs[:n, t] != 0)[:, None]
-        g = h @ p["rec"]
-        zr = _sigmoid(x[:, : 2 * hidden] + g[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        c = np.tanh(x[:, 2 * hidden :] + r * g[:, 2 * hidden :])
-        new = c + z * (h - c)
+            h = h * live[t]
+        g = rec @ h
+        zr, c = x[t, : 2 * hidden, :n], x[t, 2 * hidden :, :n]
+        zr += g[: 2 * hidden]
+        zr *= half
+        np.tanh(zr, out=zr)
+        zr *= half
+        zr += half
+        z, r = zr[:hidden], zr[hidden:]
+        c += r * g[2 * hidden :]
+        np.tanh(c, out=c)
+        new = out[t, :, :n]
+        np.subtract(h, c, out=new)
+        new *= z
+        new += c
         if keep is not None:
-            keep.append((h, g[:, 2 * hidden :], z, r, c))
-        state[:n] = new
-        out[:n, t] = new
-    return out
+            keep.append((h, g[2 * hidden :], z, r, c))
+        carried[:, :n] = new
+    state[:] = carried.T
+    return out.transpose(2, 0, 1)
 
 
-def log_probs(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each target symbol; for other words, of their class."""
-    return np.concatenate([_log_probs(shape, p, states[lo : lo + BLOCK], targets[lo : lo + BLOCK]) for lo in range(0, len(targets), BLOCK)] or [np.zeros(0)])
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """Stable order; symbols that fit 16 bits are sorted by radix."""
+    return np.argsort(symbols.astype(np.uint16) if symbols.max(initial=0) < 1 << 16 else symbols, kind="stable")
+
 
+def _sum_by(columns: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups that occur, and the sums of each column by them (groups x columns)."""
+    used = np.flatnonzero(np.bincount(groups))
+    place = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
+    place[used] = np.arange(len(used))
+    place = place[groups]
+    return used, np.stack([np.bincount(place, column, len(used)) for column in columns], axis=1).astype(F4)
 
-def _log_probs(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    cls = np.minimum(targets // shape.per_class, shape.classes)
-    cls[targets >= shape.words] = shape.classes
-    rows = np.arange(len(targets))
-    out = _log_softmax(states @ p["cls"] + p["cls_b"])[rows, cls].astype(np.float64)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        own = order[ends[k] : ends[k + 1]]
-        if len(own):
-            inner = _log_softmax(states[own] @ p["out"][k] + p["out_b"][k])
-            out[own] += inner[np.arange(len(own)), targets[own] - k * shape.per_class]
-    return out
+
+def _biased(states: np.ndarray) -> np.ndarray:
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
+def log_probs(shape: Shape, p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each target symbol; for other words, of their class."""
+    out = np.zeros(len(targets))
+    order = _order(targets)
+    s, at = _biased(states[order]), targets[order]
+    cls, ends = shape.class_of(at), np.searchsorted(at, shape.edges)
+    for lo in range(0, len(at), BLOCK):
+        out[lo : lo + BLOCK] = _softmax(s[lo : lo + BLOCK], p["cls"], cls[lo : lo + BLOCK])[2]
+    for k in np.flatnonzero(np.diff(ends)):
+        for lo in range(ends[k], ends[k + 1], BLOCK):
+            hi = min(lo + BLOCK, ends[k + 1])
+            out[lo:hi] += _softmax(s[lo:hi], p["out"][k], at[lo:hi] - shape.edges[k])[2]
+    result = np.empty_like(out)
+    result[order] = out
+    return result
 
 
 def document_log_probs(shape: Shape, flat: np.ndarray, docs: list[np.ndarray], window: int = 64) -> list[np.ndarray]:
@@ -151,52 +209,58 @@ def gradient(shape: Shape, p: dict[str, np.ndarray], inputs: np.ndarray, targets
     hidden, (rows, time) = shape.hidden, inputs.shape
     keep: list = []
     states = steps(p, hidden, inputs, state, keep=keep)
-    flat_states, flat_targets = states.reshape(-1, hidden), targets.reshape(-1)
-    n = len(flat_targets)
+    n = rows * time
     grad = np.zeros(shape.size, F4) if grad is None else grad
     g = shape.split(grad)
-    cls = np.minimum(flat_targets // shape.per_class, shape.classes)
-    cls[flat_targets >= shape.words] = shape.classes
-    logp = _log_softmax(flat_states @ p["cls"] + p["cls_b"])
-    loss = -logp[np.arange(n), cls].sum(dtype=np.float64)
-    d = np.exp(logp)
-    d[np.arange(n), cls] -= 1
-    g["cls"][:], g["cls_b"][:] = flat_states.T @ d, d.sum(axis=0)
-    d_states = d @ p["cls"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        own = order[ends[k] : ends[k + 1]]
-        if len(own):
-            s, at = flat_states[own], flat_targets[own] - k * shape.per_class
-            inner = _log_softmax(s @ p["out"][k] + p["out_b"][k])
-            loss -= inner[np.arange(len(own)), at].sum(dtype=np.float64)
-            d = np.exp(inner)
-            d[np.arange(len(own)), at] -= 1
-            g["out"][k], g["out_b"][k] = s.T @ d, d.sum(axis=0)
-            d_states[own] += d @ p["out"][k].T
-    d_states = d_states.reshape(rows, time, hidden)
-    carry = np.zeros((rows, hidden), F4)
-    d_inp = np.zeros((time, rows, 3 * hidden), F4)
+    by_time = targets.T.reshape(-1)
+    order = _order(by_time)
+    s, at = _biased(states.transpose(1, 0, 2).reshape(-1, hidden)[order]), by_time[order]
+    cls, ends = shape.class_of(at), np.searchsorted(at, shape.edges)
+    d, loss = np.empty((n, hidden), F4), 0.0
+
+    def distribution(lo: int, hi: int, weights: np.ndarray, own: np.ndarray, to: np.ndarray) -> np.ndarray:
+        nonlocal loss
+        e, total, logp = _softmax(s[lo:hi], weights, own)
+        loss -= logp.sum(dtype=np.float64)
+        to += e.T @ (s[lo:hi] / (total * F4(n))[:, None])
+        return (e @ weights[:, :-1]) / total[:, None] - weights[own, :-1]
+
+    for lo in range(0, n, BLOCK):
+        d[lo : lo + BLOCK] = distribution(lo, min(lo + BLOCK, n), p["cls"], cls[lo : lo + BLOCK], g["cls"])
+    has = np.flatnonzero(np.diff(ends))
+    for k in has:
+        lo, hi = ends[k], ends[k + 1]
+        d[lo:hi] += distribution(lo, hi, p["out"][k], at[lo:hi] - shape.edges[k], g["out"][k])
+    columns = np.ascontiguousarray(s.T)
+    for part, own in (("cls", cls), ("word", at[: ends[-1]])):
+        used, sums = _sum_by(columns[:, : len(own)], own)
+        g[part][used] -= sums / F4(n)
+    d /= F4(n)
+    d_states = np.empty_like(d)
+    d_states[order] = d
+    d_states = np.ascontiguousarray(d_states.reshape(time, rows, hidden).transpose(0, 2, 1))
+    carry, live = np.zeros((hidden, rows), F4), (inputs.T != 0).astype(F4)
+    d_inp = np.empty((time, 3 * hidden, rows), F4)
     for t in range(time - 1, -1, -1):
         h, gn, z, r, c = keep[t]
-        dh = d_states[:, t] + carry
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h - c) * z * (1 - z)
-        dr = dc * gn * r * (1 - r)
-        d_inp[t] = np.hstack([dz, dr, dc])
-        d_rec = np.hstack([dz, dr, dc * r])
-        g["rec"] += h.T @ d_rec
-        carry = (dh * z + d_rec @ p["rec"].T) * (inputs[:, t] != 0)[:, None]
-    at = inputs.T.reshape(-1)
-    by_input = np.argsort(at, kind="stable")
-    used, starts = np.unique(at[by_input], return_index=True)
-    g["inp"][used] = np.add.reduceat(d_inp.reshape(-1, 3 * hidden)[by_input], starts)
-    rows_of = {name: slice(None) for name in g} | {"inp": used, "out": (own := slice(None) if np.diff(ends).all() else np.flatnonzero(np.diff(ends))), "out_b": own}
-    for name, own in rows_of.items():
-        g[name][own] /= n
+        dh = d_states[t]
+        dh += carry
+        dz, dr, dc = d_inp[t, :hidden], d_inp[t, hidden : 2 * hidden], d_inp[t, 2 * hidden :]
+        np.multiply(dh, 1 - z, out=dc)
+        np.multiply(dc * z, h - c, out=dz)
+        dc *= 1 - c * c
+        np.multiply(dc * gn, r - r * r, out=dr)
+        d_rec = d_inp[t].copy()
+        d_rec[2 * hidden :] *= r
+        g["rec"] += h @ d_rec.T
+        carry = p["rec"] @ d_rec
+        carry += dh * z
+        carry *= live[t]
+    used, sums = _sum_by(d_inp.transpose(1, 0, 2).reshape(3 * hidden, -1), inputs.T.reshape(-1))
+    g["inp"][used] = sums
+    words = slice(None) if len(has) == shape.classes else np.flatnonzero(np.repeat(np.diff(ends) > 0, np.diff(shape.edges)))
     if touched is not None:
-        touched.update(rows_of)
+        touched.update({"inp": used, "rec": slice(None), "cls": slice(None), "word": words})
     return grad, loss / n
 
 
@@ -224,11 +288,20 @@ def train(shape: Shape, flat: np.ndarray, streams: Iterable[np.ndarray], rows: i
             own = n if hi <= last else n - 1
             gradient(shape, p, inputs[:own, lo:hi], lanes[:own, lo:hi], state[:own], grad, touched)
             step, read = step + 1, read + own * (hi - lo)
-            norm = sum(float(np.square(g[k][at]).sum(dtype=np.float64)) for k, at in touched.items()) ** 0.5
+            norm = sum(float(np.vdot(d, d)) for d in (g[k][at] for k, at in touched.items())) ** 0.5
+            scale, unbiased, move = F4(min(1.0, clip / max(norm, 1e-30))), F4(1 / (1 - 0.99**step)), F4(rate / (1 - 0.9**step))
             for k, at in touched.items():
-                d, m, v = g[k][at] * F4(min(1.0, clip / max(norm, 1e-30))), first[k][at], second[k][at]
+                d, m, v = g[k][at], first[k][at], second[k][at]  # views of a whole part, copies of some of its rows
+                d *= scale
                 m += F4(0.1) * (d - m)
-                v += F4(0.01) * (d * d - v)
-                p[k][at] -= F4(rate / (1 - 0.9**step)) * m / (np.sqrt(v / F4(1 - 0.99**step)) + F4(1e-6))
+                d *= d
+                d -= v
+                d *= F4(0.01)
+                v += d
+                np.sqrt(np.multiply(v, unbiased, out=d), out=d)
+                d += F4(1e-6)
+                np.divide(m, d, out=d)
+                d *= move
+                p[k][at] -= d
                 first[k][at], second[k][at], g[k][at] = m, v, 0
     return flat, read

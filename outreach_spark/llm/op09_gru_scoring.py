@@ -2,8 +2,8 @@
 
 Tokens are words (A-Z lower-cased) and one end per document. Words outside a held-out fold are counted over
 the whole corpus. Those that occur at least ``rare`` times the square root of the corpus's words often are
-symbols of the recurrent model (``gru``), in about as many classes by rank as a class has words; so the
-vocabulary grows with the corpus, at most by that root. Weights are handed out as a file. The model is
+symbols of the recurrent model (``gru``), in classes by rank, small ones of frequent words; so the vocabulary
+grows with the corpus, at most by that root. Weights are handed out as a file. The model is
 trained by truncated backpropagation on every document outside the fold, to its last token, in ``rounds``
 passes (``train_share`` 1; a larger one reads one document in so many, by a hash); in a round every task trains
 a copy on its own documents and the copies are averaged, weighted by their tokens. All other words are the
@@ -207,12 +207,13 @@ def score_documents(
     top = distinct.where(F.col("c") >= least).orderBy(F.desc("c"), "word").select("word", "c").toArrow()  # at most n_words / least rows
     spark = docs.sparkSession
     symbols = spark.createDataFrame(pa.table({"word": top.column("word").cast(pa.binary()), "symbol": pa.array(np.arange(1, top.num_rows + 1))}), "word binary, symbol long")
-    shape = gru.Shape(words=top.num_rows + 1, hidden=hidden, per_class=max(32, math.isqrt(top.num_rows)))
     numbered = words.join(F.broadcast(symbols), "word", "left").select("chunk", "local", "c", F.coalesce("symbol", F.lit(0)).alias("symbol"))
 
     top_counts = top.column("c").to_pylist()
     others = n_words - sum(top_counts)
-    flat = shape.start(np.array([n_ends, *top_counts, others], float))
+    symbol_counts = np.array([n_ends, *top_counts, others], float)
+    shape = gru.Shape(words=top.num_rows + 1, hidden=hidden, sizes=gru.class_sizes(symbol_counts[:-1]))
+    flat = shape.start(symbol_counts)
     other_total = math.log10(others + n_distinct - top.num_rows + 1)
     base_total = math.log10(tokens + distinct_tokens + 1)
     n_own = shape.words
