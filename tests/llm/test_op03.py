@@ -53,3 +53,36 @@ def test_small_cases(spark):
     # the row without an id comes first in order and keeps the run
     assert got == sorted([(1, "", "x", 0), (1, "", "x", 0), (2, "own\r\n\n", "x", 6), (None, run, "x", 28), (3, None, None, None), (4, "", "x", 0)], key=str)
     assert op3.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_fingerprints_are_window_minima_and_fewer_than_lines(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, "\n".join(" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 4))) for _ in range(rnd.randint(0, 60)))) for i in range(20)]
+    lines = op3.line_table(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    by_doc = defaultdict(list)
+    for r in lines.collect():
+        by_doc[r.k.id].append((r.pos, r.h, r.w))
+    expected = set()
+    for i, own in by_doc.items():
+        own.sort()
+        for a in range(len(own)):
+            ends = [b for b in range(a, len(own)) if sum(w for _, _, w in own[a : b + 1]) >= 12]
+            if ends:
+                least = min((h, -p) for p, h, _ in own[a : ends[0] + 1])
+                expected.add((i, -least[1], least[0]))
+    fresh = op3.winnow(lines, 12).where("fresh").collect()
+    assert len(fresh) == len(expected) and {(r.k.id, r["at"], r.fingerprint) for r in fresh} == expected
+    assert len(fresh) < sum(map(len, by_doc.values())) / 2
+
+
+def test_a_common_line_with_other_surroundings_stays(spark):
+    """The common line may be the fingerprint everywhere; only the passage that repeats with it is deleted."""
+    passage = ["one two three", "the same line", "four five"]
+    texts = [f"own{i} a\nthe same line\nown{i} b" for i in range(30)]
+    texts += ["\n".join([f"head{i} x", *passage, "", *(["six seven"] if i % 2 else []), f"tail{i} y"]) for i in range(5)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text for r in op3.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=8).collect()}
+    assert got == plain(rows, 8)
+    assert [got[i] for i in range(30)] == texts[:30] and got[31] == "head1 x\n\nsix seven\ntail1 y" and got[33] == "head3 x\n\ntail3 y"
