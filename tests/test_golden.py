@@ -138,6 +138,32 @@ def test_followup_drafts(spark):
     assert out[1].body_plain == "Hi Ann: " + "d" * 300
 
 
+def test_upsert_by_body_sizes_chooses_the_same_drafts(spark):
+    from outreach_spark.operators import drafts
+
+    inv_schema = "author_id bigint, invitation_subject string, invitation_body_html string, invitation_body_plain string, tokens_used string, saved_at timestamp_ntz"
+    fu_schema = "author_id bigint, followup_subject string, followup_body_html string, followup_body_plain string"
+    late = datetime(2024, 2, 1)
+    rows = [(1, "old", "<p>a</p>", "a", "{}", T0), (1, "new", "<p>bb</p>", "bb", "{}", late), (1, "new", "<p>bb</p>", "bb", "{}", late),
+            (2, "timeless", "x", "x", "{}", None), (None, "nobody", "y", "y", "{}", late), (5, None, None, None, None, late),
+            *[(3, "one time", "h" * n, "p" * (20 - n), "{}", late) for n in range(20)]]
+    inv = spark.createDataFrame(rows, inv_schema)
+    fu = spark.createDataFrame([(1, "f", "f" * 5, "g" * n, late) for n in range(9)] + [(9, "none", "n", "n", late)], f"{fu_schema}, saved_at timestamp_ntz")
+    old = spark.createDataFrame([(1, "first", "z" * 7, "z", "{}", T0), (2, "kept", "z" * 8, "z", "{}", T0), (None, "null id", "z", "z", "{}", T0)], inv_schema)
+    cols, fu_cols = drafts.DRAFT_INVITATION_COLS, drafts.DRAFT_FOLLOWUP_COLS
+    with_fu = lambda df, kind: df.select("*", *[F.lit(None).cast(kind if "_body_" in c else "string").alias(c) for c in fu_cols])
+    whole = drafts.upsert_drafts(with_fu(old, "string"), inv, fu)
+    sized = drafts.upsert_drafts(with_fu(drafts.body_sizes(old, cols, versioned=False), "int"),
+                                 drafts.body_sizes(inv, cols), drafts.body_sizes(fu, [*fu_cols, "saved_at"]))
+    got = sorted(map(str, sized.collect()))
+    assert got == sorted(map(str, whole.select(*[F.length(c).alias(c) if "_body_" in c else F.col(c) for c in whole.columns]).collect()))
+    texts = {r.author_id: r for r in whole.collect()}
+    assert {k: (r.invitation_subject, r.followup_subject) for k, r in texts.items()} == {
+        1: ("new", "f"), 2: ("kept", None), 3: ("one time", None), 5: (None, None), None: ("null id", None)}
+    tied = inv.filter("author_id = 3").withColumn("h", F.xxhash64("saved_at", *cols[:-1])).orderBy(F.desc("h")).first()
+    assert texts[3].invitation_body_html == tied.invitation_body_html
+
+
 def test_resolve_email_home_then_subpage(spark):
     pages = spark.createDataFrame([
         (1, "https://a.org/", '<a href="/contact">Contact</a> nothing here'),

@@ -61,6 +61,13 @@ def test_inputs_are_read_as_often_as_needed(spark, key, scans):
     assert plan_of(spark, key).count("FileScan parquet") <= scans
 
 
+def test_upserted_drafts_are_dealt_without_their_bodies(spark):
+    p = plan_of(spark, "upsert_drafts")
+    assert p.count("xxhash64(") == 2  # invitations and follow-ups: each is rendered once
+    assert "length(" not in p.split("SortMergeJoin")[0] and p.count("length(invitation_body_html") >= 1  # sizes are taken below the joins
+    assert "WindowGroupLimit" not in p
+
+
 def test_no_plan_depends_on_input_size(spark):
     for key in ("banned_phrases", "export_daily_summary", "lead_scores"):
         assert "REPARTITION_BY_NUM" not in plan_of(spark, key)
