@@ -216,6 +216,27 @@ def test_banned_phrases_case_insensitive(spark):
     assert r.m == "I hope this email finds you well|circle back" and r.n == 2
 
 
+def test_draft_texts_equal_plain_python(spark):
+    import random
+    import re
+
+    from outreach_spark import constants as K
+
+    rng, ws = random.Random(3), " \t\n\r\f"
+    pieces = ["\n", "\n\n", "\n\n\n", "\n\n\n\n", " ", "\t", "\r", "\f", "\x0b", "\u00a0", "a", "Ünï", "\U0001f600", "Subject: s", "SUBJECT:", "<p></p>", "$1 \\", *K.BANNED_PHRASES, "I HOPE THIS EMAIL FINDS YOU WEL"]
+    texts = [None, "", " \n", "subject:", *("".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(600))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", "t", TX.word_count("t").alias("n"), TX.matched_phrases_text("t").alias("m"), TX.draft_subject("t", "D").alias("s"), TX.draft_body("t").alias("b"))
+    for r in rows.select("*", TX.paragraphs_html("b").alias("h")).collect():
+        t = r.t or ""
+        assert r.n == len(re.findall(f"[^{ws}]+", t))
+        assert r.m == "|".join(p for p in K.BANNED_PHRASES if p.lower() in t.lower())
+        first, _, rest = t.strip(ws).partition("\n")
+        has = first.upper().startswith("SUBJECT:")
+        assert r.s == (first[8:].strip(ws) if has else "D") and r.b == (rest if has else t).strip(ws)
+        assert r.h == ("<p>" + re.sub("(?:\n\n)+", "</p><p>", r.b) + "</p>" if r.b else "")
+
+
 # ---- A1-A9: reporting edge cases
 
 def test_empty_contacts_table(spark):

@@ -68,6 +68,12 @@ def test_upserted_drafts_are_dealt_without_their_bodies(spark):
     assert "WindowGroupLimit" not in p
 
 
+def test_drafts_are_stripped_once_and_phrases_skip_ahead(spark):
+    p = plan_of(spark, "render_drafts")
+    assert "trim(_text" not in p  # stripped where it is filled, not at every use
+    assert "translate(" not in p and p.count("Contains(") <= 4  # blank lines and </body>; no phrase is tried at every position
+
+
 def test_no_plan_depends_on_input_size(spark):
     for key in ("banned_phrases", "export_daily_summary", "lead_scores"):
         assert "REPARTITION_BY_NUM" not in plan_of(spark, key)
