@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -108,3 +109,36 @@ def test_untouched_rows_keep_their_weights():
     was = shape.split(flat)
     assert [k for k in range(9) if not np.array_equal(got["out"][k], was["out"][k])] == [0, 2]
     assert [i for i in range(91) if not np.array_equal(got["inp"][i], was["inp"][i])] == [0, 1, 25]
+
+
+def test_gates_of_a_window_are_gathered_in_runs():
+    shape, rows, time = gru.Shape(50), 2000, 64
+    p, inputs = shape.split(shape.start(np.ones(51))), np.random.default_rng(0).integers(0, 51, (2000, 64))
+    tracemalloc.start()
+    states = gru.steps(p, shape.hidden, inputs, np.zeros((rows, shape.hidden), np.float32), np.full(time, rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * states.nbytes  # all gates at once are three times the states, twice over
+    one = [gru.steps(p, shape.hidden, inputs[i : i + 1], np.zeros((1, shape.hidden), np.float32)) for i in (0, 999)]
+    assert np.allclose(states[[0, 999]], np.concatenate(one), atol=1e-5)
+
+
+def test_large_and_vanishing_logits():
+    shape, rng = gru.Shape(6, hidden=3, per_class=3), np.random.default_rng(2)
+    for scale, bias in ((1, 0), (1, 300), (200, 0)):
+        p = shape.split((rng.normal(size=shape.size) * scale).astype(np.float32))
+        p["word"][:, -1] += bias
+        states, targets = rng.uniform(-1, 1, (7, 3)).astype(np.float32), np.arange(7)
+        x = np.append(states, np.ones((7, 1)), axis=1)
+        logp = lambda w, at: (x @ w.T.astype(float))[np.arange(7), at] - np.logaddexp.reduce(x @ w.T.astype(float), axis=1)
+        want = logp(p["cls"], targets // 3)
+        for k in (0, 1):
+            want += np.where(targets // 3 == k, logp(p["out"][k], targets % 3), 0)
+        assert np.allclose(gru.log_probs(shape, p, states, targets), want, rtol=1e-4, atol=1e-3)
+
+
+def test_scores_without_documents_and_without_symbols():
+    shape = gru.Shape(5, hidden=3, per_class=3)
+    flat, none = shape.start(np.ones(6)), np.zeros(0, np.int64)
+    assert gru.document_log_probs(shape, flat, []) == []
+    assert [len(x) for x in gru.document_log_probs(shape, flat, [none, np.array([1, 0]), none])] == [0, 2, 0]
